@@ -8,9 +8,10 @@ column-wise minimum of slices.  Equal bands propose candidates; a link needs
 ``100 * |A & B| >= threshold * |A | B|`` on the full sets.
 
 Scale: equal sets collapse first; a bucket never gives all its pairs.  Its smallest
-member is compared with the others, components join what was linked, and only members
-of buckets that still span several components go on: few together at once, larger
-buckets by further leaders, until no bucket spans two components.
+member is compared with the others, and components join what was linked.  In buckets
+that still span several components, a bounded number of members outside the largest one
+lead next and are compared with the members of other components, and so on, until each
+member has led or no bucket spans two components.
 
 Defined results: null and empty texts, or texts without words, have an empty set, link
 with nothing and stay; rows that repeat a doc_id count as one document that holds all
@@ -31,10 +32,10 @@ from cairn.llm import textvec as tv
 from cairn.llm.components import components
 from cairn.llm.store import Store, columns
 
-CIRCLE_BITS = 20
+CIRCLE_BITS = 18
 BANDS, ROWS = 40, 6  # misses a pair at 0.8 with probability (1 - 0.8**6)**40, about 5e-6
-#: Members of a bucket that are compared at once; larger buckets go by leaders.
-SMALL, LEADERS = 24, 16
+#: Members of a bucket that are compared with all its others at once; more of them go by turns.
+LEADERS = 32
 _circle: list[np.ndarray] = []
 
 
@@ -51,8 +52,8 @@ def signature(members: np.ndarray) -> np.ndarray:
     """Minima over the set of the shifted second permutation at the place the first one gives."""
     place = (tv.mix(members + tv.U(0x5851F42D4C957F2D)) >> tv.U(64 - CIRCLE_BITS)).astype(np.int64)
     slices, out = circle(), None
-    for i in range(0, len(place), 1024):
-        low = slices[place[i : i + 1024]].min(axis=0)
+    for i in range(0, len(place), 256):
+        low = slices[place[i : i + 256]].min(axis=0)
         out = low if out is None else np.minimum(out, low)
     return out
 
@@ -129,21 +130,21 @@ def _links(store: Store, docs: DataFrame, signed: DataFrame, classes: DataFrame,
     found = store.put(verify(star.select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()), "links")
     active = active.where("node <> low").select("bucket", "node", "n")
     while True:
+        # Only buckets that span several components go on, and of those the members outside the largest one lead.
         comp = store.put(components(store, found), "comp")
         tagged = active.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-        spans = tagged.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("bucket", "size")
+        parts = tagged.groupBy("bucket", "c").agg(F.count("*").alias("size"))
+        spans = parts.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.c").alias("main"))
         open_ = store.put(tagged.join(spans, "bucket"), "open")
         store.drop(comp)
         if open_.isEmpty():
             return found
-        few, many = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node", "n"))
-        heads = many.withColumn("r", rank).where(F.col("r") <= LEADERS).select("bucket", F.col("node").alias("u"), F.col("n").alias("m"), F.col("c").alias("d"))
-        others = few.select("bucket", F.col("node").alias("u"), F.col("n").alias("m"), F.col("c").alias("d"))
-        pairs = few.join(others, "bucket").where((F.col("node") > F.col("u")) & (F.col("c") != F.col("d")) & near)
-        pairs = pairs.unionByName(many.join(heads, "bucket").where((F.col("node") != F.col("u")) & (F.col("c") != F.col("d")) & near))
+        leaders = open_.where("c <> main").withColumn("r", rank).where(F.col("r") <= LEADERS).select("bucket", F.col("node").alias("u"), F.col("n").alias("m"), F.col("c").alias("d"))
+        pairs = open_.join(leaders, "bucket").where((F.col("node") != F.col("u")) & (F.col("c") != F.col("d")) & near)
         pairs = pairs.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
         more = store.put(verify(pairs).unionByName(found), "links")
-        active = store.put(many.join(heads.select("bucket", F.col("u").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n"), "active")
+        # A leader has met every other member of its bucket.
+        active = store.put(open_.join(leaders.select("bucket", F.col("u").alias("node"), F.col("m").alias("n")), ["bucket", "node", "n"], "left_anti").select("bucket", "node", "n"), "active")
         store.drop(found, open_)
         found = more
