@@ -61,14 +61,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None = None, places: bool = False) -> tuple:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None = None, places: bool = False, prefix: int = 0) -> tuple:
     """64-bit hashes of all words, in order, and each document's offsets into them.
 
     A word is a longest run of bytes with ``is_word``; it never crosses a document.
-    With *places*, also (starts, ends) of the words.
+    With *places*, also (starts, ends) of the words; with *prefix*, also hashes of the first
+    *prefix* bytes of each word that is longer.
     """
     total = len(data)
-    hashes, at, to = [], [], []
+    hashes, at, to, heads = [], [], [], []
     a = 0
     doc_start = np.zeros(total + 1, bool)
     doc_start[offsets] = True
@@ -99,15 +100,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold
             np.cumsum(values, out=total_to[1:])
             h = (total_to[e] - total_to[s]) * _powers(_INV, len(part))[s]
             hashes.append(mix(h ^ ((e - s).astype(U) * U(0xD6E8FEB86659FD93))))
+            if prefix:
+                head = (total_to[np.minimum(s + prefix, e)] - total_to[s]) * _powers(_INV, len(part))[s]
+                heads.append(np.where(e - s > prefix, mix(head ^ U(0x8CB92BA72F3D8DD7)), U(0)))
             at.append(s + a)
             to.append(e + a)
         a = b
     if not hashes:
         none = np.zeros(0, np.int64)
-        return (np.zeros(0, U), np.zeros(len(offsets), np.int64)) + (((none, none),) if places else ())
+        return (np.zeros(0, U), np.zeros(len(offsets), np.int64)) + (((none, none),) if places else ()) + ((np.zeros(0, U),) if prefix else ())
     starts = np.concatenate(at)
     out = np.concatenate(hashes), np.searchsorted(starts, offsets).astype(np.int64)
-    return (*out, (starts, np.concatenate(to))) if places else out
+    return out + (((starts, np.concatenate(to)),) if places else ()) + ((np.concatenate(heads),) if prefix else ())
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
