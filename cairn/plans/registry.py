@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.plans import catalog_queries
+
 FLAGSHIP = "f1_fts_search"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(catalog_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return dict(catalog_queries.ORACLE)
