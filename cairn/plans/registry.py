@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import catalog_queries
+from cairn.plans import catalog_queries, ingest_queries  # noqa: F401  registers its queries
 
 FLAGSHIP = "f1_fts_search"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 VERSION = 14
 
@@ -16,7 +16,8 @@ _DDL = {
     "script_embeddings": "script_id long, logical_path string, model string, dim long, embedding array<float>, text_hash string",
     "embedding_metadata": "id int, format_version long, catalog_build_timestamp string",
 }
-TABLES: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES = {"long": LongType(), "int": IntegerType(), "double": DoubleType(), "string": StringType(), "array<float>": ArrayType(FloatType())}
+TABLES: dict[str, StructType] = {name: StructType([StructField(c, _TYPES[t]) for c, t in (x.split() for x in ddl.split(", "))]) for name, ddl in _DDL.items()}
 #: Columns that identify a row; publishing checks them.
 KEYS = {"scripts": ["logical_path"], "dependencies": ["script_id", "depends_on_path", "kind"], "revisions": ["physical_path"], "function_definitions": ["script_id", "kind", "name", "line"], "index_metadata": ["id"], "script_embeddings": ["script_id"]}
 KINDS = ("import", "referenced", "parentfile", "childfile", "inputfile", "outputfile", "paramfile")
