@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from cairn.llm.store import Store
 
 
+#: Edges of a file and task, once their number is known.
+EDGES = 50_000
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -31,15 +35,17 @@ def components(store: Store, edges: DataFrame) -> DataFrame:
 
     Self-links and repeated edges are harmless; an empty input gives an empty result.
     """
+    # Small edge tables are kept in few files, whatever the number of shuffle partitions.
     now = store.put(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    seen, files = None, None
     while True:
-        after = store.put(_small(_large(now)), "edges")
+        after = _small(_large(now))
+        after = store.put(after.coalesce(files) if files else after, "edges")
         store.drop(now)
         now = after
         row = now.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
         if (row.n, row.s) == seen:
             break
-        seen = (row.n, row.s)
+        seen, files = (row.n, row.s), 1 + row.n // EDGES
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -7,11 +7,12 @@ element are thus one contiguous slice of the second permutation, so a signature
 column-wise minimum of slices.  Equal bands propose candidates; a link needs
 ``100 * |A & B| >= threshold * |A | B|`` on the full sets.
 
-Scale: equal sets collapse first; a bucket never gives all its pairs.  Its smallest
-member is compared with the others, and components join what was linked.  In buckets
-that still span several components, a bounded number of members outside the largest one
-lead next and are compared with the members of other components, and so on, until each
-member has led or no bucket spans two components.
+Scale: equal sets collapse first; a bucket never gives all its pairs.  First each member
+is compared with one bucket leader, the one it shares most buckets with, and components
+join what was linked.  In buckets that still span several components, members outside
+the largest one try a likely partner in it, a few times; those still apart are compared
+with all members of other components, a bounded number of a bucket at once, until each
+has been or no bucket spans two components.
 
 Defined results: null and empty texts, or texts without words, have an empty set, link
 with nothing and stay; rows that repeat a doc_id count as one document that holds all
@@ -34,8 +35,9 @@ from cairn.llm.store import Store, columns
 
 CIRCLE_BITS = 18
 BANDS, ROWS = 40, 6  # misses a pair at 0.8 with probability (1 - 0.8**6)**40, about 5e-6
-#: Members of a bucket that are compared with all its others at once; more of them go by turns.
-LEADERS = 32
+#: Rounds in which a member outside a bucket's main component tries one likely partner; then so many members
+#: of a bucket at once are compared with all its others, the rest by turns.
+TRIES, LEADERS = 3, 32
 _circle: list[np.ndarray] = []
 
 
@@ -117,34 +119,60 @@ def _links(store: Store, docs: DataFrame, signed: DataFrame, classes: DataFrame,
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "low")
     active = store.put(rows.join(shared, "bucket"), "buckets")
     candidates = active.select(F.col("node").alias("doc_id")).distinct()
-    sets = store.put(docs.join(candidates, "doc_id", "left_semi").mapInArrow(_full(k), "node long, members array<long>"), "sets")
+    # Bucketed by node: each later comparison moves its pairs to the sets, not the sets to the pairs.
+    sets = store.put_bucketed(docs.join(candidates, "doc_id", "left_semi").mapInArrow(_full(k), "node long, members array<long>"), "node", "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("node").alias("u"), F.col("members").alias("a")), sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
-        both = pairs.join(right, "v").join(left, "u").withColumn("i", F.size(F.array_intersect("a", "b")).cast("long"))
+        """pairs(u, v), few u for many v: those whose full sets are similar enough."""
+        pairs = store.put(pairs.distinct(), "pairs")
+        leaders = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("u"), F.col("members").alias("a"))
+        both = pairs.join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v").join(leaders, "u")
+        both = both.withColumn("i", F.size(F.array_intersect("a", "b")).cast("long"))
         return both.where(100 * F.col("i") >= threshold * (F.size("a") + F.size("b") - F.col("i"))).select("u", "v").distinct()
 
     near = (F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold)
-    lows = active.where("node = low").select("low", F.col("n").alias("m")).distinct()
-    star = active.where("node <> low").select("node", "n", "low").distinct().join(lows, "low").where(near)
-    found = store.put(verify(star.select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()), "links")
-    active = active.where("node <> low").select("bucket", "node", "n")
+
+    def likely(met: DataFrame) -> DataFrame:
+        """Of the leaders u that a node met, the one it shares most buckets with."""
+        counted = met.where(near).groupBy("node", "u").agg(F.count("*").alias("c"))
+        return counted.groupBy("node").agg(F.max_by("u", F.struct(F.col("c"), -F.col("u"))).alias("u")).select("u", F.col("node").alias("v"))
+
+    lows = active.where("node = low").select(F.col("low").alias("u"), F.col("n").alias("m")).distinct()
+    found = store.put(verify(likely(active.where("node <> low").withColumnRenamed("low", "u").join(lows, "u"))), "links")
+    active = active.select("bucket", "node", "n")
+    turn = 0
     while True:
-        # Only buckets that span several components go on, and of those the members outside the largest one lead.
+        # Only buckets that span several components go on; in each, the largest component is the main one.
         comp = store.put(components(store, found), "comp")
         tagged = active.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-        parts = tagged.groupBy("bucket", "c").agg(F.count("*").alias("size"))
-        spans = parts.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.c").alias("main"))
+        parts = tagged.groupBy("bucket", "c").agg(F.count("*").alias("size"), F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("lead"))
+        spans = parts.groupBy("bucket").agg(F.max(F.struct("size", "c", "lead")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
+        spans = spans.select("bucket", F.col("x.c").alias("main"), F.col("x.lead.node").alias("u"), F.col("x.lead.n").alias("m"))
         open_ = store.put(tagged.join(spans, "bucket"), "open")
         store.drop(comp)
         if open_.isEmpty():
             return found
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node", "n"))
-        leaders = open_.where("c <> main").withColumn("r", rank).where(F.col("r") <= LEADERS).select("bucket", F.col("node").alias("u"), F.col("n").alias("m"), F.col("c").alias("d"))
-        pairs = open_.join(leaders, "bucket").where((F.col("node") != F.col("u")) & (F.col("c") != F.col("d")) & near)
-        pairs = pairs.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+        outside = open_.where("c <> main")
+        if turn < TRIES:
+            pairs, gone = likely(outside), None
+        else:
+            pairs, gone = _all_of_some(store, open_, outside, near)
         more = store.put(verify(pairs).unionByName(found), "links")
-        # A leader has met every other member of its bucket.
-        active = store.put(open_.join(leaders.select("bucket", F.col("u").alias("node"), F.col("m").alias("n")), ["bucket", "node", "n"], "left_anti").select("bucket", "node", "n"), "active")
-        store.drop(found, open_)
-        found = more
+        active = open_.select("bucket", "node", "n") if gone is None else store.put(open_.select("bucket", "node", "n").join(gone, "node", "left_anti"), "active")
+        store.drop(found)
+        found, turn = more, turn + 1
+
+
+def _all_of_some(store: Store, open_: DataFrame, outside: DataFrame, near) -> tuple[DataFrame, DataFrame]:
+    """Some members outside the main components against all members of their buckets: (pairs, those members).
+
+    A pair that meets in several buckets is made in the first of them alone.
+    """
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+    some = store.put(outside.withColumn("r", rank).where(F.col("r") <= LEADERS).select("node").distinct(), "some")
+    own = open_.groupBy("node").agg(F.collect_set("bucket").alias("own"))  # at most BANDS of them
+    rows = store.put(open_.select("bucket", "node", "n", "c").join(own, "node"), "rows")
+    lead = rows.join(some, "node", "left_semi").select(F.col("bucket").alias("at"), F.col("node").alias("u"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("own").alias("theirs"))
+    once = F.array_min(F.array_intersect("own", "theirs")) == F.col("bucket")
+    met = rows.join(lead, [F.col("bucket") == F.col("at"), F.col("c") != F.col("d"), near, once])
+    return met.select("u", F.col("node").alias("v")), some

@@ -123,7 +123,7 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int, l
                 chosen.pop()
 
     go(0, room, [])
-    return sorted(set(out), key=lambda p: (-sum(p), len(p)))
+    return sorted(set(out), key=lambda p: (-sum(p), len(p), [-n for n in p]))
 
 
 def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> dict[Pattern, int]:

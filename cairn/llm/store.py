@@ -49,6 +49,16 @@ class Store:
         out._cairn_path = path
         return out
 
+    def put_bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """As put, dealt and sorted by *key*, so that joins on it need not move this table."""
+        self._n += 1
+        path, table = f"{self.root}/{self._n}-{name}", f"cairn_{uuid.uuid4().hex[:12]}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+        out = self.spark.table(table)
+        out._cairn_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
