@@ -257,7 +257,22 @@ def passes(items: DataFrame, min_words: int) -> Iterator[tuple[list[int], list[n
         yield ids, texts
 
 
+def _without(ids: list[int], texts: list[np.ndarray], edits: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(ids, texts, edits)
+        for b in batches:
+            if b.num_rows:
+                keep = np.ones(b.num_rows, bool)
+                keep[[f[0] for f in items.find(*words_of(b.column("text").cast(pa.string()).fill_null("")))]] = False
+                b = b.filter(pa.array(keep))
+            yield b
+
+    return run
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
-    """*docs* without the documents that hold a benchmark item; all columns stay."""
-    leaks = find_leaks(spark, docs, items, edits).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs.doc_id == leaks._leak, "left_anti")
+    """*docs* without the rows that hold a benchmark item; all columns stay and nothing is shuffled."""
+    session(spark)
+    for ids, texts in passes(columns(items, item_id="long", text="string"), MIN_WORDS):
+        docs = docs.mapInArrow(_without(ids, texts, edits), docs.schema)
+    return docs

@@ -155,6 +155,14 @@ def grade_texts(spark: SparkSession, docs: DataFrame, labelled: DataFrame) -> Da
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """*docs* without toxic documents; all columns stay."""
-    bad = grade_texts(spark, docs, labelled).where("toxic").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id == bad._bad, "left_anti")
+    """*docs* without toxic rows; all columns stay and nothing is shuffled."""
+    model = session(spark).sparkContext.broadcast(fit(labelled))  # at most WORDS weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        for b in batches:
+            if own is not None and b.num_rows:
+                b = b.filter(pa.array(own.fit.above(own.score(*features(b.column("text").cast(pa.string()))))[:, 0] < 0.5))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
