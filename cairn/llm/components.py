@@ -2,7 +2,7 @@
 
 Every round is a pre-aggregated minimum and an equi-join that adaptive execution can
 split, so a hub with a third of all links holds no task up.  Edges are written to the
-shared folder after each round; nothing but two counters reaches the driver.
+shared folder after each round; nothing but a count reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cairn.llm.store import Store
 
 
-#: Edges of a file and task, once their number is known.
+#: Edges of a file and task.
 EDGES = 50_000
 
 
@@ -37,15 +37,13 @@ def components(store: Store, edges: DataFrame) -> DataFrame:
     """
     # Small edge tables are kept in few files, whatever the number of shuffle partitions.
     now = store.put(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen, files = None, None
+    files = 1 + now.count() // EDGES
     while True:
-        after = _small(_large(now))
-        after = store.put(after.coalesce(files) if files else after, "edges")
+        after = store.put(_small(_large(now)).coalesce(files), "edges")
         store.drop(now)
         now = after
-        row = now.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
-        if (row.n, row.s) == seen:
+        # Done when every smaller end is a root, that is, no larger end of another edge.
+        if now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        seen, files = (row.n, row.s), 1 + row.n // EDGES
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -82,7 +82,7 @@ class Runs:
         if seen is None:
             new, rows = own, own
         else:
-            new = own.join(seen.select(*KEY).hint("merge"), KEY, "left_anti")
+            new = self.store.put(own.join(seen.select(*KEY).hint("merge"), KEY, "left_anti"), "new")  # outlives the runs
             old = own.join(seen.select(*KEY).hint("merge"), KEY, "left_semi").withColumn("last", F.lit(None).cast("long"))
             rows = new.unionByName(old)
         self._push(0, self.store.put(rows.sortWithinPartitions(*KEY), "run"))

@@ -36,8 +36,8 @@ from cairn.llm.store import Store, columns
 CIRCLE_BITS = 18
 BANDS, ROWS = 40, 6  # misses a pair at 0.8 with probability (1 - 0.8**6)**40, about 5e-6
 #: Rounds in which a member outside a bucket's main component tries one likely partner; then so many members
-#: of a bucket at once are compared with all its others, the rest by turns.
-TRIES, LEADERS = 3, 32
+#: of a bucket at once are compared with all its others, the rest by turns.  FEW rows need no tries.
+TRIES, LEADERS, FEW = 3, 32, 20_000
 _circle: list[np.ndarray] = []
 
 
@@ -150,10 +150,11 @@ def _links(store: Store, docs: DataFrame, signed: DataFrame, classes: DataFrame,
         spans = spans.select("bucket", F.col("x.c").alias("main"), F.col("x.lead.node").alias("u"), F.col("x.lead.n").alias("m"))
         open_ = store.put(tagged.join(spans, "bucket"), "open")
         store.drop(comp)
-        if open_.isEmpty():
+        left = open_.count()
+        if not left:
             return found
         outside = open_.where("c <> main")
-        if turn < TRIES:
+        if turn < TRIES and left > FEW:
             pairs, gone = likely(outside), None
         else:
             pairs, gone = _all_of_some(store, open_, outside, near)
