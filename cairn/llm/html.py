@@ -271,7 +271,10 @@ class Generator:
             out += [f"<label>{self.words(1, 4, False)}</label><input>" for _ in range(self.r.randint(1, 3))] + [f"<p>{self.words(3, 20)}</p>", f"<button>{self.words(1, 2, False)}</button>"]
         elif kind == "comment":
             for _ in range(self.r.randint(1, 6)):
-                out += [f'<div{self.name(["comment", "reply"])}>', f"<b>{self.words(1, 2, False)}</b>", *[f"<p>{self.words(4, 60)}</p>" for _ in range(self.r.randint(1, 2))], "</div>"]
+                said = [f"<p>{self.words(1, self.r.choice([5, 20, 60]))}</p>" for _ in range(self.r.randint(1, 2))]
+                if self.r.random() < 0.6:
+                    said = [f'<div{self.name(["comment", "reply"])}>', f"<b>{self.words(1, 2, False)}</b>", *said, "</div>"]
+                out += said
         elif kind != "menu":
             for _ in range(self.r.randint(1, 3)):
                 inner = self.r.choice(["p", "p", "div", "span", ""])

@@ -31,9 +31,11 @@ from cairn.llm.store import columns, session
 
 SAMPLE = 12_000
 #: Features: least z-score of a word's shares, most words with a weight, bytes of a beginning.
-LEAST_Z, WORDS, HEAD = 5.0, 4096, 5
+LEAST_Z, WORDS, HEAD = 5.0, 4096, 4
 #: Grades made of a toxic label, the weight of a toxic text, ridge, and gradient steps.
-GRADES, WEIGHT, RIDGE, STEPS = 3, 4.0, 1e-4, 400
+GRADES, WEIGHT, RIDGE, STEPS = 3, 2.0, 1e-4, 400
+#: A text is toxic if its chance of any grade is at least this.
+TOXIC = 0.6
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +87,10 @@ class Ordinal:
 
 class Model:
     def __init__(self, grade: np.ndarray, words: list[np.ndarray]):
+        # Copies of a text count once, else their rare words look indicative.
+        seen: set[bytes] = set()
+        once = [i for i, w in enumerate(words) if not (w.tobytes() in seen or seen.add(w.tobytes()))]
+        grade, words = grade[once], [words[i] for i in once]
         flat = np.concatenate(words).view(tv.U)
         doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
         keys, col = np.unique(flat, return_inverse=True)
@@ -149,7 +155,7 @@ def grade_texts(spark: SparkSession, docs: DataFrame, labelled: DataFrame) -> Da
             if own is not None and b.num_rows:
                 above = own.fit.above(own.score(*features(b.column("text"))))
                 severity, p = own.grades[0] + above @ np.diff(own.grades), above[:, 0]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(severity), pa.array(p), pa.array(p >= 0.5)], ["doc_id", "severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(severity), pa.array(p), pa.array(p >= TOXIC)], ["doc_id", "severity", "p_toxic", "toxic"])
 
     return columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, severity double, p_toxic double, toxic boolean")
 
@@ -162,7 +168,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labelled: DataFrame) -> Dat
         own = model.value
         for b in batches:
             if own is not None and b.num_rows:
-                b = b.filter(pa.array(own.fit.above(own.score(*features(b.column("text").cast(pa.string()))))[:, 0] < 0.5))
+                b = b.filter(pa.array(own.fit.above(own.score(*features(b.column("text").cast(pa.string()))))[:, 0] < TOXIC))
             yield b
 
     return docs.mapInArrow(run, docs.schema)
