@@ -30,6 +30,8 @@ from cairn.llm.store import columns, session
 SPACE_BITS = 18
 #: Labelled texts a language (the bound of the sample), landmarks a language, and the ridge.
 SAMPLE, LANDMARKS, RIDGE = 400, 24, 1e-3
+#: More languages than this are refused, as each costs landmarks.
+LANGUAGES = 500
 _letter = re.compile(r"[^\W\d_]")
 _mark: list[np.ndarray] = []
 
@@ -104,8 +106,13 @@ class Model:
 
 def fit(spark: SparkSession, labelled: DataFrame) -> Model | None:
     """A model from labelled(doc_id, text, lang); a hash of doc_id chooses the sample."""
-    counts = labelled.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("count")).alias("share"))
-    chosen = labelled.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    counts = labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"there are more than {LANGUAGES} languages")
+    if not counts:
+        return None
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, SAMPLE / r["count"]))])
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < shares[F.col("lang")] * 1_000_000)
     table = chosen.select("lang", "text").mapInArrow(_featured, "lang string, grams array<int>").toArrow()
     if not table.num_rows:
         return None
