@@ -7,6 +7,8 @@ a folder made and set.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local one is set only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        local = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, local, True)
+        found = "file://" + local
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
