@@ -42,8 +42,10 @@ def components(store: Store, edges: DataFrame) -> DataFrame:
         after = store.put(_small(_large(now)).coalesce(files), "edges")
         store.drop(now)
         now = after
-        # Done when every smaller end is a root, that is, no larger end of another edge.
-        if now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        # Done when every smaller end is a root, that is, no larger end of another edge, and every larger end has one.
+        ends = now.groupBy("u").agg(F.count("*").alias("roots"))
+        below = now.select("v").join(ends.select(F.col("u").alias("v")), "v", "left_semi")
+        if below.unionByName(ends.where("roots > 1").select(F.col("u").alias("v"))).isEmpty():
             break
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

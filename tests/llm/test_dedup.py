@@ -32,6 +32,18 @@ def test_components(spark):
     assert components(Store(spark, "t"), spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_short_chains(spark):
+    r = random.Random(7)
+    links = [(1, 2), (2, 3), (3, 4), (4, 0)]
+    assert {x.component for x in components(Store(spark, "t"), spark.createDataFrame(links, "u long, v long")).collect()} == {0}
+    # One tree at a time: side by side, the slowest carries the others on.
+    for low in (100, 200, 300):
+        ids = r.sample(range(low, low + 8), 8)
+        tree = [(ids[i], ids[r.randrange(i)]) for i in range(1, 8)]
+        got = components(Store(spark, "t"), spark.createDataFrame(tree, "u long, v long")).collect()
+        assert sorted((x.node, x.component) for x in got) == [(low + i, low) for i in range(8)]
+
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
