@@ -5,7 +5,8 @@ first list of neighbours; then lists improve by joining neighbours of neighbours
 list that is full of links is saturated and is enlarged; one that stays saturated at the
 largest size stands in a dense spot, and those nodes are compared with all nodes in
 blocks, which only return counts and the links that join two components.  A bounded
-sample compared with all nodes audits the recall; the descent goes on while it is low.
+sample compared with all nodes audits the recall; the descent goes on while it is low,
+and where it stays low all nodes are compared in blocks.
 
 Defined results: null, empty or zero vectors, and vectors that hold null or non-finite
 components, link with nothing; vectors of different lengths never link; equal vectors
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ from cairn.llm.components import components
 from cairn.llm.store import Store, columns
 
 K, K_MOST = 10, 40
-TREES, LEAF = 3, 512
+#: Trees of a batch, vectors of a leaf, and the chance that no tree holds a pair at the threshold in one leaf.
+TREES, LEAF, MISS = 3, 512, 1e-4
 ROUNDS, STILL = 8, 0.01
 #: Vectors of the audit, the recall it asks for, and vectors in a block of the exact comparison.
 AUDIT, RECALL, BLOCK = 256, 0.99, 4096
@@ -53,8 +56,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _leaves(dim: int, bits: int):
-    planes = np.random.default_rng(11).standard_normal((TREES, dim, max(bits, 1)))
+def _batches(bits: int, threshold: float) -> int:
+    """Batches of trees that leave a pair at the threshold apart with probability MISS at most."""
+    together = (1 - np.arccos(min(threshold, 1.0)) / np.pi) ** bits
+    return 1 if together > 1 - MISS else int(np.ceil(np.log(MISS) / np.log1p(-together) / TREES))
+
+
+def _leaves(dim: int, bits: int, batch: int):
+    planes = np.random.default_rng(11 + batch).standard_normal((TREES, dim, max(bits, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,7 +75,7 @@ def _leaves(dim: int, bits: int):
     return run
 
 
-def _in_leaf(table: pa.Table) -> pa.Table:
+def _in_leaf(table: pa.Table, least: float) -> pa.Table:
     ids, m = table.column("node").to_numpy(), _matrix(table.column("vec"))
     u, v, s = [], [], []
     if len(ids) > 1:
@@ -75,7 +84,9 @@ def _in_leaf(table: pa.Table) -> pa.Table:
             sims = m[a : a + 512] @ m.T
             sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -2
             near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            u.append(np.repeat(ids[a : a + 512], k)), v.append(ids[near].ravel()), s.append(np.take_along_axis(sims, near, 1).ravel())
+            best = np.take_along_axis(sims, near, 1).ravel()
+            good = best >= least
+            u.append(np.repeat(ids[a : a + 512], k)[good]), v.append(ids[near].ravel()[good]), s.append(best[good])
     return pa.table({"u": np.concatenate(u or [np.zeros(0, np.int64)]), "v": np.concatenate(v or [np.zeros(0, np.int64)]), "sim": np.concatenate(s or [np.zeros(0)])})
 
 
@@ -149,18 +160,28 @@ def _top(found: DataFrame, caps: DataFrame | None) -> DataFrame:
 def _descend(store: Store, nodes: DataFrame, dim: int, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(node, n_links) of all nodes and edges(u, v) that join what exact links join."""
     bits = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
-    coded = nodes.select("node", "vec").mapInArrow(_leaves(dim, bits), "node long, codes array<long>, vec array<double>").select("node", "vec", F.posexplode("codes").alias("tree", "code"))
-    # Dense leaves are dealt to several groups of bounded size; the descent finds what lies across.
-    full = coded.groupBy("tree", "code").count().select("tree", "code", F.ceil(F.col("count") / (2 * LEAF)).alias("parts"))
-    dealt = coded.join(full, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    first = dealt.groupBy("tree", "code", "part").applyInArrow(lambda t: _in_leaf(t), "u long, v long, sim double")
-    lists = store.put(_top(first.withColumn("new", F.lit(True)), None), "lists")
+    # The first trees give every node a list; the others, as many as the planes ask for, only links.
+    found = [_planted(store, nodes, dim, bits, b, threshold if b else -2.0) for b in range(_batches(bits, threshold))]
+    lists = store.put(_top(reduce(DataFrame.unionByName, found).withColumn("new", F.lit(True)), None), "lists")
+    store.drop(*found)
     caps: DataFrame | None = None
     for turn in range(ROUNDS):
         lists, caps, changed = _round(store, nodes, lists, caps, threshold)
-        if changed <= STILL * n * K and (turn + 1 >= ROUNDS or _recall(store, nodes, lists, caps, n, threshold) >= RECALL):
+        if (changed <= STILL * n * K or turn + 1 == ROUNDS) and _recall(store, nodes, lists, caps, n, threshold) >= RECALL:
             break
-    return _finish(store, nodes, lists, n, threshold)
+    else:
+        # The audit was never content: every node is compared with all.
+        return _finish(store, nodes, lists, nodes.select("node"), n, threshold)
+    return _finish(store, nodes, lists, _saturated(lists, threshold), n, threshold)
+
+
+def _planted(store: Store, nodes: DataFrame, dim: int, bits: int, batch: int, least: float) -> DataFrame:
+    """The nearest within the leaves of a batch of trees, from a cosine of *least* on."""
+    coded = nodes.select("node", "vec").mapInArrow(_leaves(dim, bits, batch), "node long, codes array<long>, vec array<double>").select("node", "vec", F.posexplode("codes").alias("tree", "code"))
+    # Dense leaves are dealt to several groups of bounded size; the descent finds what lies across.
+    full = coded.groupBy("tree", "code").count().select("tree", "code", F.ceil(F.col("count") / (2 * LEAF)).alias("parts"))
+    dealt = coded.join(full, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
+    return store.put(dealt.groupBy("tree", "code", "part").applyInArrow(lambda t: _in_leaf(t, least), "u long, v long, sim double"), "leaves")
 
 
 def _round(store: Store, nodes: DataFrame, lists: DataFrame, caps: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame, int]:
@@ -213,9 +234,10 @@ def _recall(store: Store, nodes: DataFrame, lists: DataFrame, caps: DataFrame, n
     return sum(min(c, have.get(u, 0)) for u, c in true.items()) / wanted if wanted else 1.0
 
 
-def _finish(store: Store, nodes: DataFrame, lists: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _finish(store: Store, nodes: DataFrame, lists: DataFrame, unproven: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Link counts and edges from the lists, and for *unproven* nodes from a comparison with all."""
     edges = store.put(_both(lists, threshold), "edges")
-    dense = store.put(_saturated(lists, threshold), "dense")
+    dense = store.put(unproven, "dense")
     n_dense = dense.count()
     times = nodes.select(F.col("node").alias("v"), "times")
     own = nodes.select("node", (F.col("times") - 1).alias("own"))

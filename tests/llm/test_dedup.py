@@ -146,3 +146,20 @@ def test_vectors(spark, monkeypatch):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(500, 505))
     empty = neighbours.near_vectors(spark, spark.createDataFrame([], "vec_id long, embedding array<double>"))
     assert empty.count() == 0
+
+
+def test_batches_of_trees_hold_the_chance_of_a_miss(spark):
+    for n in (1_000, 80_000, 320_000, 50_000_000):
+        bits = max(0, int(np.ceil(np.log2(n / neighbours.LEAF))))
+        together = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert (1 - together) ** (neighbours.TREES * neighbours._batches(bits, 0.95)) <= neighbours.MISS
+    # Where no round brings the recall asked for, all is compared: with one vector a leaf, trees find nothing.
+    r = np.random.default_rng(9)
+    v = [x for _ in range(60) for c in [r.standard_normal(32)] for x in (c, c + 0.2 * r.standard_normal(32))]
+    m = np.array(v) / np.linalg.norm(v, axis=1)[:, None]
+    near = m @ m.T >= 0.95
+    with pytest.MonkeyPatch.context() as p:
+        p.setattr(neighbours, "_in_leaf", lambda t, *least: t.select(["node"]).slice(0, 0).rename_columns(["u"]).append_column("v", t["node"].slice(0, 0)).append_column("sim", t["node"].slice(0, 0).cast("double")))
+        p.setattr(neighbours, "ROUNDS", 1)
+        got = neighbours.near_vectors(spark, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
+    assert {x.vec_id: x.n_links for x in got} == {i: int(near[i].sum()) - 1 for i in range(len(v))}
