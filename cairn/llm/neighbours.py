@@ -4,9 +4,10 @@ Equal vectors collapse to one node.  Leaves of random hyperplane trees give ever
 first list of neighbours; then lists improve by joining neighbours of neighbours.  A
 list that is full of links is saturated and is enlarged; one that stays saturated at the
 largest size stands in a dense spot, and those nodes are compared with all nodes in
-blocks, which only return counts and the links that join two components.  A bounded
-sample compared with all nodes audits the recall; the descent goes on while it is low,
-and where it stays low all nodes are compared in blocks.
+blocks, which only return counts and the links that join two components.  A
+sample compared with all nodes, drawn until it has enough links, audits the recall; the
+descent goes on while it is low.  Where it stays low, or links are too few for an audit,
+all nodes are compared in blocks.
 
 Defined results: null, empty or zero vectors, and vectors that hold null or non-finite
 components, link with nothing; vectors of different lengths never link; equal vectors
@@ -32,8 +33,9 @@ K, K_MOST = 10, 40
 #: Trees of a batch, vectors of a leaf, and the chance that no tree holds a pair at the threshold in one leaf.
 TREES, LEAF, MISS = 3, 512, 1e-4
 ROUNDS, STILL = 8, 0.01
-#: Vectors of the audit, the recall it asks for, and vectors in a block of the exact comparison.
-AUDIT, RECALL, BLOCK = 256, 0.99, 4096
+#: Vectors of the audit: more are drawn until they have so many links.  The recall it asks for, and vectors in a
+#: block of the exact comparison.
+AUDITS, LINKS, RECALL, BLOCK = (256, 2048, 8192), 300, 0.99, 4096
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +161,10 @@ def _top(found: DataFrame, caps: DataFrame | None) -> DataFrame:
 
 def _descend(store: Store, nodes: DataFrame, dim: int, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(node, n_links) of all nodes and edges(u, v) that join what exact links join."""
+    true = _audit(nodes, n, threshold)
+    if true is None:
+        # Too few links to audit any lists: every node is compared with all.
+        return _finish(store, nodes, store.put(nodes.sparkSession.createDataFrame([], "u long, v long, sim double"), "lists"), nodes.select("node"), n, threshold)
     bits = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
     # The first trees give every node a list; the others, as many as the planes ask for, only links.
     found = [_planted(store, nodes, dim, bits, b, threshold if b else -2.0) for b in range(_batches(bits, threshold))]
@@ -167,12 +173,12 @@ def _descend(store: Store, nodes: DataFrame, dim: int, n: int, threshold: float)
     caps: DataFrame | None = None
     for turn in range(ROUNDS):
         lists, caps, changed = _round(store, nodes, lists, caps, threshold)
-        if (changed <= STILL * n * K or turn + 1 == ROUNDS) and _recall(store, nodes, lists, caps, n, threshold) >= RECALL:
+        if (changed <= STILL * n * K or turn + 1 == ROUNDS) and _recall(true, lists, caps, threshold) >= RECALL:
             break
     else:
         # The audit was never content: every node is compared with all.
         return _finish(store, nodes, lists, nodes.select("node"), n, threshold)
-    return _finish(store, nodes, lists, _saturated(lists, threshold), n, threshold)
+    return _finish(store, nodes, lists, _saturated(lists, caps, threshold), n, threshold)
 
 
 def _planted(store: Store, nodes: DataFrame, dim: int, bits: int, batch: int, least: float) -> DataFrame:
@@ -208,30 +214,44 @@ def _both(lists: DataFrame, threshold: float) -> DataFrame:
     return near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def _saturated(lists: DataFrame, threshold: float) -> DataFrame:
-    ends = lists.groupBy("u").agg(F.count("*").alias("c"), F.min("sim").alias("low"))
-    return ends.where((F.col("c") >= K_MOST) & (F.col("low") >= threshold)).select(F.col("u").alias("node"))
-
-
-def _recall(store: Store, nodes: DataFrame, lists: DataFrame, caps: DataFrame, n: int, threshold: float) -> float:
-    """Links of a bounded sample that its lists hold, of those that a full comparison finds."""
-    share = max(1, n // AUDIT)
-    tried = nodes.join(_saturated(lists, threshold), "node", "left_anti").where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(share)) == 0).limit(2 * AUDIT).select("node", "vec").collect()
-    if not tried:
-        return 1.0
-    ids, m = np.array([r.node for r in tried]), np.array([r.vec for r in tried])
+def _saturated(lists: DataFrame, caps: DataFrame, threshold: float) -> DataFrame:
+    """Nodes whose lists, whatever their room, are full of links."""
+    ends = lists.groupBy("u").agg(F.count("*").alias("c"), F.min("sim").alias("low")).join(caps, "u", "left")
+    return ends.where((F.col("c") >= F.coalesce("cap", F.lit(K))) & (F.col("low") >= threshold)).select(F.col("u").alias("node"))
+
+
+def _audit(nodes: DataFrame, n: int, threshold: float) -> dict[int, int] | None:
+    """Links of a sample, by a full comparison; None if the largest sample has too few of them."""
+    for size in AUDITS:
+        share = max(1, n // size)
+        tried = nodes.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(share)) == 0).limit(2 * size).select("node", "vec").collect()
+        if not tried:
+            continue
+        ids, m = np.array([r.node for r in tried]), np.array([r.vec for r in tried])
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, m=m) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(ids), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    total += ((m @ _matrix(b.column("vec")).T >= threshold) & (ids[:, None] != b.column("node").to_numpy()[None])).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["u", "c"])
+
+        true = {r.u: r.c for r in nodes.select("node", "vec").mapInArrow(run, "u long, c long").groupBy("u").agg(F.sum("c").alias("c")).collect()}
+        if sum(true.values()) >= LINKS:
+            return true
+        if share == 1:
+            break
+    return None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
-        for b in batches:
-            if b.num_rows:
-                total += ((m @ _matrix(b.column("vec")).T >= threshold) & (ids[:, None] != b.column("node").to_numpy()[None])).sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["u", "c"])
 
-    true = {r.u: r.c for r in nodes.select("node", "vec").mapInArrow(run, "u long, c long").groupBy("u").agg(F.sum("c").alias("c")).collect()}
-    have = {r.u: r["count"] for r in _both(lists, threshold).where(F.col("u").isin([int(i) for i in ids])).groupBy("u").count().collect()}
-    wanted = sum(true.values())
-    return sum(min(c, have.get(u, 0)) for u, c in true.items()) / wanted if wanted else 1.0
+def _recall(true: dict[int, int], lists: DataFrame, caps: DataFrame, threshold: float) -> float:
+    """Links of the audited vectors that lists hold, of all; 0 if too few are not to be compared exactly anyway."""
+    ids = [int(i) for i in true]
+    spared = {r.node for r in _saturated(lists, caps, threshold).where(F.col("node").isin(ids)).collect()}
+    have = {r.u: r["count"] for r in _both(lists, threshold).where(F.col("u").isin(ids)).groupBy("u").count().collect()}
+    left = {u: c for u, c in true.items() if u not in spared}
+    wanted = sum(left.values())
+    return sum(min(c, have.get(u, 0)) for u, c in left.items()) / wanted if wanted >= LINKS else 0.0
 
 
 def _finish(store: Store, nodes: DataFrame, lists: DataFrame, unproven: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -163,3 +163,15 @@ def test_batches_of_trees_hold_the_chance_of_a_miss(spark):
         p.setattr(neighbours, "ROUNDS", 1)
         got = neighbours.near_vectors(spark, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
     assert {x.vec_id: x.n_links for x in got} == {i: int(near[i].sum()) - 1 for i in range(len(v))}
+
+
+def test_few_links_are_no_audit(spark):
+    nodes = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(np.random.default_rng(5).standard_normal((300, 16)))], "node long, times long, vec array<double>")
+    unit = nodes.selectExpr("node", "times", "transform(vec, x -> x / sqrt(aggregate(vec, 0D, (s, y) -> s + y * y))) AS vec")
+    assert neighbours._audit(unit, 300, 0.95) is None
+    assert sum(neighbours._audit(unit, 300, -1.1).values()) >= neighbours.LINKS
+    # A list full of links is unproven at any room it has; an audit that leaves few links is none.
+    lists = spark.createDataFrame([(u, 100 * u + v, 0.99 if u else 0.5) for u in range(3) for v in range(1, 11 if u < 2 else 21)], "u long, v long, sim double")
+    caps = spark.createDataFrame([(2, 20)], "u long, cap long")
+    assert sorted(x.node for x in neighbours._saturated(lists, caps, 0.95).collect()) == [1, 2]
+    assert neighbours._recall({0: 3, 1: 10, 2: 20}, lists, caps, 0.95) == 0.0
