@@ -200,11 +200,16 @@ def _round(store: Store, nodes: DataFrame, lists: DataFrame, caps: DataFrame | N
     caps = sized.where(F.col("cap") > K).select("u", "cap")
     worst = sized.select(F.col("u").alias("m"), F.when(F.col("c") < F.col("cap"), F.lit(-2.0)).otherwise(F.col("low")).alias("worst"))
     ahead = lists.select(F.col("u").alias("p"), F.col("v").alias("m"), "new")
-    back = lists.select(F.col("v").alias("p"), F.col("u").alias("m"), "new").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("new"), F.xxhash64("m", "p")))).where(F.col("r") <= K).drop("r")
+    back = lists.select(F.col("v").alias("p"), F.col("u").alias("m"), "new").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("new"), F.xxhash64("m", "p"))))
+    # Entries beyond the reverse neighbours of this round stay new and come up in a later one.
+    back = store.put(back, "back")
+    cut = back.where((F.col("r") > K) & F.col("new")).select(F.col("m").alias("u"), F.col("p").alias("v"), F.lit(True).alias("waits"))
+    back = back.where(F.col("r") <= K).drop("r")
     members = ahead.unionByName(back).groupBy("p", "m").agg(F.max("new").alias("new"))
     members = members.join(nodes.select(F.col("node").alias("m"), "vec").join(worst, "m", "left"), "m").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
     found = members.repartition("p").sortWithinPartitions("p").mapInArrow(_local_join, "u long, v long, sim double").withColumn("new", F.lit(True))
-    after = store.put(_top(lists.withColumn("new", F.lit(False)).unionByName(found), caps), "lists")
+    kept = lists.join(cut, ["u", "v"], "left").select("u", "v", "sim", F.coalesce("waits", F.lit(False)).alias("new"))
+    after = store.put(_top(kept.unionByName(found), caps), "lists")
     store.drop(lists)
     return after, caps, after.where("new").count()
 

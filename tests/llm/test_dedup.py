@@ -175,3 +175,16 @@ def test_few_links_are_no_audit(spark):
     caps = spark.createDataFrame([(2, 20)], "u long, cap long")
     assert sorted(x.node for x in neighbours._saturated(lists, caps, 0.95).collect()) == [1, 2]
     assert neighbours._recall({0: 3, 1: 10, 2: 20}, lists, caps, 0.95) == 0.0
+
+
+def test_entries_cut_at_a_pivot_stay_new(spark):
+    store, hub = Store(spark, "t"), 0
+    m = np.random.default_rng(6).standard_normal((31, 16))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    nodes = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(m)], "node long, times long, vec array<double>")
+    lists = store.put(spark.createDataFrame([(i, hub, float(m[i] @ m[hub]) + 2, True) for i in range(1, 31)], "u long, v long, sim double, new boolean"), "lists")
+    waiting, caps = [], None
+    for _ in range(3):
+        lists, caps, _ = neighbours._round(store, nodes, lists, caps, 9.0)
+        waiting.append(lists.where(f"v = {hub} and new and u > 0 and sim > 1.01").count())
+    assert waiting == [20, 10, 0]
