@@ -1,22 +1,24 @@
 """MinHash near-duplicates: circulant signatures, banding, exact Jaccard on full sets.
 
 A document's set holds its distinct *k*-word shingles, as 64-bit hashes.  Two
-permutations give the whole signature: the first places an element on a circle, the
-second, shifted by one place for each coordinate, ranks it.  The coordinates of an
-element are thus one contiguous slice of the second permutation, so a signature is a
-column-wise minimum of slices.  Equal bands propose candidates; a link needs
+permutations give the whole signature.  The first, a mixing of the shingle's bits, places
+it on a circle of 2**64 places.  The second ranks places: by a table for the place's top
+bits, then by the rest.  It is shifted by one step of the top bits for each coordinate,
+so the coordinates of a shingle are one contiguous slice of the table, and a signature is
+a column-wise minimum of slices.  A coordinate is the shingle found there, so sets of any
+size agree only where they share it.  Equal bands propose candidates; a link needs
 ``100 * |A & B| >= threshold * |A | B|`` on the full sets.
 
-Scale: equal sets collapse first; a bucket never gives all its pairs.  First each member
-is compared with one bucket leader, the one it shares most buckets with, and components
-join what was linked.  In buckets that still span several components, members outside
-the largest one try a likely partner in it, a few times; those still apart are compared
-with all members of other components, a bounded number of a bucket at once, until each
-has been or no bucket spans two components.
+Scale: equal sets collapse first; a bucket never gives all its pairs.  Each member is
+compared with one bucket leader, the one that most of its buckets have, and components
+join what was linked.  Buckets that still span several components are cut into cells of
+bounded size, in which members outside the bucket's largest component meet the members
+of other components on full sets; of these only links leave a task.
 
 Defined results: null and empty texts, or texts without words, have an empty set, link
 with nothing and stay; rows that repeat a doc_id count as one document that holds all
-their texts; extra columns are ignored; an empty table gives an empty result.
+their texts; a row without doc_id has no component and stays; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
@@ -35,51 +37,54 @@ from cairn.llm.store import Store, columns
 
 CIRCLE_BITS = 18
 BANDS, ROWS = 40, 6  # misses a pair at 0.8 with probability (1 - 0.8**6)**40, about 5e-6
-#: Rounds in which a member outside a bucket's main component tries one likely partner; then so many members
-#: of a bucket at once are compared with all its others, the rest by turns.  FEW rows need no tries.
-TRIES, LEADERS, FEW = 3, 32, 20_000
+#: Shingles and members of one side of a cell; a bucket with more is cut into several.
+CELL, MEMBERS = 1 << 20, 4096
 _circle: list[np.ndarray] = []
 
 
-def circle() -> np.ndarray:
-    """All slices of the second permutation: row p holds coordinates 0.. of place p."""
+def circle() -> tuple[np.ndarray, np.ndarray]:
+    """All slices of the second permutation's table, row p with coordinates 0.. of place p; and its inverse."""
     if not _circle:
         perm = np.random.default_rng(20240611).permutation(1 << CIRCLE_BITS).astype(np.uint32)
         k = BANDS * ROWS
-        _circle.append(np.lib.stride_tricks.sliding_window_view(np.concatenate([perm, perm[:k]]), k))
-    return _circle[0]
+        _circle.extend([np.lib.stride_tricks.sliding_window_view(np.concatenate([perm, perm[:k]]), k), np.argsort(perm)])
+    return _circle[0], _circle[1]
 
 
 def signature(members: np.ndarray) -> np.ndarray:
-    """Minima over the set of the shifted second permutation at the place the first one gives."""
-    place = (tv.mix(members + tv.U(0x5851F42D4C957F2D)) >> tv.U(64 - CIRCLE_BITS)).astype(np.int64)
-    slices, out = circle(), None
+    """For each coordinate, the member of the sorted set that the shifted second permutation ranks lowest."""
+    place = (members >> tv.U(64 - CIRCLE_BITS)).astype(np.int64)
+    # Of members that share their top bits, the one with the lowest rest comes first in every coordinate.
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    place = place[first]
+    (slices, inverse), out = circle(), None
     for i in range(0, len(place), 256):
         low = slices[place[i : i + 256]].min(axis=0)
         out = low if out is None else np.minimum(out, low)
-    return out
+    at = (inverse[out] - np.arange(BANDS * ROWS)) & ((1 << CIRCLE_BITS) - 1)
+    return members[first[np.searchsorted(place, at)]]
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    parts = sig.reshape(BANDS, ROWS).astype(tv.U)
+    parts = sig.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=tv.U) * tv.U(0xA24BAED4963EE407)
     for j in range(ROWS):
         key = tv.mix(key + parts[:, j])
     return key.view(np.int64)
 
 
-def _sets(batch: pa.RecordBatch, k: int, fold: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     data, offsets = tv.buffers(batch.column("text"))
-    hashes, at = tv.word_hashes(data, offsets, tv.NOT_SPACE, tv.ASCII_LOWER if fold else None)
+    hashes, at = tv.word_hashes(data, offsets, tv.NOT_SPACE, tv.ASCII_LOWER)
     for i in range(batch.num_rows):
-        yield i, tv.shingles(hashes[at[i] : at[i + 1]], k)
+        yield tv.shingles(hashes[at[i] : at[i + 1]], k)
 
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, keys, bands = [], [], []
-            for _, s in _sets(b, k):
+            for s in _sets(b, k):
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bands.append(band_keys(signature(s)) if len(s) else None)
@@ -91,7 +96,7 @@ def _sign(k: int):
 def _full(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.view(np.int64) for _, s in _sets(b, k)]
+            sets = [s.view(np.int64) for s in _sets(b, k)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "members"])
 
     return run
@@ -103,77 +108,145 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     docs = columns(docs, doc_id="long", text="string")
     signed = store.put(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, key binary, bands array<long>"), "signed")
     # One node for each distinct set, named by the smallest doc_id that has it.
-    classes = store.put(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")), "classes")
-    named = signed.select("doc_id", "n_shingles", "key").join(classes.select("key", "node"), "key", "left")
+    known = signed.where("key is not null and doc_id is not null")
+    classes = store.put(known.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
+    named = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left")
     again = named.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("doc_id", "v")
     same_id = named.join(again, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    comp = store.put(components(store, _links(store, docs, signed, classes, k, threshold).unionByName(same_id)), "comp")
-    out = named.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    first = known.join(classes, "key").where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands")
+    comp = store.put(components(store, _links(store, docs, first, k, threshold).unionByName(same_id)), "comp")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    out = named.join(comp, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(store: Store, docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
-    """links(u, v) between nodes; they connect every two nodes that exact links connect."""
-    first = signed.where("key is not null").join(classes, [signed.key == classes.key, signed.doc_id == classes.node]).select("node", "n", "bands")
+def _links(store: Store, docs: DataFrame, first: DataFrame, k: int, threshold: int) -> DataFrame:
+    """links(u, v) between nodes of first(node, n, bands); they connect every two nodes that exact links connect."""
     rows = first.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "low")
-    active = store.put(rows.join(shared, "bucket"), "buckets")
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("n", "node").alias("m")).where("low <> high")
+    active = store.put(rows.join(shared.select("bucket", "low", "m"), "bucket"), "buckets")
     candidates = active.select(F.col("node").alias("doc_id")).distinct()
-    # Bucketed by node: each later comparison moves its pairs to the sets, not the sets to the pairs.
+    # Bucketed by node: comparisons move their few rows to the sets.
     sets = store.put_bucketed(docs.join(candidates, "doc_id", "left_semi").mapInArrow(_full(k), "node long, members array<long>"), "node", "sets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """pairs(u, v), few u for many v: those whose full sets are similar enough."""
-        pairs = store.put(pairs.distinct(), "pairs")
-        leaders = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("u"), F.col("members").alias("a"))
-        both = pairs.join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v").join(leaders, "u")
-        both = both.withColumn("i", F.size(F.array_intersect("a", "b")).cast("long"))
-        return both.where(100 * F.col("i") >= threshold * (F.size("a") + F.size("b") - F.col("i"))).select("u", "v").distinct()
-
+    # Each node and the leader that most of its buckets have, of leaders of a size that can link.
     near = (F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold)
+    met = active.where(near & (F.col("node") != F.col("low"))).groupBy(F.col("node").alias("v"))
+    pairs = store.put(met.agg(F.mode("low", True).alias("u"), F.max("n").alias("n")), "pairs")
+    found = store.put(_verified(pairs, sets, threshold), "links")
+
+    # Buckets that still span several components: members outside the largest one meet all others.
+    comp = store.put(components(store, found), "comp")
+    tagged = active.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
+    sizes = tagged.groupBy("bucket", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    spans = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "c")).alias("x"), F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("total").alias("total")).where("parts > 1")
+    cut = F.greatest(F.ceil(F.col("total") / CELL), F.ceil(F.col("rows") / MEMBERS)).alias("cut")
+    open_ = tagged.join(spans.select("bucket", F.col("x.c").alias("main"), cut), "bucket").withColumn("p", F.pmod(F.xxhash64("node"), F.col("cut")))
+    outside, others = F.col("c") != F.col("main"), F.filter(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1), lambda x: x != F.col("p"))
+    place = lambda i, j, asks, told: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), told.alias("told"))
+    told = F.transform(others, lambda x: place(x, F.col("p"), F.lit(False), F.lit(True)))
+    asks = F.when(outside, F.transform(others, lambda x: place(F.col("p"), x, F.lit(True), F.lit(False)))).otherwise(F.array().cast(f"array<{_PLACE}>"))
+    cells = open_.select("bucket", "node", "c", F.explode(F.concat(F.array(place(F.col("p"), F.col("p"), outside, F.lit(True))), told, asks)).alias("x"))
+    cells = cells.select(F.xxhash64("bucket", "x.i", "x.j").alias("cell"), "node", "c", "x.asks", "x.told").join(sets, "node")
+    met = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(threshold), "u long, v long")
+    links = store.put(found.unionByName(met.distinct()), "links")
+    store.drop(sets, active, comp, found)
+    return links
+
+
+_PLACE = "struct<i:bigint,j:bigint,asks:boolean,told:boolean>"
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """pairs(u, v, n), one u for many v: the links(u, v) among them, by their full sets."""
+    # A leader that very many have is copied to several tasks.
+    split = pairs.groupBy("u").agg(F.ceil(F.sum("n") / (4 * CELL)).alias("parts"))
+    lead = split.join(sets, split.u == sets.node).select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("members").alias("a"))
+    own = pairs.join(split, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part")).join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
+    both = own.join(lead, ["u", "part"]).withColumn("i", F.size(F.array_intersect("a", "b")).cast("long"))
+    return both.where(100 * F.col("i") >= threshold * (F.size("a") + F.size("b") - F.col("i"))).select("u", "v").distinct()
+
+
+def _cells(threshold: int):
+    """Rows sorted by cell: in each, links between members that ask and members of other components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            cell = t.column("cell").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+            node, comp, asks, told = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "c", "asks", "told"))
+            lists = t.column("members").combine_chunks()
+            at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                x, y = meet(flat[at[a] : at[b]], at[a : b + 1] - at[a], comp[a:b], asks[a:b], told[a:b], threshold)
+                u.append(node[a:b][x]), v.append(node[a:b][y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # Whole cells are those before the batch's last one.
+            cell = b.column("cell").to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))
+            if not cut and held and held[-1].column("cell")[-1].as_py() != cell[0]:
+                yield from out(pa.Table.from_batches(held))
+                held = [b]
+            elif cut:
+                yield from out(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = [b.slice(cut)]
+            else:
+                held.append(b)
+        if held:
+            yield from out(pa.Table.from_batches(held))
+
+    return run
+
+
+def meet(flat: np.ndarray, at: np.ndarray, comp: np.ndarray, asks: np.ndarray, told: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(asking, told) members of different components whose sets link: one of each component for each that asks.
 
-    def likely(met: DataFrame) -> DataFrame:
-        """Of the leaders u that a node met, the one it shares most buckets with."""
-        counted = met.where(near).groupBy("node", "u").agg(F.count("*").alias("c"))
-        return counted.groupBy("node").agg(F.max_by("u", F.struct(F.col("c"), -F.col("u"))).alias("u")).select("u", F.col("node").alias("v"))
-
-    lows = active.where("node = low").select(F.col("low").alias("u"), F.col("n").alias("m")).distinct()
-    found = store.put(verify(likely(active.where("node <> low").withColumnRenamed("low", "u").join(lows, "u"))), "links")
-    active = active.select("bucket", "node", "n")
-    turn = 0
-    while True:
-        # Only buckets that span several components go on; in each, the largest component is the main one.
-        comp = store.put(components(store, found), "comp")
-        tagged = active.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-        parts = tagged.groupBy("bucket", "c").agg(F.count("*").alias("size"), F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("lead"))
-        spans = parts.groupBy("bucket").agg(F.max(F.struct("size", "c", "lead")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
-        spans = spans.select("bucket", F.col("x.c").alias("main"), F.col("x.lead.node").alias("u"), F.col("x.lead.n").alias("m"))
-        open_ = store.put(tagged.join(spans, "bucket"), "open")
-        store.drop(comp)
-        left = open_.count()
-        if not left:
-            return found
-        outside = open_.where("c <> main")
-        if turn < TRIES and left > FEW:
-            pairs, gone = likely(outside), None
-        else:
-            pairs, gone = _all_of_some(store, open_, outside, near)
-        more = store.put(verify(pairs).unionByName(found), "links")
-        active = open_.select("bucket", "node", "n") if gone is None else store.put(open_.select("bucket", "node", "n").join(gone, "node", "left_anti"), "active")
-        store.drop(found)
-        found, turn = more, turn + 1
-
-
-def _all_of_some(store: Store, open_: DataFrame, outside: DataFrame, near) -> tuple[DataFrame, DataFrame]:
-    """Some members outside the main components against all members of their buckets: (pairs, those members).
-
-    A pair that meets in several buckets is made in the first of them alone.
+    Overlaps are a matrix product for the shingles that many members have, and counts over
+    the lists of members for all others.
     """
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-    some = store.put(outside.withColumn("r", rank).where(F.col("r") <= LEADERS).select("node").distinct(), "some")
-    own = open_.groupBy("node").agg(F.collect_set("bucket").alias("own"))  # at most BANDS of them
-    rows = store.put(open_.select("bucket", "node", "n", "c").join(own, "node"), "rows")
-    lead = rows.join(some, "node", "left_semi").select(F.col("bucket").alias("at"), F.col("node").alias("u"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("own").alias("theirs"))
-    once = F.array_min(F.array_intersect("own", "theirs")) == F.col("bucket")
-    met = rows.join(lead, [F.col("bucket") == F.col("at"), F.col("c") != F.col("d"), near, once])
-    return met.select("u", F.col("node").alias("v")), some
+    n = np.diff(at)
+    m, out = len(n), ([], [])
+    row = np.repeat(np.arange(m), n)
+    _, key, count = np.unique(flat, return_inverse=True, return_counts=True)
+    meets = count[key] > 1
+    row, key = row[meets], key[meets]
+    often = count > max(16, m // 8)
+    column = np.cumsum(often) - 1
+    dense = np.zeros((m, int(often.sum())), np.float32)
+    many = often[key]
+    dense[row[many], column[key[many]]] = 1
+    row, key = row[~many], key[~many]
+    order = np.argsort(key, kind="stable")
+    lists, first = row[order], np.searchsorted(key[order], np.arange(len(count) + 1))
+    begins = np.searchsorted(row, np.arange(m + 1))
+    work = np.concatenate([[0], np.cumsum((first[key + 1] - first[key]))])[begins]
+    who = np.flatnonzero(asks)
+    a = 0
+    while a < len(who):
+        # As many askers as a bounded table and bounded lists allow.
+        b = a + 1
+        while b < len(who) and b - a < max(1, (1 << 21) // m) and work[who[b] + 1] - work[who[a]] < 1 << 21:
+            b += 1
+        part = who[a:b]
+        overlap = (dense[part] @ dense.T).astype(np.int64)
+        for r, x in enumerate(part) if len(key) else ():
+            own = key[begins[x] : begins[x + 1]]
+            size = first[own + 1] - first[own]
+            if len(own):
+                to = np.cumsum(size)
+                overlap[r] += np.bincount(lists[np.repeat(first[own] - (to - size), size) + np.arange(to[-1])], minlength=m)
+        link = (100 * overlap >= threshold * (n[part, None] + n[None] - overlap)) & (comp[part, None] != comp[None]) & told[None]
+        i, j = np.nonzero(link)
+        if len(i):
+            _, one = np.unique(np.stack([i, comp[j]]), axis=1, return_index=True)
+            out[0].append(part[i[one]]), out[1].append(j[one])
+        a = b
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out[0]]), np.concatenate([none, *out[1]])

@@ -1,13 +1,15 @@
 """Shared storage, session settings and input normalisation of the corpus operators.
 
 Intermediate tables go below ``spark.checkpoint.dir``, the one folder that the
-driver and every executor share.  Only when a session has none (local tests) is
-a folder made and set.
+driver and every executor share.  Only when a local session has none (tests) is a folder
+made and set; a cluster without that setting is refused.  A run's tables go when the
+Python process ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -17,11 +19,14 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold; bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 256
+#: Bytes that end a batch of fewer rows.
+BATCH_BYTES = 16 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
     """Set the Arrow batch size once; long texts need few rows in a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -29,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local one is set only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="cairn-")
         atexit.register(shutil.rmtree, local, True)
         found = "file://" + local
@@ -43,6 +50,7 @@ class Store:
         self.spark = session(spark)
         self.root = f"{shared_dir(spark)}/cairn-{what}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        atexit.register(self.clear)
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write *df* and return it read again: a cut lineage that outlives executors."""
@@ -60,7 +68,7 @@ class Store:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
         out = self.spark.table(table)
-        out._cairn_path = path
+        out._cairn_path, out._cairn_table = path, table
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -69,13 +77,17 @@ class Store:
         conf = self.spark._jsc.hadoopConfiguration()
         for t in tables:
             path = getattr(t, "_cairn_path", None)
+            if table := getattr(t, "_cairn_table", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             if path:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
 
     def clear(self) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        """Delete all tables of the run, if the session is still there."""
+        with contextlib.suppress(Exception):
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def columns(df: DataFrame, **types: str) -> DataFrame:

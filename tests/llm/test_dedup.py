@@ -77,6 +77,63 @@ def test_near_duplicates_with_repeated_ids_and_none(spark):
     assert minhash.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_cells_cut_a_bucket_and_lose_no_link(spark, monkeypatch):
+    # A cloud around one text, where some members link with others but not with the leader, in cells of few members.
+    monkeypatch.setattr(minhash, "MEMBERS", 7)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+    docs = []
+    for _ in range(120):
+        w = list(base)
+        for i in r.sample(range(100), r.randrange(1, 9)):
+            w[i] = f"v{r.randrange(4)}"
+        docs.append(" ".join(w))
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), k=2).collect()}
+    sets = [shingles(t, 2) for t in docs]
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = roots(range(len(docs)), links)
+    assert 3 < len(set(want.values())) < 110 and got == want
+
+
+def test_meet_is_brute_force():
+    r = np.random.default_rng(2)
+    for m, spread in ((1, 5), (30, 3), (200, 12)):
+        base = np.arange(40)
+        sets = [np.unique(np.concatenate([r.choice(base, r.integers(30, 41), replace=False), r.integers(100, 140, r.integers(0, spread))])) for _ in range(m)]
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        comp, asks, told = r.integers(0, 4, m), r.random(m) < 0.5, r.random(m) < 0.8
+        x, y = minhash.meet(np.concatenate(sets), at, comp, asks, told, 80)
+        own = [set(s.tolist()) for s in sets]
+        link = [(i, j) for i in range(m) for j in range(m) if asks[i] and told[j] and comp[i] != comp[j] and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j])]
+        assert set(zip(x.tolist(), y.tolist(), strict=True)) <= set(link)
+        assert {(i, comp[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)} == {(i, comp[j]) for i, j in link}
+
+
+def test_very_long_sets_agree_only_where_they_are_alike(spark):
+    r = np.random.default_rng(8)
+    long = [np.unique(r.integers(0, 1 << 63, 400_000).astype(np.uint64) * np.uint64(2)) for _ in range(2)]
+    near = np.unique(np.concatenate([long[0][:360_000], long[1][:40_000]]))
+    sig = [minhash.signature(s) for s in (*long, near)]
+    assert (sig[0] == sig[1]).sum() == 0 and 0.7 < (sig[0] == sig[2]).mean() < 0.93
+    words = [" ".join(f"{p}{i}" for i in range(100_000)) for p in "ab"]
+    docs = [(1, words[0]), (2, words[1]), (3, words[0][:500_000]), (4, words[0][:640_000]), (None, "x y"), (None, None), (7, words[1])]
+    got = minhash.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.component_id, x.kept) for x in got if x.doc_id} == {1: (1, True), 2: (2, True), 3: (3, True), 4: (1, False), 7: (2, False)}
+    assert [(x.component_id, x.kept) for x in got if x.doc_id is None] == [(None, True)] * 2
+
+
+def test_components_over_several_tasks(spark, monkeypatch):
+    from cairn.llm import components as C
+
+    monkeypatch.setattr(C, "EDGES", 40)
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(0, 300)] + [(r.randrange(400, 800), r.randrange(400, 800)) for _ in range(300)] + [(None, 3), (7, 7)]
+    got = {x.node: x.component for x in C.components(Store(spark, "t"), spark.createDataFrame(links, "u long, v long")).collect()}
+    links = links[:-2]
+    want = roots({x for pair in links for x in pair}, links)
+    assert got == {i: c for i, c in want.items() if any(i in p and p[0] != p[1] for p in links)}
+
+
 def test_circulant_signature_estimates_jaccard():
     r = np.random.default_rng(3)
     errors = []
