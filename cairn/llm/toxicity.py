@@ -6,7 +6,7 @@ expected grade is the severity.  Weights are shared across all thresholds.
 
 Labels may be grades already.  Where they only say toxic or not, the toxic training texts
 are graded 1 to 3 by how many indicative words they hold, in thirds.  The model is fit on
-a bounded sample of labelled rows, at most SAMPLE in expectation.  Words are 64-bit
+a bounded sample of labelled rows, about SAMPLE of them.  Words are 64-bit
 hashes, and only those whose share differs clearly between toxic and other texts have a
 weight, so that long texts gather no noise.
 
@@ -18,6 +18,7 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
-from cairn.llm.store import columns, session
+from cairn.llm.store import Store, columns, session
 
 SAMPLE = 12_000
 #: Features: least z-score of a word's shares, most words with a weight, bytes of a beginning.
@@ -46,10 +47,24 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """grade, a digest of the distinct words, and the words: 0, which stands for no beginning, is none."""
     for b in batches:
         h, at = features(b.column("text"))
-        out = [np.unique(h[at[i] : at[i + 1]]).view(np.int64) for i in range(b.num_rows)]
-        yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(out, pa.list_(pa.int64()))], ["grade", "words"])
+        words = [np.unique(h[at[i] : at[i + 1]]) for i in range(b.num_rows)]
+        words = [w[w != 0] for w in words]
+        key = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in words]
+        yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(key, pa.binary()), pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64()))], ["grade", "key", "words"])
+
+
+def _columns(keys: np.ndarray):
+    """Words to the numbers of those that have a weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [np.searchsorted(keys, w[np.isin(w, keys)]).astype(np.int16) for w in (np.asarray(x.values).view(tv.U) for x in b.column("words"))]
+            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(cols, pa.list_(pa.int16()))], ["grade", "cols"])
+
+    return run
 
 
 class Ordinal:
@@ -86,34 +101,17 @@ class Ordinal:
 
 
 class Model:
-    def __init__(self, grade: np.ndarray, words: list[np.ndarray]):
-        # Copies of a text count once, else their rare words look indicative.
-        seen: set[bytes] = set()
-        once = [i for i, w in enumerate(words) if not (w.tobytes() in seen or seen.add(w.tobytes()))]
-        grade, words = grade[once], [words[i] for i in once]
-        flat = np.concatenate(words).view(tv.U)
-        doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        keys, col = np.unique(flat, return_inverse=True)
-        toxic = grade > 0
-        n1, n0 = toxic.sum(), (~toxic).sum()
-        c1 = np.bincount(col[toxic[doc]], minlength=len(keys))
-        c0 = np.bincount(col[~toxic[doc]], minlength=len(keys))
-        p = (c1 + c0 + 1) / (n1 + n0 + 2)
-        z = (c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-        best = np.argsort(-np.abs(z), kind="stable")[:WORDS]
-        best = np.sort(best[(np.abs(z[best]) >= LEAST_Z) & (c1 + c0 >= 5)[best] & (keys[best] != 0)])
-        self.keys = keys[best]
-        to = np.full(len(keys), -1)
-        to[best] = np.arange(len(best))
-        keep = to[col] >= 0
-        rows, cols = doc[keep], to[col[keep]]
+    """keys: sorted hashes of the words with a weight, and whether each is indicative; rows: grades and word numbers."""
+
+    def __init__(self, keys: np.ndarray, indicative: np.ndarray, grade: np.ndarray, rows: np.ndarray, cols: np.ndarray):
+        self.keys, toxic = keys, grade > 0
         if grade.max() == 1:  # grades by the number of indicative words
-            held = np.bincount(rows, (z[best] > 0)[cols], len(words))[toxic]
+            held = np.bincount(rows, indicative[cols], len(grade))[toxic]
             cuts = np.quantile(held, [i / GRADES for i in range(1, GRADES)])
             grade = grade.copy()
             grade[toxic] = 1 + (held[:, None] > cuts[None]).sum(axis=1)
         self.grades = np.unique(grade)  # as labelled; the regression sees 0, 1, 2 ...
-        self.fit = Ordinal(rows, cols, np.searchsorted(self.grades, grade), len(best)) if len(best) else None
+        self.fit = Ordinal(rows, cols, np.searchsorted(self.grades, grade), len(keys))
 
     def score(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Weight sums of the distinct known words of each document."""
@@ -125,22 +123,42 @@ class Model:
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """A model from labelled(doc_id, text, grade), over a hash-chosen bounded sample."""
-    n = labelled.count()
-    share = min(1.0, SAMPLE / max(1, n))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
-    table = chosen.select("grade", "text").mapInArrow(_distinct, "grade int, words array<long>").toArrow()
-    grade = np.maximum(table.column("grade").to_numpy(), 0) if table.num_rows else np.zeros(0, int)
-    if not (grade > 0).any() or not (grade == 0).any():
+    """A model from labelled(doc_id, text, grade), SAMPLE rows of it at most in expectation.
+
+    Words are counted and chosen where the texts are; the driver gets WORDS words at most,
+    and of each text of the sample the numbers of those it holds.
+    """
+    store = Store(labelled.sparkSession, "toxicity")
+    rows = labelled.select("grade", "text").mapInArrow(_distinct, "grade int, key binary, words array<long>")
+    # Copies of a text count once, else their rare words look indicative.
+    rows = store.put(rows.groupBy("key").agg(F.max(F.greatest("grade", F.lit(0))).alias("grade"), F.first("words").alias("words")), "words")
+    toxic = (F.col("grade") > 0).cast("long")
+    n1, n0 = rows.agg(F.coalesce(F.sum(toxic), F.lit(0)), F.coalesce(F.sum(1 - toxic), F.lit(0))).first()
+    if not n1 or not n0:
         return None
-    model = Model(grade, [w.values.to_numpy() for w in table.column("words")])
-    return model if model.fit else None
-
-
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text, grade of the documents that have the label; one label a doc_id, the largest."""
-    own = columns(labels, doc_id="long", **{label: "int"}).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("grade"))
-    return columns(docs, doc_id="long", text="string").join(own, "doc_id")
+    counts = rows.select(toxic.alias("t"), F.explode("words").alias("word")).groupBy("word").agg(F.sum("t").alias("c1"), F.sum(1 - F.col("t")).alias("c0"))
+    p = (F.col("c1") + F.col("c0") + 1) / (n1 + n0 + 2)
+    z = (F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    told = counts.where("c1 + c0 >= 5").select("word", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(WORDS).collect()
+    if not told:
+        return None
+    keys, z = np.array([r.word for r in told], np.int64).view(tv.U), np.array([r.z for r in told])
+    order = np.argsort(keys)
+    keys, z = keys[order], z[order]
+    table = rows.select("grade", "words").mapInArrow(_columns(keys), "grade int, cols array<short>").toArrow()
+    grade, cols = table.column("grade").to_numpy().astype(np.int64), table.column("cols").combine_chunks()
+    each = np.diff(cols.offsets.to_numpy())
+    store.clear()
+    return Model(keys, z > 0, grade, np.repeat(np.arange(len(grade)), each), cols.values.to_numpy())
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, text, grade of labelled documents, about *sample* of them chosen by hash; one label a doc_id, the largest."""
+    own = columns(labels, doc_id="long", **{label: "int"}).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    share = min(1.0, sample / max(1, own.select(F.approx_count_distinct("doc_id", 0.02)).first()[0]))
+    chosen = own.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000).groupBy("doc_id").agg(F.max(label).alias("grade"))
+    # The chosen labels number about `sample`, so the texts stay where they are.
+    return columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
 
 
 def grade_texts(spark: SparkSession, docs: DataFrame, labelled: DataFrame) -> DataFrame:
