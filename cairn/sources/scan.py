@@ -17,6 +17,7 @@ EXTENSIONS = {"py": "python", "sh": "shell", "bash": "shell", "ksh": "shell", "y
 PROGRAMS = {"python": "python", "python2": "python", "python3": "python", "sh": "shell", "bash": "shell", "ksh": "shell", "dash": "shell", "zsh": "shell"}
 SAMPLED, SAMPLE_LINES, MOST_BYTES = ("csv", "text", "lst"), 20, 8 * 1024 * 1024
 CHECKOUT_DIRS = ("DEVELOP", "ARCHIVE")
+#: Fixed value: a checkout's file name, as script, time stamp and user.
 CHECKOUT = r"^(.+)_(\d{8}(?:_\d{4}(?:\d{2})?)?)(?:_([^\\/]+))?$"
 IGNORE_FILE = ".catignore"
 

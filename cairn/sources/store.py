@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from cairn.schema import KEYS, TABLES, VERSION
 
-POINTER = "current"
-
 
 class CatalogError(Exception):
     """A catalog that can't be used."""
@@ -61,9 +59,16 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], built:
             if twice:
                 fs.delete(path(staging), True)
                 raise Invalid(f"{name}: {[twice[0][k] for k in keys]} occurs more than once")
-    fs.delete(path(final), True)
+    # A build of that name stands aside until the new one is in its place.
+    aside = path(f"{root}/_old-{built}")
+    if fs.exists(path(final)):
+        fs.delete(aside, True)
+        fs.rename(path(final), aside)
     if not fs.rename(path(staging), path(final)):
+        if fs.exists(aside):
+            fs.rename(aside, path(final))
         raise CatalogError(f"cannot publish {final}")
+    fs.delete(aside, True)
     for old in builds(spark, root)[: -max(1, keep)]:
         fs.delete(path(f"{root}/{old}"), True)
     return final
@@ -95,6 +100,48 @@ def previous_pair(spark: SparkSession, root: str) -> tuple[str, str]:
     return known[-2].removeprefix("build="), known[-1].removeprefix("build=")
 
 
+# -- vectors beside the catalog ----------------------------------------------------------
+#: The layout of published vectors that this engine reads.
+VECTORS_VERSION = 1
+
+
+def publish_vectors(spark: SparkSession, root: str, vectors: DataFrame, catalog_build: str) -> str:
+    """Write script_embeddings and their metadata to a staging folder and swap it in."""
+    fs, _ = _fs(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    staging, final, aside = (path(f"{root}/{n}") for n in ("_staging-vectors", "vectors", "_old-vectors"))
+    fs.delete(staging, True)
+    own = conform(vectors, "script_embeddings")
+    own.sort("logical_path").write.parquet(f"{root}/_staging-vectors/script_embeddings")
+    meta = spark.createDataFrame([(1, VECTORS_VERSION, catalog_build)], TABLES["embedding_metadata"])
+    meta.coalesce(1).write.parquet(f"{root}/_staging-vectors/embedding_metadata")
+    fs.delete(aside, True)
+    if fs.exists(final):
+        fs.rename(final, aside)
+    if not fs.rename(staging, final):
+        raise CatalogError(f"cannot publish vectors in {root}")
+    fs.delete(aside, True)
+    return f"{root}/vectors"
+
+
+def open_vectors(spark: SparkSession, root: str) -> tuple[str, DataFrame | None, str | None]:
+    """(state, vectors, catalog build): state is ok, absent, newer or unreadable; vectors only where ok."""
+    fs, folder = _fs(spark, f"{root}/vectors")
+    if not fs.exists(folder):
+        return "absent", None, None
+    try:
+        meta = spark.read.schema(TABLES["embedding_metadata"]).parquet(f"{root}/vectors/embedding_metadata").first()
+        vectors = spark.read.schema(TABLES["script_embeddings"]).parquet(f"{root}/vectors/script_embeddings")
+        vectors.limit(1).collect()
+    except Exception:  # whatever Spark raises for a torn folder
+        return "unreadable", None, None
+    if meta is None or meta.format_version is None:
+        return "unreadable", None, None
+    if meta.format_version > VECTORS_VERSION:
+        return "newer", None, meta.catalog_build_timestamp
+    return "ok", vectors, meta.catalog_build_timestamp
+
+
 #: Field names of exports, with other names for them.
 FIELDS = {"path": "logical_path", "language": "language", "owner": "owner", "purpose": "purpose", "tags": "tags", "size": "size", "mtime": "mtime", "indexed": "indexed_at", "symlink": "symlink_target", "checkout": "checkout_user", "hash": "content_hash", "related": "related"}
 ALIASES = {"logical_path": "path", "lang": "language", "indexed_at": "indexed", "symlink_target": "symlink"}

@@ -2,7 +2,9 @@ import json
 
 import pytest
 
+from cairn.operators import similarity
 from cairn.plans import build
+from cairn.schema import TABLES
 from cairn.sources import extract as X
 from cairn.sources import scan, store
 from cairn.streaming.activity import activity
@@ -17,6 +19,8 @@ def test_header_rules():
     assert X.metadata('"""Doc line\nmore"""', "python")["purpose"] == "Doc line"
     assert X.metadata('#!/x\n"""Doc"""', "python")["purpose"] == ""
     assert X.history_entry("Fixed 1.0")["summary"] == "Fixed 1.0"
+    assert X.history_entry("  amy (2025-01-02)  3.4  moved   the docks ") == {"raw": "amy (2025-01-02)  3.4  moved   the docks", "date": "2025-01-02", "version": "3.4", "author": "amy", "summary": "() moved the docks"}
+    assert X.history_entry("2025-01-02 2025-02-03 later")["author"] is None and X.history_entry("2025-01-02")["summary"] is None
 
 
 def test_python_facts():
@@ -31,6 +35,10 @@ def test_references():
     assert X.path_references("x/a.sh/b.py.bak ..\\lib\\c.py c.py /t/d.yml~ run /t/e.yaml") == ["../lib/c.py", "/t/e.yaml"]
     assert X.yaml_references("- import_playbook: a/b.yml\n- roles: [plain, ns/x]\n- ansible.builtin.include_tasks: {file: t.yml, other: no.yml}\n") and "no.yml" not in X.yaml_references("- include_tasks: {file: t.yml, other: no.yml}\n")
     assert X.shell_sources("source common.sh\n. ./x.sh\n") == ["common.sh"]
+    text = "if true; then source a.sh; fi\ntrue && . b.sh || . 'c.sh'\n# . no.sh\necho . no.sh 'x\n. no.sh\n' \"\n. no.sh\"\ncat <<EOF >out\n. no.sh\nEOF\n"
+    text += "X=1 Y=$(. d.sh) . \"e.sh\" arg\n{ . f.sh; }\n(. g.sh)\nfor i in a; do . $v h.sh; done\ncase x in a) . i.sh ;; esac\ncat <<-'E' | . j.sh\n\t. no.sh\n\tE\n! . k.sh >&2 2>no.sh\n. l\\\n.sh; . m.sh#x\n"
+    assert X.shell_sources(text) == ["a.sh", "b.sh", "c.sh", "d.sh", "e.sh", "f.sh", "g.sh", "h.sh", "i.sh", "j.sh", "k.sh", "l\\\n.sh", "m.sh#x"]
+    assert X.shell_sources("echo 'open\n. no.sh") == [] and X.shell_sources("") == [] and X.shell_sources("$(" * 5000 + ". x") is not None
 
 
 def test_ignore_rules():
@@ -97,6 +105,29 @@ def test_exports(catalog):
     assert json.loads(store.json_lines(s, ["path", "checkout"]).first().value) == {"path": "/cat/main.py", "checkout": None}
 
 
+def test_publish_again_and_vectors(spark, catalog, tmp_path):
+    root = str(tmp_path / "c")
+    for n in (1, 2):
+        own = catalog[0]["scripts"].limit(n)
+        store.publish(spark, root, {"scripts": own}, "b1")
+        assert store.open_catalog(spark, root)["scripts"].count() == n
+    assert store.open_vectors(spark, root) == ("absent", None, None)
+    rows = [(1, "/cat/main.py", "m", 2, [0.6, 0.8], "h1")]
+    store.publish_vectors(spark, root, spark.createDataFrame(rows, TABLES["script_embeddings"]), "b1")
+    state, vectors, build = store.open_vectors(spark, root)
+    assert state == "ok" and build == "b1" and vectors.first().logical_path == "/cat/main.py"
+    texts = spark.createDataFrame([("/cat/main.py", "h1"), ("/cat/x.py", "h2")], "logical_path string, text_hash string")
+    again = {r.logical_path: r.embedding for r in similarity.reuse_vectors(texts, vectors, "m").collect()}
+    assert again["/cat/x.py"] is None and len(again["/cat/main.py"]) == 2
+    assert similarity.provenance_note("b1", "b2") and similarity.provenance_note("b1", "b1") is None
+    spark.createDataFrame([(1, 99, "b9")], TABLES["embedding_metadata"]).write.mode("overwrite").parquet(f"{root}/vectors/embedding_metadata")
+    assert store.open_vectors(spark, root)[0] == "newer"
+    for f in (tmp_path / "c/vectors/script_embeddings").glob("part-*"):
+        f.write_bytes(b"torn")
+    spark.catalog.clearCache()
+    assert store.open_vectors(spark, root)[0] == "unreadable"
+
+
 def test_checkout_scan(spark):
     rows = [("/w/aix/src", f"{p}", 90.0) for p in ("jobs/DEVELOP/go.sh_20240101_1200_amy", "jobs/DEVELOP/deploy_20260910_120000_RB_abcd", "ARCHIVE/sub/x_20240101", "DEVELOP/.hid_20240101_a", "DEVELOP/y_20240101_b.org")]
     got = {r.logical_path: r for r in scan.checkouts(spark.createDataFrame(rows, "root string, rel string, mtime double"), 100.0).collect()}
