@@ -69,10 +69,10 @@ def like_literal(text: str) -> str:
 
 
 def human_size(n: Column) -> Column:
-    """B, KB, MB or GB with one decimal from KB on."""
+    """B, KB, MB or GB with one decimal from KB on, halves to even."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for unit, name in ((1 << 10, "KB"), (1 << 20, "MB"), (1 << 30, "GB")):
-        out = F.when(n >= unit, F.format_string(f"%.1f {name}", n.cast("double") / unit)).otherwise(out)
+        out = F.when(n >= unit, F.format_string(f"%.1f {name}", F.bround(n.cast("double") / unit, 1))).otherwise(out)
     return out
 
 
@@ -108,8 +108,16 @@ def _accents() -> tuple[str, str]:
 ACCENTED, PLAIN = _accents()
 
 
-def tokens(c: Column) -> Column:
-    """Runs of letters and digits, lower-cased, without diacritics."""
+#: One character of a token.
+LETTER = r"[\p{L}\p{N}]"
+
+
+def folded(c: Column) -> Column:
+    """Lower-cased text without diacritics; null is empty."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    plain = F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))
-    return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))
+
+
+def tokens(c: Column) -> Column:
+    """Runs of letters and digits of the folded text."""
+    return F.regexp_extract_all(folded(c), F.lit(f"{LETTER}+"), F.lit(0))

@@ -7,31 +7,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.exprs import tokens
+from cairn.functions.exprs import LETTER, folded, tokens
 from cairn.functions.querytext import Phrase
 
 COLUMNS = ("logical_path", "content", "owner", "purpose", "tags")
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 
-def _hits(array: str, p: Phrase) -> Column:
-    """Where in one column's tokens the phrase stands."""
-    def here(token: Column, i: Column) -> Column:
-        tests = []
-        for j, want in enumerate(p.tokens):
-            have = token if j == 0 else F.get(F.col(array), i + j)
-            tests.append(have.startswith(want) if p.prefix and j == len(p.tokens) - 1 else have == want)
-        return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+def _pattern(p: Phrase) -> str:
+    """Matches the first token of each place where the phrase stands in a text; places may overlap."""
+    end = "" if p.prefix else f"(?!{LETTER})"
+    first, *rest = p.tokens
+    return f"(?<!{LETTER}){first}" + (f"(?=[^{LETTER[1:-1]}]+" + f"[^{LETTER[1:-1]}]+".join(rest) + f"{end})" if rest else end)
 
-    return F.size(F.filter(F.col(array), here))
+
+def _hits(text: Column, p: Phrase) -> Column:
+    """How often the phrase stands in a folded text; the pattern runs only where its longest token occurs."""
+    return F.when(F.contains(text, F.lit(max(p.tokens, key=len))), F.regexp_count(text, F.lit(_pattern(p)))).otherwise(0)
 
 
 def matches(scripts: DataFrame, query: list[Phrase]) -> DataFrame:
     """id, d (tokens of the row), f0, f1 ... (hits of each phrase): every row of the corpus."""
-    arrays = scripts.select("id", *[tokens(F.col(c)).alias(f"t_{c}") for c in COLUMNS])
-    d = reduce(lambda a, b: a + b, [F.size(f"t_{c}") for c in COLUMNS])
-    f = [reduce(lambda a, b: a + b, [_hits(f"t_{c}", p) for c in COLUMNS]).alias(f"f{k}") for k, p in enumerate(query)]
-    return arrays.select("id", d.alias("d"), *f)
+    texts = [folded(F.col(c)) for c in COLUMNS]
+    d = reduce(lambda a, b: a + b, [F.regexp_count(t, F.lit(f"{LETTER}+")) for t in texts])
+    f = [reduce(lambda a, b: a + b, [_hits(t, p) for t in texts]).alias(f"f{k}") for k, p in enumerate(query)]
+    return scripts.select("id", d.alias("d"), *f)
 
 
 def bm25(counted: DataFrame, query: list[Phrase]) -> DataFrame:

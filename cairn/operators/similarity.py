@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
@@ -17,10 +17,11 @@ F32_MIN = float(np.finfo(np.float32).min)
 
 def unit(v: Column) -> Column:
     """The vector over its norm; zero or non-finite norms give zeros."""
-    x = F.transform(v, lambda e: e.cast("double"))
+    x = v.cast("array<double>")
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, e: a + e * e))
-    good = (norm > 0) & ~F.isnan(norm) & (norm < float("inf"))
-    return F.transform(x, lambda e: F.when(good, e / norm).otherwise(F.lit(0.0)))
+    scale = F.when((norm > 0) & ~F.isnan(norm) & (norm < float("inf")), norm)
+    # The lambda over one struct binds the norm, which is thus computed once a vector.
+    return F.get(F.transform(F.array(F.struct(x.alias("x"), scale.alias("n"))), lambda s: F.transform(s["x"], lambda e: F.coalesce(e / s["n"], F.lit(0.0)))), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,8 +33,9 @@ def dot(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, path: str, limit: int) -> DataFrame:
     """logical_path and score of the best others; empty if the path has no vector."""
     me = vectors.where(F.col("logical_path") == path).select(F.col("script_id").alias("me"), unit(F.col("embedding")).alias("mine")).limit(1)
-    scored = vectors.crossJoin(F.broadcast(me)).where("script_id <> me")  # one row
-    return scored.select("script_id", "logical_path", dot(unit(F.col("embedding")), F.col("mine")).alias("score")).orderBy(F.desc("score"), "script_id").limit(limit).select("logical_path", "score")
+    rows = vectors.select("script_id", "logical_path", unit(F.col("embedding")).alias("own"))
+    scored = rows.crossJoin(F.broadcast(me)).where("script_id <> me")  # one row
+    return scored.select("script_id", "logical_path", dot(F.col("own"), F.col("mine")).alias("score")).orderBy(F.desc("score"), "script_id").limit(limit).select("logical_path", "score")
 
 
 def similar(scripts: DataFrame, vectors: DataFrame, path: str, limit: int) -> DataFrame:
@@ -42,19 +44,50 @@ def similar(scripts: DataFrame, vectors: DataFrame, path: str, limit: int) -> Da
     return nearest(vectors.join(keep, "logical_path", "left_semi"), path, limit)
 
 
+def nearest_of(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """of, logical_path, score, place: the best others of every vector of *queries*, by blocks of both."""
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], [], []]
+        if a.num_rows and b.num_rows:
+            s, ia, ib = _scores(a, b), a.column("script_id").to_numpy(), b.column("script_id").to_numpy()
+            s[ia[:, None] == ib[None]] = -np.inf
+            of, path = a.column("logical_path").to_pylist(), b.column("logical_path").to_pylist()
+            for x in range(len(ia)):
+                for y in np.lexsort((ib, -s[x]))[:limit].tolist():
+                    if s[x, y] > -np.inf:
+                        for to, value in zip(out, (int(ia[x]), of[x], int(ib[y]), path[y], float(s[x, y])), strict=True):
+                            to.append(value)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("me", "of", "script_id", "logical_path", "score"), out, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64()), strict=True)})
+
+    best = _grid(vectors, False, run, "me long, of string, script_id long, logical_path string, score double", queries)
+    placed = best.withColumn("place", F.row_number().over(Window.partitionBy("me").orderBy(F.desc("score"), "script_id")))
+    return placed.where(F.col("place") <= limit).select("of", "logical_path", "score", "place")
+
+
+def similar_of(scripts: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """As nearest_of, without scripts that are no longer in the catalog."""
+    return nearest_of(vectors.join(scripts.select("logical_path"), "logical_path", "left_semi"), queries, limit)
+
+
 def provenance_note(sidecar_build: str | None, catalog_build: str | None) -> str | None:
     if sidecar_build and catalog_build and sidecar_build != catalog_build:
         return f"embeddings were made for build {sidecar_build}, the catalog is {catalog_build}"
     return None
 
 
-def _grid(vectors: DataFrame, upper: bool, run, schema: str) -> DataFrame:
-    """run(a, b) for block pairs: each unordered pair once, or every ordered pair."""
+def _grid(vectors: DataFrame, upper: bool, run, schema: str, queries: DataFrame | None = None) -> DataFrame:
+    """run(a, b) for block pairs: each unordered pair once, or every ordered pair; a of *queries* if given."""
     n = max(1, -(-vectors.count() // BLOCK))
-    rows = vectors.select("script_id", "logical_path", unit(F.col("embedding")).alias("vec")).withColumn("block", F.pmod(F.xxhash64("script_id"), F.lit(n)))
-    a = rows.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.col("i") if upper else F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    m = n if queries is None else max(1, -(-queries.count() // BLOCK))
+
+    def blocks(of: DataFrame, k: int) -> DataFrame:
+        return of.select("script_id", "logical_path", unit(F.col("embedding")).alias("vec")).withColumn("block", F.pmod(F.xxhash64("script_id"), F.lit(k)))
+
     low = F.lit(0).cast("long")
-    b = rows.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(low, F.col("j") if upper else F.lit(n - 1).cast("long"))))
+    a = blocks(vectors if queries is None else queries, m).withColumn("i", F.col("block"))
+    a = a.withColumn("j", F.explode(F.sequence(F.col("i") if upper else low, F.lit(n - 1).cast("long"))))
+    b = blocks(vectors, n).withColumn("j", F.col("block"))
+    b = b.withColumn("i", F.explode(F.sequence(low, F.col("j") if upper else F.lit(m - 1).cast("long"))))
     b = b.toDF(*b.columns)
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(run, schema)
 

@@ -34,16 +34,16 @@ FROM {{documents}}""".replace("{{{{", "{{").replace("}}}}", "}}"),
     "dependencies": f"""
 SELECT min(l_orderkey * 10 + l_linenumber) AS id, script_id, depends_on_path, resolved_script_id, kind FROM (
   SELECT l_orderkey, l_linenumber, l_orderkey % {_N} AS script_id,
-    CASE WHEN l_partkey % 7 <> 0 THEN {path_of('(l_partkey % ' + _N + ')')}
-         WHEN l_partkey % 35 = 0 THEN 'os.path' WHEN l_partkey % 28 = 0 THEN concat('vendor', cast(l_partkey % 50 AS varchar(20)), '.mod') WHEN l_partkey % 21 = 0 THEN 'tools/x.py'
-         WHEN l_partkey % 49 = 0 THEN '.sibling' WHEN l_partkey % 77 = 0 THEN 'dir3.missing' ELSE concat('/ext/data_', cast(l_partkey % 30 AS varchar(20)), '.csv') END AS depends_on_path,
-    CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey % {_N} END AS resolved_script_id,
+    CASE WHEN l_partkey % {_N} % 7 <> 0 THEN {path_of('(l_partkey % ' + _N + ')')}
+         WHEN l_partkey % 5 = 0 THEN 'os.path' WHEN l_partkey % 4 = 0 THEN concat('vendor', cast(l_partkey % 50 AS varchar(20)), '.mod') WHEN l_partkey % 3 = 0 THEN 'tools/x.py'
+         WHEN l_partkey % 13 = 0 THEN '.sibling' WHEN l_partkey % 11 = 0 THEN 'dir3.missing' ELSE concat('/ext/data_', cast(l_partkey % 30 AS varchar(20)), '.csv') END AS depends_on_path,
+    CASE WHEN l_partkey % {_N} % 7 = 0 THEN NULL ELSE l_partkey % {_N} END AS resolved_script_id,
     CASE l_linenumber WHEN 1 THEN 'import' WHEN 2 THEN 'import' WHEN 3 THEN 'referenced' WHEN 4 THEN 'inputfile' WHEN 5 THEN 'outputfile' WHEN 6 THEN 'parentfile' ELSE 'paramfile' END AS kind
-  FROM {{lineitem}} WHERE l_orderkey % 3 = 0) AS edges
+  FROM {{lineitem}}) AS edges
 GROUP BY script_id, depends_on_path, resolved_script_id, kind""",
     "revisions": f"""
 SELECT event_id AS id, {path_of('(event_id % (300 + ' + _N + '))')} AS logical_path, concat('/vc/', event_type, '/', cast(event_id AS varchar(20))) AS physical_path,
-  CASE event_type WHEN 'click' THEN 'DEVELOP' WHEN 'error' THEN 'DEVELOP' WHEN 'view' THEN 'ARCHIVE' WHEN 'signup' THEN 'WORKING' ELSE 'ROLLBACK' END AS revision_type,
+  CASE CASE WHEN event_id % (300 + {_N}) % 7 = 0 THEN 'view' ELSE event_type END WHEN 'click' THEN 'DEVELOP' WHEN 'error' THEN 'DEVELOP' WHEN 'view' THEN 'ARCHIVE' WHEN 'signup' THEN 'WORKING' ELSE 'ROLLBACK' END AS revision_type,
   CASE event_id % 3 WHEN 0 THEN 'LINUX' WHEN 1 THEN 'AIX' ELSE 'WIN' END AS os_flavor,
   CASE WHEN user_id % 13 = 0 THEN '' ELSE concat('u', cast(user_id % 40 AS varchar(20))) END AS user,
   replace(replace(replace(substring(cast(ts AS varchar(30)), 1, 16), '-', ''), ' ', '_'), ':', '') AS timestamp,
@@ -56,7 +56,7 @@ SELECT p_partkey AS id, p_partkey % {_N} AS script_id, concat('run_', cast(p_par
 SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % {_N} AS script_id, CASE WHEN l_linenumber % 3 = 0 THEN '__module__' ELSE 'main' END AS caller,
   CASE l_linenumber % 4 WHEN 0 THEN concat('mod.run_', cast(l_partkey % 90 AS varchar(20))) WHEN 1 THEN concat('run_', cast(l_partkey % 90 AS varchar(20))) WHEN 2 THEN concat('m.runx', cast(l_partkey % 90 AS varchar(20))) ELSE 'print' END AS callee,
   cast(l_suppkey % 100 AS int) AS line, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_partkey % {_N} END AS resolved_target_script_id
-FROM {{lineitem}} WHERE l_orderkey % 4 = 0""",
+FROM {{lineitem}}""",
     "script_embeddings": f"SELECT vec_id AS script_id, {path_of('vec_id')} AS logical_path, embedding FROM {{embeddings}}",
 }
 

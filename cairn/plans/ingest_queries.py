@@ -76,11 +76,12 @@ def _snk2(s):
     return store.csv_lines(s, ["path", "tags", "owner"])
 
 
-@query("f_size_labels", [S], "SELECT id, CASE WHEN size >= 1024 THEN concat(printf('%.1f', size / 1024.0), ' KB') ELSE concat(cast(size AS varchar), ' B') END AS shown FROM scripts WHERE size < 1048576 AND size % 1024 % 64 <> 0")
+@query("f_size_labels", [S], "SELECT id, CASE WHEN size >= 1073741824 THEN concat(printf('%.1f', size / 1073741824.0), ' GB') WHEN size >= 1048576 THEN concat(printf('%.1f', size / 1048576.0), ' MB') WHEN size >= 1024 THEN concat(printf('%.1f', size / 1024.0), ' KB') ELSE cast(size AS varchar) || ' B' END AS shown FROM (SELECT id, size * CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 64 WHEN 2 THEN 9000 ELSE 1000000 END AS size FROM scripts)")
 def _sizes(s):
     from cairn.functions.exprs import human_size
 
-    return s.where("size < 1048576 and size % 1024 % 64 <> 0").select("id", human_size(F.col("size")).alias("shown"))
+    size = F.col("size") * F.expr("CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 64 WHEN 2 THEN 9000 ELSE 1000000 END")  # every unit
+    return s.select("id", human_size(size).alias("shown"))
 
 
 def _t12(spark: SparkSession, sf_dir: str) -> DataFrame:
