@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import json_field
+from cairn.operators.status import newest_checkouts
 
 FIELDS = ["purpose", "techowner", "funcowner", "owner", "language", "tags", "entry_points", "related"]
 CONTEXT = 3
@@ -74,6 +75,37 @@ def text_diff(pairs: DataFrame) -> DataFrame:
     return pairs.select("logical_path", "old", "new").mapInPandas(run, schema)
 
 
+def catalog_against(scripts: DataFrame, files: DataFrame, kind: str = "explicit") -> DataFrame:
+    """Hunks of the catalog's text against files(logical_path, physical_path, content), with labels of both sides.
+
+    kind names the new side: explicit, checkout or revision.  Sampled and empty scripts
+    are left out here; ``comparable`` says why for a single one.
+    """
+    known = scripts.where("content is not null and content <> '' and (language is null or language not in ('csv', 'text', 'lst'))")
+    both = known.select("logical_path", F.col("content").alias("old")).join(files.select("logical_path", "physical_path", F.col("content").alias("new")), "logical_path")
+    names = both.select("logical_path", "physical_path").distinct()
+    labels = [F.concat(F.lit("catalog:"), "logical_path").alias("old_label"), F.col("physical_path").alias("new_label"), F.lit(kind).alias("new_kind")]
+    return text_diff(both).join(names, "logical_path").select("*", *labels).drop("physical_path")
+
+
+def against_newest_checkouts(scripts: DataFrame, revisions: DataFrame, contents: DataFrame) -> DataFrame:
+    """Every script against its newest checkout; contents(physical_path, content) are the checkouts' texts."""
+    newest = newest_checkouts(revisions).select("logical_path", "physical_path")
+    return catalog_against(scripts, newest.join(contents.select("physical_path", "content"), "physical_path"), "checkout")
+
+
+def against_revision(scripts: DataFrame, revision, contents: DataFrame) -> DataFrame:
+    """A script against one revision's row; a checkout, or a revision of another kind."""
+    kind = "checkout" if (revision.revision_type or "").upper() in ("", "DEVELOP") else "revision"
+    own = contents.where(F.col("physical_path") == revision.physical_path)
+    return catalog_against(scripts, own.select(F.lit(revision.logical_path).alias("logical_path"), "physical_path", "content"), kind)
+
+
+def two_files(old: tuple[str, str], new: tuple[str, str]) -> str:
+    """Unified text of two (name, text) pairs, without any catalog."""
+    return render(old[0], new[0], hunks(old[1], new[1]))
+
+
 def render(label_old: str, label_new: str, found: list[dict]) -> str:
     """Unified text of hunks."""
     if not found:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.exprs import in_folder, json_list
+from cairn.functions.exprs import ascii_lower, in_folder, json_list
 from cairn.functions.querytext import ROLES
 
 TREE = "node_id long, parent_id long, depth int, logical_path string, kind string, via string, indexed boolean, cycle boolean, repeated boolean, truncated boolean"
@@ -57,11 +57,18 @@ def functions_in(scripts: DataFrame, definitions: DataFrame, path: str) -> DataF
 
 def callers(scripts: DataFrame, definitions: DataFrame, calls: DataFrame, path: str) -> DataFrame:
     """Calls that resolve to the script and end in one of its names; % and _ in a name are wildcards."""
-    mine = definitions.join(_ids(scripts, path).withColumnRenamed("id", "script_id"), "script_id", "left_semi").select(F.col("script_id").alias("resolved_target_script_id"), "name", F.col("line").alias("at"))
-    hit = F.expr("callee = name OR translate(callee, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE concat('%.', translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))")
-    found = calls.join(mine, "resolved_target_script_id").where(hit).join(scripts.select(F.col("id").alias("script_id"), "logical_path"), "script_id")
-    once = found.groupBy("name", "logical_path", "caller", "line").agg(F.min("at").alias("at"))
-    return once.orderBy("at", "logical_path", "line", "name", "caller").select("name", "logical_path", "caller", "line")
+    mine = definitions.join(_ids(scripts, path).withColumnRenamed("id", "script_id"), "script_id", "left_semi")
+    return all_callers(scripts, mine, calls).orderBy("at", "logical_path", "line", "name", "caller").select("name", "logical_path", "caller", "line")
+
+
+def all_callers(scripts: DataFrame, definitions: DataFrame, calls: DataFrame) -> DataFrame:
+    """name, logical_path, caller, line, at (the definition's line): as callers, of every definition given."""
+    own = definitions.select(F.col("script_id").alias("resolved_target_script_id"), "name", F.col("line").alias("at"))
+    # LIKE has no escape here, so a backslash in a name stands for itself.
+    tail = F.concat(F.lit("%."), F.replace(ascii_lower(F.col("name")), F.lit("\\"), F.lit("\\\\")))
+    found = calls.join(own, "resolved_target_script_id").where((F.col("callee") == F.col("name")) | F.like(ascii_lower(F.col("callee")), tail))
+    found = found.join(scripts.select(F.col("id").alias("script_id"), "logical_path"), "script_id")
+    return found.groupBy("name", "logical_path", "caller", "line").agg(F.min("at").alias("at"))
 
 
 def calls_from(scripts: DataFrame, calls: DataFrame, path: str) -> DataFrame:

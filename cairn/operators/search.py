@@ -47,6 +47,11 @@ def full_text(scripts: DataFrame, query: str, limit: int, filters: Filters = NON
     return scripts.join(rank, "id")
 
 
+def lookup(scripts: DataFrame, path: str) -> DataFrame:
+    """The script at a path, literally."""
+    return scripts.where(F.col("logical_path") == path)
+
+
 def by_path(scripts: DataFrame, needle: str, limit: int, filters: Filters = NONE) -> DataFrame:
     check_limit(limit)
     return filters.apply(scripts).where(contains_folded(F.col("logical_path"), needle)).orderBy("logical_path").limit(limit)
@@ -62,9 +67,9 @@ def by_regex(scripts: DataFrame, pattern: str, limit: int, filters: Filters = NO
 
 
 def by_function(scripts: DataFrame, definitions: DataFrame, name: str, limit: int, filters: Filters = NONE) -> DataFrame:
-    """Scripts that define a matching name; % and _ in the name are wildcards."""
+    """Scripts that define a matching name; % and _ in the name are wildcards, and nothing escapes them."""
     check_limit(limit)
-    ids = definitions.where(ascii_lower(F.col("name")).like(f"%{fold(name)}%")).select(F.col("script_id").alias("id"))
+    ids = definitions.where(ascii_lower(F.col("name")).like("%" + fold(name).replace("\\", "\\\\") + "%")).select(F.col("script_id").alias("id"))
     return filters.apply(scripts).join(ids, "id", "left_semi").orderBy("logical_path").limit(limit)
 
 

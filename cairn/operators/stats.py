@@ -78,10 +78,13 @@ def revision_stats(revisions: DataFrame) -> DataFrame:
     return out.where("develop_files is not null")
 
 
-def contributors(scripts: DataFrame, authors: Column) -> DataFrame:
+def contributor_names(authors: Column) -> Column:
     """Sorted distinct trimmed names of owner and history authors, blanks left out."""
-    names = F.filter(F.transform(F.concat(F.array("owner"), authors), lambda n: F.trim(n)), lambda n: n != "")
-    return scripts.select("id", "logical_path", F.array_sort(F.array_distinct(names)).alias("contributors"))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(F.array("owner"), authors), lambda n: F.trim(n)), lambda n: n != "")))
+
+
+def contributors(scripts: DataFrame, authors: Column) -> DataFrame:
+    return scripts.select("id", "logical_path", contributor_names(authors).alias("contributors"))
 
 
 def severity_summary(findings: DataFrame) -> DataFrame:

@@ -51,6 +51,30 @@ def newest_checkouts(revisions: DataFrame) -> DataFrame:
     return revisions.where("revision_type = 'DEVELOP'").groupBy("logical_path").agg(newest).select("logical_path", "r.*")
 
 
+def stale(revisions: DataFrame, days: float) -> DataFrame:
+    """logical_path, age: paths whose oldest checkout is at least so old."""
+    return revisions.where("revision_type = 'DEVELOP'").groupBy("logical_path").agg(F.max("age_seconds").alias("age")).where(F.col("age") >= days * 86400.0)
+
+
+def multi_user(revisions: DataFrame) -> DataFrame:
+    """logical_path, users: paths that several users have checked out."""
+    return revisions.where("revision_type = 'DEVELOP'").groupBy("logical_path").agg(F.count_distinct("user").alias("users")).where("users > 1")
+
+
+class NoRevision(ValueError):
+    """No revision fits; the message names those of the kind that there are."""
+
+
+def chosen_revision(revisions: DataFrame, path: str, kind: str, user: str | None = None, timestamp: str | None = None):
+    """As select_revision, the row itself; where none fits, an error with the candidates."""
+    found = select_revision(revisions, path, kind, user, timestamp).first()
+    if found is None:
+        own = revisions_of(revisions, path).where(F.upper("revision_type") == kind.upper()).select("user", "timestamp").collect()  # of one path
+        there = "; ".join(f"{r.user or '-'} {r.timestamp or '-'}" for r in own) or "none"
+        raise NoRevision(f"no {kind.upper()} revision of '{path}' fits; available: {there}")
+    return found
+
+
 def select_revision(revisions: DataFrame, path: str, kind: str | None = None, user: str | None = None, timestamp: str | None = None) -> DataFrame:
     """The first revision, in display order, that fits; the kind in any case."""
     own = display_order(revisions.where(F.col("logical_path") == path))

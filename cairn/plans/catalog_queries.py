@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairn.functions import exprs as X
 from cairn.functions import fts
 from cairn.functions.querytext import phrases
-from cairn.operators import audit, diffing, graph, search, similarity, stats, status, warnings
+from cairn.operators import audit, diffing, graph, search, show, similarity, stats, status, warnings
 from cairn.plans.adapters import path_of, views, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,9 +123,14 @@ def _f9(s):
     return search.rerank(ranked, "doc_1").select("id", F.col("place").cast("long").alias("place"))
 
 
-@query("f8_routed_search", [S], ", p AS (SELECT id, logical_path FROM scripts WHERE instr(logical_path, 'dir7/sub2') > 0 ORDER BY logical_path LIMIT 15) SELECT id, logical_path, row_number() OVER (ORDER BY logical_path) AS place FROM p")
+# Texts that name another script's path, so that the text half finds rows that the path half has not.
+_NAMING = "SELECT * REPLACE (CASE WHEN id % 50 = 1 THEN concat('see doc_30.py, ', content) ELSE content END AS content) FROM scripts"
+
+
+@query("f8_routed_search", [S], f", naming AS ({_NAMING})" + _bm25_sql(["x = 'doc' AND TT[i + 1] = '30' AND TT[i + 2] = 'py'"], 15).replace("FROM scripts", "FROM naming").replace("JOIN scripts", "JOIN naming").replace("SELECT s.id, s.logical_path, round", ", p AS (SELECT id, logical_path FROM naming WHERE instr(logical_path, 'doc_30.py') > 0 ORDER BY logical_path LIMIT 15), b AS (SELECT s.id, s.logical_path, round") + "), u AS (SELECT id, logical_path, 0 AS source, 0.0 AS score FROM p UNION ALL SELECT id, logical_path, 1, score FROM b WHERE id NOT IN (SELECT id FROM p)) SELECT id, logical_path, source FROM u ORDER BY source, score, id LIMIT 15")
 def _f8(s):
-    return search.text_search(s, "dir7\\sub2", 15).where("source = 0").select("id", "logical_path", F.col("place").cast("long").alias("place"))
+    naming = s.withColumn("content", F.when(F.col("id") % 50 == 1, F.concat(F.lit("see doc_30.py, "), "content")).otherwise(F.col("content")))
+    return search.text_search(naming, "doc_30.py", 15).select("id", "logical_path", F.col("source").cast("int").alias("source"))
 
 
 @query("f10_symlink_groups", [S], ", t AS (SELECT DISTINCT symlink_target AS p FROM scripts WHERE symlink_target <> logical_path), r AS (SELECT logical_path, symlink_target FROM scripts WHERE logical_path NOT IN (SELECT p FROM t)) SELECT logical_path, 0 AS line, logical_path AS shown FROM r UNION ALL SELECT logical_path, 1, concat('↳ ', CASE WHEN regexp_replace(logical_path, '/[^/]*$', '') = regexp_replace(symlink_target, '/[^/]*$', '') THEN regexp_extract(symlink_target, '[^/]*$') ELSE symlink_target END) FROM r WHERE symlink_target IS NOT NULL")
@@ -156,7 +161,7 @@ def _p4(s):
 
 @query("p5_point_lookup", [S], f"SELECT id, logical_path, purpose FROM scripts WHERE logical_path = '{P9}'")
 def _p5(s):
-    return s.where(F.col("logical_path") == P9).select("id", "logical_path", "purpose")
+    return search.lookup(s, P9).select("id", "logical_path", "purpose")
 
 
 @query("p6_one_level", [S], "SELECT id, logical_path FROM scripts WHERE starts_with(logical_path, '/catalog/dir10/') AND instr(substr(logical_path, 16), '/') = 0")
@@ -249,12 +254,12 @@ def _a12(r):
 
 @query("a13_having_max_age", [R], "SELECT logical_path, max(age_seconds) AS age FROM revisions WHERE revision_type = 'DEVELOP' GROUP BY logical_path HAVING max(age_seconds) >= 300 * 86400.0")
 def _a13(r):
-    return r.where("revision_type = 'DEVELOP'").groupBy("logical_path").agg(F.max("age_seconds").alias("age")).where(F.col("age") >= 300 * 86400.0)
+    return status.stale(r, 300)
 
 
 @query("a14_multi_user", [R], "SELECT logical_path, count(DISTINCT revisions.\"user\") AS users FROM revisions WHERE revision_type = 'DEVELOP' GROUP BY logical_path HAVING count(DISTINCT revisions.\"user\") > 1")
 def _a14(r):
-    return r.where("revision_type = 'DEVELOP'").groupBy("logical_path").agg(F.count_distinct("user").alias("users")).where("users > 1")
+    return status.multi_user(r)
 
 
 _SUMMARY = "(SELECT logical_path, string_agg(DISTINCT u, ',' ORDER BY u) AS checkout_user, max(timestamp) AS checkout_timestamp, string_agg(DISTINCT os_flavor, ',' ORDER BY os_flavor) AS checkout_os, max(age_seconds) AS checkout_age_seconds FROM (SELECT *, revisions.\"user\" AS u FROM revisions WHERE revision_type = 'DEVELOP') GROUP BY logical_path)"
@@ -309,10 +314,7 @@ def _g5(s, fd, fc):
 
 @query("j5_all_callers", [S, FD, FC], "SELECT fd.name, s.logical_path, c.caller, c.line, min(fd.line) AS at FROM function_definitions fd JOIN function_calls c ON c.resolved_target_script_id = fd.script_id AND (c.callee = fd.name OR lower(c.callee) LIKE '%.' || lower(fd.name)) JOIN scripts s ON s.id = c.script_id GROUP BY 1, 2, 3, 4")
 def _j5(s, fd, fc):
-    own = fd.select(F.col("script_id").alias("resolved_target_script_id"), "name", F.col("line").alias("at"))
-    hit = F.expr("callee = name OR lower(callee) LIKE concat('%.', lower(name))")
-    found = fc.join(own, "resolved_target_script_id").where(hit).join(s.select(F.col("id").alias("script_id"), "logical_path"), "script_id")
-    return found.groupBy("name", "logical_path", "caller", "line").agg(F.min("at").alias("at"))
+    return graph.all_callers(s, fd, fc)
 
 
 @query("g6_calls_from", [S, FC], f"SELECT c.caller, c.callee, c.line, s.logical_path AS target FROM function_calls c LEFT JOIN scripts s ON s.id = c.resolved_target_script_id WHERE c.script_id = (SELECT id FROM scripts WHERE logical_path = '{P12}')")
@@ -353,6 +355,21 @@ def _g13d(s):
     return graph.subdirs(s, "/catalog")
 
 
+P29, P32 = "/catalog/dir9/sub1/doc_29.txt", "/catalog/dir12/sub4/doc_32.txt"  # a symlink and its target
+
+
+@query("g9_declared_file", [S, D], f"SELECT 'declared_by' AS relation, s.logical_path AS path, d.kind FROM dependencies d JOIN scripts s ON s.id = d.script_id WHERE d.depends_on_path = '/ext/data_11.csv' AND d.kind IN {_ROLES}")
+def _g9(s, d):
+    return show.dependencies_of({"scripts": s, "dependencies": d}, "/ext/data_11.csv")
+
+
+@query("g11_show", [S, D, FD], f"SELECT logical_path AS path, language, owner, size, (SELECT count(*) FROM dependencies WHERE script_id = s.id) AS uses, (SELECT count(*) FROM (SELECT DISTINCT script_id, kind FROM dependencies WHERE resolved_script_id = s.id AND script_id IN (SELECT id FROM scripts))) AS used_by, (SELECT count(*) FROM scripts WHERE symlink_target = '{P32}') AS linked_by, (SELECT count(*) FROM scripts WHERE starts_with(logical_path, '/catalog/dir12/sub4/') AND logical_path <> '{P32}') AS siblings, (SELECT count(*) FROM function_definitions WHERE script_id = s.id) AS functions FROM scripts s WHERE logical_path = '{P32}'")
+def _g11(s, d, fd):
+    counted = ("uses", "used_by", "linked_by", "siblings", "functions")
+    row = show.show({"scripts": s, "dependencies": d, "function_definitions": fd}, P29, ("language", "owner", "size", *counted))
+    return row.select("path", "language", "owner", "size", *[F.size(c).cast("long").alias(c) for c in counted])
+
+
 # -- revisions -------------------------------------------------------------------------
 @query("r1_checkout_status", [S, R], f", f AS {_SUMMARY} SELECT s.logical_path, language, owner, purpose, vc_warnings, checkout_user, checkout_timestamp, checkout_os, checkout_age_seconds FROM scripts s LEFT JOIN f USING (logical_path) WHERE checkout_timestamp IS NOT NULL OR vc_warnings NOT IN ('', '[]') UNION ALL SELECT f.logical_path, NULL, NULL, NULL, '{status.ORPHAN_WARNING}', checkout_user, checkout_timestamp, checkout_os, checkout_age_seconds FROM f WHERE logical_path NOT IN (SELECT logical_path FROM scripts)")
 def _r1(s, r):
@@ -460,8 +477,16 @@ ORACLE["a10_findings_by_check"] = (
 _COS = "list_cosine_similarity(cast(a.embedding AS double[]), cast(b.embedding AS double[]))"
 
 
-@query("e1_nearest", [E], f"SELECT b.logical_path, round({_COS}, 6) AS score FROM script_embeddings a JOIN script_embeddings b ON a.logical_path = '{P9}' AND b.script_id <> a.script_id ORDER BY {_COS} DESC, b.script_id LIMIT 10")
+_NEAREST = "SELECT a.logical_path AS of, b.logical_path, round({0}, 6) AS score FROM script_embeddings a JOIN script_embeddings b ON a.script_id % 20 = 0 AND b.script_id <> a.script_id{1} QUALIFY row_number() OVER (PARTITION BY a.script_id ORDER BY {0} DESC, b.script_id) <= {2}"
+
+
+@query("e1_nearest", [E], _NEAREST.format(_COS, "", 10))
 def _e1(e):
+    return similarity.nearest_of(e, e.where("script_id % 20 = 0"), 10).select("of", "logical_path", F.round("score", 6).alias("score"))
+
+
+@query("e1_nearest_to_one", [E], f"SELECT b.logical_path, round({_COS}, 6) AS score FROM script_embeddings a JOIN script_embeddings b ON a.logical_path = '{P9}' AND b.script_id <> a.script_id ORDER BY {_COS} DESC, b.script_id LIMIT 10")
+def _e1o(e):
     return similarity.nearest(e, P9, 10).select("logical_path", F.round("score", 6).alias("score"))
 
 
@@ -475,9 +500,10 @@ def _e3(e):
     return similarity.outliers(e, 0.33).select("logical_path", F.round("score", 6).alias("score"))
 
 
-@query("e4_similar", [S, E], f"SELECT b.logical_path, round({_COS}, 6) AS score FROM script_embeddings a JOIN script_embeddings b ON a.logical_path = '{P9}' AND b.script_id <> a.script_id WHERE b.logical_path IN (SELECT logical_path FROM scripts WHERE id % 3 = 0) ORDER BY {_COS} DESC, b.script_id LIMIT 8")
+@query("e4_similar", [S, E], _NEAREST.format(_COS, " WHERE b.logical_path IN (SELECT logical_path FROM scripts WHERE symlink_target IS NULL)", 8))
 def _e4(s, e):
-    return similarity.similar(s.where("id % 3 = 0"), e, P9, 8).select("logical_path", F.round("score", 6).alias("score"))
+    # Vectors outlive scripts that became symlinks.
+    return similarity.similar_of(s.where("symlink_target is null"), e, e.where("script_id % 20 = 0"), 8).select("of", "logical_path", F.round("score", 6).alias("score"))
 
 
 @query("e6_embed_text", [S], "SELECT id, sha256(concat(array_to_string(list_filter([logical_path, CASE WHEN coalesce(purpose, '') <> '' THEN purpose END, CASE WHEN tags <> '[]' THEN concat('tags: ', array_to_string(from_json(tags, '[\"VARCHAR\"]'), ', ')) END, CASE WHEN coalesce(owner, '') <> '' THEN concat('owner: ', owner) END], lambda x: x IS NOT NULL), chr(10)), chr(10), chr(10), substr(coalesce(content, ''), 1, 20000))) AS text_hash FROM scripts WHERE language IS NULL OR language NOT IN ('csv', 'text', 'lst')")
@@ -519,12 +545,13 @@ def _w6(s):
     return warnings.type_mismatch(s).select("logical_path")
 
 
-_MANIFEST = f"SELECT {path_of('(o_orderkey % 1500)')} AS path FROM orders"
-ORACLE["w7_registration"] = with_clause(S) + f", m AS (SELECT DISTINCT path FROM ({_MANIFEST})) SELECT path AS logical_path, 'registered_with_vc_but_not_indexed' AS kind FROM m WHERE path NOT IN (SELECT logical_path FROM scripts) UNION ALL SELECT logical_path, 'not_registered_with_vc' FROM scripts WHERE logical_path NOT IN (SELECT path FROM m)"
+# A manifest that leaves out scripts and names some that are not there, at every size.
+_MANIFEST = f"SELECT {path_of('(o_orderkey % (SELECT count(*) + 500 FROM {documents}))')} AS path FROM {{orders}}"
+ORACLE["w7_registration"] = with_clause(S) + f", m AS (SELECT DISTINCT path FROM ({_MANIFEST.format(documents='documents', orders='orders')})) SELECT path AS logical_path, 'registered_with_vc_but_not_indexed' AS kind FROM m WHERE path NOT IN (SELECT logical_path FROM scripts) UNION ALL SELECT logical_path, 'not_registered_with_vc' FROM scripts WHERE logical_path NOT IN (SELECT path FROM m)"
 
 
 def _w7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = spark.sql(_MANIFEST.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    manifest = spark.sql(_MANIFEST, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "orders")})
     return warnings.registration(views(spark, sf_dir, S)[S], manifest).select("logical_path", "kind")
 
 
@@ -552,6 +579,15 @@ def _d2d(s, d):
     return delta.select("logical_path", F.array_join("added", "|").alias("added"), F.array_join("removed", "|").alias("removed"))
 
 
+@query("d1_against_checkouts", [S, R], f", f AS (SELECT logical_path, arg_max(physical_path, concat(timestamp, physical_path)) AS p FROM revisions WHERE revision_type = 'DEVELOP' GROUP BY logical_path) SELECT s.logical_path, concat('catalog:', s.logical_path) AS old_label, p AS new_label, 'checkout' AS new_kind, cast(len(string_split(content, chr(10))) AS int) AS at FROM scripts s JOIN f USING (logical_path) WHERE content <> '' AND (language IS NULL OR language NOT IN ('csv', 'text', 'lst')) AND NOT regexp_matches(content, '[\\r\\n\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')")
+def _d1b(s, r):
+    # A checkout of a script of one line adds a second line.
+    one = s.where(~F.col("content").rlike("[\\r\\n\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"))
+    texts = r.select("logical_path", "physical_path").join(one.select("logical_path", F.concat("content", F.lit("\nmore")).alias("content")), "logical_path")
+    found = diffing.against_newest_checkouts(one, r, texts)
+    return found.select("logical_path", "old_label", "new_label", "new_kind", F.col("old_count").alias("at"))
+
+
 @query("d1_text_diff", [S], None)
 def _d1(s):
     pairs = s.select("logical_path", F.col("content").alias("old"), F.regexp_replace("content", r"\n[^\n]*$", "\nchanged").alias("new"))

@@ -4,8 +4,11 @@ import sqlite3
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from cairn.functions import exprs as X
 from cairn.functions.querytext import ValidationError, sanitised
-from cairn.operators import audit, diffing, graph, search, similarity, stats, status, warnings
+from cairn.operators import audit, diffing, graph, search, show, similarity, stats, status, warnings
 from cairn.schema import TABLES
 
 
@@ -58,16 +61,19 @@ def test_limits_come_first(spark):
 
 
 def test_path_and_text_once(spark):
-    s = scripts(spark, [{"logical_path": "/catalog/deploy.sh", "content": "ssh admin@10.0.0.1 uptime"}, {"logical_path": "/catalog/config.yaml.sh", "content": ""}, {"logical_path": "/catalog/other.sh", "content": "ping 10.0.0.2"}])
-    assert paths(search.text_search(s, "10.0.0.1", 10)) == ["/catalog/deploy.sh"]
-    assert paths(search.text_search(s, "config.yaml.sh", 10)) == ["/catalog/config.yaml.sh"]
-    assert paths(search.text_search(s, "deploy.sh", 10)) == ["/catalog/deploy.sh"]
+    s = scripts(spark, [{"logical_path": "/w/tide.ksh", "content": "see moon.v2 and notes"}, {"logical_path": "/w/moon.v2.lst", "content": ""}, {"logical_path": "/w/reef.py", "content": "moon v3"}, {"logical_path": "/w/both/tide.ksh.bak.py", "content": "tide.ksh"}])
+    assert paths(search.text_search(s, "moon.v2", 10)) == ["/w/moon.v2.lst", "/w/tide.ksh"]
+    assert sorted(paths(search.text_search(s, "tide.ksh", 10))) == ["/w/both/tide.ksh.bak.py", "/w/tide.ksh"]
+    assert paths(search.text_search(s, "reef.py", 10)) == ["/w/reef.py"]
 
 
 def test_wildcards(spark):
     s = scripts(spark, [{"logical_path": "/a.py"}, {"logical_path": "/b.py"}])
     fd = spark.createDataFrame([(1, 1, "run_x", "function", 1, None, None), (2, 2, "runax", "function", 1, None, None)], TABLES["function_definitions"])
     assert paths(search.by_function(s, fd, "RUN_X", 5)) == ["/a.py", "/b.py"]
+    assert paths(search.by_function(s, fd, "run\\", 5)) == []
+    odd = spark.createDataFrame([(1, 1, "a\\b", "function", 1, None, None)], TABLES["function_definitions"])
+    assert paths(search.by_function(s, odd, "A\\B", 5)) == ["/a.py"]
     d = deps(spark, [(1, "/x/a_b.csv", None, "inputfile"), (2, "/x/aXb.csv", None, "inputfile")])
     assert paths(search.by_declared(s, d, "a_b", 5)) == ["/a.py"]
 
@@ -98,22 +104,74 @@ def test_folders_are_literal(spark):
 
 @pytest.fixture(scope="module")
 def diamond(spark):
-    s = scripts(spark, [{"logical_path": f"/{n}"} for n in ("a", "b", "c", "shared", "leaf")])
-    return s, deps(spark, [(1, "/b", 2, "import"), (1, "/c", 3, "import"), (2, "/shared", 4, "import"), (3, "/shared", 4, "import"), (4, "/leaf", 5, "import"), (1, "/external/lib.py", None, "import")])
+    s = scripts(spark, [{"logical_path": f"/w/{n}"} for n in ("dock", "crane", "truck", "pier", "rope")])
+    return s, deps(spark, [(1, "/w/crane", 2, "import"), (1, "/w/truck", 3, "import"), (2, "/w/pier", 4, "import"), (3, "/w/pier", 4, "import"), (4, "/w/rope", 5, "import"), (1, "harbour.toolkit", None, "import")])
 
 
 def test_tree_marks(spark, diamond):
-    t = {(r.logical_path, r.repeated, r.indexed) for r in graph.tree(spark, *diamond, "/a", 5).collect()}
-    assert {("/shared", False, True), ("/shared", True, True), ("/external/lib.py", False, False)} <= t
-    cut = {r.logical_path: r.truncated for r in graph.tree(spark, *diamond, "/a", 2).collect()}
-    assert cut["/shared"] and not cut["/b"]
+    t = {(r.logical_path, r.repeated, r.indexed) for r in graph.tree(spark, *diamond, "/w/dock", 5).collect()}
+    assert {("/w/pier", False, True), ("/w/pier", True, True), ("harbour.toolkit", False, False)} <= t
+    cut = {r.logical_path: r.truncated for r in graph.tree(spark, *diamond, "/w/dock", 2).collect()}
+    assert cut["/w/pier"] and not cut["/w/crane"]
     s = scripts(spark, [{"logical_path": "/a"}, {"logical_path": "/b"}])
     loop = graph.tree(spark, s, deps(spark, [(1, "/b", 2, "import"), (2, "/a", 1, "import")]), "/a").orderBy("node_id").collect()
     assert [(r.logical_path, r.cycle) for r in loop] == [("/a", False), ("/b", False), ("/a", True)]
     assert graph.render_tree(loop) == ["/a", "└── /b", "    └── /a (cycle)"]
     assert graph.tree(spark, *diamond, "/none").count() == 0
-    back = [r.logical_path for r in graph.tree(spark, *diamond, "/leaf", 1, reverse=True).orderBy("node_id").collect()]
-    assert back == ["/leaf", "/shared"]
+    back = [r.logical_path for r in graph.tree(spark, *diamond, "/w/rope", 1, reverse=True).orderBy("node_id").collect()]
+    assert back == ["/w/rope", "/w/pier"]
+
+
+def test_show_and_fallback(spark, diamond):
+    s, d = diamond
+    linked = scripts(spark, [r.asDict() for r in s.collect()] + [{"id": 6, "logical_path": "/w/alias", "symlink_target": "/w/pier"}, {"id": 7, "logical_path": "/w/lost", "symlink_target": "/gone"}])
+    catalog = {"scripts": linked, "dependencies": d, "revisions": revs(spark, [("/w/pier", "DEVELOP", "amy", "20250101_0101", 5.0)])}
+    row = show.show(catalog, "/w/alias", ("owner", "uses", "used_by", "siblings", "linked_by", "folder", "tags", "revisions", "contributors", "nope")).first()
+    assert row.path == "/w/pier" and [u.path for u in row.uses] == ["/w/rope"] and [u.logical_path for u in row.used_by] == ["/w/crane", "/w/truck"]
+    assert len(row.siblings) == 6 and [x.logical_path for x in row.linked_by] == ["/w/alias"] and row.folder == "/w" and row.tags == [] and row.revisions[0].user == "amy"
+    assert "nope" not in row.asDict() and row.contributors == []
+    assert show.show(catalog, "/w/lost").first().path == "/w/lost"
+    with pytest.raises(show.UnknownScript):
+        show.show(catalog, "/none")
+    more = {"scripts": s, "dependencies": deps(spark, [(1, "/ext/tide.csv", None, "inputfile"), (2, "/ext/tide.csv", None, "paramfile")])}
+    assert [(r.relation, r.path, r.kind) for r in show.dependencies_of(more, "/ext/tide.csv").orderBy("path").collect()] == [("declared_by", "/w/crane", "paramfile"), ("declared_by", "/w/dock", "inputfile")]
+    assert [(r.relation, r.path) for r in show.dependencies_of(catalog, "/w/rope").collect()] == [("used_by", "/w/pier")]
+    with pytest.raises(show.UnknownScript):
+        show.dependencies_of(more, "/ext/none")
+
+
+def test_diff_against_revisions(spark):
+    s = scripts(spark, [{"logical_path": "/w/a.py", "content": "x\ny\n", "language": "python"}, {"logical_path": "/w/b.csv", "content": "x\n", "language": "csv"}])
+    r = revs(spark, [("/w/a.py", "DEVELOP", "amy", "20250101", 1.0), ("/w/a.py", "DEVELOP", "bob", "20250201", 1.0), ("/w/a.py", "ARCHIVE", "", "20240101", 1.0), ("/w/b.csv", "DEVELOP", "amy", "20250101", 1.0)])
+    texts = spark.createDataFrame([(f"/w/a.py#{i}", t) for i, t in enumerate(("old", "x\nz\n", "x\ny\n"))] + [("/w/b.csv#3", "z")], "physical_path string, content string")
+    got = diffing.against_newest_checkouts(s, r, texts).collect()
+    assert [(g.logical_path, g.new_label, g.new_kind, g.lines) for g in got] == [("/w/a.py", "/w/a.py#1", "checkout", [" x", "-y", "+z"])]
+    kept = status.chosen_revision(r, "/w/a.py", "archive")
+    assert diffing.against_revision(s, kept, texts).count() == 0
+    assert diffing.against_revision(s, status.chosen_revision(r, "/w/a.py", "develop", user="amy"), texts).first().new_kind == "checkout"
+    with pytest.raises(status.NoRevision, match="bob 20250201"):
+        status.chosen_revision(r, "/w/a.py", "DEVELOP", user="eve")
+    assert diffing.two_files(("a", "x\n"), ("b", "x\n")) == "(no differences)" and "+y" in diffing.two_files(("a", "x\n"), ("b", "y\n"))
+    for bad in (None, s.where("language = 'csv'").first()):
+        with pytest.raises(diffing.DiffError):
+            diffing.comparable(bad)
+
+
+def test_audit_of_vectors(spark):
+    v = spark.createDataFrame([(1, "/a", [1.0, 0.0]), (2, "/b", [1.0, 0.001]), (3, "/c", [0.0, 1.0])], "script_id long, logical_path string, embedding array<float>")
+    catalog = {"scripts": scripts(spark, [{"logical_path": p} for p in ("/a", "/b", "/c")]), "dependencies": deps(spark, []), "revisions": revs(spark, []), "script_embeddings": v}
+    found = audit.audit(catalog, ["near-duplicates", "outliers"], near=0.99, far=0.5).collect()
+    assert [(f.check, f.logical_path, f.detail) for f in found] == [("near-duplicates", "/a", "like /b"), ("outliers", "/c", "like no other script")]
+    assert tuple(stats.severity_summary(audit.audit(catalog, ["near-duplicates", "outliers"], near=0.99, far=0.5)).first()) == (0, 1, 1)
+    near = similarity.nearest_of(v, v.where("script_id = 2"), 1).collect()
+    assert [(r.of, r.logical_path, r.place) for r in near] == [("/b", "/a", 1)]
+
+
+def test_shown_values(spark):
+    rows = [(1126, 59.0, 1700000000.9, "inputfile"), (1 << 30, 5400.0, 0.0, "import"), (1279, 200_000.0, -0.5, "parentfile")]
+    df = spark.createDataFrame(rows, "size long, age double, mtime double, kind string")
+    got = [tuple(r) for r in df.select(X.human_size(F.col("size")), X.relative_age(F.col("age")), X.iso_mtime(F.col("mtime")), X.kind_label(F.col("kind"))).collect()]
+    assert got == [("1.1 KB", "1m", "2023-11-14T22:13:20Z", "input"), ("1.0 GB", "2h", "1970-01-01T00:00:00Z", "import"), ("1.2 KB", "2d", "1969-12-31T23:59:59Z", "parent")]
 
 
 def test_status(spark):
