@@ -17,6 +17,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,20 +36,59 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: Block-level elements that end an open paragraph.
 BREAKS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 PATH, WORD, MORE, HIDDEN = 48, 16, 8, 24
+#: Names of an element that count in full, and blocks that are labelled at once.
+NAMES, SLOTS = 12, 1 << 14
 _space, _token = re.compile(r"\s+"), re.compile(r"[a-z]+")
 _vectors: dict[str, np.ndarray] = {}
 
 
+class Place:
+    """An open element: its tokens below its parent's; sums are made once, whatever the depth."""
+
+    __slots__ = ("above", "block", "own", "size", "sum", "tag", "weight")
+
+    def __init__(self, above: Place | None, tag: str, names: list[str]):
+        self.above, self.tag, self.own = above, tag, (tag, *(f".{n}" for n in names))
+        self.weight = min(1.0, NAMES / max(1, len(names)))  # of each name: long lists count as NAMES of them
+        self.size = (above.size if above else 0) + 1 + min(len(names), NAMES)
+        self.block = tag if tag not in INLINE else above.block if above else ""
+        self.sum: np.ndarray | None = None
+
+    def __iter__(self) -> Iterator[str]:
+        up, at = [], self
+        while at:
+            up.append(at.own)
+            at = at.above
+        return (t for own in reversed(up) for t in own)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def vector(self) -> np.ndarray:
+        todo, at = [], self
+        while at and at.sum is None:
+            todo.append(at)
+            at = at.above
+        total = at.sum if at else np.zeros(PATH, np.float32)
+        for p in reversed(todo):
+            total = total + _vector(p.tag)
+            for name in p.own[1:]:
+                total = total + np.float32(p.weight) * _vector(name)
+            p.sum = total
+        return total
+
+
 class Blocks(HTMLParser):
-    """Text blocks of a page, in order: (text, path tokens, leaf tag, characters inside links)."""
+    """Text blocks of a page, in order: (text, place, leaf tag, characters inside links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, tuple[str, ...], str, int]] = []
-        self._open: list[tuple[str, tuple[str, ...]]] = []
+        self.found: list[tuple[str, Place, str, int]] = []
+        self._open: list[Place] = []
+        self._tags: Counter = Counter()
         self._text: list[str] = []
         self._hidden = self._links = self._linked = 0
-        self._at: tuple[tuple[str, ...], str] | None = None
+        self._at: tuple[Place, str] | None = None
 
     def _flush(self) -> None:
         text = _space.sub(" ", "".join(self._text)).strip()
@@ -57,7 +97,8 @@ class Blocks(HTMLParser):
         self._text, self._linked, self._at = [], 0, None
 
     def _pop(self) -> None:
-        tag, _ = self._open.pop()
+        tag = self._open.pop().tag
+        self._tags[tag] -= 1
         self._hidden -= tag in UNSEEN
         self._links -= tag == "a"
 
@@ -69,16 +110,17 @@ class Blocks(HTMLParser):
             self._flush()
             ends = CLOSES.get(tag, set()) | ({"p"} if tag in BREAKS_P else set())
             for i in range(len(self._open) - 1, -1, -1):
-                if self._open[i][0] in ends:
+                if self._open[i].tag in ends:
                     while len(self._open) > i:
                         self._pop()
                     break
-                if self._open[i][0] not in INLINE:
+                if self._open[i].tag not in INLINE:
                     break
         if tag in EMPTY:
             return
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role", "itemprop") and v).lower()
-        self._open.append((tag, (tag, *(f".{t}" for t in _token.findall(names)[:12]))))
+        self._open.append(Place(self._open[-1] if self._open else None, tag, _token.findall(names)))
+        self._tags[tag] += 1
         self._hidden += tag in UNSEEN
         self._links += tag == "a"
 
@@ -90,12 +132,12 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self._text.append(" ")
-        if not any(t == tag for t, _ in self._open):
+        if not self._tags[tag]:
             return
         if tag not in INLINE:
             self._flush()
         while self._open:
-            last = self._open[-1][0]
+            last = self._open[-1].tag
             if last != tag and tag in INLINE and last not in INLINE:
                 return  # an inline end tag doesn't close a block
             self._pop()
@@ -106,13 +148,13 @@ class Blocks(HTMLParser):
         if self._hidden or not data:
             return
         if self._at is None and not data.isspace():
-            blocks = [t for t, _ in self._open if t not in INLINE]
-            self._at = (tuple(n for _, names in self._open for n in names), blocks[-1] if blocks else "")
+            here = self._open[-1] if self._open else Place(None, "", [])
+            self._at = (here, here.block)
         self._text.append(data)
         self._linked += len(data) if self._links else 0
 
     @classmethod
-    def of(cls, html: str) -> list[tuple[str, tuple[str, ...], str, int]]:
+    def of(cls, html: str) -> list[tuple[str, Place, str, int]]:
         p = cls()
         p.feed(html)
         p.close()
@@ -138,11 +180,18 @@ def inputs(pages: list[list[tuple]]) -> list[np.ndarray]:
         row = np.repeat(np.arange(len(flat)), np.diff(at))
         place = (hashes & tv.U(WORD - 1)).astype(np.int64)
         sign = np.where(hashes >> tv.U(63), 1.0, -1.0)
-        counts = np.bincount(row * WORD + place, sign, len(flat) * WORD).reshape(len(flat), WORD)
-        x[:, 2 * PATH : 2 * PATH + WORD] = counts / np.sqrt(np.maximum(1, np.diff(at)))[:, None] / 2
+        size = np.sqrt(np.maximum(1, np.diff(at)))[:, None]
+        for a in range(0, len(flat), SLOTS):
+            b = min(len(flat), a + SLOTS)
+            own = slice(at[a], at[b])
+            counts = np.bincount((row[own] - a) * WORD + place[own], sign[own], (b - a) * WORD).reshape(b - a, WORD)
+            x[a:b, 2 * PATH : 2 * PATH + WORD] = counts / size[a:b] / 2
     for i, (text, path, leaf, linked) in enumerate(flat):
-        for t in path:
-            x[i, :PATH] += _vector(t)
+        if isinstance(path, Place):
+            x[i, :PATH] = path.vector()
+        else:
+            for t in path:
+                x[i, :PATH] += _vector(t)
         n = len(text)
         x[i, PATH : 2 * PATH] = _vector(f"leaf {leaf}")
         ends = text[-1] in ".!?…\"')"
@@ -205,16 +254,41 @@ class Labeller:
         return g
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Chance of main text for every block; pages of like length go together."""
+        """Chance of main text for every block; pages of like length go together, SLOTS blocks at most or one page."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
-        for a in range(0, len(order), 32):
-            x, mask = _padded([pages[i] for i in order[a : a + 32]])
-            q, _ = self.forward(x, mask)
-            for j, i in enumerate(order[a : a + 32]):
+        a = 0
+        while a < len(order):
+            b = a + 1
+            while b < len(order) and (b - a + 1) * len(pages[order[b]]) <= SLOTS and b - a < 64:
+                b += 1
+            q = self.infer(*_padded([pages[i] for i in order[a:b]]))
+            for j, i in enumerate(order[a:b]):
                 out[i] = q[j, : len(pages[i])]
+            a = b
         return out
 
+    def infer(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The chances that ``forward`` gives, without what a gradient needs: memory for a few steps alone."""
+        n, t, d = x.shape
+        v = self.p["v"]
+        score = x @ v[2 * HIDDEN :] + self.p["c"][0]
+        step = max(1, SLOTS // 4 // n)
+        for k, own in (("f", v[:HIDDEN]), ("b", v[HIDDEN : 2 * HIDDEN])):
+            w, h, c = self.p["w" + k], np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+            parts = range(0, t, step)
+            for a in parts if k == "f" else reversed(parts):
+                b = min(t, a + step)
+                read = x[:, a:b] @ w[:d] + self.p["b" + k]
+                for i in range(a, b) if k == "f" else range(b - 1, a - 1, -1):
+                    g = read[:, i - a] + h @ w[d:]
+                    s = 1 / (1 + np.exp(-np.clip(g[:, : 3 * HIDDEN], -20, 20)))
+                    m = mask[:, i, None]
+                    c = (s[:, HIDDEN : 2 * HIDDEN] * c + s[:, :HIDDEN] * np.tanh(g[:, 3 * HIDDEN :])) * m
+                    h = s[:, 2 * HIDDEN :] * np.tanh(c) * m
+                    score[:, i] += h @ own
+        return 1 / (1 + np.exp(-np.clip(score, -20, 20)))
+
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     t = max(map(len, pages))
@@ -360,8 +434,14 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blocks = [Blocks.of(h) if h else [] for h in b.column("html").to_pylist()]
-            texts = ["\n\n".join(x[0] for x, q in zip(p, label, strict=True) if q >= 0.5) for p, label in zip(blocks, net.label(inputs(blocks)), strict=True)]
+            texts: list[str] = []
+            held: list[list[tuple]] = []
+            for k in range(b.num_rows):
+                h = b.column("html")[k].as_py()
+                held.append(Blocks.of(h) if h else [])
+                if sum(map(len, held)) >= 4 * SLOTS or k + 1 == b.num_rows:
+                    texts += ["\n\n".join(x[0] for x, q in zip(p, label, strict=True) if q >= 0.5) for p, label in zip(held, net.label(inputs(held)), strict=True)]
+                    held = []
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return columns(pages, page_id="long", url="string", html="string").mapInArrow(run, "page_id long, url string, text string")

@@ -6,8 +6,11 @@ their numbers.  Landmark texts of every language span the kernel space, and one-
 rest kernel ridge regression gives each language's weights.  Batches of texts are scored
 as products of their presence matrix with the landmarks and the weights.
 
-The model is fit on a bounded sample of labelled rows, SAMPLE a language at most in
-expectation; all texts are read whole, in training and prediction.
+The model is fit on a bounded sample of labelled rows, SAMPLE a language and TEXTS in all
+at most in expectation; all texts are read whole, in training and prediction.  What is
+broadcast has at most 2**SPACE_BITS rows (n-grams) of MARKS numbers, or of one a language
+where there are more languages than that: 0.5 GB at most for up to 480 languages, and 4
+bytes for each n-gram that a landmark holds and language in practice.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no
 labelled row all are; rows that repeat a doc_id are predicted alike by their text; extra
@@ -28,10 +31,8 @@ from cairn.llm import textvec as tv
 from cairn.llm.store import columns, session
 
 SPACE_BITS = 18
-#: Labelled texts a language (the bound of the sample), landmarks a language, and the ridge.
-SAMPLE, LANDMARKS, RIDGE = 400, 24, 1e-3
-#: More languages than this are refused, as each costs landmarks.
-LANGUAGES = 500
+#: Labelled texts a language, and in all (the bound of the sample); landmarks a language, and in all; the ridge.
+SAMPLE, TEXTS, LANDMARKS, MARKS, RIDGE = 400, 20_000, 24, 480, 1e-3
 _letter = re.compile(r"[^\W\d_]")
 _mark: list[np.ndarray] = []
 
@@ -66,10 +67,15 @@ class Model:
 
     def __init__(self, langs: list[str], grams: list[np.ndarray]):
         self.langs = sorted(set(langs))
+        # Every language has a landmark; beyond MARKS in all, each has as many as fit, one at least.
         marks: list[int] = []
+        each = max(1, min(LANDMARKS, MARKS // len(self.langs)))
+        by: dict[str, list[int]] = {}
+        for i, lang in enumerate(langs):
+            by.setdefault(lang, []).append(i)
         for lang in self.langs:
-            own = [i for i, x in enumerate(langs) if x == lang]
-            marks += own[:: max(1, len(own) // LANDMARKS)][:LANDMARKS]
+            own = by[lang]
+            marks += own[:: max(1, len(own) // each)][:each]
         used = np.unique(np.concatenate([grams[i] for i in marks]))
         self.row = np.full(1 << SPACE_BITS, -1, np.int32)
         self.row[used] = np.arange(len(used))
@@ -79,7 +85,7 @@ class Model:
         k = np.concatenate([self.kernel(grams[a : a + 64]) for a in range(0, len(grams), 64)]).astype(np.float64)
         y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None], 1.0, -1.0)
         # Every language weighs the same, however many texts it has.
-        share = np.array([1 / langs.count(x) for x in self.langs])[np.searchsorted(self.langs, langs)]
+        share = np.array([1 / len(by[x]) for x in self.langs])[np.searchsorted(self.langs, langs)]
         kw = k * (share / share.mean())[:, None]
         self.alpha = np.linalg.solve(kw.T @ k + RIDGE * len(k) * (k[marks] + 1e-6 * np.eye(len(marks))), kw.T @ y).astype(np.float32)
 
@@ -106,12 +112,11 @@ class Model:
 
 def fit(spark: SparkSession, labelled: DataFrame) -> Model | None:
     """A model from labelled(doc_id, text, lang); a hash of doc_id chooses the sample."""
-    counts = labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"there are more than {LANGUAGES} languages")
+    counts = labelled.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return None
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, SAMPLE / r["count"]))])
+    most = min(SAMPLE, max(1, TEXTS // len(counts)))
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, most / r["count"]))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < shares[F.col("lang")] * 1_000_000)
     table = chosen.select("lang", "text").mapInArrow(_featured, "lang string, grams array<int>").toArrow()
     if not table.num_rows:

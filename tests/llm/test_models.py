@@ -142,6 +142,30 @@ def test_html_labels_unseen_layouts():
     assert np.mean(np.concatenate([(a >= 0.5) == y for a, (_, y) in zip(q, made, strict=True)])) > 0.97
 
 
+def test_html_inference_is_the_forward_pass_in_bounded_memory():
+    import tracemalloc
+
+    g, net = html.Generator(9), html.Labeller(3)
+    x = html.inputs([p[0] for p in (g.page() for _ in range(40)) if p[0]])
+    for part in (x[:7], x):
+        padded, mask = html._padded(part)
+        assert np.abs(net.infer(padded, mask) - net.forward(padded, mask)[0])[mask > 0].max() < 1e-4
+    # A page of very many blocks, and one of very deep ones with very many names.
+    page = "<body>" + "<p>one two three" * 100_000
+    deep = "".join(f'<div class="{"a b c " * 9}d{i}">w{i} ' for i in range(3000))
+    tracemalloc.start()
+    blocks = [html.Blocks.of(page), html.Blocks.of(deep), html.Blocks.of("")]
+    q = net.label(html.inputs(blocks))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(p) for p in q] == [100_000, 3000, 0] and most < 600e6, most
+
+
+def test_html_empty_table(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, n_chars string")
+    assert html.extract(spark, none).count() == 0
+
+
 def test_html_gradient():
     net = html.Labeller(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
