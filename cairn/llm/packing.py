@@ -5,7 +5,8 @@ each length from 1 to the capacity, a table of fixed size however many documents
 are.  On it a branch-and-bound search by bin completion runs: take the largest
 remaining piece, enumerate the undominated fillings of the space beside it, and prune
 what wastes more than the best known solution allows.  Best-fit solutions are the
-incumbents.  The answer is a list of patterns with multiplicities; every piece then
+incumbents.  The search is the same for any number of pieces, and it says whether its
+packing is proved to be best or how far from the bound it may be.  The answer is a list of patterns with multiplicities; every piece then
 finds its sequence and offset from its rank among the pieces of its length, row by row.
 
 Defined results: null text is empty and packs as its closing id 0 alone; repeated
@@ -16,11 +17,11 @@ empty result.  Texts are tokenized whole, whatever their length.
 from __future__ import annotations
 
 import bisect
-import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,8 @@ from cairn.llm import textvec as tv
 from cairn.llm.store import Store, columns
 
 CAPACITY = 2048
-#: Search nodes of the branch-and-bound; the best-fit incumbent holds when they run out.
-NODES = 6_000
-#: Up to so many pieces the search takes all at once; else so many bins at a time, and rounds without gain before it ends.
-WHOLE, REPACK, ROUNDS = 250, 12, 25
+#: Fillings that the branch-and-bound tries before its best incumbent stands, and from one to the next best-fit of the rest.
+NODES, TAIL = 12_000, 256
 #: Words that a tokenizing worker remembers before it starts anew, and the size of its lookup tables.
 WORDS, SLOT_BITS = 1_000_000, 20
 
@@ -93,73 +92,132 @@ def _open(open_: dict, free: list[int], room: int, pattern: Pattern, times: int)
     open_[room][pattern] += times
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int, limit: int) -> list[Pattern]:
-    """Undominated sets of lengths that fit in *room* and leave at most *most* of it, fullest first.
+def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int) -> Iterator[Pattern]:
+    """Undominated sets of lengths that fit in *room* and leave at most *most* of it, fullest first, one by one.
 
     A set is dominated if one of its members can be swapped for a larger piece that is
-    still there, or another piece added, without overflowing.
+    still there, or another piece added, without overflowing.  Sums that the lengths from
+    each place on can reach, as bits, lead the way, so no step of it is in vain.
     """
-    out: list[Pattern] = []
-    steps = [0]
-
-    def undominated(chosen: list[int], left: int) -> bool:
-        used = Counter(chosen)
-        for n in lengths:  # descending
-            if n <= left and counts[n] > used[n]:
-                return False
-        return all(not any(c < n <= c + left and counts[n] > used[n] for n in lengths) for c in set(chosen))
-
-    def go(i: int, left: int, chosen: list[int]) -> None:
-        steps[0] += 1
-        if steps[0] > limit * 64 or len(out) >= limit:
+    lengths = [n for n in lengths if n <= room and counts[n]]  # descending
+    mask = (1 << (room + 1)) - 1
+
+    def sums_of(lengths: list[int]) -> list[int]:
+        reach = [1]
+        for n in reversed(lengths):
+            sums, left, step = reach[-1], min(counts[n], room // n), 1
+            while left:
+                take = min(step, left)
+                sums |= (sums << (take * n)) & mask
+                left, step = left - take, 2 * step
+            reach.append(sums)
+        return reach[::-1]
+
+    def of(i: int, total: int) -> Iterator[Pattern]:
+        if not total:
+            yield ()
             return
-        if left <= most and undominated(chosen, left):
-            out.append(tuple(chosen))
-        for j in range(bisect.bisect_left(lengths, -left, lo=i, key=lambda n: -n), len(lengths)):
+        for j in range(bisect.bisect_left(lengths, -total, lo=i, key=lambda n: -n), len(lengths)):
             n = lengths[j]
-            if counts[n] > chosen.count(n):
-                chosen.append(n)
-                go(j, left - n, chosen)
-                chosen.pop()
+            for k in range(min(counts[n], total // n), 0, -1):
+                if reach[j + 1] >> (total - k * n) & 1:
+                    for rest in of(j + 1, total - k * n):
+                        yield (n,) * k + rest
+
+    def undominated(chosen: Pattern, waste: int) -> bool:
+        used = Counter(chosen)
+        return not any(counts[n] > used[n] for c in used for n in range(c + 1, c + waste + 1) if n in counts)
+
+    reach, small = sums_of(lengths), ()
+    for waste in range(0, min(most, room) + 1):
+        # Whatever fits beside the others must be among them, all of it.
+        while lengths and lengths[-1] <= waste:
+            small = (lengths[-1],) * counts[lengths[-1]] + small
+            reach = sums_of(lengths := lengths[:-1])
+            if sum(small) > room - waste:
+                return
+        total = room - waste - sum(small)
+        if total >= 0 and reach[0] >> total & 1:
+            for chosen in of(0, total):
+                if undominated(chosen + small, waste):
+                    yield chosen + small
+
 
-    go(0, room, [])
-    return sorted(set(out), key=lambda p: (-sum(p), len(p), [-n for n in p]))
+class Packing(NamedTuple):
+    """Patterns with their times, the least number of bins that any packing needs, whether no packing has fewer
+    bins than this one for certain, and how many fillings the search has tried."""
 
+    patterns: dict[Pattern, int]
+    bound: int
+    proved: bool
+    tried: int
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> dict[Pattern, int]:
-    """{pattern: times} that packs the histogram into as few bins as the search finds.
 
-    Few pieces are searched as a whole.  Of many, best-fit bins without waste stay, and
-    the search repacks the most wasteful bins together with others, again and again,
-    until the bound on the number of bins is met or ROUNDS bring nothing.
+def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packing:
+    """The histogram packed by bin completion, into no more bins than best-fit takes.
+
+    The largest piece left gets each undominated filling in turn; a filling goes into as
+    many bins as its pieces last for, and on the way back into one.  A branch ends when it
+    wastes more than an improvement may, or a bound on the rest says so.  Best-fit of what
+    is left gives incumbents.  The search ends when the bound on all bins is met, when all
+    branches are done, or when *nodes* fillings were tried.
     """
-    counts = {n: c for n, c in counts.items() if c}
+    counts = Counter({n: c for n, c in counts.items() if c})
+    total, bound = sum(n * c for n, c in counts.items()), lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
-    bound = lower_bound(counts, capacity)
-    if sum(best.values()) == bound:
-        return best
-    if sum(counts.values()) <= WHOLE:
-        return search(counts, capacity, best, nodes)
-    rng, idle = random.Random(7), 0
-    while idle < ROUNDS and sum(best.values()) > bound:
-        by_waste = sorted(best, key=lambda p: (sum(p), p))
-        part: dict[Pattern, int] = {}
-        for p in [*by_waste[:REPACK], *rng.sample(by_waste, min(len(by_waste), REPACK))]:
-            if sum(part.values()) < 2 * REPACK:
-                part[p] = min(best[p], max(1, part.get(p, 0)) if p in part else min(best[p], REPACK // 2))
-        sub: Counter = Counter()
-        for p, t in part.items():
-            for n in p:
-                sub[n] += t
-        better = search(dict(sub), capacity, part, nodes // 20)
-        idle += 1
-        if sum(better.values()) < sum(part.values()):
-            idle = 0
-        merged = Counter(best)
-        merged.subtract(part)
-        merged.update(better)
-        best = {p: t for p, t in merged.items() if t}
-    return best
+    bins, own, tried = sum(best.values()), False, 0
+
+    def children(left: Counter, wasted: int) -> Iterator[tuple[Pattern, int]]:
+        top = max(left)
+        rest = left.copy()
+        rest[top] -= 1
+        lengths = sorted((n for n, c in rest.items() if c), reverse=True)
+        # A solution of the search's own may be as good as the first incumbent; later ones must be better.
+        spare = (bins - own) * capacity - total - wasted
+        for filling in fillings(lengths, rest, capacity - top, max(0, spare)):
+            pattern = (top, *filling)
+            times = min(left[n] // c for n, c in Counter(pattern).items())
+            yield pattern, times
+            if times > 1:
+                yield pattern, 1
+
+    done: list[tuple[Pattern, int]] = []
+    # Frames: pieces left, bins used, waste so far, and the fillings still to try.
+    stack = [(counts, 0, 0, children(counts, 0))] if counts else []
+    while stack and tried < nodes and (bins > bound or not own):
+        left, used, wasted, more = stack[-1]
+        step = next(more, None)
+        del done[len(stack) - 1 :]
+        if step is None:
+            stack.pop()
+            continue
+        tried += 1
+        pattern, times = step
+        after = left.copy()
+        for n in pattern:
+            after[n] -= times
+        after = Counter({n: c for n, c in after.items() if c > 0})
+        now, lost = used + times, wasted + times * (capacity - sum(pattern))
+        done.append(step)
+        if not after:
+            if now < bins + (not own):
+                best, bins, own = dict(_sum(done)), now, True
+            continue
+        if lost > (bins - own) * capacity - total or now + -(-(total - now * capacity + lost) // capacity) > bins - own:
+            continue
+        if tried % TAIL == 0:
+            tail = best_fit(after, capacity)
+            if now + sum(tail.values()) < bins:
+                best, bins, own = dict(_sum([*done, *tail.items()])), now + sum(tail.values()), True
+        stack.append((after, now, lost, children(after, lost)))
+    return Packing(best, bound, bins == bound or not stack, tried)
+
+
+def _sum(steps: Iterable[tuple[Pattern, int]]) -> Counter:
+    out: Counter = Counter()
+    for pattern, times in steps:
+        out[tuple(sorted(pattern, reverse=True))] += times
+    return out
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -176,47 +234,6 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return out
 
 
-def search(counts: dict[int, int], capacity: int, incumbent: dict[Pattern, int], nodes: int) -> dict[Pattern, int]:
-    """Branch and bound by bin completion from an incumbent; at most about *nodes* fillings are tried."""
-    best, bins = incumbent, sum(incumbent.values())
-    total = sum(n * c for n, c in counts.items())
-    bound = lower_bound(counts, capacity)
-    for width in (1, 4, 32):
-        budget = nodes // 3
-        # Depth first without recursion: (left, done, bins so far, waste so far).
-        stack = [(dict(counts), (), 0, 0)]
-        while stack and budget > 0 and bins > bound:
-            left, done, used, wasted = stack.pop()
-            budget -= 1
-            if (bins - 1) * capacity - total < wasted:  # wastes more than an improvement may
-                continue
-            tail = best_fit(left, capacity)
-            if used + sum(tail.values()) < bins:  # a new incumbent
-                merged = Counter(tail)
-                for p, t in done:
-                    merged[p] += t
-                best, bins = dict(merged), used + sum(tail.values())
-            if not left:
-                continue
-            allowed = (bins - 1) * capacity - total - wasted
-            top = max(left)
-            after = dict(left)
-            after[top] -= 1
-            lengths = sorted((n for n, c in after.items() if c), reverse=True)
-            children = []
-            for filling in fillings(lengths, after, capacity - top, allowed, width):
-                need = Counter((top, *filling))
-                waste = capacity - top - sum(filling)
-                # Bins without waste may be taken many at a time; others one by one.
-                times = 1 if waste else min(left[n] // c for n, c in need.items())
-                child = {n: c - need[n] * times for n, c in left.items() if c > need[n] * times}
-                children.append((child, (*done, ((top, *filling), times)), used + times, wasted + waste * times))
-            stack.extend(reversed(children))
-        if bins == bound:
-            break
-    return best
-
-
 def slots(patterns: dict[Pattern, int]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, times, first sequence, offset, each) rows: where the pieces of a length go.
 
@@ -438,7 +455,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = C
     pieces = store.put(docs.mapInArrow(tokenize(tokenizer, capacity), f"{schema}, task int, rank long"), "pieces")
     each = pieces.groupBy("length", "task").agg(F.count("*").alias("c"))
     counts = {r.length: r.c for r in each.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # at most `capacity` rows
-    table = slots(complete(counts, capacity))
+    table = slots(complete(counts, capacity).patterns)
     before = each.select("length", "task", (F.sum("c").over(Window.partitionBy("length").orderBy("task")) - F.col("c")).alias("before"))
     ranked = pieces.join(before, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before")).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(_place(table), f"{schema}, sequence_id long, offset long")

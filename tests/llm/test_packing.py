@@ -37,15 +37,43 @@ def test_search_is_optimal_on_small_sets():
     r = random.Random(2)
     for _ in range(80):
         items = [r.randint(3, 20) for _ in range(r.randint(0, 11))]
-        got = P.complete(dict(Counter(items)), 30)
+        solved = P.complete(dict(Counter(items)), 30)
+        got = solved.patterns
         assert Counter(n for p, t in got.items() for n in p for _ in range(t)) == Counter(items)
         assert all(sum(p) <= 30 for p in got)
-        assert sum(got.values()) == fewest(items, 30)
+        assert sum(got.values()) == fewest(items, 30) and solved.proved
 
 
 def test_fillings_are_undominated():
     counts = {7: 1, 5: 2, 3: 1}
-    assert P.fillings([7, 5, 3], counts, 10, 10, 32) == [(7, 3), (5, 5)]
+    assert list(P.fillings([7, 5, 3], counts, 10, 10)) == [(7, 3), (5, 5)]
+    r = random.Random(5)
+    for _ in range(60):
+        counts = Counter(r.randint(2, 9) for _ in range(7))
+        room = r.randint(3, 25)
+        every = {()}
+        for n, c in sorted(counts.items(), reverse=True):
+            every = {p + (n,) * k for p in every for k in range(c + 1) if sum(p) + n * k <= room}
+        def better(p):
+            rest = counts - Counter(p)
+            return any(sum(p) + n <= room for n in rest) or any(n > c and sum(p) - c + n <= room for c in p for n in rest)
+        got = list(P.fillings(sorted(counts, reverse=True), counts, room, room))
+        assert sorted(got) == sorted(p for p in every if not better(p)) and [sum(p) for p in got] == sorted(map(sum, got), reverse=True)
+
+
+@pytest.mark.parametrize("pieces", [300, 3000, 200_000])
+def test_completion_packs_any_number_of_pieces(pieces):
+    r = np.random.default_rng(pieces)
+    counts = Counter(np.minimum(2048, r.lognormal(5.6, 1.1, pieces).astype(int) + 1).tolist())
+    solved = P.complete(dict(counts), 2048)
+    assert Counter({n: c for n, c in sum((Counter({n: t * k for n, k in Counter(p).items()}) for p, t in solved.patterns.items()), Counter()).items()}) == counts
+    assert all(sum(p) <= 2048 for p in solved.patterns) and 0 < solved.tried <= P.NODES
+    assert sum(solved.patterns.values()) <= sum(P.best_fit(dict(counts), 2048).values()) and sum(solved.patterns.values()) - solved.bound <= 1
+    assert sum(solved.patterns.values()) == solved.bound or not solved.proved
+
+
+def test_ties_and_single_lengths():
+    assert P.complete({10: 7}, 20).patterns == {(10, 10): 3, (10,): 1} and P.complete({}, 20).patterns == {} and P.complete({20: 4}, 20).patterns == {(20,): 4}
 
 
 def test_slots_cover_all_ranks():
