@@ -12,30 +12,35 @@ Before the walks, windows are dropped that share too few word pairs with every i
 their length: an edit breaks two pairs at most, so no match is lost.
 
 Scale: documents are read once, in place, and only matches leave the workers.  What is
-broadcast are the items, whose bytes are checked against a bound; more are taken in
-several passes of bounded size.
+broadcast are the items, whose words are counted against a bound; more are taken in
+several passes of bounded size, with the same result.  A worker builds a pass's tables
+once, for all its tasks.
 
-Defined results: null and empty texts match nothing; items that are null or have fewer
-than ``min_words`` words are left out; of equal items, the smallest item_id stands;
+Defined results: null and empty texts match nothing; items that are null or without a
+word are left out; items of fewer than five words match unedited, as a share of them is
+no whole word; of items with equal words, in whatever pass, the smallest item_id stands;
 repeated doc_ids match by row; extra columns are ignored; an empty table of documents or
 items gives no match.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import textvec as tv
 from cairn.llm.store import columns, session
 
-EDITS, MIN_WORDS = 0.2, 5
+EDITS = 0.2
 #: Sampled places of a walk, and the recall that repetitions must reach for the farthest match.
 PLACES, RECALL = 3, 0.99
 #: Words of all items that one pass carries to the workers (8 bytes each, and tables of that order).
@@ -93,14 +98,18 @@ class Items:
     """The items of one pass with their filters and LSH tables."""
 
     def __init__(self, ids: list[int], texts: list[np.ndarray], edits: float):
-        self.edits, self.ids = edits, ids
+        self.edits = edits
+        # A single word has no pairs; it is found by itself.
+        self.single = sorted((int(w[0]), i) for i, w in zip(ids, texts, strict=True) if len(w) == 1)
+        ids, texts = [i for i, w in zip(ids, texts, strict=True) if len(w) > 1], [w for w in texts if len(w) > 1]
+        self.ids = ids
         self.by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, w in zip(ids, texts, strict=True):
             self.by_length.setdefault(len(w), []).append((i, w))
         self.lengths = np.array([len(w) for w in texts], np.int64)
         self.tables = {n: self._tables(n, [w for _, w in own]) for n, own in self.by_length.items()}
         # Which items have a word pair: a bit for each slot, then (slot, item) rows in order.
-        rows = np.unique(np.concatenate([np.stack([self.pair(w), np.full(len(w) - 1, k)], 1) for k, w in enumerate(texts)]), axis=0)
+        rows = np.unique(np.concatenate([np.zeros((0, 2), np.int64)] + [np.stack([self.pair(w), np.full(len(w) - 1, k)], 1) for k, w in enumerate(texts)]), axis=0)
         self.slots, self.owners = rows[:, 0].copy(), rows[:, 1].copy()
         self.by_item = [np.unique(self.pair(w)) for w in texts]
         self.pairs = np.zeros(1 << FILTER_BITS, bool)
@@ -139,8 +148,9 @@ class Items:
 
     def find(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item_id, first word, words, edits): the best window of each item in each document."""
-        if len(hashes) < 2:
-            return []
+        out = self._singles(hashes, at)
+        if len(hashes) < 2 or not len(self.ids):
+            return out
         inside = np.ones(len(hashes) - 1, bool)
         inside[at[(at > 0) & (at < len(hashes))] - 1] = False  # pairs that cross documents
         slot = self.pair(hashes)
@@ -172,7 +182,18 @@ class Items:
             rows = rows[self._distinct(slot, rows, size)]
             for a in range(0, len(rows), 512):
                 self._confirm(hashes, rows[a : a + 512], size, best)
-        return [(d, i, s, k, e) for (d, i), (e, s, k) in best.items()]
+        return out + [(d, i, s, k, e) for (d, i), (e, s, k) in best.items()]
+
+    def _singles(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Items of one word: the first place in each document that holds it."""
+        if not self.single or not len(hashes):
+            return []
+        keys = np.array([k for k, _ in self.single], tv.U)
+        place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        hits = np.flatnonzero(keys[place] == hashes)
+        doc = np.searchsorted(at, hits, side="right") - 1
+        _, first = np.unique(doc * len(keys) + place[hits], return_index=True)
+        return [(int(doc[f]), self.single[place[hits[f]]][1], int(hits[f]), 1, 0) for f in first]
 
     def _distinct(self, slot: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         """Whether a window has enough different pairs of its item: text that repeats a pair has not."""
@@ -210,9 +231,20 @@ class Items:
                     best[doc, item] = (e, start, stop - start)
 
 
-def _search(ids: list[int], texts: list[np.ndarray], edits: float):
+_built: dict[str, Items] = {}
+
+
+def _items(name: str, words: Broadcast, edits: float) -> Items:
+    """The tables of a pass, built once in each worker, which keeps the last one alone."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Items(*words.value, edits)
+    return _built[name]
+
+
+def _search(name: str, words: Broadcast, edits: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(ids, texts, edits)
+        items = _items(name, words, edits)
         for b in batches:
             hashes, at = words_of(b.column("text").fill_null(""))
             found = items.find(hashes, at)
@@ -225,41 +257,50 @@ def _search(ids: list[int], texts: list[np.ndarray], edits: float):
     return run
 
 
-def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, edits: float = EDITS, min_words: int = MIN_WORDS) -> DataFrame:
+def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
     """doc_id, item_id, first_word, n_words, edits: each item's best window in each document that holds it."""
     session(spark)
     docs = columns(docs, doc_id="long", text="string")
     out: DataFrame | None = None
-    for ids, texts in passes(columns(items, item_id="long", text="string"), min_words):
-        found = docs.where("text is not null").mapInArrow(_search(ids, texts, edits), "doc_id long, item_id long, first_word long, n_words int, edits int")
+    for name, words in passes(columns(items, item_id="long", text="string")):
+        found = docs.where("text is not null").mapInArrow(_search(name, words, edits), "doc_id long, item_id long, first_word long, n_words int, edits int")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, first_word long, n_words int, edits int")
 
 
-def passes(items: DataFrame, min_words: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Items in blocks of at most PASS_WORDS words; of equal texts the smallest id."""
-    once = items.where("text is not null and item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id")).orderBy("item_id")
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        hashes, at = words_of(b.column("text").fill_null(""))
+        words = [hashes[at[i] : at[i + 1]] for i in range(b.num_rows)]
+        keys = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None for w in words]
+        yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(keys, pa.binary()), pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64()))], ["item_id", "key", "words"])
+
+
+def passes(items: DataFrame) -> Iterator[tuple[str, Broadcast]]:
+    """(name, (ids, words)) of items in blocks of at most PASS_WORDS words; of equal words the smallest id."""
+    worded = items.where("item_id is not null").mapInArrow(_worded, "item_id long, key binary, words array<long>").where("key is not null")
+    once = worded.groupBy("key").agg(F.min("item_id").alias("item_id"), F.first("words").alias("words")).orderBy("item_id")
     ids: list[int] = []
     texts: list[np.ndarray] = []
-    seen: set[bytes] = set()
     size = 0
+
+    def block() -> tuple[str, Broadcast]:
+        return uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast((list(ids), list(texts)))  # PASS_WORDS words, or one item
+
     for row in once.toLocalIterator():
-        words, _ = words_of(pa.array([row.text]))
-        if len(words) < min_words or words.tobytes() in seen:
-            continue
+        words = np.array(row.words, np.int64).view(tv.U)
         if texts and size + len(words) > PASS_WORDS:
-            yield ids, texts
-            ids, texts, size, seen = [], [], 0, set()
-        seen.add(words.tobytes())
+            yield block()
+            ids, texts, size = [], [], 0
         ids.append(row.item_id), texts.append(words)
         size += len(words)
     if texts:
-        yield ids, texts
+        yield block()
 
 
-def _without(ids: list[int], texts: list[np.ndarray], edits: float):
+def _without(name: str, words: Broadcast, edits: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(ids, texts, edits)
+        items = _items(name, words, edits)
         for b in batches:
             if b.num_rows:
                 keep = np.ones(b.num_rows, bool)
@@ -273,6 +314,6 @@ def _without(ids: list[int], texts: list[np.ndarray], edits: float):
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
     """*docs* without the rows that hold a benchmark item; all columns stay and nothing is shuffled."""
     session(spark)
-    for ids, texts in passes(columns(items, item_id="long", text="string"), MIN_WORDS):
-        docs = docs.mapInArrow(_without(ids, texts, edits), docs.schema)
+    for name, words in passes(columns(items, item_id="long", text="string")):
+        docs = docs.mapInArrow(_without(name, words, edits), docs.schema)
     return docs

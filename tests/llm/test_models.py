@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.01"
 def test_leaks_are_those_of_brute_force(spark):
     r = random.Random(6)
     vocab = [f"w{i}" for i in range(300)]
-    items = [(i, " ".join(r.choices(vocab, k=r.randint(8, 40)))) for i in range(12)] + [(90, None), (91, "too short"), (92, None)]
+    items = [(i, " ".join(r.choices(vocab, k=r.randint(8, 40)))) for i in range(12)] + [(90, None), (91, "too short"), (92, None), (93, "!!")]
     items.append((50, items[0][1].upper()))
     docs, planted = [], {}
     for d in range(120):
@@ -47,6 +47,20 @@ def test_leaks_are_those_of_brute_force(spark):
     assert contamination.find_leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_short_items_and_passes(spark, monkeypatch):
+    items = [(5, "lone"), (3, "two words"), (4, "Two, WORDS"), (7, "a b c d"), (8, "one two three four five six seven eight nine ten"), (2, "One two three four five six seven eight nine ten!"), (None, "x")]
+    docs = [(1, "the lone wolf"), (2, "two words, two words"), (3, "two other words"), (4, "a b x d a b c d"), (5, "a b c e"), (6, "one two three four five six seven eight nine zzz"), (7, "Lone"), (8, None), (8, "lone lone")]
+    docs = spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, name string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    want = [(1, 5, 1, 0), (2, 3, 0, 0), (4, 7, 4, 0), (6, 2, 0, 1), (7, 5, 0, 0), (8, 5, 0, 0)]
+    for words in (contamination.PASS_WORDS, 3):
+        monkeypatch.setattr(contamination, "PASS_WORDS", words)
+        got = contamination.find_leaks(spark, docs, items).collect()
+        assert sorted((x.doc_id, x.item_id, x.first_word, x.edits) for x in got) == want
+        left = contamination.decontaminate(spark, docs, items)
+        assert left.columns == docs.columns and sorted((x.doc_id, x.text is None) for x in left.collect()) == [(3, False), (5, False), (8, True)]
+
+
 def test_edit_distance():
     def full(a, b):
         row = list(range(len(b) + 1))
