@@ -13,7 +13,8 @@ keys; texts meet their dropped line numbers in one equi-join.
 Defined results: null or empty text is one empty line; a doc_id in several rows counts
 as one document, and a null doc_id as one document of its own; repeated lines within a
 document count once and go or stay together; columns besides doc_id and text pass
-through; an empty table gives an empty result.
+through whatever their names, but for n_lines and n_dropped, which the result's own
+replace; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_d
     """*docs* with text cut to the lines that stay, and n_lines, n_dropped."""
     store = Store(spark, "lines")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    hashed = store.put(hashed_lines(docs, min_chars), "lines")
+    hashed = store.put(hashed_lines(docs.select("doc_id", "text"), min_chars), "lines")
     low, high = hashed.agg(F.min("doc"), F.max("doc")).first()
     runs = Runs(store)
     if low is None:
@@ -115,14 +116,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_d
                 inside = (F.col("doc") <= top) & (F.col("doc") > top - step)
                 runs.add(hashed.where(inside | F.col("doc").isNull() if i == 0 else inside))
     common = store.put(runs.compact().where(F.col("docs") >= min_docs).select(*KEY, "last"), "common")
-    gone = hashed.join(common, KEY).where(~F.col("doc").eqNullSafe(F.col("last")))
-    gone = gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("_gone"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_row", F.xxhash64(text))
-    both = rows.join(gone, rows.doc_id.eqNullSafe(gone.doc) & (rows._row == gone.row), "left")
+    cut = hashed.join(common, KEY).where(~F.col("doc").eqNullSafe(F.col("last")))
+    # The input's columns travel under numbers, so that none of their names can clash.
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    doc, text = names["doc_id"], F.coalesce(names["text"], F.lit(""))
+    cut = cut.groupBy("doc", "row").agg(F.collect_set("pos").alias("gone"))
+    rows = docs.toDF(*names.values()).withColumn("own", F.xxhash64(text))
+    both = rows.join(cut, rows[doc].eqNullSafe(cut.doc) & (rows.own == cut.row), "left")
     lines = F.split(text, "\n", -1)
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
     n = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = {c: rows[f"`{c}`"] for c in docs.columns} | {"text": kept, "n_lines": n, "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    out = {c: F.col(own) for c, own in names.items()} | {"text": kept, "n_lines": n, "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
     return both.select(*[e.alias(c) for c, e in out.items()])

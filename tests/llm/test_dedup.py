@@ -172,6 +172,12 @@ def test_lines(spark):
     assert got == cut(docs, 5)
     assert out.columns == ["doc_id", "text", "n_lines", "n_dropped"]
     assert lines.dedup_lines(spark, df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "'a' AS `_row`", "'b' AS `_gone`", "'c' AS row", "'d' AS `x.y`", "'e' AS doc", "'f' AS own", "'g' AS c1", "'h' AS pos", "'i' AS n_dropped")
+    out = lines.dedup_lines(spark, clash)
+    assert sorted((x.doc_id, x.n_lines, x.n_dropped, x.text) for x in out.collect()) == cut(docs, 5)
+    assert {tuple(x) for x in out.select("_row", "_gone", "row", "`x.y`", "doc", "own", "c1", "pos").collect()} == {tuple("abcdefgh")}
+    long = spark.createDataFrame([(i, "L" * 2_000_000 + f"\n{i}") for i in range(6)], "doc_id long, text string")
+    assert sorted((x.doc_id, x.n_dropped) for x in lines.dedup_lines(spark, long).collect()) == [(i, int(i < 5)) for i in range(6)]
 
 
 def test_runs_meet_each_key_once(spark):
