@@ -163,10 +163,13 @@ def rate(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return docs.select("doc_id", F.lit(0.0).alias("quality"), F.lit(False).alias("kept"))
     labels = Labels(counts)
     share = min(1.0, SAMPLE / sum(counts.values()))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000)
+    # By id and text, so that rows which share either are drawn apart; the limit bounds a table of equal rows.
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000).limit(4 * SAMPLE)
     table = chosen.mapInArrow(_train, "pattern long, x array<float>").toArrow()
+    if not table.num_rows:  # thousands of rows of which the hash drew none: nearly all are alike
+        table = docs.orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE).mapInArrow(_train, "pattern long, x array<float>").toArrow()
     if not table.num_rows:
-        table = docs.limit(SAMPLE).mapInArrow(_train, "pattern long, x array<float>").toArrow()
+        return docs.select("doc_id", F.lit(0.0).alias("quality"), F.lit(False).alias("kept"))
     y = labels.posterior(table.column("pattern").to_numpy())
     x = np.concatenate([c.flatten().to_numpy() for c in table.column("x").chunks]).reshape(len(y), FEATURES)
     w, bias = logistic(x, y) if (y >= 0.5).any() and (y < 0.5).any() else (np.zeros(FEATURES, np.float32), 4.0 if y.mean() >= 0.5 else -4.0)

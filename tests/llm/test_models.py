@@ -127,6 +127,68 @@ def test_quality(spark):
     assert all(x.quality == 0 and not x.kept for x in odd)
 
 
+ODD = "doc_id long, text string, score double, lang_pred string, quality string, severity int, toxic string, kept string"
+
+
+def odd_rows(spark):
+    """Null, empty, very long, repeated and tied rows under clashing columns."""
+    texts = [(1, None), (2, ""), (3, "word and word " * 60_000), (4, "plain words here."), (4, "plain words here."), (None, "plain words here."), (5, "PLAIN!!! *** ###")]
+    return spark.createDataFrame([(*t, 0.5, "x", "y", 7, "z", "w") for t in texts], ODD)
+
+
+def test_learned_operators_on_odd_and_empty_tables(spark):
+    docs = odd_rows(spark)
+    labels = spark.createDataFrame([(3, 0), (4, 1), (4, 0), (5, None), (None, 1), (2, 0)], "doc_id long, toxic int")
+    rated = quality.rate(spark, docs)
+    assert rated.columns == ["doc_id", "quality", "kept"] and rated.count() == 7 and len({x.quality for x in rated.collect() if x.doc_id in (4, None)}) == 1
+    graded = toxicity.grade_texts(spark, docs, toxicity.labelled_texts(docs, labels, "toxic"))
+    assert graded.columns == ["doc_id", "severity", "p_toxic", "toxic"] and graded.count() == 7
+    kept = toxicity.drop_toxic(spark, docs, toxicity.labelled_texts(docs, labels, "toxic"))
+    assert kept.columns == docs.columns
+    told = language.identify(spark, docs, docs.selectExpr("doc_id", "text", "'en' AS lang").where("text <> ''"))
+    assert told.columns == ["doc_id", "lang_pred", "score"] and sorted(x.lang_pred for x in told.collect()) == ["en"] * 5 + ["und"] * 2
+    none = docs.limit(0)
+    assert quality.rate(spark, none).count() == 0 and language.identify(spark, none, none.selectExpr("doc_id", "text", "text AS lang")).count() == 0
+    assert toxicity.grade_texts(spark, none, toxicity.labelled_texts(none, labels, "toxic")).count() == 0
+    assert contamination.decontaminate(spark, none, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+def test_language_kernel_is_that_of_sets():
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdé ") for _ in range(r.randint(1, 60))) for _ in range(40)]
+    grams = [language.features(t) for t in texts]
+    sets = [{f" {t} "[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)} for t in texts]
+    assert [len(g) for g in grams] == [len(s) for s in sets]
+    model = language.Model(["a", "b"] * 20, grams)
+    marks = [i for lang in (0, 1) for i in range(lang, 40, 2)][:40]
+    want = np.array([[len(sets[i] & sets[j]) / np.sqrt(len(sets[i]) * len(sets[j])) for j in marks] for i in range(40)])
+    assert np.abs(model.kernel(grams) - want).max() < 1e-5
+
+
+def test_ordinal_is_the_least_of_its_loss():
+    r = np.random.default_rng(1)
+    x = r.random((400, 5)) < 0.4
+    y = np.clip((x @ np.array([2.0, 1.0, 0.0, -1.0, 0.0]) + r.logistic(size=400)).round().astype(int), 0, 3)
+    rows, cols = np.nonzero(x)
+    fit = toxicity.Ordinal(rows, cols, y, 5)
+    weight = np.where(y > 0, toxicity.WEIGHT, 1.0) / np.where(y > 0, toxicity.WEIGHT, 1.0).sum()
+
+    def loss(w, cuts):
+        edge = np.concatenate([[-40.0], cuts, [40.0]])
+        side = lambda k: 1 / (1 + np.exp(x @ w - edge[k]))
+        return -(weight * np.log(side(y + 1) - side(y))).sum() + toxicity.RIDGE * (w @ w) / 2
+
+    least = loss(fit.w, fit.cuts)
+    for _ in range(200):
+        assert loss(fit.w + 0.1 * r.standard_normal(5), np.sort(fit.cuts + 0.1 * r.standard_normal(3))) > least - 1e-6
+    assert (np.diff(fit.cuts) >= 0).all()
+    words = [np.array([3, 5, 5, 9], np.uint64), np.array([], np.uint64), np.array([9, 1], np.uint64)]
+    model = toxicity.Model(np.array([3, 9], np.uint64), np.array([True, False]), np.array([1, 0, 1, 0]), np.array([0, 1, 2]), np.array([0, 1, 0]))
+    model.fit.w = np.array([2.0, 0.5])
+    at = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    assert model.score(np.concatenate(words), at).tolist() == [2.5, 0.0, 0.5]
+
+
 def test_em_finds_accuracies():
     r = np.random.default_rng(2)
     k = len(quality.LABELLERS)
@@ -248,3 +310,23 @@ def test_pipeline(spark):
         seen.append(docs.count())
         assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == names
     assert seen[0] > seen[1] == seen[2] > seen[3] > seen[4] > 0.6 * seen[0]
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    r = random.Random(3)
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    words = [f"w{i}" for i in range(300)]
+    item = " ".join(r.choices(words, k=20))
+    copy = " ".join(r.choices(words, k=200))
+    line = "a line that many documents share, long enough to count"
+    texts = {i: " ".join(r.choices(words, k=80)) + f"\n{line}" for i in range(10, 20)}
+    texts |= {1: None, 2: "", 3: copy, 4: copy, 5: copy + " more", 6: f"{item} at its start", 7: "short"}
+    rows = [(i, t, None, "s", len(t or "")) for i, t in texts.items()] + [(None, "no id", None, None, None)]
+    for case, own in (("some", rows), ("none", [])):
+        spark.createDataFrame(own, names).write.parquet(f"{tmp_path}/{case}/documents.parquet")
+        spark.createDataFrame([(i, 0, 0) for i in (3, 10, 11)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{case}/labels.parquet")
+        spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/{case}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert sorted({x.doc_id for x in out if x.doc_id is not None}) == sorted(set(texts) - {4, 5, 6})
+    assert sum(x.doc_id is None for x in out) == 1 and len({x.sequence_id for x in out}) == -(-sum(x.length for x in out) // 2048)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
