@@ -167,9 +167,9 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packi
     best = best_fit(counts, capacity)
     bins, own, tried = sum(best.values()), False, 0
 
-    def children(left: Counter, wasted: int) -> Iterator[tuple[Pattern, int]]:
-        top = max(left)
-        rest = left.copy()
+    def children(left: Counter[int], wasted: int) -> Iterator[tuple[Pattern, int]]:
+        top = max(n for n, c in left.items() if c)
+        rest = Counter({n: c for n, c in left.items() if c})
         rest[top] -= 1
         lengths = sorted((n for n, c in rest.items() if c), reverse=True)
         # A solution of the search's own may be as good as the first incumbent; later ones must be better.
@@ -181,36 +181,46 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packi
             if times > 1:
                 yield pattern, 1
 
+    # The way from the root: its steps, and how many children of each node on it were tried.  One table of what is
+    # left goes down and up with it; a node's fillings are listed anew on the way back.
+    left, used, wasted, pieces = counts.copy(), 0, 0, sum(counts.values())
     done: list[tuple[Pattern, int]] = []
-    # Frames: pieces left, bins used, waste so far, and the fillings still to try.
-    stack = [(counts, 0, 0, children(counts, 0))] if counts else []
-    while stack and tried < nodes and (bins > bound or not own):
-        left, used, wasted, more = stack[-1]
+    turns, more = [0] if counts else [], None
+    while turns and tried < nodes and (bins > bound or not own):
+        if more is None:
+            more = children(left, wasted)
+            for _ in range(turns[-1]):
+                next(more, None)
         step = next(more, None)
-        del done[len(stack) - 1 :]
-        if step is None:
-            stack.pop()
-            continue
-        tried += 1
-        pattern, times = step
-        after = left.copy()
-        for n in pattern:
-            after[n] -= times
-        after = Counter({n: c for n, c in after.items() if c > 0})
-        now, lost = used + times, wasted + times * (capacity - sum(pattern))
-        done.append(step)
-        if not after:
-            if now < bins + (not own):
-                best, bins, own = dict(_sum(done)), now, True
-            continue
-        if lost > (bins - own) * capacity - total or now + -(-(total - now * capacity + lost) // capacity) > bins - own:
-            continue
-        if tried % TAIL == 0:
-            tail = best_fit(after, capacity)
-            if now + sum(tail.values()) < bins:
-                best, bins, own = dict(_sum([*done, *tail.items()])), now + sum(tail.values()), True
-        stack.append((after, now, lost, children(after, lost)))
-    return Packing(best, bound, bins == bound or not stack, tried)
+        turns[-1] += 1
+        back = step is None
+        if not back:
+            tried += 1
+            pattern, times = step
+            for n in pattern:
+                left[n] -= times
+            done.append(step)
+            used, wasted, pieces = used + times, wasted + times * (capacity - sum(pattern)), pieces - times * len(pattern)
+            if not pieces:
+                if used < bins + (not own):
+                    best, bins, own = dict(_sum(done)), used, True
+            elif wasted <= (bins - own) * capacity - total and used - (-(total - used * capacity + wasted) // capacity) <= bins - own:
+                if tried % TAIL == 0:
+                    tail = best_fit({n: c for n, c in left.items() if c}, capacity)
+                    if used + sum(tail.values()) < bins:
+                        best, bins, own = dict(_sum([*done, *tail.items()])), used + sum(tail.values()), True
+                turns.append(0)
+                more = None
+                continue
+        else:
+            turns.pop()
+            more = None
+        if done and (turns or not back):
+            pattern, times = done.pop()
+            for n in pattern:
+                left[n] += times
+            used, wasted, pieces = used - times, wasted - times * (capacity - sum(pattern)), pieces + times * len(pattern)
+    return Packing(best, bound, bins == bound or not turns, tried)
 
 
 def _sum(steps: Iterable[tuple[Pattern, int]]) -> Counter:
