@@ -46,57 +46,59 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class Runs:
-    """Sorted runs (h1, h2, docs, last), by levels."""
+    """Sorted runs (h1, h2, docs, last), by levels.
+
+    All runs are dealt by key into the same buckets and sorted within each, so that a new
+    batch meets them by merge joins that neither move nor sort a run: a task reads one
+    bucket of each.  Only compaction deals the rows of its runs anew.
+    """
 
     def __init__(self, store: Store, fanout: int = FANOUT):
         self.store, self.fanout = store, fanout
         self.levels: list[list[DataFrame]] = []
 
-    def _all(self) -> DataFrame | None:
-        out = None
-        for run in (r for level in self.levels for r in level):
-            out = run if out is None else out.unionByName(run)
-        return out
+    def _all(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
     def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
-            merged = self.store.put(_merged(self._union(self.levels[level])), f"level{level + 1}")
+            merged = self.store.put_bucketed(_merged(self.levels[level]), f"level{level + 1}", *KEY)
             self.store.drop(*self.levels[level])
             self.levels[level] = []
             self._push(level + 1, merged)
 
-    @staticmethod
-    def _union(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out
-
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take in batch(h1, h2, doc); returns its new keys, those that no run had."""
+        """Take in batch(h1, h2, doc); returns its new keys, those that no run had (to be read before the next batch)."""
         own = batch.select(*KEY, "doc").distinct().groupBy(*KEY).agg(F.count("*").alias("docs"), F.max("doc").alias("last"))
-        own = self.store.put(own, "batch")
+        own = self.store.put_bucketed(own, "batch", *KEY)
         seen = self._all()
-        if seen is None:
-            new, rows = own, own
-        else:
-            new = self.store.put(own.join(seen.select(*KEY).hint("merge"), KEY, "left_anti"), "new")  # outlives the runs
-            old = own.join(seen.select(*KEY).hint("merge"), KEY, "left_semi").withColumn("last", F.lit(None).cast("long"))
-            rows = new.unionByName(old)
-        self._push(0, self.store.put(rows.sortWithinPartitions(*KEY), "run"))
+        if not seen:
+            self._push(0, own)
+            return own
+        new = own
+        for run in seen:
+            new = new.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+        new = self.store.put_bucketed(new, "new", *KEY)
+        # Keys met before only add to the count; their keeper is in an earlier run.
+        fresh = new.select(*KEY, F.lit(True).alias("fresh")).hint("merge")
+        rows = own.join(fresh, KEY, "left").select(*KEY, "docs", F.when(F.col("fresh"), F.col("last")).alias("last"))
+        self._push(0, self.store.put_bucketed(rows, "run", *KEY))
+        self.store.drop(own)
         return new
 
     def compact(self) -> DataFrame:
         """All runs as one: every key with its documents and the largest of them."""
-        seen = self._all()
-        return _merged(seen)
+        return _merged(self._all())
 
 
-def _merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("last").alias("last")).sortWithinPartitions(*KEY)
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    rows = runs[0]
+    for run in runs[1:]:
+        rows = rows.unionByName(run)
+    return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

@@ -127,7 +127,7 @@ def _links(store: Store, docs: DataFrame, first: DataFrame, k: int, threshold: i
     active = store.put(rows.join(shared.select("bucket", "low", "m"), "bucket"), "buckets")
     candidates = active.select(F.col("node").alias("doc_id")).distinct()
     # Bucketed by node: comparisons move their few rows to the sets.
-    sets = store.put_bucketed(docs.join(candidates, "doc_id", "left_semi").mapInArrow(_full(k), "node long, members array<long>"), "node", "sets")
+    sets = store.put_bucketed(docs.join(candidates, "doc_id", "left_semi").mapInArrow(_full(k), "node long, members array<long>"), "sets", "node")
 
     # Each node and the leader that most of its buckets have, of leaders of a size that can link.
     near = (F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold)

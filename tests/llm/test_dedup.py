@@ -189,6 +189,16 @@ def test_runs_meet_each_key_once(spark):
     assert {x.h1: x.docs for x in runs.compact().collect()} == {1: 2, 2: 2, 3: 2, 4: 2, 5: 1, 6: 1}
 
 
+def test_runs_are_met_in_place(spark):
+    runs = lines.Runs(Store(spark, "t"), fanout=9)
+    for part in ([1, 2, 3], [2, 3, 4], [3, 4, 5]):
+        runs.add(spark.createDataFrame([(k, 0, k) for k in part], "h1 long, h2 long, doc long"))
+    one, two, _ = runs._all()
+    text = one.join(two.select(*lines.KEY).hint("merge"), lines.KEY, "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Sort [" not in text and "Bucketed: true" in text
+    assert sorted(tuple(x) for x in runs.compact().collect()) == [(1, 0, 1, 1), (2, 0, 2, 2), (3, 0, 3, 3), (4, 0, 2, 4), (5, 0, 1, 5)]
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "K_MOST", 12)
     monkeypatch.setattr(neighbours, "K", 6)
