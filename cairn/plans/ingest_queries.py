@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.plans import resolve
-from cairn.plans.adapters import views, with_clause
+from cairn.plans import build, resolve
+from cairn.plans.adapters import path_of, views, with_clause
 from cairn.plans.catalog_queries import ORACLE, QUERIES, D, R, S, query
 from cairn.sources import extract, scan, store
+from cairn.sources.scratch import Scratch
 from cairn.streaming.activity import activity
 
 _EXT = "CASE regexp_extract(logical_path, '\\.([^./]+)$', 1) WHEN 'py' THEN 'python' WHEN 'sh' THEN 'shell' WHEN 'txt' THEN 'text' ELSE 'unknown' END"
@@ -71,6 +72,37 @@ def _t21(s):
     return resolve.changes(old, new)
 
 
+def _snapshot(s: DataFrame, second: bool) -> tuple[DataFrame, build.Reader]:
+    """A listing of *s* and a reader of it.  The second differs in files, times and texts, and some files in it cannot be read."""
+    own = s.where("id % 9 <> 0") if second else s.where("id % 10 <> 0")
+    mtime = F.expr("mtime + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END") if second else F.col("mtime")
+    listed = own.select("logical_path", "size", mtime.alias("mtime"), F.lit(None).cast("string").alias("symlink_target"))
+    goes_to = F.expr(f"CASE WHEN id % 14 = 0 THEN {path_of('(id + 2)')} ELSE {path_of('(id + 1)')} END" if second else path_of("(id + 1)"))
+    text = F.concat(F.lit("run "), goes_to, F.lit("\n"), F.col("content"))
+    lost = (F.col("id") % 77 == 0) & F.lit(second)
+    texts = own.select("logical_path", F.when(~lost, text).alias("content"), F.when(lost, "denied").alias("error")).withColumn("content_hash", F.sha2("content", 256))
+    return listed, lambda wanted: texts.join(wanted.select("logical_path"), "logical_path", "left_semi")
+
+
+@query("t21_incremental_build", [S], f""", l AS (SELECT id, logical_path, mtime, id % 10 <> 0 AS known, id % 9 <> 0 AS here FROM scripts),
+h AS (SELECT *, CASE WHEN NOT here THEN 'removed' WHEN known AND id % 7 <> 0 THEN 'same' WHEN id % 77 = 0 THEN CASE WHEN known THEN 'kept' ELSE 'lost' END WHEN NOT known THEN 'added' WHEN id % 14 = 0 THEN 'changed' ELSE 'touched' END AS how FROM l WHERE known OR here)
+SELECT h.logical_path, h.how, CASE WHEN h.how IN ('removed', 'lost') THEN NULL ELSE h.mtime + CASE WHEN h.id % 7 = 0 AND h.how <> 'kept' THEN 1 ELSE 0 END END AS mtime, t.logical_path AS target
+FROM h LEFT JOIN h t ON t.how NOT IN ('removed', 'lost') AND t.id % 3 <> 2 AND t.id = h.id + CASE WHEN h.id % 14 = 0 AND h.how <> 'kept' THEN 2 ELSE 1 END AND h.how NOT IN ('removed', 'lost')""")
+def _t21b(s):
+    """Two builds of a catalog that changes between them: what became of each file, and the edges of the second build."""
+    spark, keep = s.sparkSession, Scratch(s.sparkSession, "catalog")
+    names = ("20240101T000000", "20240102T000000")
+    made = build.increment(spark, *_snapshot(s, False), None, names[0], 0.0)
+    store.publish(spark, keep.root, {n: made[n] for n in ("scripts", "facts")}, names[0])
+    made = build.increment(spark, *_snapshot(s, True), store.open_catalog(spark, keep.root), names[1], 0.0)
+    store.publish(spark, keep.root, {n: made[n] for n in ("scripts", "dependencies", "facts")}, names[1])
+    now = store.open_catalog(spark, keep.root)
+    scripts = now["scripts"].select("id", "logical_path", "mtime")
+    edges = now["dependencies"].where("kind = 'referenced'").select(F.col("script_id").alias("id"), "resolved_script_id")
+    target = scripts.select(F.col("id").alias("resolved_script_id"), F.col("logical_path").alias("target"))
+    return made["changes"].drop("error").join(scripts, "logical_path", "left").join(edges, "id", "left").join(target, "resolved_script_id", "left").select("logical_path", "how", "mtime", "target")
+
+
 @query("snk2_csv_lines", [S], "SELECT concat_ws(',', logical_path, CASE WHEN regexp_matches(coalesce(tags, ''), '[\",]') THEN concat('\"', replace(tags, '\"', '\"\"'), '\"') ELSE coalesce(tags, '') END, coalesce(owner, '')) AS value FROM scripts")
 def _snk2(s):
     return store.csv_lines(s, ["path", "tags", "owner"])

@@ -18,6 +18,22 @@ _DDL = {
 }
 _TYPES = {"long": LongType(), "int": IntegerType(), "double": DoubleType(), "string": StringType(), "array<float>": ArrayType(FloatType())}
 TABLES: dict[str, StructType] = {name: StructType([StructField(c, _TYPES[t]) for c, t in (x.split() for x in ddl.split(", "))]) for name, ddl in _DDL.items()}
+
+def _structs(ddl: str) -> ArrayType:
+    return ArrayType(StructType([StructField(c, _TYPES[t]) for c, t in (x.split() for x in ddl.split(", "))]))
+
+
+#: What extraction found in a script, by path and as found: ids and resolved names are made anew by each build.
+FACTS = StructType(
+    [StructField(c, StringType()) for c in ("logical_path", "purpose", "owner", "related", "metadata_json")]
+    + [StructField(c, ArrayType(StringType())) for c in ("imports", "refs", "yaml_refs")]
+    + [
+        StructField("declared", _structs("kind string, value string")),
+        StructField("definitions", _structs("name string, kind string, line int, docstring string, decorators string")),
+        StructField("calls", _structs("caller string, callee string, line int, target string")),
+    ]
+)
+TABLES["facts"] = FACTS
 #: Columns that identify a row; publishing checks them.
-KEYS = {"scripts": ["logical_path"], "dependencies": ["script_id", "depends_on_path", "kind"], "revisions": ["physical_path"], "function_definitions": ["script_id", "kind", "name", "line"], "index_metadata": ["id"], "script_embeddings": ["script_id"]}
+KEYS = {"scripts": ["logical_path"], "dependencies": ["script_id", "depends_on_path", "kind"], "revisions": ["physical_path"], "function_definitions": ["script_id", "kind", "name", "line"], "index_metadata": ["id"], "script_embeddings": ["script_id"], "facts": ["logical_path"]}
 KINDS = ("import", "referenced", "parentfile", "childfile", "inputfile", "outputfile", "paramfile")

@@ -334,10 +334,10 @@ def yaml_references(text: str) -> list[str]:
     return _once(out)
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, key: str = "long") -> DataFrame:
     """files(id, logical_path, language, content ...) with purpose, owner, related, metadata_json and arrays of facts."""
     schema = (
-        "id long, purpose string, owner string, related string, metadata_json string, imports array<string>, refs array<string>, yaml_refs array<string>,"
+        f"id {key}, purpose string, owner string, related string, metadata_json string, imports array<string>, refs array<string>, yaml_refs array<string>,"
         " declared array<struct<kind:string,value:string>>, definitions array<struct<name:string,kind:string,line:int,docstring:string,decorators:string>>,"
         " calls array<struct<caller:string,callee:string,line:int,target:string>>"
     )

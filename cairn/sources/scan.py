@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -138,26 +139,62 @@ def walk(roots: dict[str, str], extra_ignores: list[str] = ()) -> Scan:
     return out
 
 
-def read_files(spark: SparkSession, found: Scan) -> DataFrame:
-    """logical_path, size, mtime, symlink_target, content, content_hash, head: file contents, read by the workers.
+def read_files(listed: DataFrame) -> DataFrame:
+    """logical_path, content, content_hash, error of listed(logical_path, physical_path, size), read by the workers.
 
-    The folders must be mounted on all workers.  Files over MOST_BYTES and unreadable ones give no row.
+    The folders must be mounted on all workers.  A file that is over MOST_BYTES or cannot be
+    read has no content, and an error that says why.
     """
-    paths = spark.createDataFrame([(f[1], f[2], f[3], f[4], f[5]) for f in found.files], "logical_path string, physical_path string, size long, mtime double, symlink_target string")
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
+            for r in pdf.itertuples(index=False):  # a row a file: one content at a time is held
+                content = digest = error = None
+                try:
+                    if r.size > MOST_BYTES:
+                        error = f"larger than {MOST_BYTES} bytes"
+                    else:
+                        with open(r.physical_path, "rb") as f:
+                            raw = f.read()
+                        content, digest = raw.decode("utf-8", "replace"), hashlib.sha256(raw).hexdigest()
+                except OSError as e:
+                    error = e.strerror or type(e).__name__
+                yield pd.DataFrame([(r.logical_path, content, digest, error)], columns=["logical_path", "content", "content_hash", "error"])
+
+    return listed.select("logical_path", "physical_path", "size").mapInPandas(run, "logical_path string, content string, content_hash string, error string")
+
+
+def newest(spark: SparkSession, roots: dict[str, str]) -> float | None:
+    """The latest time, in seconds, of all files below the roots, of their folders and of checkout folders; None without any.
+
+    Files are listed by Spark, whose scan knows their times without reading them; what
+    lies inside a checkout folder does not count, but the folder itself does, as its time
+    moves when a checkout comes or goes.  The workers stat each folder above a file once.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
+    # A path as Spark shows it is a URI, without its scheme and percent codes a mounted path.
+    path = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    rows = files.select(path.alias("path"), F.unix_micros("_metadata.file_modification_time").alias("at"))
+    kept = F.regexp_extract("path", rf"^(.*?/(?:{'|'.join(CHECKOUT_DIRS)}))/", 1)
+    rows = rows.select(F.when(kept != "", kept).otherwise(F.col("path")).alias("path"), F.when(kept == "", F.col("at")).alias("at"), (kept != "").alias("container"))
+    folder = F.when(F.col("container"), F.col("path")).otherwise(F.regexp_replace("path", "/[^/]*$", ""))
+    parts = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    folders = rows.select(folder.alias("folder")).distinct().select(F.explode(above).alias("folder")).distinct()
+    inside = [F.col("folder") == r.rstrip("/") for r in roots] + [F.col("folder").startswith(r.rstrip("/") + "/") for r in roots]
+
+    def times(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for f in pdf["folder"]:
                 try:
-                    with open(r.physical_path, "rb") as f:
-                        raw = f.read()
+                    found.append(os.stat(f).st_mtime_ns // 1000)
                 except OSError:
                     continue
-                rows.append((r.logical_path, r.size, r.mtime, r.symlink_target, raw.decode("utf-8", "replace"), hashlib.sha256(raw).hexdigest()))
-            yield pd.DataFrame(rows, columns=["logical_path", "size", "mtime", "symlink_target", "content", "content_hash"])
+            yield pd.DataFrame({"at": found}, dtype="int64")
 
-    return paths.where(F.col("size") <= MOST_BYTES).mapInPandas(run, "logical_path string, size long, mtime double, symlink_target string, content string, content_hash string")
+    below = folders.where(reduce(lambda a, b: a | b, inside)).mapInPandas(times, "at long")
+    latest = rows.select("at").unionByName(below).agg(F.max("at")).first()[0]
+    return None if latest is None else latest / 1e6
 
 
 def sample(content: Column, language: Column) -> Column:
@@ -166,6 +203,11 @@ def sample(content: Column, language: Column) -> Column:
     return F.when(language.isin(*SAMPLED) & (F.size(F.split(content, "\n")) > SAMPLE_LINES), first).otherwise(content)
 
 
+def may_be_script(path: Column) -> Column:
+    """Whether a file of that name is a script, or may be one by its first line."""
+    return extension(F.substring_index(path, "/", -1)).isin("", *EXTENSIONS)
+
+
 def classify(files: DataFrame) -> DataFrame:
     """files with language, and class: script, revision (a named copy beside its script, or of a known type), or skip."""
     name = F.substring_index("logical_path", "/", -1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ def builds(spark: SparkSession, root: str) -> list[str]:
     return sorted(n for n in names if n.startswith("build="))
 
 
+def built_at(name: str) -> float:
+    """Seconds of a build's name (yyyymmddThhmmss, UTC)."""
+    return datetime.strptime(name, "%Y%m%dT%H%M%S").replace(tzinfo=timezone.utc).timestamp()
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """The table's columns in order, cast; missing ones are null."""
     return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in TABLES[name].fields])

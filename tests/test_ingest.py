@@ -1,4 +1,7 @@
+import hashlib
 import json
+import os
+from datetime import datetime, timezone
 
 import pytest
 
@@ -67,7 +70,7 @@ def catalog(spark, tmp_path_factory):
         (top / name).write_text(text)
     out = str(tmp_path_factory.mktemp("out") / "catalog")
     for n in ("20240101T000000", "20240102T000000"):
-        build.build(spark, {str(top): "/cat"}, out, n, now=2e9, keep=2)
+        build.build(spark, build.Settings({str(top): "/cat"}), out, n, now=2e9, keep=2)
     return store.open_catalog(spark, out), out
 
 
@@ -144,3 +147,107 @@ def test_stream_is_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("select * from days").collect())) == sorted(map(tuple, activity(feed).collect())) == [("20240101", 1), ("20240102", 1), ("20240109", 1)]
+
+
+def _listing(files, times, sizes=None):
+    rows = [(p, len(t) if t is not None else 7, float(times.get(p, 1.0)), None) for p, t in files.items()]
+    return rows, "logical_path string, size long, mtime double, symlink_target string"
+
+
+def _reader(spark, files, asked):
+    def read(listed):
+        asked.append(listed)
+        rows = [(p, t, None if t is None else hashlib.sha256(t.encode()).hexdigest(), "gone" if t is None else None) for p, t in files.items()]
+        texts = spark.createDataFrame(rows, "logical_path string, content string, content_hash string, error string")
+        return texts.join(listed.select("logical_path"), "logical_path")
+
+    return read
+
+
+def test_incremental_build_equals_a_full_one(spark, tmp_path):
+    first = {f"/r/d{i % 3}/m{i}.py": f"import m{(i + 1) % 12}\ndef f{i}():\n    m{(i + 1) % 12}.f{(i + 1) % 12}()\n" for i in range(12)}
+    first |= {"/r/run.sh": "#!/bin/sh\nsh d0/m0.py ./d1/m1.py\n", "/r/run.sh_20240101_1200_kim": "old", "/r/tool": "#!/usr/bin/env bash\n. run.sh\n", "/r/notes.md": "x", "/r/gone.py": "import m1\n", "/r/locked.sh": "sh d2/m2.py\n"}
+    second = dict(first)
+    del second["/r/gone.py"], second["/r/d1/m1.py"]
+    second |= {"/r/d2/m2.py": "import m5\ndef g():\n    pass\n", "/r/m1.py": "def f1():\n    pass\n", "/r/locked.sh": None, "/r/never.sh": None}
+    times = {"/r/d2/m2.py": 5.0, "/r/run.sh": 6.0, "/r/m1.py": 5.0, "/r/locked.sh": 8.0, "/r/never.sh": 8.0}
+    made = build.increment(spark, spark.createDataFrame(*_listing(first, {})), _reader(spark, first, []), None, "20240101T000000", 1e9)
+    out = str(tmp_path / "c")
+    store.publish(spark, out, {n: t for n, t in made.items() if n != "changes"}, "20240101T000000", "a.b")
+    asked = []
+    old = store.open_catalog(spark, out)
+    some = build.increment(spark, spark.createDataFrame(*_listing(second, times)), _reader(spark, second, asked), old, "20240102T000000", 1e9)
+    how = {r.logical_path: r.how for r in some["changes"].collect()}
+    want = {p: "same" for p in second if not p.endswith((".md", "_kim"))}
+    want |= {"/r/d2/m2.py": "changed", "/r/run.sh": "touched", "/r/m1.py": "added", "/r/locked.sh": "kept", "/r/never.sh": "lost", "/r/gone.py": "removed", "/r/d1/m1.py": "removed"}
+    assert how == want
+    assert {r.logical_path for r in asked[0].collect()} == {"/r/d2/m2.py", "/r/run.sh", "/r/m1.py", "/r/locked.sh", "/r/never.sh"}
+    assert {r.error for r in some["changes"].where("how in ('kept', 'lost')").collect()} == {"gone"}
+    # A full build over the same files, in which the locked one can still be read as it was.
+    readable = {p: first["/r/locked.sh"] if p == "/r/locked.sh" else t for p, t in second.items()}
+    whole = build.increment(spark, spark.createDataFrame(*_listing(readable, {p: t for p, t in times.items() if p != "/r/locked.sh"})), _reader(spark, readable, []), None, "20240102T000000", 1e9)
+    for name in ("scripts", "dependencies", "revisions", "function_definitions", "function_calls", "facts"):
+        a, b = (sorted(map(str, t[name].select(*sorted(t[name].columns)).collect())) for t in (some, whole))
+        assert a == b, name
+    # An edge that went to the removed script goes to the one that now has its name.
+    target = {r.id: r.logical_path for r in some["scripts"].collect()}
+    edges = {(target[r.script_id], r.depends_on_path): target.get(r.resolved_script_id) for r in some["dependencies"].collect()}
+    assert edges["/r/d0/m0.py", "m1"] == "/r/m1.py" and edges["/r/d2/m2.py", "m5"] == "/r/d2/m5.py"
+
+
+def test_build_skips_and_carries(spark, tmp_path, monkeypatch):
+    top = tmp_path / "src"
+    (top / "sub/DEVELOP").mkdir(parents=True)
+    (top / "a.py").write_text("import b\n")
+    (top / "sub/b.py").write_text("def run(): pass\n")
+    (top / "sub/DEVELOP/b.py_20240101_kim").write_text("x")
+    out, settings = str(tmp_path / "c"), build.Settings({str(top): "/r"})
+    now = max(os.stat(p).st_mtime for p in top.rglob("*"))
+    names = [datetime.fromtimestamp(int(now) + 10 * i, timezone.utc).strftime("%Y%m%dT%H%M%S") for i in range(1, 5)]
+    assert build.build(spark, settings, out, names[0], now) == f"{out}/build={names[0]}"
+    extracted = []
+    extract = build.facts_of
+    monkeypatch.setattr(build, "facts_of", lambda scripts: extracted.append(sorted(r.logical_path for r in scripts.collect())) or extract(scripts))
+    assert build.build(spark, settings, out, names[1], now) is None and extracted == []
+    # Other settings: everything derived is made anew, but no file is extracted again.
+    assert build.build(spark, build.Settings({str(top): "/r"}, manifest=("/r/a.py",)), out, names[1], now) and extracted == [[]]
+    monkeypatch.setattr(build, "EXTRACTOR_REVISION", 2)
+    assert build.build(spark, settings, out, names[2], now) and extracted[1:] == [["/r/a.py", "/r/sub/b.py"]]
+    later = int(now) + 35
+    os.utime(top / "a.py", (later, later))
+    assert build.build(spark, settings, out, names[3], now) and extracted[2:] == [[]]
+    assert store.open_catalog(spark, out)["scripts"].where(f"mtime = {later}").count() == 1
+
+
+def test_newest_time(spark, tmp_path):
+    top = tmp_path / "a b+c%20"
+    (top / "x/DEVELOP/deep").mkdir(parents=True)
+    (top / "x/f.py").write_text("1")
+    (top / "x/DEVELOP/deep/f.py_20240101_kim").write_text("1")
+    for i, p in enumerate((top / "x/f.py", top / "x/DEVELOP/deep/f.py_20240101_kim", top / "x/DEVELOP/deep", top / "x/DEVELOP", top / "x", top)):
+        os.utime(p, (1000 + i, 1000 + i))
+    roots = {str(top): "/r"}
+    assert scan.newest(spark, roots) == 1005
+    os.utime(top / "x/DEVELOP", (2000, 2000))  # a checkout came or went
+    assert scan.newest(spark, roots) == 2000
+    os.utime(top / "x/DEVELOP/deep/f.py_20240101_kim", (3000, 3000))  # what it holds does not count
+    assert scan.newest(spark, roots) == 2000
+    os.utime(top / "x/f.py", (4000.5, 4000.5))
+    assert scan.newest(spark, roots) == 4000.5
+    assert build.up_to_date(4000.5, 4001, "a", "a") and not build.up_to_date(4000.5, 4000, "a", "a") and not build.up_to_date(None, 9, "a", "a") and not build.up_to_date(1, 9, "a", "b")
+
+
+def test_fingerprint_halves():
+    base = build.Settings({"/a": "/r"})
+    for other in (build.Settings({"/b": "/r"}), build.Settings({"/a": "/r"}, ("*.log",)), build.Settings({"/a": "/r"}, systems={"/a": "AIX"}), build.Settings({"/a": "/r"}, manifest=("/r/x",))):
+        a, b = base.fingerprint().split("."), other.fingerprint().split(".")
+        assert a[0] == b[0] and a[1] != b[1]
+
+
+def test_unreadable_and_large_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan, "MOST_BYTES", 10)
+    for name, text in (("a.py", "1"), ("big.py", "x" * 11)):
+        (tmp_path / name).write_text(text)
+    rows = [(f"/r/{n}", str(tmp_path / n), z) for n, z in (("a.py", 1), ("big.py", 11), ("none.py", 1))]
+    got = {r.logical_path: (r.content, r.error) for r in scan.read_files(spark.createDataFrame(rows, "logical_path string, physical_path string, size long")).collect()}
+    assert got == {"/r/a.py": ("1", None), "/r/big.py": (None, "larger than 10 bytes"), "/r/none.py": (None, "No such file or directory")}
