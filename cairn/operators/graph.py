@@ -62,12 +62,34 @@ def callers(scripts: DataFrame, definitions: DataFrame, calls: DataFrame, path:
 
 
 def all_callers(scripts: DataFrame, definitions: DataFrame, calls: DataFrame) -> DataFrame:
-    """name, logical_path, caller, line, at (the definition's line): as callers, of every definition given."""
-    own = definitions.select(F.col("script_id").alias("resolved_target_script_id"), "name", F.col("line").alias("at"))
+    """name, logical_path, caller, line, at (the definition's line): as callers, of every definition given.
+
+    A call belongs to a name that it is, or that ends it after a dot, where _ in the name
+    stands for any character and % for any characters.  Calls are exploded by their
+    dotted ends, and an end meets a name by its text: for the names with _, an end is first
+    overlaid with the few shapes (places of _) that names of its length have in the target
+    script.  So no call is compared with names one by one, but for names with %.
+    """
+    own = definitions.select(F.col("script_id").alias("target"), "name", ascii_lower(F.col("name")).alias("text"), F.col("line").alias("at"))
+    made = calls.where("resolved_target_script_id is not null").select(F.col("resolved_target_script_id").alias("target"), "script_id", "caller", "callee", "line").distinct()
+    shown = [F.col(c) for c in ("script_id", "caller", "line", "name", "at")]
+    exact = made.join(own.select("target", "name", "at", F.col("name").alias("callee")), ["target", "callee"]).select(*shown)
+    # Every text after a dot, with what precedes it gone.
+    lower = ascii_lower(F.col("callee"))
+    dots = F.filter(F.sequence(F.lit(1), F.char_length(lower)), lambda i: F.substring(lower, i, F.lit(1)) == ".")
+    ends = made.where(F.contains("callee", F.lit("."))).select("target", "script_id", "caller", "line", F.explode(F.transform(dots, lambda i: F.substring(lower, i + 1, F.char_length(lower)))).alias("end"))
+    wild = F.contains("name", F.lit("%"))
+    plain = own.where(~wild).withColumn("width", F.char_length("text"))
+    places = F.filter(F.sequence(F.lit(1), F.greatest("width", F.lit(1))), lambda i: F.substring("text", i, F.lit(1)) == "_")
+    shaped = plain.withColumn("shape", F.when(F.contains("text", F.lit("_")), places).otherwise(F.array().cast("array<int>")))
+    shapes = shaped.select("target", "width", "shape").distinct()
+    laid = F.aggregate("shape", F.col("end"), lambda text, i: F.overlay(text, F.lit("_"), i, F.lit(1)))
+    tried = ends.withColumn("width", F.char_length("end")).join(shapes, ["target", "width"]).withColumn("text", laid)
+    ended = tried.join(shaped.select("target", "shape", "text", "name", "at"), ["target", "shape", "text"]).select(*shown)
     # LIKE has no escape here, so a backslash in a name stands for itself.
-    tail = F.concat(F.lit("%."), F.replace(ascii_lower(F.col("name")), F.lit("\\"), F.lit("\\\\")))
-    found = calls.join(own, "resolved_target_script_id").where((F.col("callee") == F.col("name")) | F.like(ascii_lower(F.col("callee")), tail))
-    found = found.join(scripts.select(F.col("id").alias("script_id"), "logical_path"), "script_id")
+    tail = F.concat(F.lit("%."), F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")))
+    matched = made.join(own.where(wild), "target").where(F.like(lower, tail)).select(*shown)
+    found = exact.unionByName(ended).unionByName(matched).join(scripts.select(F.col("id").alias("script_id"), "logical_path"), "script_id")
     return found.groupBy("name", "logical_path", "caller", "line").agg(F.min("at").alias("at"))
 
 
