@@ -10,7 +10,7 @@ sets of similarity J, where C = 2**-BITS is chance, so ``likeness`` takes C away
 Its standard error is at most 0.024 (at J = 0.5).
 
 Scale: a fingerprint needs its own text alone, in memory that grows with the batch.
-Texts meet those that follow them by ranges of doc_id (``with_next``).
+Texts meet those that follow them by ranges of doc_id (``by_ranges``).
 
 Defined results: null, empty and wordless texts have the empty fingerprint, which is like
 itself (1) and unlike all others (0); fewer words than *k* are one shingle; equal texts
@@ -20,10 +20,11 @@ have equal fingerprints; other columns are the caller's.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType
 
@@ -110,38 +111,50 @@ def likeness(a: pa.Array, b: pa.Array) -> pa.Array:
     return likenesses(a, b)
 
 
-def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """``docs(doc_id, text)`` with fingerprint, and next_text and next_fingerprint of the row that follows by doc_id.
+def by_ranges(docs: DataFrame, ranges: int) -> DataFrame:
+    """``docs(doc_id, text)`` in order by doc_id within partitions: range, behind, doc_id, text.
 
-    Ties go by text, rows without doc_id come first, and the last row is followed by the
-    first.  Rows are dealt by ranges of doc_id between its quantiles, and the rows at a
-    range's lower bound go to the range before as well, behind its own rows.  So each range
-    is ordered alone and no row is met in a single task; texts are moved once.  Rows of one
-    doc_id share a range.
+    Ties go by text, rows without doc_id come first.  Rows are dealt by ranges of doc_id
+    between its quantiles.  The rows at a range's lower bound go to the range before as
+    well, where they stand behind its own rows (those of the first range behind the last
+    one's), so the row that follows any row is in its range.  No row is met in a single
+    task; texts are moved once.  Rows of one doc_id share a range.
     """
     at = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    ids = docs.select(at.alias("at"))
     steps = [i / ranges for i in range(ranges)]
-    low, cuts = ids.agg(F.min("at"), F.percentile_approx("at", steps, 10 * ranges)).first()
+    low, cuts = docs.select(at.alias("at")).agg(F.min("at"), F.percentile_approx("at", steps, 10 * ranges)).first()
     bounds = sorted({low, *cuts}) if low is not None else [0]
 
     @F.arrow_udf(IntegerType())
     def range_of(places: pa.Array) -> pa.Array:
-        own = np.asarray(bounds, np.int64)
-        found = np.searchsorted(own, places.to_numpy(), side="right") - 1
-        # Below zero: at the bound, so also behind the range before (the last one's before the first).
-        return pa.array(np.where(own[found] == places.to_numpy(), -1 - found, found), pa.int32())
+        own, places = np.asarray(bounds, np.int64), places.to_numpy()
+        found = np.searchsorted(own, places, side="right") - 1
+        # Below zero: at the bound, so also behind the range before.
+        return pa.array(np.where(own[found] == places, -1 - found, found), pa.int32())
 
     n, at_bound = F.lit(len(bounds)), F.col("found") < 0
     own = F.when(at_bound, -1 - F.col("found")).otherwise(F.col("found"))
     place = lambda r, behind: F.struct(r.cast("int").alias("range"), F.lit(behind).alias("behind"))
     places = F.when(at_bound, F.array(place(own, False), place((own + n - 1) % n, True))).otherwise(F.array(place(own, False)))
-    dealt = docs.withColumn("at", at).withColumn("found", range_of("at")).select("doc_id", "text", "at", F.explode(places).alias("place"))
-    dealt = dealt.select("doc_id", "text", "at", "place.range", "place.behind").repartition("range")
-    order = Window.partitionBy("range").orderBy("behind", "at", "text")
-    signed = dealt.withColumn("fingerprint", fingerprint(F.col("text")))
-    both = signed.select("*", F.lead("text").over(order).alias("next_text"), F.lead("fingerprint").over(order).alias("next_fingerprint"))
-    return both.where(~F.col("behind")).select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
+    dealt = docs.withColumn("at", at).withColumn("found", range_of("at")).select("doc_id", "text", F.explode(places).alias("place"))
+    dealt = dealt.select("place.range", "place.behind", "doc_id", "text").repartition("range")
+    return dealt.sortWithinPartitions("range", "behind", F.asc_nulls_first("doc_id"), "text")
+
+
+def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row of a range beside the row that follows, which is there: a range ends with a row that stands behind."""
+    held: list[tuple] = []
+    for batch in batches:
+        prints = fingerprints(batch.column("text")).to_pylist()
+        rows = held + list(zip(batch.column("behind").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), prints))
+        pairs = [(a, b) for a, b in zip(rows, rows[1:]) if not a[0]]
+        held = rows[-1:]
+        sizes = [len(a[2]) for a, _ in pairs]
+        edited = pa.array([a[2][: n - n // 4] + b[2][: n // 4] for (a, b), n in zip(pairs, sizes)], pa.string())
+        own, after = (pa.array([p[i][3] for p in pairs], pa.string()) for i in (0, 1))
+        new = fingerprints(edited)
+        columns_ = [pa.array([a[1] for a, _ in pairs], pa.int64()), pa.array(sizes, pa.int64()), edited, own, new, likenesses(own, new), likenesses(own, after)]
+        yield pa.RecordBatch.from_arrays(columns_, ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
 def edited_likeness(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -149,13 +162,9 @@ def edited_likeness(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     doc_id, n_chars, edited (the last quarter of the code points replaced by as many of the
     next document's first, or all), fingerprint, edited_fingerprint, near_edited, near_next.
+    The last document is followed by the first.
     """
     session(spark)
     docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    both = with_next(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n = F.char_length("text")
-    cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
-    rows = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
-    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
-    return rows.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    rows = by_ranges(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.mapInArrow(_edit, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -236,3 +236,15 @@ def test_edited_texts_against_brute_force(spark):
     assert one.edited == "again"[:4] + "a" and one.near_next == 1.0
     assert fingerprints.edited_likeness(spark, docs.where("false")).count() == 0
     assert fingerprints.edited_likeness(spark, spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).select("near_edited", "near_next").distinct().collect() == [Row(1.0, 1.0)]
+
+
+def test_fingerprints_as_columns(spark):
+    texts = [None, "", "one two", "One  two", "a b c d e f g", "a b c d e f h"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    prints = fingerprints.fingerprints(pa.array(texts, pa.string()))
+    signed = docs.withColumn("f", fingerprints.fingerprint(docs.text))
+    assert [x.f for x in signed.orderBy("i").collect()] == prints.to_pylist()
+    pairs = signed.alias("a").join(signed.alias("b")).selectExpr("a.i", "b.i AS j", "a.f AS f", "b.f AS g").withColumn("near", fingerprints.likeness("f", "g"))
+    for x in pairs.collect():
+        assert x.near == fingerprints.likenesses(pa.array([x.f]), pa.array([x.g]))[0].as_py()
+        assert (x.near == 1.0) == (shingled(texts[x.i]) == shingled(texts[x.j]))
