@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import LETTER, folded, tokens
 from cairn.functions.querytext import Phrase
+from cairn.sources.scratch import Scratch
 
 COLUMNS = ("logical_path", "content", "owner", "purpose", "tags")
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -34,39 +36,147 @@ def matches(scripts: DataFrame, query: list[Phrase]) -> DataFrame:
     return scripts.select("id", d.alias("d"), *f)
 
 
+def _gain(f: Column, d: Column, avgdl: Column) -> Column:
+    """What f hits in a row of d tokens are worth, times the rarity of what was hit."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * d / avgdl))
+
+
+def _rarity(n: Column, having: Column) -> Column:
+    ratio = (n - having + 0.5) / (having + 0.5)
+    return F.when(F.log(ratio) > 0, F.log(ratio)).otherwise(F.lit(FLOOR))
+
+
 def bm25(counted: DataFrame, query: list[Phrase]) -> DataFrame:
-    """id, score of the rows that have all phrases; lower is better.  Statistics are of all rows."""
+    """id, score of the rows that have all phrases; lower is better.  Statistics are of all rows.
+
+    *counted* is read twice, so it should be stored.
+    """
     stats = counted.agg(F.count("*").alias("n"), F.avg("d").alias("avgdl"), *[F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"n{k}") for k in range(len(query))])
     both = counted.where(reduce(lambda a, b: a & b, [F.col(f"f{k}") > 0 for k in range(len(query))])).crossJoin(F.broadcast(stats))  # one row of statistics
-    score = F.lit(0.0)
-    for k in range(len(query)):
-        ratio = (F.col("n") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5)
-        idf = F.when(F.log(ratio) > 0, F.log(ratio)).otherwise(F.lit(FLOOR))
-        f = F.col(f"f{k}")
-        score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("avgdl")))
+    score = reduce(lambda s, k: s - _rarity(F.col("n"), F.col(f"n{k}")) * _gain(F.col(f"f{k}"), F.col("d"), F.col("avgdl")), range(len(query)), F.lit(0.0))
     return both.select("id", score.alias("score"))
 
 
-def build_index(scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """postings(term, id, col, positions) and lengths(id, d), to be stored by term and by id.
+# -- a stored index ----------------------------------------------------------------------
+#: Ids of a block; blocks of the greatest bounds that are scored first; block numbers that go into a scan's filter.
+BLOCK_IDS, SEED, MOST_NUMBERS = 4096, 8, 1000
+#: Bytes of a row group of the postings: a query's terms should touch few others.
+ROW_GROUP = 1 << 20
 
-    Write postings sorted by term, so that a term or a prefix reads few row groups.
-    """
-    arrays = scripts.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("col"), tokens(F.col(c)).alias("t")) for i, c in enumerate(COLUMNS)])).alias("x"))
-    words = arrays.select("id", "x.col", F.posexplode("x.t").alias("pos", "term"))
-    postings = words.groupBy("term", "id", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return postings, arrays.groupBy("id").agg(F.sum(F.size("x.t")).alias("d"))
 
+def store_index(scripts: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> None:
+    """Write the full-text index of *scripts* below a folder.
 
-def match_index(postings: DataFrame, lengths: DataFrame, query: list[Phrase]) -> DataFrame:
-    """As ``matches``, from a stored index: only the phrases' terms are read."""
-    out = lengths
+    ``corpus(n, avgdl)``: rows, and their mean number of tokens.
+    ``postings(term, block, n, top, entries)``, sorted by term and block: the rows of a
+    block of ids that hold a term, how many they are, the most that the term is worth in
+    any of them, and of each its id, d (tokens), f (hits) and places (column, position).
+    """
+    columns = F.array(*[F.struct(F.lit(i).alias("col"), tokens(F.col(c)).alias("t")) for i, c in enumerate(COLUMNS)])
+    rows = scripts.select("id", columns.alias("xs"))
+    d = F.aggregate("xs", F.lit(0).cast("long"), lambda s, x: s + F.size(x["t"]))
+    corpus = rows.select(d.alias("d")).agg(F.count("*").alias("n"), F.avg("d").alias("avgdl"))
+    corpus.coalesce(1).write.parquet(f"{path}/corpus")
+    avgdl = scripts.sparkSession.read.parquet(f"{path}/corpus").first().avgdl or 1.0
+    words = rows.select("id", d.alias("d"), F.explode("xs").alias("x")).select("id", "d", "x.col", F.posexplode("x.t").alias("pos", "term"))
+    own = words.groupBy("term", "id", "d").agg(F.count("*").alias("f"), F.sort_array(F.collect_list(F.struct("col", "pos"))).alias("places"))
+    own = own.withColumn("block", F.floor(F.col("id") / block_ids)).withColumn("gain", _gain(F.col("f"), F.col("d"), F.lit(avgdl)))
+    entries = F.sort_array(F.collect_list(F.struct("id", "d", "f", "places"))).alias("entries")
+    blocks = own.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("gain").alias("top"), entries)
+    blocks = blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    blocks.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index, opened."""
+
+    postings: DataFrame
+    n: int
+    avgdl: float
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> Index:
+        corpus = spark.read.parquet(f"{path}/corpus").first()
+        return Index(spark.read.parquet(f"{path}/postings"), corpus.n, corpus.avgdl or 1.0)
+
+    def of(self, token: str, prefix: bool = False) -> DataFrame:
+        """The postings of a term, or of all that begin with it; the scan reads few other row groups."""
+        term = F.col("term")
+        return self.postings.where((term >= token) & term.startswith(token) if prefix else term == token)
+
+
+def _phrase_hits(index: Index, p: Phrase) -> DataFrame:
+    """block, id, d, f of all rows with the phrase, from the places of its terms."""
+    hits = None
+    for j, t in enumerate(p.tokens):
+        own = index.of(t, p.prefix and j == len(p.tokens) - 1)
+        own = own.select("block", F.explode("entries").alias("e")).select("block", "e.id", "e.d", F.explode("e.places").alias("p"))
+        own = own.select("block", "id", "d", "p.col", (F.col("p.pos") - j).alias("start"))
+        hits = own if hits is None else hits.join(own, ["block", "id", "d", "col", "start"], "left_semi")
+    return hits.groupBy("block", "id", "d").agg(F.count("*").alias("f"))
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """The best rows of an index (id, score), and how many blocks of candidates there were, and were scored."""
+
+    rows: DataFrame
+    blocks: int
+    scored: int
+
+
+def best_of_index(index: Index, query: list[Phrase], limit: int, keep: Scratch, allowed: DataFrame | None = None) -> Ranked:
+    """The best *limit* rows with all phrases, of *allowed* ids if given; the scores of ``bm25``.
+
+    A block can hold a row no better than the sum of what its phrases are worth there at
+    most.  The blocks of the greatest bounds are scored first; of the others only those
+    whose bound reaches the score of the last row found so far.  Bounds of single terms
+    stand in the postings, whose entries are then read only where they count; phrases and
+    prefixes are matched whole, as their rarity is known only then.
+    """
+    spark = index.postings.sparkSession
+    # A row may score a little above its block's bound where sums round differently.
+    slack = 1e-9
+    hits: list[DataFrame | None] = []
+    bounds, rarity = None, []
     for k, p in enumerate(query):
-        hits = None
-        for j, t in enumerate(p.tokens):
-            last = p.prefix and j == len(p.tokens) - 1
-            own = postings.where((F.col("term") >= t) & F.col("term").startswith(t) if last else F.col("term") == t)
-            own = own.select("id", "col", F.explode("positions").alias("p")).select("id", "col", (F.col("p") - j).alias("p"))
-            hits = own if hits is None else hits.join(own, ["id", "col", "p"], "left_semi")
-        out = out.join(hits.groupBy("id").agg(F.count("*").alias(f"f{k}")), "id", "left").withColumn(f"f{k}", F.coalesce(f"f{k}", F.lit(0)))
-    return out
+        if len(p.tokens) == 1 and not p.prefix:
+            hits.append(None)
+            heads = index.of(p.tokens[0]).select("block", "n", "top")
+        else:
+            hits.append(keep.put(_phrase_hits(index, p), f"hits{k}"))
+            heads = hits[k].groupBy("block").agg(F.count("*").alias("n"), F.max(_gain(F.col("f"), F.col("d"), F.lit(index.avgdl))).alias("top"))
+        heads = keep.put(heads, f"heads{k}")
+        having = heads.agg(F.sum("n")).first()[0] or 0
+        rarity.append(_rarity(F.lit(index.n), F.lit(having)))
+        own = heads.select("block", (rarity[k] * F.col("top")).alias(f"bound{k}"))
+        bounds = own if bounds is None else bounds.join(own, "block")
+    bound = reduce(lambda a, b: a + b, [F.col(f"bound{k}") for k in range(len(query))])
+    blocks = keep.put(bounds.select("block", bound.alias("bound")), "blocks")
+
+    def scored(some: DataFrame) -> DataFrame:
+        numbers = [r.block for r in some.limit(MOST_NUMBERS + 1).collect()]
+        near = F.col("block").isin(numbers) if len(numbers) <= MOST_NUMBERS else F.lit(True)
+        rows = None
+        for k, p in enumerate(query):
+            if hits[k] is None:
+                own = index.of(p.tokens[0]).where(near).join(some.select("block"), "block", "left_semi").select("block", F.explode("entries").alias("e")).select("block", "e.id", "e.d", F.col("e.f").alias(f"f{k}"))
+            else:
+                own = hits[k].where(near).join(some.select("block"), "block", "left_semi").withColumnRenamed("f", f"f{k}")
+            rows = own if rows is None else rows.join(own, ["block", "id", "d"])
+        score = reduce(lambda s, k: s - rarity[k] * _gain(F.col(f"f{k}"), F.col("d"), F.lit(index.avgdl)), range(len(query)), F.lit(0.0))
+        rows = rows.select("id", score.alias("score"))
+        return (rows if allowed is None else rows.join(allowed.select("id"), "id", "left_semi")).orderBy("score", "id").limit(limit)
+
+    seeds = keep.put(blocks.orderBy(F.desc("bound"), "block").limit(SEED), "seeds")
+    first = keep.put(scored(seeds), "first")
+    have, last = first.agg(F.count("*"), F.max("score")).first()
+    rest = blocks.join(seeds.select("block"), "block", "left_anti")
+    total, others = blocks.count(), rest
+    if have >= limit:
+        others = rest.where(F.col("bound") >= -last - slack)
+    others = keep.put(others, "others")
+    found = others.count()
+    rows = first.unionByName(scored(others)) if found else first
+    return Ranked(rows.orderBy("score", "id").limit(limit), total, min(SEED, total) + found)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.functions import fts
 from cairn.functions.exprs import ascii_lower, basename, contains_folded, fold, json_list, like_literal, parent_dir, stem
 from cairn.functions.querytext import ROLES, check_limit, check_role, java_regex, phrases
+from cairn.sources.scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -33,17 +34,23 @@ class Filters:
 NONE = Filters()
 
 
-def full_text(scripts: DataFrame, query: str, limit: int, filters: Filters = NONE, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Rows of the best *limit* scripts with their score and rank; ties go by id."""
+def full_text(scripts: DataFrame, query: str, limit: int, filters: Filters = NONE, index: fts.Index | None = None) -> DataFrame:
+    """Rows of the best *limit* scripts with their score and rank; ties go by id.
+
+    Without an index, one pass over the texts counts the hits of every row.
+    """
     check_limit(limit)
     wanted = phrases(query)
     if not wanted:
         return scripts.where("false").withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
-    counted = fts.match_index(*index, wanted) if index else fts.matches(scripts, wanted)
-    scored = fts.bm25(counted, wanted)
-    # Texts are read again for the few rows that stay, after ids and scores were cut to the limit.
-    narrow = filters.apply(scripts).select("id").join(scored, "id").orderBy("score", "id").limit(limit)
-    rank = narrow.withColumn("rank", F.row_number().over(Window.orderBy("score", "id")))  # at most `limit` rows
+    keep = Scratch(scripts.sparkSession, "search")
+    if index:
+        best = fts.best_of_index(index, wanted, limit, keep, None if filters == NONE else filters.apply(scripts)).rows
+    else:
+        scored = fts.bm25(keep.put(fts.matches(scripts, wanted), "hits"), wanted)
+        # Texts are read again for the few rows that stay, after ids and scores were cut to the limit.
+        best = filters.apply(scripts).select("id").join(scored, "id").orderBy("score", "id").limit(limit)
+    rank = best.withColumn("rank", F.row_number().over(Window.orderBy("score", "id")))  # at most `limit` rows
     return scripts.join(rank, "id")
 
 

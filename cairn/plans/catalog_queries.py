@@ -12,6 +12,7 @@ from cairn.functions import fts
 from cairn.functions.querytext import phrases
 from cairn.operators import audit, diffing, graph, search, show, similarity, stats, status, warnings
 from cairn.plans.adapters import path_of, views, with_clause
+from cairn.sources.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,7 +70,10 @@ def _f1p(s):
 
 @query("f1_fts_index", [S], _bm25_sql(["x = 'doc'", "x = 'job' AND starts_with(TT[i + 1], '1')"], 20))
 def _f1i(s):
-    return _shown(search.full_text(s, 'doc "job 1"*', 20, index=fts.build_index(s)))
+    """From an index that is stored and opened again."""
+    path = Scratch(s.sparkSession, "fts").path("index")
+    fts.store_index(s, path, block_ids=64)
+    return _shown(search.full_text(s, 'doc "job 1"*', 20, index=fts.Index.open(s.sparkSession, path)))
 
 
 @query("f1_fts_tag_filter", [S], _bm25_sql(["x = 'the'"], 15, "list_contains(list_transform(from_json(tags, '[\"VARCHAR\"]'), lambda t: lower(t)), 'prod')"))
