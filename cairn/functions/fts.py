@@ -83,8 +83,9 @@ def store_index(scripts: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> No
     own = own.withColumn("block", F.floor(F.col("id") / block_ids)).withColumn("gain", _gain(F.col("f"), F.col("d"), F.lit(avgdl)))
     entries = F.sort_array(F.collect_list(F.struct("id", "d", "f", "places"))).alias("entries")
     blocks = own.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("gain").alias("top"), entries)
-    blocks = blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
-    blocks.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
+    # Stored first, as finding the ranges reads them once more.
+    blocks = Scratch(scripts.sparkSession, "fts").put(blocks, "blocks").repartitionByRange("term", "block")
+    blocks.sortWithinPartitions("term", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
 
 
 @dataclass(frozen=True)

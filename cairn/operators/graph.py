@@ -71,25 +71,29 @@ def all_callers(scripts: DataFrame, definitions: DataFrame, calls: DataFrame) ->
     script.  So no call is compared with names one by one, but for names with %.
     """
     own = definitions.select(F.col("script_id").alias("target"), "name", ascii_lower(F.col("name")).alias("text"), F.col("line").alias("at"))
-    made = calls.where("resolved_target_script_id is not null").select(F.col("resolved_target_script_id").alias("target"), "script_id", "caller", "callee", "line").distinct()
-    shown = [F.col(c) for c in ("script_id", "caller", "line", "name", "at")]
-    exact = made.join(own.select("target", "name", "at", F.col("name").alias("callee")), ["target", "callee"]).select(*shown)
-    # Every text after a dot, with what precedes it gone.
-    lower = ascii_lower(F.col("callee"))
-    dots = F.filter(F.sequence(F.lit(1), F.char_length(lower)), lambda i: F.substring(lower, i, F.lit(1)) == ".")
-    ends = made.where(F.contains("callee", F.lit("."))).select("target", "script_id", "caller", "line", F.explode(F.transform(dots, lambda i: F.substring(lower, i + 1, F.char_length(lower)))).alias("end"))
+    none = F.array().cast("array<int>")
     wild = F.contains("name", F.lit("%"))
-    plain = own.where(~wild).withColumn("width", F.char_length("text"))
-    places = F.filter(F.sequence(F.lit(1), F.greatest("width", F.lit(1))), lambda i: F.substring("text", i, F.lit(1)) == "_")
-    shaped = plain.withColumn("shape", F.when(F.contains("text", F.lit("_")), places).otherwise(F.array().cast("array<int>")))
-    shapes = shaped.select("target", "width", "shape").distinct()
-    laid = F.aggregate("shape", F.col("end"), lambda text, i: F.overlay(text, F.lit("_"), i, F.lit(1)))
-    tried = ends.withColumn("width", F.char_length("end")).join(shapes, ["target", "width"]).withColumn("text", laid)
-    ended = tried.join(shaped.select("target", "shape", "text", "name", "at"), ["target", "shape", "text"]).select(*shown)
-    # LIKE has no escape here, so a backslash in a name stands for itself.
-    tail = F.concat(F.lit("%."), F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")))
-    matched = made.join(own.where(wild), "target").where(F.like(lower, tail)).select(*shown)
-    found = exact.unionByName(ended).unionByName(matched).join(scripts.select(F.col("id").alias("script_id"), "logical_path"), "script_id")
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1))), lambda i: F.substring("text", i, F.lit(1)) == "_")
+    shaped = own.where(~wild).select("target", F.char_length("text").alias("width"), F.when(F.contains("text", F.lit("_")), places).otherwise(none).alias("shape"), "text", "name", "at")
+    # A whole callee is like an end of no width, which only the name as it is written equals.
+    whole = own.select("target", F.lit(-1).alias("width"), none.alias("shape"), F.col("name").alias("text"), "name", "at")
+    names = shaped.unionByName(whole)
+    shapes = names.select("target", "width", "shape").distinct()
+    made = calls.where("resolved_target_script_id is not null and callee is not null").select(F.col("resolved_target_script_id").alias("target"), "script_id", "caller", "callee", "line")
+    lower, end = ascii_lower(F.col("callee")), lambda text, width: F.struct(text.alias("text"), width.alias("width"))
+    parts = F.split(lower, "\\.", -1)
+    cut = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    ends = F.when(F.contains("callee", F.lit(".")), F.transform(cut, lambda t: end(t, F.char_length(t)))).otherwise(F.array().cast("array<struct<text:string,width:int>>"))
+    ends = made.select("target", "script_id", "caller", "line", F.explode(F.concat(F.array(end(F.col("callee"), F.lit(-1))), ends)).alias("end"))
+    laid = F.aggregate("shape", F.col("end.text"), lambda text, i: F.overlay(text, F.lit("_"), i, F.lit(1)))
+    tried = ends.withColumn("width", F.col("end.width")).join(shapes, ["target", "width"]).withColumn("text", laid)
+    shown = ["script_id", "caller", "line", "name", "at"]
+    found = tried.join(names, ["target", "width", "shape", "text"]).select(*shown)
+    if not own.where(wild).isEmpty():
+        # LIKE has no escape here, so a backslash in a name stands for itself.
+        tail = F.concat(F.lit("%."), F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")))
+        found = found.unionByName(made.join(own.where(wild), "target").where(F.like(lower, tail)).select(*shown))
+    found = found.join(scripts.select(F.col("id").alias("script_id"), "logical_path"), "script_id")
     return found.groupBy("name", "logical_path", "caller", "line").agg(F.min("at").alias("at"))
 
 

@@ -1,16 +1,23 @@
 """Embedding similarity: nearest, near-duplicates and outliers by cosine.
 
-Vectors are normalised once.  All-pairs work goes through a grid of blocks: each task
-holds two blocks and multiplies them, and only pairs or maxima leave it.
+Vectors are normalised once.  Pairs are found in blocks: each task holds two blocks and
+multiplies them, and only pairs or maxima leave it.  For near-duplicates and outliers the
+blocks are rings around pivots, and the triangle inequality leaves out those that are too
+far from a vector.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.sources.scratch import Scratch
+
 BLOCK = 2048
 F32_MIN = float(np.finfo(np.float32).min)
 
@@ -94,17 +101,169 @@ def _grid(vectors: DataFrame, upper: bool, run, schema: str, queries: DataFrame
 
 def _scores(a: pa.Table, b: pa.Table) -> np.ndarray:
     """All scores of two blocks; vectors of other lengths get the least score."""
-    x, y = a.column("vec").to_pylist(), b.column("vec").to_pylist()
-    out = np.full((len(x), len(y)), F32_MIN)
-    lengths = ({len(v) for v in x if v} & {len(v) for v in y if v})
-    for d in lengths:
-        i, j = [k for k, v in enumerate(x) if v and len(v) == d], [k for k, v in enumerate(y) if v and len(v) == d]
-        out[np.ix_(i, j)] = np.array([x[k] for k in i]) @ np.array([y[k] for k in j]).T
+    out = np.full((a.num_rows, b.num_rows), F32_MIN)
+    right = {m.shape[1]: (rows, m) for rows, m in _matrices(b.column("vec"))}
+    for rows, m in _matrices(a.column("vec")):
+        if m.shape[1] in right:
+            others, n = right[m.shape[1]]
+            out[np.ix_(rows, others)] = m @ n.T
     return out
 
 
+# -- pairs, where blocks that cannot match are left out ------------------------------------
+#: Directions that vectors are gathered around at most, and rings around one of them.
+PIVOTS, RINGS = 1024, 64
+#: Angles are compared with this much to spare, as they are rounded.
+SLACK = 1e-6
+
+
+@dataclass(frozen=True)
+class Rings:
+    """Cells of vectors: a cell holds those whose angles from one pivot lie in [low, high], in *parts* blocks.
+
+    The last cell holds vectors without direction, or of another length than the pivots: no bound holds for it.
+    """
+
+    pivots: np.ndarray
+    pivot: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    parts: np.ndarray
+
+    def angles(self, vectors: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(vectors @ self.pivots.T, -1, 1))
+
+    def least(self, angles: np.ndarray) -> np.ndarray:
+        """For vectors with these angles from the pivots, the least angle to anything in each cell: by the triangle inequality."""
+        bound = np.zeros((len(angles), len(self.pivot)))
+        known = self.pivot >= 0
+        own = angles[:, self.pivot[known]]
+        bound[:, known] = np.maximum(0, np.maximum(own - self.high[known], self.low[known] - own))
+        return bound
+
+    @property
+    def first(self) -> np.ndarray:
+        """Each cell's first block."""
+        return np.cumsum(self.parts) - self.parts
+
+
+def _matrices(vectors: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) for each length of vectors in a list array."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    at = vectors.offsets.to_numpy()
+    sizes, flat = np.diff(at), vectors.values.to_numpy(zero_copy_only=False)
+    out = []
+    for d in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == d)
+        out.append((rows, flat[at[rows][:, None] + np.arange(d)]))
+    return out
+
+
+def _directed(rings_of: np.ndarray, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of the vectors that have a direction and the pivots' length."""
+    for rows, matrix in _matrices(vectors):
+        if len(rings_of) and matrix.shape[1] == rings_of.shape[1]:
+            some = matrix.any(axis=1)
+            yield rows[some], matrix[some]
+
+
+def gathered(vectors: DataFrame, keep: Scratch) -> tuple[DataFrame, Rings]:
+    """units(script_id, logical_path, vec, h, cell) and their cells, of about BLOCK vectors each or split into such blocks.
+
+    Pivots are at most PIVOTS vectors, drawn by a hash of the id; rings lie between
+    quantiles of the angles from a pivot.  Both only shape the blocks: any choice is exact.
+    """
+    h = F.pmod(F.xxhash64("script_id"), F.lit(1 << 31)).alias("h")
+    n = vectors.count()
+    most = min(PIVOTS, -(-max(n, 1) // BLOCK))
+    drawn = vectors.select("script_id", h, unit(F.col("embedding")).alias("vec")).where("exists(vec, x -> x <> 0)").orderBy("h", "script_id").limit(most).select("vec").collect()
+    sizes = [len(r.vec) for r in drawn]
+    pivots = np.array([r.vec for r in drawn if len(r.vec) == max(set(sizes), key=sizes.count)]) if drawn else np.zeros((0, 0))
+    units = vectors.select("script_id", "logical_path", unit(F.col("embedding")).alias("vec"), h)
+    whole = Rings(pivots, *[np.zeros(0, np.int64)] * 4)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pivot, angle = np.full(b.num_rows, -1, np.int32), np.zeros(b.num_rows)
+            for rows, matrix in _directed(pivots, b.column("vec")):
+                angles = whole.angles(matrix)
+                pivot[rows] = angles.argmin(axis=1)
+                angle[rows] = angles.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pivot), pa.array(angle)], [*b.schema.names, "pivot", "angle"])
+
+    vec = "script_id long, logical_path string, vec array<double>, h long"
+    near = keep.put(units.mapInArrow(nearest, f"{vec}, pivot int, angle double"), "near")
+    steps = [k / RINGS for k in range(1, RINGS)]
+    edges = {}
+    for r in [] if most == 1 else near.where("pivot >= 0").groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("angle", steps, 10_000).alias("at")).collect():  # a row a pivot
+        m = min(RINGS, -(-r.n // BLOCK))
+        edges[r.pivot] = sorted({r["at"][k * RINGS // m - 1] for k in range(1, m)})
+    ring = F.lit(0)
+    if edges:
+        cuts = F.create_map(*[F.lit(x) for p, e in edges.items() for x in (p, F.array(*map(F.lit, e)).cast("array<double>"))])
+        ring = F.coalesce(F.aggregate(cuts[F.col("pivot")], F.lit(0), lambda k, e: k + (F.col("angle") > e).cast("int")), F.lit(0))
+    near = near.withColumn("ring", ring)
+    cells = sorted(tuple(r) for r in near.groupBy("pivot", "ring").agg(F.min("angle"), F.max("angle"), F.count("*")).collect())  # at most PIVOTS * RINGS, and one
+    cells = [c for c in cells if c[0] >= 0] + ([c for c in cells if c[0] < 0] or [(-1, 0, 0.0, 0.0, 0)])
+    pivot, _, low, high, size = (np.array(x) for x in zip(*cells))
+    rings = Rings(pivots, pivot.astype(np.int64), low, high, np.maximum(1, -(-size // BLOCK)).astype(np.int64))
+    number = near.sparkSession.createDataFrame([(c[0], c[1], i) for i, c in enumerate(cells)], "pivot int, ring int, cell int")
+    return near.join(number, ["pivot", "ring"]).select("script_id", "logical_path", "vec", "h", "cell"), rings
+
+
+def _asking(units: DataFrame, rings: Rings, asked: Callable[[np.ndarray, pa.RecordBatch], np.ndarray], upper: bool) -> DataFrame:
+    """i, j, script_id, logical_path, vec: each vector, of block i, once for every block j that it has to be compared with.
+
+    asked(least angles by cell, batch) says which cells; *upper* leaves out blocks before the vector's own.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell_of = np.repeat(np.arange(len(rings.parts)), rings.parts)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                b = batch.slice(a, 256)
+                bound = np.zeros((b.num_rows, len(rings.parts)))
+                for rows, matrix in _directed(rings.pivots, b.column("vec")):
+                    bound[rows] = rings.least(rings.angles(matrix))
+                own = _own_blocks(b, rings)
+                row, block = np.nonzero(asked(bound, b)[:, cell_of])
+                kept = block >= own[row] if upper else np.ones(len(row), bool)
+                row, block = row[kept], block[kept]
+                for c in range(0, len(row), 4096):
+                    at = pa.array(row[c : c + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row[c : c + 4096]]), pa.array(block[c : c + 4096]), *[b.column(x).take(at) for x in ("script_id", "logical_path", "vec")]], ["i", "j", "script_id", "logical_path", "vec"])
+
+    return units.mapInArrow(run, "i long, j long, script_id long, logical_path string, vec array<double>")
+
+
+def _own_blocks(b: pa.RecordBatch, rings: Rings) -> np.ndarray:
+    cell = b.column("cell").to_numpy()
+    return rings.first[cell] + b.column("h").to_numpy() % rings.parts[cell]
+
+
+def _compared(asks: DataFrame, units: DataFrame, rings: Rings, run, schema: str) -> DataFrame:
+    """run(askers, members) for each pair of blocks of which one has to be compared with the other."""
+    table = units.sparkSession.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(rings.first, rings.parts))], "cell int, first long, parts long")
+    members = units.join(table, "cell").withColumn("j", F.col("first") + F.col("h") % F.col("parts"))
+    members = members.join(asks.select("i", "j").distinct(), "j").select("i", "j", "script_id", "logical_path", "vec")
+    members = members.toDF(*members.columns)  # columns of its own, apart from those of asks
+    return asks.groupBy("i", "j").cogroup(members.groupBy("i", "j")).applyInArrow(run, schema)
+
+
+def _angle(threshold: float) -> float:
+    return float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
+
+
 def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
-    """path_a <= path_b, score of every pair at or above the threshold, once."""
+    """path_a <= path_b, score of every pair at or above the threshold, once.
+
+    A vector is compared with a block only where the triangle inequality allows a match.
+    """
+    keep = Scratch(vectors.sparkSession, "pairs")
+    units, rings = gathered(vectors, keep)
+    within = _angle(threshold)
+    asks = keep.put(_asking(units, rings, lambda bound, _: bound <= within, True), "asks")
+
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         pa_, pb, s = [], [], []
         if a.num_rows and b.num_rows:
@@ -118,20 +277,54 @@ def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
                 pa_.append(p), pb.append(q), s.append(float(near[x, y]))
         return pa.table({"path_a": pa.array(pa_, pa.string()), "path_b": pa.array(pb, pa.string()), "score": pa.array(s, pa.float64())})
 
-    return _grid(vectors, True, run, "path_a string, path_b string, score double").orderBy(F.desc("score"), "path_a", "path_b")
+    return _compared(asks, units, rings, run, "path_a string, path_b string, score double").orderBy(F.desc("score"), "path_a", "path_b")
+
+
+def left_out(vectors: DataFrame, threshold: float) -> float:
+    """The share of comparisons of a vector with a block that near_duplicates leaves out."""
+    units, rings = gathered(vectors, Scratch(vectors.sparkSession, "pairs"))
+    within = _angle(threshold)
+    every = _asking(units, rings, lambda bound, _: bound <= np.pi, True).count()
+    return 1 - _asking(units, rings, lambda bound, _: bound <= within, True).count() / max(every, 1)
 
 
 def outliers(vectors: DataFrame, threshold: float) -> DataFrame:
-    """logical_path, score of scripts whose best match is below the threshold; fewer than two rows: none."""
+    """logical_path, score of scripts whose best match is below the threshold; fewer than two rows: none.
+
+    A vector meets its own block first, then blocks that may hold a match; one with a match
+    asks no further.  Only those without go on to all blocks that may hold a better score.
+    """
+    keep = Scratch(vectors.sparkSession, "outliers")
+    units, rings = gathered(vectors, keep)
+    within = _angle(threshold)
+
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return pa.table({"script_id": pa.array([], pa.int64()), "best": pa.array([], pa.float64()), "logical_path": pa.array([], pa.string())})
+            return pa.table({"script_id": pa.array([], pa.int64()), "best": pa.array([], pa.float64())})
         s = _scores(a, b)
         s[a.column("script_id").to_numpy()[:, None] == b.column("script_id").to_numpy()[None]] = -np.inf
-        return pa.table({"script_id": a.column("script_id"), "best": pa.array(s.max(axis=1)), "logical_path": a.column("logical_path")})
-
-    best = _grid(vectors, False, run, "script_id long, best double, logical_path string").groupBy("script_id", "logical_path").agg(F.max("best").alias("score"))
-    return best.where((F.col("score") < threshold) & (F.col("score") > float("-inf"))).select("logical_path", "score").orderBy("score", "logical_path")
+        return pa.table({"script_id": a.column("script_id"), "best": pa.array(s.max(axis=1))})
+
+    def own_cell(bound: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        return np.arange(bound.shape[1])[None] == b.column("cell").to_numpy()[:, None]
+
+    def may_match(bound: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        return (bound <= within) & ~own_cell(bound, b)
+
+    def may_be_better(bound: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        best = np.clip(b.column("best").to_numpy(), -1, 1)
+        return (bound <= np.arccos(best)[:, None] + SLACK) & ~own_cell(bound, b) & ~(bound <= within)
+
+    none = F.lit(float("-inf"))
+    open_ = units.withColumn("best", none)
+    for step, asked in (("own", own_cell), ("match", may_match), ("rest", may_be_better)):
+        asks = keep.put(_asking(open_, rings, asked, False), f"{step}-asks")
+        best = _compared(asks, units, rings, run, "script_id long, best double").groupBy("script_id").agg(F.max("best").alias("found"))
+        rows = open_.join(best, "script_id", "left").withColumn("best", F.greatest("best", F.coalesce("found", none))).drop("found")
+        open_ = keep.put(rows.where(F.col("best") < threshold), step)
+        if rings.parts.sum() == 1:
+            break  # nothing else to ask
+    return open_.where(F.col("best") > float("-inf")).select("logical_path", F.col("best").alias("score")).orderBy("score", "logical_path")
 
 
 def embed_text(scripts: DataFrame, sampled: bool = False, chars: int = 20_000) -> DataFrame:

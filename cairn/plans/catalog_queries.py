@@ -504,6 +504,20 @@ def _e3(e):
     return similarity.outliers(e, 0.33).select("logical_path", F.round("score", 6).alias("score"))
 
 
+def _vector_audit(s, d, r, e, check, **bound):
+    return audit.audit({"scripts": s, "dependencies": d, "revisions": r, "script_embeddings": e}, [check], **bound)
+
+
+@query("u9_near_duplicates", [S, D, R, E], f"SELECT 'near-duplicates' AS check, 'warn' AS severity, least(a.logical_path, b.logical_path) AS logical_path, concat('like ', greatest(a.logical_path, b.logical_path)) AS detail FROM script_embeddings a JOIN script_embeddings b ON a.script_id < b.script_id WHERE {_COS} >= 0.4")
+def _u9(s, d, r, e):
+    return _vector_audit(s, d, r, e, "near-duplicates", near=0.4)
+
+
+@query("u10_outliers", [S, D, R, E], f"SELECT 'outliers' AS check, 'info' AS severity, a.logical_path, 'like no other script' AS detail FROM script_embeddings a JOIN script_embeddings b ON a.script_id <> b.script_id GROUP BY a.script_id, a.logical_path HAVING max({_COS}) < 0.35")
+def _u10(s, d, r, e):
+    return _vector_audit(s, d, r, e, "outliers", far=0.35)
+
+
 @query("e4_similar", [S, E], _NEAREST.format(_COS, " WHERE b.logical_path IN (SELECT logical_path FROM scripts WHERE symlink_target IS NULL)", 8))
 def _e4(s, e):
     # Vectors outlive scripts that became symlinks.
