@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import ascii_lower, in_folder, json_list
 from cairn.functions.querytext import ROLES
+from cairn.sources.scratch import Scratch
 
 TREE = "node_id long, parent_id long, depth int, logical_path string, kind string, via string, indexed boolean, cycle boolean, repeated boolean, truncated boolean"
 
@@ -148,13 +151,21 @@ def _edges(scripts: DataFrame, dependencies: DataFrame, reverse: bool) -> DataFr
 
 
 def reachable(scripts: DataFrame, dependencies: DataFrame, path: str, depth: int, reverse: bool = False) -> DataFrame:
-    """(id, depth): every script within *depth* steps with its least number of steps."""
-    edges = _edges(scripts, dependencies, reverse).where("b is not null").select("a", "b").distinct()
-    front = seen = _ids(scripts, path).withColumn("depth", F.lit(0))
+    """(id, depth): every script within *depth* steps with its least number of steps.
+
+    Edges and each level are stored, so a level is one pass over the edges and the ids
+    found so far, however deep; it ends where a level is empty.
+    """
+    keep = Scratch(scripts.sparkSession, "levels")
+    edges = keep.put(_edges(scripts, dependencies, reverse).where("b is not null").select("a", "b").distinct(), "edges")
+    levels = [keep.put(_ids(scripts, path).withColumn("depth", F.lit(0)), "0")]
     for d in range(1, depth + 1):
-        front = edges.join(front.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen
+        seen = reduce(DataFrame.unionByName, levels)
+        front = edges.join(levels[-1].select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        levels.append(keep.put(front.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)), str(d)))
+        if levels[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionByName, levels)
 
 
 def tree(spark: SparkSession, scripts: DataFrame, dependencies: DataFrame, path: str, depth: int = 5, reverse: bool = False, most: int = 1_000_000) -> DataFrame:

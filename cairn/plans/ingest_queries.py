@@ -10,7 +10,7 @@ from cairn.plans.adapters import path_of, views, with_clause
 from cairn.plans.catalog_queries import ORACLE, QUERIES, D, R, S, query
 from cairn.sources import extract, scan, store
 from cairn.sources.scratch import Scratch
-from cairn.streaming.activity import activity
+from cairn.streaming.activity import run_to_end
 
 _EXT = "CASE regexp_extract(logical_path, '\\.([^./]+)$', 1) WHEN 'py' THEN 'python' WHEN 'sh' THEN 'shell' WHEN 'txt' THEN 'text' ELSE 'unknown' END"
 _SUFFIXES = "SELECT id, array_to_string(p[i:], '.') AS name, i FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT id, string_split(ltrim(replace(regexp_replace(logical_path, '\\.py$', ''), '/', '.'), '.'), '.') AS p FROM {}))"
@@ -129,9 +129,16 @@ ORACLE["t12_path_references"] = with_clause(S) + "SELECT id, CASE WHEN id % 3 =
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Checkouts by day of the events as a stream, in which every event comes twice."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
     kind = F.when(F.col("event_type").isin("click", "error"), "DEVELOP").otherwise("OTHER")
-    return activity(events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("physical_path"), kind.alias("revision_type")))
+
+    def events() -> DataFrame:
+        rows = spark.readStream.schema(schema).parquet(f"{path}*")
+        return rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("physical_path"), kind.alias("revision_type"))
+
+    return run_to_end(spark, events().unionByName(events()))
 
 
 QUERIES["stream_activity_by_day"] = _feed

@@ -10,7 +10,7 @@ from cairn.plans import build
 from cairn.schema import TABLES
 from cairn.sources import extract as X
 from cairn.sources import scan, store
-from cairn.streaming.activity import activity
+from cairn.streaming.activity import activity, run_to_end
 
 
 def test_header_rules():
@@ -141,12 +141,23 @@ def test_checkout_scan(spark):
 
 def test_stream_is_the_batch(spark, tmp_path):
     rows = [("2024-01-01 10:00:00", "/a", "DEVELOP"), ("2024-01-01 11:00:00", "/a", "DEVELOP"), ("2024-01-02 01:00:00", "/b", "DEVELOP"), ("2024-01-02 02:00:00", "/c", "ARCHIVE"), ("2024-01-09 02:00:00", "/d", "DEVELOP")]
-    feed = spark.createDataFrame(rows, "t string, physical_path string, revision_type string").selectExpr("cast(t as timestamp) as ts", "physical_path", "revision_type")
-    feed.write.parquet(str(tmp_path / "in"))
-    q = activity(spark.readStream.schema(feed.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("days").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.sql("select * from days").collect())) == sorted(map(tuple, activity(feed).collect())) == [("20240101", 1), ("20240102", 1), ("20240109", 1)]
+    more = [("2024-01-09 03:00:00", "/e", "DEVELOP"), ("2024-01-09 02:00:00", "/d", "DEVELOP"), ("2024-01-08 12:00:00", "/f", "DEVELOP")]
+
+    def feed(rows):
+        return spark.createDataFrame(rows, "t string, physical_path string, revision_type string").selectExpr("cast(t as timestamp) as ts", "physical_path", "revision_type")
+
+    for i, part in enumerate((rows, more)):  # one file a batch, the second with a repeated row and an earlier one
+        feed(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in (tmp_path / "in").glob("part-*"):
+            if os.stat(f).st_mtime > 1.5e9:
+                os.utime(f, (1e9 + i, 1e9 + i))
+    stream = spark.readStream.schema(feed(rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted(map(tuple, run_to_end(spark, stream).collect()))
+    assert got == sorted(map(tuple, activity(feed(rows + more)).collect())) == [("20240101", 1), ("20240102", 1), ("20240108", 1), ("20240109", 2)]
+    late = [("2024-01-01 12:00:00", "/late", "DEVELOP")]  # beyond the lateness when it comes: left out
+    feed(late).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(feed(rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert sorted(map(tuple, run_to_end(spark, stream).collect())) == got
 
 
 def _listing(files, times, sizes=None):
