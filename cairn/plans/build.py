@@ -113,16 +113,16 @@ def carried(listed: DataFrame, read: Reader, old: DataFrame | None) -> DataFrame
     return rows.select("logical_path", "symlink_target", *[F.when(F.col("how").isin(*h), F.col(f"old_{c}")).otherwise(F.col(c)).alias(c) for c, h in stays.items()], "how", "error")
 
 
-def increment(spark: SparkSession, listed: DataFrame, read: Reader, old: dict[str, DataFrame] | None, built: str, now: float, revisions: DataFrame | None = None) -> dict[str, DataFrame]:
+def increment(spark: SparkSession, listed: DataFrame, read: Reader, old: dict[str, DataFrame] | None, built: str, now: float, revisions: DataFrame | None = None, put: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
     """All tables of the listed files, with ``facts`` and ``changes`` (logical_path, how, error).
 
     Only changed and added scripts are extracted.  Facts of the others are those of *old*
     (the tables of the last build, or None), which are kept by path; scripts no longer
     listed go, and are ``removed`` in changes.  Everything derived is made anew, so no edge
-    points to what a new script now shadows.
+    points to what a new script now shadows.  *put* stores the files and the facts.
     """
-    keep = Scratch(spark, "build")
-    files = keep.put(scan.classify(carried(listed, read, old and old["scripts"])), "files")
+    put = put or Scratch(spark, "build").put
+    files = put(scan.classify(carried(listed, read, old and old["scripts"])), "files")
     scripts = files.where("class = 'script' and how <> 'lost'")
     changes = files.where("class = 'script'").select("logical_path", "how", "error")
     facts = scripts
@@ -133,7 +133,7 @@ def increment(spark: SparkSession, listed: DataFrame, read: Reader, old: dict[st
     facts = facts_of(facts)
     if old is not None:
         facts = old["facts"].join(stand, "logical_path", "left_semi").unionByName(facts)
-    facts = keep.put(facts, "facts")
+    facts = put(facts, "facts")
     made = derived(files.where("how <> 'lost'").drop("how", "error"), facts, built, now, revisions)
     return made | {"facts": facts, "changes": changes}
 
@@ -143,13 +143,18 @@ def _reusable(scripts: DataFrame, facts: DataFrame) -> DataFrame:
     return scripts.where("how in ('same', 'touched', 'kept')").join(facts, "logical_path", "left_semi").select("logical_path")
 
 
-def tables(spark: SparkSession, roots: dict[str, str], built: str, now: float, revisions: DataFrame | None = None, old: dict[str, DataFrame] | None = None, ignores: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """All catalog tables of the roots; *old* is the build whose facts may stand."""
-    found = scan.walk(roots, ignores)
+def listing(spark: SparkSession, settings: Settings) -> DataFrame:
+    """logical_path, physical_path, size, mtime, symlink_target of all files below the roots."""
+    found = scan.walk(settings.roots, settings.ignores)
     shadow = {f[2]: f[1] for f in found.files}
     rows = [(f[1], f[2], f[3], f[4], shadow.get(f[5], f[5])) for f in found.files]
-    listed = spark.createDataFrame(rows, "logical_path string, physical_path string, size long, mtime double, symlink_target string")
-    return increment(spark, listed, scan.read_files, old, built, now, revisions)
+    return spark.createDataFrame(rows, "logical_path string, physical_path string, size long, mtime double, symlink_target string")
+
+
+def listing_mark(listed: DataFrame) -> str:
+    """A hash of a listing: any file that comes, goes or moves its size or time gives another."""
+    row = F.xxhash64("logical_path", "size", "mtime", "symlink_target")
+    return _digest(*listed.agg(F.count("*"), F.sum(F.pmod(row, F.lit(1 << 40))), F.bit_xor(row)).first())
 
 
 def last_build(spark: SparkSession, out: str) -> tuple[dict[str, DataFrame], str, str] | None:
@@ -166,12 +171,17 @@ def build(spark: SparkSession, settings: Settings, out: str, built: str, now: fl
     """Build and publish; the folder of the new build, or None where the last one is up to date.
 
     The last build's facts stand where extraction has not changed; *full* extracts all anew.
+    A build that failed goes on where its files and facts were stored, if no file has changed.
     Names of builds are times (yyyymmddThhmmss, UTC), which the skip rule compares with the newest file.
     """
     mark = settings.fingerprint()
     last = None if full else last_build(spark, out)
     if last and up_to_date(scan.newest(spark, settings.roots), store.built_at(last[1]), last[2], mark):
         return None
-    old = last[0] if last and "facts" in last[0] and last[2].partition(".")[0] == mark.partition(".")[0] else None
-    made = tables(spark, settings.roots, built, now, old=old, ignores=settings.ignores)
-    return store.publish(spark, out, {n: t for n, t in made.items() if n != "changes"}, built, mark, keep)
+    old, before = (last[0], last[1]) if last and "facts" in last[0] and last[2].partition(".")[0] == mark.partition(".")[0] else (None, "")
+    listed, work = listing(spark, settings), store.Work(spark, out)
+    own = _digest(mark, before, listing_mark(listed))[:32]
+    made = increment(spark, listed, scan.read_files, old, built, now, put=lambda df, name: work.put(df, name, own))
+    path = store.publish(spark, out, {n: t for n, t in made.items() if n != "changes"}, built, mark, keep)
+    work.clear()
+    return path

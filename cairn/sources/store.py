@@ -81,6 +81,32 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], built:
     return final
 
 
+class Work:
+    """Stages of a build that is not published yet, in a folder beside the builds.
+
+    A stage is stored under a mark of all that it depends on.  A build that is started
+    again finds the stages that were finished, and makes anew those that were not, or whose
+    mark has changed.  ``done`` lists what was found.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.folder, self.done = spark, f"{root}/_work", []
+
+    def put(self, df: DataFrame, name: str, mark: str) -> DataFrame:
+        """*df* stored, or what an earlier run has stored of it."""
+        path = f"{self.folder}/{name}-{mark}"
+        fs, finished = _fs(self.spark, f"{path}/_SUCCESS")  # written when all of a table is there
+        if fs.exists(finished):
+            self.done.append(name)
+        else:
+            df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        fs, folder = _fs(self.spark, self.folder)
+        fs.delete(folder, True)
+
+
 def compatibility(found: int | None) -> str:
     return "compatible" if found == VERSION else "older" if found is None or found < VERSION else "newer"
 

@@ -230,6 +230,46 @@ def test_build_skips_and_carries(spark, tmp_path, monkeypatch):
     assert store.open_catalog(spark, out)["scripts"].where(f"mtime = {later}").count() == 1
 
 
+def test_failed_build_goes_on(spark, tmp_path, monkeypatch):
+    top = tmp_path / "src"
+    top.mkdir()
+    for i in range(4):
+        (top / f"m{i}.py").write_text(f"import m{(i + 1) % 4}\ndef f{i}(): pass\n")
+    settings, clean, out = build.Settings({str(top): "/r"}), str(tmp_path / "clean"), str(tmp_path / "c")
+    build.build(spark, settings, clean, "20240101T000000", 9.0)
+    want = {n: sorted(map(str, t.collect())) for n, t in store.open_catalog(spark, clean).items()}
+    done, stop = [], {"files": True, "facts": True, "publish": True}
+    put, publish = store.Work.put, store.publish
+
+    def stopping(self, df, name, mark):
+        got = put(self, df, name, mark)
+        done.append((name, name in self.done))
+        if stop.pop(name, False):
+            raise OSError(f"lost after {name}")
+        return got
+
+    monkeypatch.setattr(store.Work, "put", stopping)
+    monkeypatch.setattr(store, "publish", lambda *a, **k: publish(*a, **k) if not stop.pop("publish", False) else (_ for _ in ()).throw(OSError("lost before publishing")))
+    for _ in range(3):  # after each stage
+        with pytest.raises(OSError):
+            build.build(spark, settings, out, "20240101T000000", 9.0)
+        assert store.builds(spark, out) == []
+    assert build.build(spark, settings, out, "20240101T000000", 9.0)
+    assert done == [("files", False), ("files", True), ("facts", False), ("files", True), ("facts", True), ("files", True), ("facts", True)]
+    assert {n: sorted(map(str, t.collect())) for n, t in store.open_catalog(spark, out).items()} == want
+    assert not (tmp_path / "c/_work").exists()
+    # A file changed since the failure: nothing of that run is used.
+    stop["facts"] = True
+    (top / "m0.py").write_text("import m2\n")
+    with pytest.raises(OSError):
+        build.build(spark, settings, out, "20240102T000000", 9.0)
+    (top / "m0.py").write_text("import m3\n\n")
+    done.clear()
+    assert build.build(spark, settings, out, "20240102T000000", 9.0) and done == [("files", False), ("facts", False)]
+    edges = store.open_catalog(spark, out)["dependencies"].where("script_id = 1").collect()
+    assert [(e.depends_on_path, e.resolved_script_id) for e in edges] == [("m3", 4)]
+
+
 def test_newest_time(spark, tmp_path):
     top = tmp_path / "a b+c%20"
     (top / "x/DEVELOP/deep").mkdir(parents=True)
