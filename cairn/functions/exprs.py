@@ -77,11 +77,13 @@ def human_size(n: Column) -> Column:
 
 
 def relative_age(seconds: Column) -> Column:
-    """Whole minutes, hours or days, halves to even."""
-    def whole(x: Column) -> Column:
-        return F.rint(x).cast("bigint").cast("string")
+    """Whole minutes, hours or days ago, halves to even; ages below zero are zero."""
+    age = F.greatest(seconds, F.lit(0.0))
 
-    return F.when(seconds < 3600, F.concat(whole(seconds / 60), F.lit("m"))).when(seconds < 86400, F.concat(whole(seconds / 3600), F.lit("h"))).otherwise(F.concat(whole(seconds / 86400), F.lit("d")))
+    def whole(unit: int, name: str) -> Column:
+        return F.concat(F.rint(age / unit).cast("bigint").cast("string"), F.lit(f"{name} ago"))
+
+    return F.when(age < 3600, whole(60, "m")).when(age < 86400, whole(3600, "h")).when(age.isNotNull(), whole(86400, "d"))
 
 
 def iso_mtime(mtime: Column) -> Column:
@@ -90,7 +92,8 @@ def iso_mtime(mtime: Column) -> Column:
 
 
 def kind_label(kind: Column) -> Column:
-    return F.regexp_replace(kind, "file$", "")
+    """A reference is ``ref``, a declared file its role."""
+    return F.when(kind == "referenced", "ref").otherwise(F.regexp_replace(kind, "file$", ""))
 
 
 def _accents() -> tuple[str, str]:

@@ -139,6 +139,37 @@ def detail(scripts: DataFrame, dependencies: DataFrame, path: str) -> DataFrame:
     return out.union(links_to(scripts, path).select(F.lit("linked"), "logical_path")).dropDuplicates(["relation", "path"])
 
 
+def _record(rows: DataFrame, *more: str) -> DataFrame:
+    """value: a JSON object of a script's path, language, owner, purpose and *more*, nulls included."""
+    own = F.struct(F.col("logical_path").alias("path"), "language", "owner", "purpose", *more)
+    return rows.select("logical_path", F.to_json(own, {"ignoreNullFields": "false"}).alias("value"))
+
+
+_OWN = ["logical_path", "language", "owner", "purpose"]
+
+
+def dependency_records(scripts: DataFrame, dependencies: DataFrame, path: str) -> DataFrame:
+    """What the script uses, as JSON objects; a target that is not indexed has only the path as written."""
+    own = dependencies.join(_ids(scripts, path).withColumnRenamed("id", "script_id"), "script_id", "left_semi")
+    target = scripts.select(F.col("id").alias("resolved_script_id"), *_OWN)
+    rows = own.join(target, "resolved_script_id", "left")
+    shape = F.struct(F.coalesce("logical_path", "depends_on_path").alias("path"), "depends_on_path", "language", "owner", "purpose", F.col("logical_path").isNotNull().alias("indexed"), "kind")
+    return rows.select(F.coalesce("logical_path", "depends_on_path").alias("logical_path"), F.to_json(shape, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def used_by_records(scripts: DataFrame, dependencies: DataFrame, path: str) -> DataFrame:
+    return _record(used_by(scripts, dependencies, path).join(scripts.select(*_OWN), "logical_path"), "kind")
+
+
+def sibling_records(scripts: DataFrame, path: str) -> DataFrame:
+    return _record(siblings(scripts, path))
+
+
+def declared_by_records(scripts: DataFrame, dependencies: DataFrame, path: str) -> DataFrame:
+    """Scripts that declare a file, with the role in which they do."""
+    return _record(declared_by(scripts, dependencies, path).withColumnRenamed("kind", "role").join(scripts.select(*_OWN), "logical_path"), "role")
+
+
 def _edges(scripts: DataFrame, dependencies: DataFrame, reverse: bool) -> DataFrame:
     """(a, b, kind, via, path): from node a to b, which is null where the target is not indexed."""
     names = scripts.select(F.col("id").alias("b"), "logical_path")

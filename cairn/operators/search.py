@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions import fts
+from cairn.functions import fts, grams
 from cairn.functions.exprs import ascii_lower, basename, contains_folded, fold, json_list, like_literal, parent_dir, stem
+from cairn.functions.grams import Grams, narrowed
 from cairn.functions.querytext import ROLES, check_limit, check_role, java_regex, phrases
 from cairn.sources.scratch import Scratch
 
@@ -59,8 +61,21 @@ def lookup(scripts: DataFrame, path: str) -> DataFrame:
     return scripts.where(F.col("logical_path") == path)
 
 
-def by_path(scripts: DataFrame, needle: str, limit: int, filters: Filters = NONE) -> DataFrame:
+def store_grams(path: str, scripts: DataFrame, definitions: DataFrame, dependencies: DataFrame) -> None:
+    """Write the trigrams of paths, function names and declared files, which the searches for them take."""
+    declared = dependencies.where(F.col("kind").isin(list(ROLES)))
+    texts = {
+        "path": scripts.select("id", F.col("logical_path").alias("text")),
+        "function": definitions.select(F.col("script_id").alias("id"), F.col("name").alias("text")),
+        "declared": declared.select(F.col("script_id").alias("id"), F.col("depends_on_path").alias("text")),
+    }
+    grams.store_grams(path, texts)
+
+
+def by_path(scripts: DataFrame, needle: str, limit: int, filters: Filters = NONE, index: Grams | None = None) -> DataFrame:
     check_limit(limit)
+    if index:
+        scripts = narrowed(scripts, "id", index.candidates("path", fold(needle)))
     return filters.apply(scripts).where(contains_folded(F.col("logical_path"), needle)).orderBy("logical_path").limit(limit)
 
 
@@ -73,17 +88,21 @@ def by_regex(scripts: DataFrame, pattern: str, limit: int, filters: Filters = NO
     return scripts.join(ids, "id", "left_semi").orderBy("logical_path")
 
 
-def by_function(scripts: DataFrame, definitions: DataFrame, name: str, limit: int, filters: Filters = NONE) -> DataFrame:
+def by_function(scripts: DataFrame, definitions: DataFrame, name: str, limit: int, filters: Filters = NONE, index: Grams | None = None) -> DataFrame:
     """Scripts that define a matching name; % and _ in the name are wildcards, and nothing escapes them."""
     check_limit(limit)
+    if index:
+        definitions = narrowed(definitions, "script_id", index.candidates("function", *re.split("[%_]", fold(name))))
     ids = definitions.where(ascii_lower(F.col("name")).like("%" + fold(name).replace("\\", "\\\\") + "%")).select(F.col("script_id").alias("id"))
     return filters.apply(scripts).join(ids, "id", "left_semi").orderBy("logical_path").limit(limit)
 
 
-def by_declared(scripts: DataFrame, dependencies: DataFrame, needle: str, limit: int, role: str | None = None, filters: Filters = NONE) -> DataFrame:
+def by_declared(scripts: DataFrame, dependencies: DataFrame, needle: str, limit: int, role: str | None = None, filters: Filters = NONE, index: Grams | None = None) -> DataFrame:
     """Scripts that declare a matching file in a role; the needle is literal."""
     check_limit(limit)
     check_role(role, declares=True)
+    if index:
+        dependencies = narrowed(dependencies, "script_id", index.candidates("declared", fold(needle)))
     kinds = [role] if role else list(ROLES)
     hit = ascii_lower(F.col("depends_on_path")).like(f"%{like_literal(fold(needle))}%")
     ids = dependencies.where(F.col("kind").isin(kinds) & hit).select(F.col("script_id").alias("id"))

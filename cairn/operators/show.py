@@ -29,9 +29,9 @@ def target_of(scripts: DataFrame, path: str) -> str:
 
 
 def checkout_label() -> Column:
-    """Who holds the script since when; empty where nobody does."""
+    """Who holds the script since when, or that nobody does."""
     since = F.when(F.coalesce("checkout_timestamp", F.lit("")) != "", F.concat(F.lit(" since "), "checkout_timestamp")).otherwise("")
-    return F.when(F.coalesce("checkout_user", F.lit("")) != "", F.concat("checkout_user", since)).otherwise("")
+    return F.when(F.coalesce("checkout_user", F.lit("")) != "", F.concat(F.lit("checked out by "), "checkout_user", since)).otherwise("clean")
 
 
 def _collected(rows: DataFrame, name: str) -> DataFrame:

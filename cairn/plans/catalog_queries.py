@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import exprs as X
 from cairn.functions import fts
+from cairn.functions.grams import Grams
 from cairn.functions.querytext import phrases
 from cairn.operators import audit, diffing, graph, search, show, similarity, stats, status, warnings
 from cairn.plans.adapters import path_of, views, with_clause
@@ -108,6 +109,24 @@ def _f6(s, d):
     return search.by_declared(s, d, "data_1", 60, role="inputfile").select("id", "logical_path")
 
 
+def _grams(s, fd, d):
+    """Stored trigrams of the catalog's paths, names and declared files, opened again."""
+    path = Scratch(s.sparkSession, "grams").path("postings")
+    search.store_grams(path, s, fd, d)
+    return Grams.open(s.sparkSession, path)
+
+
+def _same_rows(name: str, of: str, f) -> None:
+    """A query over stored trigrams, with the SQL of the plain search; their relations are all that the index takes."""
+    QUERIES[name] = lambda spark, sf_dir: f(*views(spark, sf_dir, S, FD, D).values())
+    ORACLE[name] = ORACLE[of]
+
+
+_same_rows("f3_path_index", "f3_path_search", lambda s, fd, d: search.by_path(s, "SUB3/doc_1", 30, index=_grams(s, fd, d)).select("id", "logical_path"))
+_same_rows("f5_function_index", "f5_function_search", lambda s, fd, d: search.by_function(s, fd, "RUN_3", 40, index=_grams(s, fd, d)).select("id", "logical_path"))
+_same_rows("f6_declared_index", "f6_declared_search", lambda s, fd, d: search.by_declared(s, d, "data_1", 60, role="inputfile", index=_grams(s, fd, d)).select("id", "logical_path"))
+
+
 @query("f7_list_page", [S], "SELECT id, logical_path FROM scripts WHERE id IN (SELECT id FROM scripts WHERE owner = 'src3') ORDER BY logical_path LIMIT 25 OFFSET 5")
 def _f7(s):
     return search.listing(s.where("owner = 'src3'"), 25, 5).select("id", "logical_path")
@@ -477,6 +496,47 @@ ORACLE["a10_findings_by_check"] = (
 )
 
 
+# -- JSON records ----------------------------------------------------------------------
+_OWNED = "'path', {0}.logical_path, 'language', {0}.language, 'owner', {0}.owner, 'purpose', {0}.purpose"
+
+
+@query("p11_dependency_records", [S, D], f"SELECT coalesce(t.logical_path, d.depends_on_path) AS logical_path, cast(json_object('path', coalesce(t.logical_path, d.depends_on_path), 'depends_on_path', d.depends_on_path, 'language', t.language, 'owner', t.owner, 'purpose', t.purpose, 'indexed', t.id IS NOT NULL, 'kind', d.kind) AS varchar) AS value FROM dependencies d JOIN scripts s ON s.id = d.script_id AND s.logical_path = '{P9}' LEFT JOIN scripts t ON t.id = d.resolved_script_id")
+def _p11d(s, d):
+    return graph.dependency_records(s, d, P9)
+
+
+@query("p11_used_by_records", [S, D], f"SELECT DISTINCT s.logical_path, cast(json_object({_OWNED.format('s')}, 'kind', d.kind) AS varchar) AS value FROM dependencies d JOIN scripts s ON s.id = d.script_id JOIN scripts t ON t.id = d.resolved_script_id AND t.logical_path = '{P9}'")
+def _p11u(s, d):
+    return graph.used_by_records(s, d, P9)
+
+
+@query("p11_sibling_records", [S], f"SELECT s.logical_path, cast(json_object({_OWNED.format('s')}) AS varchar) AS value FROM scripts s WHERE starts_with(s.logical_path, '/catalog/dir9/sub2/') AND s.logical_path <> '{P9}'")
+def _p11s(s):
+    return graph.sibling_records(s, P9)
+
+
+@query("p11_declared_by_records", [S, D], f"SELECT s.logical_path, cast(json_object({_OWNED.format('s')}, 'role', d.kind) AS varchar) AS value FROM dependencies d JOIN scripts s ON s.id = d.script_id WHERE d.depends_on_path = '/ext/data_7.csv' AND d.kind IN {_ROLES}")
+def _p11f(s, d):
+    return graph.declared_by_records(s, d, "/ext/data_7.csv")
+
+
+# -- labels ----------------------------------------------------------------------------
+@query("l1_relative_age", [R], "SELECT id, concat(cast(round_even(CASE WHEN a < 3600 THEN a / 60 WHEN a < 86400 THEN a / 3600 ELSE a / 86400 END, 0) AS bigint), CASE WHEN a < 3600 THEN 'm ago' WHEN a < 86400 THEN 'h ago' ELSE 'd ago' END) AS shown FROM (SELECT id, greatest(age_seconds / CASE id % 4 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 480 ELSE 20000 END, 0) AS a FROM revisions WHERE age_seconds IS NOT NULL)")
+def _l1(r):
+    age = F.col("age_seconds") / F.expr("CASE id % 4 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 480 ELSE 20000 END")  # every unit, and ages below zero
+    return r.where("age_seconds is not null").select("id", X.relative_age(age).alias("shown"))
+
+
+@query("l2_kind_labels", [D], "SELECT id, CASE kind WHEN 'referenced' THEN 'ref' WHEN 'inputfile' THEN 'input' WHEN 'outputfile' THEN 'output' WHEN 'parentfile' THEN 'parent' WHEN 'paramfile' THEN 'param' ELSE kind END AS label FROM dependencies")
+def _l2(d):
+    return d.select("id", X.kind_label(F.col("kind")).alias("label"))
+
+
+@query("l3_checkout_labels", [S, R], f", f AS {_SUMMARY} SELECT s.id, CASE WHEN coalesce(f.checkout_user, '') = '' THEN 'clean' ELSE concat('checked out by ', f.checkout_user, CASE WHEN coalesce(f.checkout_timestamp, '') = '' THEN '' ELSE concat(' since ', f.checkout_timestamp) END) END AS label FROM scripts s LEFT JOIN f USING (logical_path)")
+def _l3(s, r):
+    return status.denormalise(s, r).select("id", show.checkout_label().alias("label"))
+
+
 # -- similarity ------------------------------------------------------------------------
 _COS = "list_cosine_similarity(cast(a.embedding AS double[]), cast(b.embedding AS double[]))"
 
@@ -563,6 +623,26 @@ def _w6(s):
     return warnings.type_mismatch(s).select("logical_path")
 
 
+_KINDS = [("checkout_without_catalog_entry", "w1_without_entry"), ("timestamp_drift", "w2_timestamp_drift"), ("self_referential_symlink", "w3_self_symlink"), ("symlink_name_mismatch", "w4_symlink_name"), ("missing_archive_entries", "w5_missing_archive"), ("scripttype_language_mismatch", "w6_type_mismatch")]
+
+
+def _all_warnings_sql() -> str:
+    """Every warning's path, kind and message, from the queries of the single kinds."""
+    whole, parts = with_clause(S, R), []
+    for kind, name in _KINDS:
+        own = next(ORACLE[name][len(w):] for w in (whole, with_clause(S), with_clause(R)) if ORACLE[name].startswith(w))
+        parts.append(f"SELECT logical_path, '{kind}' AS kind, '{warnings.MESSAGES[kind].replace(chr(39), chr(39) * 2)}' AS message FROM ({own})")
+    return whole + " UNION ALL ".join(parts)
+
+
+@query("w_messages", [S, R], None)
+def _w_all(s, r):
+    return warnings.all_warnings(s.withColumn("mtime", F.col("mtime") + 4000000), r).select("logical_path", "kind", "message")
+
+
+ORACLE["w_messages"] = _all_warnings_sql()
+
+
 # A manifest that leaves out scripts and names some that are not there, at every size.
 _MANIFEST = f"SELECT {path_of('(o_orderkey % (SELECT count(*) + 500 FROM {documents}))')} AS path FROM {{orders}}"
 ORACLE["w7_registration"] = with_clause(S) + f", m AS (SELECT DISTINCT path FROM ({_MANIFEST.format(documents='documents', orders='orders')})) SELECT path AS logical_path, 'registered_with_vc_but_not_indexed' AS kind FROM m WHERE path NOT IN (SELECT logical_path FROM scripts) UNION ALL SELECT logical_path, 'not_registered_with_vc' FROM scripts WHERE logical_path NOT IN (SELECT path FROM m)"

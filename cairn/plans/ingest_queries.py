@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.plans import build, resolve
 from cairn.plans.adapters import path_of, views, with_clause
 from cairn.plans.catalog_queries import ORACLE, QUERIES, D, R, S, query
-from cairn.sources import extract, scan, store
+from cairn.sources import extract, mapping, scan, store
 from cairn.sources.scratch import Scratch
 from cairn.streaming.activity import run_to_end
 
@@ -42,6 +42,18 @@ def _src8(s):
     return s.select("id", F.sha2("content", 256).alias("content_hash"))
 
 
+@query("src8_read_files", [S], ", f AS (SELECT id // 20 AS b, concat(string_agg(coalesce(content, ''), chr(10) ORDER BY id), chr(10)) AS text FROM scripts GROUP BY 1) SELECT concat('b=', cast(b AS varchar)) AS folder, cast(strlen(text) AS bigint) AS size, CASE WHEN strlen(text) <= 60000 THEN sha256(text) END AS content_hash, CASE WHEN strlen(text) > 60000 THEN 'larger than 60000 bytes' END AS error FROM f")
+def _src8f(s):
+    """Files written of the scripts' texts, twenty a file, and read again; those over a size are errors."""
+    root = Scratch(s.sparkSession, "files").path("texts")
+    rows = s.select(F.expr("id div 20").alias("b"), "id", F.coalesce("content", F.lit("")).alias("value"))
+    rows.repartition("b").sortWithinPartitions("b", "id").select("b", "value").write.partitionBy("b").text(root)
+    files, errors = scan.read_tree(s.sparkSession, root, 60_000)
+    sizes = s.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", "(b=[0-9]+)/[^/]*$", 1).alias("folder"), F.col("length").alias("size"))
+    found = files.select("path", "content_hash", F.lit(None).cast("string").alias("error")).unionByName(errors.withColumn("content_hash", F.lit(None).cast("string")))
+    return found.select(F.substring_index("path", "/", 1).alias("folder"), "content_hash", "error").join(sizes, "folder")
+
+
 @query("src9_sampling", [S], "SELECT id, CASE WHEN language = 'text' AND len(string_split(content, chr(10))) > 20 THEN sha256(concat(array_to_string(string_split(content, chr(10))[1:20], chr(10)), chr(10))) ELSE sha256(content) END AS sampled FROM scripts")
 def _src9(s):
     return s.select("id", F.sha2(scan.sample(F.col("content"), F.coalesce("language", F.lit(""))), 256).alias("sampled"))
@@ -108,6 +120,45 @@ def _snk2(s):
     return store.csv_lines(s, ["path", "tags", "owner"])
 
 
+#: Prefixes by the nations' keys; some lie below others, and two keys may share one.
+_PREFIXES = "SELECT cast(n_nationkey AS bigint) AS position, concat('/catalog/dir', cast(n_nationkey % 13 AS varchar(20)), CASE WHEN n_nationkey % 3 = 0 THEN concat('/sub', cast(n_nationkey % 7 AS varchar(20))) ELSE '' END, CASE WHEN n_nationkey % 4 = 1 THEN '/' ELSE '' END) AS logical_prefix, concat('/mnt/v', cast(n_nationkey % 5 AS varchar(20)), CASE WHEN n_nationkey % 2 = 0 THEN '/x/' ELSE '' END) AS physical_prefix FROM {nation}"
+
+
+def _mapping_sql(source: str, target: str, rows: str, column: str, out: str) -> str:
+    return (
+        f", m AS (SELECT position, rtrim({source}, '/') AS a, rtrim({target}, '/') AS b FROM ({_PREFIXES.format(nation='nation')})), p AS ({rows}), "
+        f"t AS (SELECT p.id, arg_min(m.b || substr(p.{column}, len(m.a) + 1), m.position) AS x FROM p JOIN m ON p.{column} = m.a OR starts_with(p.{column}, m.a || '/') GROUP BY p.id) "
+        f"SELECT p.id, p.{column}, coalesce(t.x, p.{column}) AS {out} FROM p LEFT JOIN t USING (id)"
+    )
+
+
+_MOUNTED = "SELECT id, concat('/mnt/v', cast(id % 6 AS varchar(20)), CASE WHEN id % 4 = 0 THEN '/x' ELSE '' END, CASE WHEN id % 11 = 0 THEN '' ELSE logical_path END) AS physical_path FROM {scripts}"
+
+
+def _mapped(spark: SparkSession, sf_dir: str, back: bool) -> DataFrame:
+    s = views(spark, sf_dir, S)[S]
+    prefixes = spark.sql(_PREFIXES, nation=spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    if back:
+        return mapping.to_logical(spark.sql(_MOUNTED, scripts=s), "physical_path", prefixes)
+    return mapping.to_physical(s.select("id", "logical_path"), "logical_path", prefixes)
+
+
+QUERIES["src13_to_physical"] = lambda spark, sf_dir: _mapped(spark, sf_dir, False)
+ORACLE["src13_to_physical"] = with_clause(S) + _mapping_sql("logical_prefix", "physical_prefix", "SELECT id, logical_path FROM scripts", "logical_path", "physical_path")
+QUERIES["src13_to_logical"] = lambda spark, sf_dir: _mapped(spark, sf_dir, True)
+ORACLE["src13_to_logical"] = with_clause(S) + _mapping_sql("physical_prefix", "logical_prefix", _MOUNTED.format(scripts="scripts"), "physical_path", "logical_path")
+
+
+@query("w8_system_warnings", [R], ", own AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN '/' ELSE concat('/vc/', event_type) END AS root FROM events), o AS (SELECT DISTINCT concat('/vc/', event_type, '/', cast(event_id % 3 AS varchar)) AS root FROM events WHERE event_id % 5 = 0 UNION SELECT '/vc/click') SELECT root, 'root_without_system' AS kind FROM own WHERE root = '/' AND EXISTS (SELECT 1 FROM revisions WHERE os_flavor = 'AIX') UNION ALL SELECT root, 'system_without_root' AS kind FROM o WHERE root NOT IN (SELECT root FROM own)")
+def _w8(r):
+    """Roots and overrides by the revisions' folders; checkouts of one system lose its name."""
+    kind = F.concat(F.lit("/vc/"), F.split("physical_path", "/")[2])
+    roots = r.select(F.when(F.col("id") % 2 == 0, "/").otherwise(kind).alias("root"))
+    named = r.where("id % 5 = 0").select(F.concat(kind, F.lit("/"), (F.col("id") % 3).cast("string"), F.lit("/")).alias("root")).unionByName(r.select(F.lit("/vc/click").alias("root")))
+    nameless = r.withColumn("os_flavor", F.when(F.col("os_flavor") == "AIX", "").otherwise(F.col("os_flavor")))
+    return mapping.system_warnings(roots, named.withColumn("os", F.lit("linux")), nameless).select("root", "kind")
+
+
 @query("f_size_labels", [S], "SELECT id, CASE WHEN size >= 1073741824 THEN concat(printf('%.1f', size / 1073741824.0), ' GB') WHEN size >= 1048576 THEN concat(printf('%.1f', size / 1048576.0), ' MB') WHEN size >= 1024 THEN concat(printf('%.1f', size / 1024.0), ' KB') ELSE cast(size AS varchar) || ' B' END AS shown FROM (SELECT id, size * CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 64 WHEN 2 THEN 9000 ELSE 1000000 END AS size FROM scripts)")
 def _sizes(s):
     from cairn.functions.exprs import human_size

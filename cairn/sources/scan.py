@@ -163,6 +163,25 @@ def read_files(listed: DataFrame) -> DataFrame:
     return listed.select("logical_path", "physical_path", "size").mapInPandas(run, "logical_path string, content string, content_hash string, error string")
 
 
+def read_tree(spark: SparkSession, root: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, errors) of all files below a folder of any store that Spark reads.
+
+    files: path (below the root), size, mtime, content, content_hash.  errors: path, error,
+    of files over *most* bytes, whose contents are never read, and of those that can't be.
+    Spark's scans skip files without bytes, so these are in neither (``walk`` lists them).
+    """
+    most = MOST_BYTES if most is None else most
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
+    below = F.element_at(F.split(F.col("path"), re.escape(re.sub("^[a-z]+:/*", "/", root).rstrip("/") + "/"), 2), -1)
+    listed = source.select(below.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
+    # The filter on the length reaches the source, which then does not open larger files.
+    read = source.where(F.col("length") <= most).select(below.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("content_hash"))
+    files = listed.join(read, "path")
+    large = listed.where(F.col("size") > most).select("path", F.lit(f"larger than {most} bytes").alias("error"))
+    lost = listed.where(F.col("size") <= most).join(read.select("path"), "path", "left_anti").select("path", F.lit("cannot be read").alias("error"))
+    return files, large.unionByName(lost)
+
+
 def newest(spark: SparkSession, roots: dict[str, str]) -> float | None:
     """The latest time, in seconds, of all files below the roots, of their folders and of checkout folders; None without any.
 
