@@ -8,8 +8,10 @@ are no calls and no access to Python objects.  A template is parsed once, consta
 folded, and each node becomes a Python closure.  Loops pull their records one at a time,
 so a conversation of any length renders in bounded memory.
 
-Control strings inside texts are escaped: a backslash goes after their first character,
-and before each backslash another one.  Taking those out again restores every text.
+Control strings inside texts are escaped: wherever one begins, also within another, its
+first character is written as a code (CODES), and each backslash twice.  So are a first
+``>`` and a last ``<``, which could become part of one beside the template's own text.  No
+control string is left then but the template's, and ``unescape`` restores every text.
 
 Defined results: null roles and texts are empty; rows with equal turns go by role and
 text; a null conv_id is a conversation of its own; extra columns are ignored; an empty
@@ -36,15 +38,18 @@ TEMPLATE = (
 )
 #: Characters after which a conversation's output goes on in another row.
 PART = 1 << 16
-_escapes = re.compile("\\\\|" + "|".join(map(re.escape, sorted(CONTROLS, key=len, reverse=True))))
+#: What stands for the first character of a control string, and for a backslash.
+CODES = {"<": "\\l", ">": "\\g", "|": "\\p", "[": "\\b", "\\": "\\\\"}
+_escapes = re.compile(r"\\|\A>|<\Z|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROLS))
+_plain = {code[1]: c for c, code in CODES.items()}
 
 
 def escape(text: str) -> str:
-    return _escapes.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
+    return _escapes.sub(lambda m: CODES[m[0]], text)
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+    return re.sub(r"\\(.)", lambda m: _plain[m[1]], text, flags=re.S) if "\\" in text else text
 
 
 FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower}
@@ -390,8 +395,9 @@ def read_back(text: str) -> Iterator[tuple[str, str]]:
     """(role, text) of every turn that the default template wrote."""
     at = 0
     while at < len(text):
-        head = text.index("|>\n", at)
-        end = text.index("<|end|>\n", head)
+        # Neither string can be part of an escaped role or text.
+        head = text.index("|>\n", at + 2)
+        end = text.index("<|end|>\n", head + 3)
         yield unescape(text[at + 2 : head]), unescape(text[head + 3 : end])
         at = end + len("<|end|>\n")
 

@@ -130,6 +130,23 @@ GROUP BY k.doc_id, k.text
 """
 
 
+#: Characters of an escaped text: one more for each place where a control string begins, for each backslash, a first > and a last <.
+_ESCAPED = "(length({0}) + starts_with({0}, '>')::BIGINT + ends_with({0}, '<')::BIGINT + " + " + ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in [*chat.CONTROLS, "\\"]) + ")"
+
+#: Chat digests in SQL, from the turns as they are; the template adds 13 characters a turn.
+OP5_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) own(i, r)
+)
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum({_ESCAPED.format('role')} + {_ESCAPED.format('text')} + 13)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 #: Periodic runs in SQL.  Pairs of equal words give, for each distance, the stretches in which words that far apart are
 #: identical; of equal runs the smallest period stays.  The checksum goes bit by bit over the digits of doc_id.
 OP11_SQL = r"""
@@ -214,4 +231,4 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL, "op12_source_divergence": OP12_SQL}
