@@ -4,10 +4,14 @@ Equal vectors collapse to one node.  Leaves of random hyperplane trees give ever
 first list of neighbours; then lists improve by joining neighbours of neighbours.  A
 list that is full of links is saturated and is enlarged; one that stays saturated at the
 largest size stands in a dense spot, and those nodes are compared with all nodes in
-blocks, which only return counts and the links that join two components.  A
-sample compared with all nodes, drawn until it has enough links, audits the recall; the
-descent goes on while it is low.  Where it stays low, or links are too few for an audit,
-all nodes are compared in blocks.
+blocks, which only return counts and the links that join two components.
+
+Trees are planted until they leave a pair at the threshold apart with a chance of MISS at
+most, so links that no list leads to are found as well.  A sample compared with all nodes
+audits the recall of the links outside dense spots; where it meets too few of them, likely
+ends of links, whose best neighbours are near the threshold, are audited as well.  The
+recall goes to the log.  While it is low, fresh trees are planted and the descent goes on;
+only where it stays low after ROUNDS of them are all nodes compared in blocks.
 
 Defined results: null, empty or zero vectors, and vectors that hold null or non-finite
 components, link with nothing; vectors of different lengths never link; equal vectors
@@ -18,6 +22,7 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,9 +38,10 @@ K, K_MOST = 10, 40
 #: Trees of a batch, vectors of a leaf, and the chance that no tree holds a pair at the threshold in one leaf.
 TREES, LEAF, MISS = 3, 512, 1e-4
 ROUNDS, STILL = 8, 0.01
-#: Vectors of the audit: more are drawn until they have so many links.  The recall it asks for, and vectors in a
+#: Vectors of the audit: more are drawn while they have fewer links.  The recall it asks for, and vectors in a
 #: block of the exact comparison.
 AUDITS, LINKS, RECALL, BLOCK = (256, 2048, 8192), 300, 0.99, 4096
+log = logging.getLogger(__name__)
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,19 +168,30 @@ def _top(found: DataFrame, caps: DataFrame | None) -> DataFrame:
 def _descend(store: Store, nodes: DataFrame, dim: int, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(node, n_links) of all nodes and edges(u, v) that join what exact links join."""
     true = _audit(nodes, n, threshold)
-    if true is None:
-        # Too few links to audit any lists: every node is compared with all.
-        return _finish(store, nodes, store.put(nodes.sparkSession.createDataFrame([], "u long, v long, sim double"), "lists"), nodes.select("node"), n, threshold)
     bits = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
     # The first trees give every node a list; the others, as many as the planes ask for, only links.
-    found = [_planted(store, nodes, dim, bits, b, threshold if b else -2.0) for b in range(_batches(bits, threshold))]
+    batches = _batches(bits, threshold)
+    found = [_planted(store, nodes, dim, bits, b, threshold if b else -2.0) for b in range(batches)]
     lists = store.put(_top(reduce(DataFrame.unionByName, found).withColumn("new", F.lit(True)), None), "lists")
     store.drop(*found)
     caps: DataFrame | None = None
     for turn in range(ROUNDS):
         lists, caps, changed = _round(store, nodes, lists, caps, threshold)
-        if (changed <= STILL * n * K or turn + 1 == ROUNDS) and _recall(true, lists, caps, threshold) >= RECALL:
+        if changed > STILL * n * K and turn + 1 < ROUNDS:
+            continue
+        recall = _recall(true, lists, caps, threshold) if true else 0.0
+        if not recall:
+            # Too few links were drawn to judge by: ask where links are likely.
+            found, wanted = _share((true or {}) | _likely(nodes, lists, n, threshold), lists, caps, threshold)
+            recall = found / wanted if wanted else 1.0
+        log.info("recall %.4f of audited links outside dense spots, %d vectors, round %d", recall, n, turn + 1)
+        if recall >= RECALL:
             break
+        # The lists have come to rest without some links: other leaves lead to them.
+        more = _planted(store, nodes, dim, bits, batches + turn, threshold)
+        planted = store.put(_top(lists.unionByName(more.withColumn("new", F.lit(True))), caps), "lists")
+        store.drop(lists, more)
+        lists = planted
     else:
         # The audit was never content: every node is compared with all.
         return _finish(store, nodes, lists, nodes.select("node"), n, threshold)
@@ -225,38 +242,59 @@ def _saturated(lists: DataFrame, caps: DataFrame, threshold: float) -> DataFrame
     return ends.where((F.col("c") >= F.coalesce("cap", F.lit(K))) & (F.col("low") >= threshold)).select(F.col("u").alias("node"))
 
 
+def _counted(nodes: DataFrame, tried: DataFrame, threshold: float) -> dict[int, int]:
+    """Links of a bounded sample of vectors, by a full comparison."""
+    rows = tried.select("node", "vec").toArrow()
+    if not rows.num_rows:
+        return {}
+    ids, m = rows.column("node").to_numpy(), _matrix(rows.column("vec"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(ids), np.int64)
+        for b in batches:
+            if b.num_rows:
+                total += ((m @ _matrix(b.column("vec")).T >= threshold) & (ids[:, None] != b.column("node").to_numpy()[None])).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["u", "c"])
+
+    return {r.u: r.c for r in nodes.select("node", "vec").mapInArrow(run, "u long, c long").groupBy("u").agg(F.sum("c").alias("c")).collect()}
+
+
+def _drawn(nodes: DataFrame, n: int, size: int, seed: int) -> DataFrame:
+    """About *size* vectors, twice as many at most, by a hash."""
+    return nodes.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(1, n // size))) == 0).limit(2 * size)
+
+
 def _audit(nodes: DataFrame, n: int, threshold: float) -> dict[int, int] | None:
     """Links of a sample, by a full comparison; None if the largest sample has too few of them."""
     for size in AUDITS:
-        share = max(1, n // size)
-        tried = nodes.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(share)) == 0).limit(2 * size).select("node", "vec").collect()
-        if not tried:
-            continue
-        ids, m = np.array([r.node for r in tried]), np.array([r.vec for r in tried])
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, m=m) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(ids), np.int64)
-            for b in batches:
-                if b.num_rows:
-                    total += ((m @ _matrix(b.column("vec")).T >= threshold) & (ids[:, None] != b.column("node").to_numpy()[None])).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["u", "c"])
-
-        true = {r.u: r.c for r in nodes.select("node", "vec").mapInArrow(run, "u long, c long").groupBy("u").agg(F.sum("c").alias("c")).collect()}
+        true = _counted(nodes, _drawn(nodes, n, size, 5), threshold)
         if sum(true.values()) >= LINKS:
             return true
-        if share == 1:
+        if size >= n:
             break
     return None
 
 
-def _recall(true: dict[int, int], lists: DataFrame, caps: DataFrame, threshold: float) -> float:
-    """Links of the audited vectors that lists hold, of all; 0 if too few are not to be compared exactly anyway."""
-    ids = [int(i) for i in true]
-    spared = {r.node for r in _saturated(lists, caps, threshold).where(F.col("node").isin(ids)).collect()}
-    have = {r.u: r["count"] for r in _both(lists, threshold).where(F.col("u").isin(ids)).groupBy("u").count().collect()}
+def _likely(nodes: DataFrame, lists: DataFrame, n: int, threshold: float) -> dict[int, int]:
+    """Links of vectors whose best neighbours are nearest to the threshold, and of as many others."""
+    best = lists.groupBy("u").agg(F.max("sim").alias("sim")).orderBy(F.abs(F.col("sim") - threshold), "u").limit(AUDITS[1])
+    ends = nodes.join(best.select(F.col("u").alias("node")), "node", "left_semi").select("node", "vec")
+    return _counted(nodes, ends, threshold) | _counted(nodes, _drawn(nodes, n, AUDITS[1], 7), threshold)
+
+
+def _share(true: dict[int, int], lists: DataFrame, caps: DataFrame, threshold: float) -> tuple[int, int]:
+    """Of the audited links, those that lists hold, and all; saturated vectors are compared exactly anyway."""
+    ids = lists.sparkSession.createDataFrame([(int(i),) for i in true], "u long")
+    spared = {r.node for r in _saturated(lists, caps, threshold).join(ids.withColumnRenamed("u", "node"), "node", "left_semi").collect()}
+    have = {r.u: r["count"] for r in _both(lists, threshold).join(ids, "u", "left_semi").groupBy("u").count().collect()}
     left = {u: c for u, c in true.items() if u not in spared}
-    wanted = sum(left.values())
-    return sum(min(c, have.get(u, 0)) for u, c in left.items()) / wanted if wanted >= LINKS else 0.0
+    return sum(min(c, have.get(u, 0)) for u, c in left.items()), sum(left.values())
+
+
+def _recall(true: dict[int, int], lists: DataFrame, caps: DataFrame, threshold: float) -> float:
+    """The share of the audited links that lists hold; 0 if too few are left to judge by."""
+    found, wanted = _share(true, lists, caps, threshold)
+    return found / wanted if wanted >= LINKS else 0.0
 
 
 def _finish(store: Store, nodes: DataFrame, lists: DataFrame, unproven: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
