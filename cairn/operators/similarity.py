@@ -76,6 +76,28 @@ def similar_of(scripts: DataFrame, vectors: DataFrame, queries: DataFrame, limit
     return nearest_of(vectors.join(scripts.select("logical_path"), "logical_path", "left_semi"), queries, limit)
 
 
+class NoVectors(LookupError):
+    """Nothing can be compared."""
+
+
+def similar_checked(scripts: DataFrame, opened: tuple[str, DataFrame | None, str | None], path: str, limit: int, build: str | None = None) -> tuple[DataFrame, list[str]]:
+    """As similar, of vectors as ``store.open_vectors`` gives them, with notes on what they do not cover.
+
+    An unknown script, vectors that are missing or cannot be used, and a script without a
+    vector are errors.
+    """
+    state, vectors, made_for = opened
+    if scripts.where(F.col("logical_path") == path).isEmpty():
+        raise NoVectors(f"script '{path}' not found in catalog")
+    if state != "ok":
+        raise NoVectors({"absent": "no vectors are published beside the catalog", "newer": "the vectors are of a newer format"}.get(state, "the vectors cannot be read"))
+    if vectors.where(F.col("logical_path") == path).isEmpty():
+        raise NoVectors(f"'{path}' has no vector: it was added or renamed after they were made")
+    have, all_ = vectors.count(), scripts.count()
+    notes = [provenance_note(made_for, build), f"vectors cover {have} of {all_} scripts" if have < all_ else None]
+    return similar(scripts, vectors, path, limit), [n for n in notes if n]
+
+
 def provenance_note(sidecar_build: str | None, catalog_build: str | None) -> str | None:
     if sidecar_build and catalog_build and sidecar_build != catalog_build:
         return f"embeddings were made for build {sidecar_build}, the catalog is {catalog_build}"

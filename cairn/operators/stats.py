@@ -94,3 +94,16 @@ def severity_summary(findings: DataFrame) -> DataFrame:
 
 def exit_code(errors: int, warnings: int, strict: bool = False) -> int:
     return 2 if errors else 1 if strict and warnings else 0
+
+
+def checkout_statistics(catalog: dict[str, DataFrame], configured: bool = True) -> dict[str, DataFrame] | None:
+    """The statistics of checkouts by name; None for a catalog without revisions.
+
+    Without version control configured they are empty, as revisions may outlive the
+    setting that they came from.
+    """
+    revisions = catalog.get("revisions")
+    if revisions is None:
+        return None
+    own = revisions if configured else revisions.where(F.lit(False))
+    return {"by_os": checkouts_by(own, "os_flavor"), "users": checkouts_by(own, "user"), "staleness": staleness_histogram(own), "by_day": activity_by_day(own)}

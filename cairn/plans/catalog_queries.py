@@ -578,6 +578,24 @@ def _u10(s, d, r, e):
     return _vector_audit(s, d, r, e, "outliers", far=0.35)
 
 
+@query("a17_severity_summary", [S, D, R], None)
+def _a17(s, d, r):
+    return stats.severity_summary(audit.audit({"scripts": s, "dependencies": d, "revisions": r}, audit.DEFAULT))
+
+
+ORACLE["a17_severity_summary"] = "SELECT " + ", ".join(f"coalesce(sum(count) FILTER (WHERE \"check\" IN ({kinds})), 0)::BIGINT AS {name}" for name, kinds in (("errors", "'broken-deps'"), ("warnings", "'unowned', 'no-purpose', 'orphan-checkouts'"), ("infos", "'stale-checkouts', 'dead-scripts', 'no-description'"))) + f" FROM ({ORACLE['a10_findings_by_check']})"
+
+
+@query("e7_reused_vectors", [S, E], "SELECT s.logical_path, CASE WHEN s.id % 3 <> 0 THEN coalesce(len(e.embedding), 0) ELSE 0 END AS dim FROM scripts s LEFT JOIN script_embeddings e ON e.logical_path = s.logical_path")
+def _e7(s, e):
+    """Texts of all scripts beside vectors of which a third are of other texts."""
+    texts = similarity.embed_text(s, sampled=True)
+    hashes = texts.select("logical_path", F.when(F.col("id") % 3 == 0, "old").otherwise(F.col("text_hash")).alias("text_hash"))
+    previous = e.join(hashes, "logical_path").select("logical_path", "text_hash", "embedding", F.lit("m").alias("model"))
+    again = similarity.reuse_vectors(texts, previous.unionByName(previous.withColumn("model", F.lit("other"))), "m")
+    return again.select("logical_path", F.when(F.col("embedding").isNotNull(), F.size("embedding")).otherwise(0).cast("long").alias("dim"))
+
+
 @query("e4_similar", [S, E], _NEAREST.format(_COS, " WHERE b.logical_path IN (SELECT logical_path FROM scripts WHERE symlink_target IS NULL)", 8))
 def _e4(s, e):
     # Vectors outlive scripts that became symlinks.
@@ -677,13 +695,15 @@ def _d2d(s, d):
     return delta.select("logical_path", F.array_join("added", "|").alias("added"), F.array_join("removed", "|").alias("removed"))
 
 
-@query("d1_against_checkouts", [S, R], f", f AS (SELECT logical_path, arg_max(physical_path, concat(timestamp, physical_path)) AS p FROM revisions WHERE revision_type = 'DEVELOP' GROUP BY logical_path) SELECT s.logical_path, concat('catalog:', s.logical_path) AS old_label, p AS new_label, 'checkout' AS new_kind, cast(len(string_split(content, chr(10))) AS int) AS at FROM scripts s JOIN f USING (logical_path) WHERE content <> '' AND (language IS NULL OR language NOT IN ('csv', 'text', 'lst')) AND NOT regexp_matches(content, '[\\r\\n\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')")
+_BREAKS = "[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+@query("d1_against_checkouts", [S, R], f", f AS (SELECT logical_path, arg_max(physical_path, concat(timestamp, physical_path)) AS p FROM revisions WHERE revision_type = 'DEVELOP' GROUP BY logical_path), t AS (SELECT logical_path, regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '{_BREAKS}', chr(10), 'g') AS text FROM scripts WHERE content <> '' AND (language IS NULL OR language NOT IN ('csv', 'text', 'lst'))) SELECT t.logical_path, concat('catalog:', t.logical_path) AS old_label, p AS new_label, 'checkout' AS new_kind, cast(length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END AS int) AS at FROM t JOIN f USING (logical_path)")
 def _d1b(s, r):
-    # A checkout of a script of one line adds a second line.
-    one = s.where(~F.col("content").rlike("[\\r\\n\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"))
-    texts = r.select("logical_path", "physical_path").join(one.select("logical_path", F.concat("content", F.lit("\nmore")).alias("content")), "logical_path")
-    found = diffing.against_newest_checkouts(one, r, texts)
-    return found.select("logical_path", "old_label", "new_label", "new_kind", F.col("old_count").alias("at"))
+    """Every script against a newest checkout that adds a line at its end: one hunk, after the last line."""
+    texts = r.select("logical_path", "physical_path").join(s.select("logical_path", F.concat("content", F.lit("\nmore")).alias("content")), "logical_path")
+    found = diffing.against_newest_checkouts(s, r, texts)
+    return found.select("logical_path", "old_label", "new_label", "new_kind", (F.when(F.col("old_count") > 0, F.col("old_start") + F.col("old_count") - 1).otherwise(0)).alias("at"))
 
 
 @query("d1_text_diff", [S], None)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.plans import build, resolve
 from cairn.plans.adapters import path_of, views, with_clause
-from cairn.plans.catalog_queries import ORACLE, QUERIES, D, R, S, query
+from cairn.plans.catalog_queries import ORACLE, QUERIES, D, E, R, S, query
 from cairn.sources import extract, mapping, scan, store
 from cairn.sources.scratch import Scratch
 from cairn.streaming.activity import run_to_end
@@ -159,6 +161,50 @@ def _w8(r):
     return mapping.system_warnings(roots, named.withColumn("os", F.lit("linux")), nameless).select("root", "kind")
 
 
+@query("snk3_json_lines", [S], "SELECT cast(json_object('path', logical_path, 'owner', owner, 'size', size, 'tags', tags) AS varchar) AS value FROM scripts")
+def _snk3(s):
+    return store.json_lines(s, ["path", "owner", "size", "tags"])
+
+
+@query("p10_key_names", [S], "SELECT logical_path AS path, symlink_target AS symlink, language FROM scripts")
+def _p10(s):
+    return store.project(s, ["logical_path", "symlink_target", "lang", "path", "no such field"])
+
+
+@query("snk1_published_catalog", [S, R], "SELECT '20240102T000000' AS build, 'scripts' AS name, count(*) AS n, sum(id)::BIGINT AS ids FROM scripts WHERE id % 3 <> 0 UNION ALL SELECT '20240102T000000', 'revisions', count(*), sum(id)::BIGINT FROM revisions UNION ALL SELECT '20240101T000000', 'scripts', count(*), sum(id)::BIGINT FROM scripts")
+def _snk1(s, r):
+    """Two builds published and opened again, the newest and the one before it."""
+    spark, root = s.sparkSession, Scratch(s.sparkSession, "catalog").root
+    store.publish(spark, root, {"scripts": s}, "20240101T000000", keep=2)
+    store.publish(spark, root, {"scripts": s.where("id % 3 <> 0"), "revisions": r}, "20240102T000000", keep=2)
+    old, new = store.previous_pair(spark, root)
+    found = [(new, n, store.open_catalog(spark, root)[n]) for n in ("scripts", "revisions")] + [(old, "scripts", store.open_catalog(spark, root, old)["scripts"])]
+    counted = [t.agg(F.lit(b).alias("build"), F.lit(n).alias("name"), F.count("*").alias("n"), F.sum("id").alias("ids")) for b, n, t in found]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@query("snk4_published_vectors", [E], "SELECT logical_path, len(embedding)::BIGINT AS dim, 'b2' AS catalog FROM script_embeddings WHERE script_id % 2 = 0")
+def _snk4(e):
+    """Vectors published twice beside a catalog, and opened as they were published last."""
+    spark, root = e.sparkSession, Scratch(e.sparkSession, "vectors").root
+    store.publish_vectors(spark, root, e, "b1")
+    store.publish_vectors(spark, root, e.where("script_id % 2 = 0"), "b2")
+    state, vectors, catalog = store.open_vectors(spark, root)
+    if state != "ok":
+        raise store.CatalogError(f"vectors are {state}")
+    return vectors.select("logical_path", F.size("embedding").cast("long").alias("dim"), F.lit(catalog).alias("catalog"))
+
+
+_CHECKOUT = "concat(CASE WHEN id % 4 = 0 THEN '' ELSE concat('jobs', cast(id % 9 AS varchar(20)), '/') END, CASE WHEN id % 3 = 0 THEN 'ARCHIVE' WHEN id % 7 = 1 THEN 'other' ELSE 'DEVELOP' END, CASE WHEN id % 5 = 0 THEN '/deep' ELSE '' END, '/s', cast(id % 40 AS varchar(20)), '.sh_', timestamp, CASE WHEN id % 6 = 0 THEN '_RB_ab' WHEN id % 11 = 0 THEN '_kim.org' ELSE '_kim' END)"
+
+
+@query("src7_checkout_scan", [R], f", p AS (SELECT id, {_CHECKOUT} AS rel FROM revisions) SELECT concat(CASE WHEN id % 4 = 0 THEN '' ELSE concat('/jobs', cast(id % 9 AS varchar)) END, CASE WHEN id % 5 = 0 THEN '/deep' ELSE '' END, '/s', cast(id % 40 AS varchar), '.sh') AS logical_path, concat('/w/aix/src/', rel) AS physical_path, CASE WHEN id % 3 = 0 THEN 'ARCHIVE' WHEN id % 6 = 0 THEN 'ROLLBACK' ELSE 'DEVELOP' END AS revision_type, 'aix' AS os_flavor, CASE WHEN id % 6 = 0 THEN 'RB_ab' ELSE 'kim' END AS user, cast(id % 100 AS double) AS age_seconds FROM p WHERE NOT (id % 3 <> 0 AND id % 7 = 1) AND NOT (id % 6 <> 0 AND id % 11 = 0)")
+def _src7(r):
+    """Paths of files in and beside checkout folders, as a listing has them."""
+    paths = r.select(F.lit("/w/aix/src").alias("root"), F.expr(_CHECKOUT).alias("rel"), (1000.0 - F.col("id") % 100).cast("double").alias("mtime"))
+    return scan.checkouts(paths, 1000.0).drop("timestamp")
+
+
 @query("f_size_labels", [S], "SELECT id, CASE WHEN size >= 1073741824 THEN concat(printf('%.1f', size / 1073741824.0), ' GB') WHEN size >= 1048576 THEN concat(printf('%.1f', size / 1048576.0), ' MB') WHEN size >= 1024 THEN concat(printf('%.1f', size / 1024.0), ' KB') ELSE cast(size AS varchar) || ' B' END AS shown FROM (SELECT id, size * CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 64 WHEN 2 THEN 9000 ELSE 1000000 END AS size FROM scripts)")
 def _sizes(s):
     from cairn.functions.exprs import human_size

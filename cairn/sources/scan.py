@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -267,6 +268,11 @@ def checkouts(paths: DataFrame, now: float, systems: dict[str, str] | None = Non
     ).withColumn("logical_path", F.regexp_replace("logical_path", "/+", "/"))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of a manifest, one a line, trimmed, blank lines left out."""
-    return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
+    """(paths, warning) of a manifest: one a line, trimmed, blank lines left out; none, and a warning, where it cannot be read."""
+    try:
+        rows = spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+        rows.limit(1).collect()
+    except (AnalysisException, PySparkException) as e:
+        return spark.createDataFrame([], "path string"), f"the manifest {path} cannot be read, so nothing is compared with it: {type(e).__name__}"
+    return rows, None

@@ -58,3 +58,11 @@ def test_tree_of_any_store(spark, tmp_path):
         assert {(r.path, r.size, r.content) for r in files.collect()} == {("a/b.py", 3, "é\n"), ("a/b+c d.sh", 1, "1"), ("bytes.sh", 3, "a\ufffdb")}
         assert [tuple(r) for r in errors.collect()] == [("big.txt", "larger than 20 bytes")]
     assert "LessThanOrEqual(length,20)" in files._jdf.queryExecution().toString()
+
+
+def test_manifest_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "m").write_text(" /a/x \n\n/b\n")
+    rows, warning = scan.manifest(spark, str(tmp_path / "m"))
+    assert [r.path for r in rows.collect()] == ["/a/x", "/b"] and warning is None
+    rows, warning = scan.manifest(spark, str(tmp_path / "none"))
+    assert rows.count() == 0 and "none cannot be read" in warning

@@ -54,3 +54,17 @@ def test_outliers_over_blocks(spark, rows):
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
     assert similarity.outliers(vectors.limit(1), 0.9).count() == 0
     assert similarity.outliers(vectors.limit(0), 0.9).count() == 0 and similarity.near_duplicates(vectors.limit(0), 0.9).count() == 0
+
+
+def test_similar_says_what_is_missing(spark):
+    from tests.test_catalog import scripts
+
+    s = scripts(spark, [{"logical_path": f"/c/{i:04d}"} for i in range(4)])
+    vectors = made(spark, [[1, 0], [1, 0.1], [0, 1]])
+    found, notes = similarity.similar_checked(s, ("ok", vectors, "b1"), "/c/0000", 1, "b2")
+    assert [r.logical_path for r in found.collect()] == ["/c/0001"]
+    assert len(notes) == 2 and "b1" in notes[0] and "3 of 4" in notes[1]
+    assert similarity.similar_checked(s.limit(3), ("ok", vectors, "b1"), "/c/0000", 1, "b1")[1] == []
+    for opened, path, said in ((("ok", vectors, "b1"), "/none", "not found"), (("absent", None, None), "/c/0000", "no vectors"), (("newer", None, "b9"), "/c/0000", "newer"), (("unreadable", None, None), "/c/0000", "read"), (("ok", vectors, "b1"), "/c/0003", "no vector")):
+        with pytest.raises(similarity.NoVectors, match=said):
+            similarity.similar_checked(s, opened, path, 1)
