@@ -34,9 +34,9 @@ def paths(df):
 
 
 def test_ranking_and_filters(spark):
-    s = scripts(spark, [{"logical_path": "/c/a.py", "content": "patch patch patch", "language": "python"}, {"logical_path": "/c/b.py", "content": "patch deployment", "language": "shell"}])
-    assert sorted(search.full_text(s, "patch", 5).collect(), key=lambda r: r.rank)[0].logical_path == "/c/a.py"
-    assert paths(search.full_text(s, "patch", 5, search.Filters(language="SHELL"))) == ["/c/b.py"]
+    s = scripts(spark, [{"logical_path": "/w/kelp.ksh", "content": "tide of the harbour", "language": "shell"}, {"logical_path": "/w/buoy.py", "content": "tide, tide and ebb tide", "language": "python"}])
+    assert [r.logical_path for r in sorted(search.full_text(s, "tide", 5).collect(), key=lambda r: r["rank"])] == ["/w/buoy.py", "/w/kelp.ksh"]
+    assert paths(search.full_text(s, "tide", 5, search.Filters(language="SHELL"))) == ["/w/kelp.ksh"]
     assert search.full_text(s, '"', 5).count() == 0
     assert search.full_text(s, "***", 5).count() == 0
 
@@ -94,12 +94,12 @@ def test_revision_stats(spark):
 
 
 def test_folders_are_literal(spark):
-    s = scripts(spark, [{"logical_path": p} for p in ("/catalog/Tools/a", "/catalog/tools/b", "/catalog/T_%[x]/c", "/catalog/d", "/catalog/tools/deep/e")])
-    assert paths(graph.scripts_in(s, "/catalog/tools")) == ["/catalog/tools/b"]
-    assert paths(graph.scripts_in(s, "/catalog/T_%[x]")) == ["/catalog/T_%[x]/c"]
+    s = scripts(spark, [{"logical_path": p} for p in ("/w/Quay/a", "/w/quay/b", "/w/q%_.*(y/c", "/w/qXY.y/d", "/w/e", "/w/quay/inner/f")])
+    assert paths(graph.scripts_in(s, "/w/quay")) == ["/w/quay/b"]
+    assert paths(graph.scripts_in(s, "/w/q%_.*(y")) == ["/w/q%_.*(y/c"]
     assert paths(graph.scripts_in(s, "")) == []
-    assert [r.name for r in graph.subdirs(s, "/").collect()] == ["catalog"]
-    assert [r.name for r in graph.subdirs(s, "/catalog").collect()] == ["T_%[x]", "Tools", "tools"]
+    assert [r.name for r in graph.subdirs(s, "/").collect()] == ["w"]
+    assert [r.name for r in graph.subdirs(s, "/w").collect()] == ["Quay", "q%_.*(y", "qXY.y", "quay"]
 
 
 @pytest.fixture(scope="module")
@@ -182,16 +182,16 @@ def test_status(spark):
 
 
 def test_audit(spark):
-    s = scripts(spark, [{"logical_path": "/cat/mylib/x.py", "language": "python", "owner": "o", "metadata_json": '{"techowner":"team-a"}'}, {"logical_path": "/cat/run.sh", "language": "shell", "owner": "o"}])
-    names = ["os", "sys", "json.decoder", "requests", "yaml.constants", "mylib.missing", "mylib.pkg.gone", ".sibling", "tools/x.py"]
-    d = deps(spark, [(1, n, None, "import") for n in names] + [(2, "common.sh", None, "import"), (2, "in.csv", None, "inputfile")])
-    r = revs(spark, [("/cat/run.sh", "DEVELOP", "u", "20240101", 100 * 86400.0), ("/cat/mylib/x.py", "DEVELOP", "u", "20240101", 86400.0)])
+    s = scripts(spark, [{"logical_path": "/w/harbour/crane.py", "language": "python", "owner": "kim", "metadata_json": '{"techowner":"pilots"}'}, {"logical_path": "/w/moor.ksh", "language": "shell", "owner": "kim"}])
+    names = ["bisect", "email.mime.text", "wsgiref", "seaborn", "tides.almanac", "harbour.lost", "harbour.dock.sunk", "..up", "ropes/knot.py"]
+    d = deps(spark, [(1, n, None, "import") for n in names] + [(2, "lines.ksh", None, "import"), (2, "berths.csv", None, "inputfile")])
+    r = revs(spark, [("/w/moor.ksh", "DEVELOP", "kim", "20230506", 130 * 86400.0), ("/w/harbour/crane.py", "DEVELOP", "kim", "20230506", 2 * 86400.0)])
     catalog = {"scripts": s, "dependencies": d, "revisions": r}
     found = audit.audit(catalog, ["broken-deps"]).collect()
-    assert {f.detail.removeprefix("unresolved: ") for f in found} == {".sibling", "common.sh", "mylib.missing", "mylib.pkg.gone", "tools/x.py"}
-    assert {f.detail for f in audit.audit(catalog, ["external-deps "]).collect()} == {"external: requests", "external: yaml.constants"}
-    assert paths(audit.audit(catalog, ["unowned"])) == ["/cat/run.sh"]
-    assert [(f.logical_path, f.detail) for f in audit.audit(catalog, ["stale-checkouts"]).collect()] == [("/cat/run.sh", "100 days")]
+    assert {f.detail.removeprefix("unresolved: ") for f in found} == {"..up", "lines.ksh", "harbour.lost", "harbour.dock.sunk", "ropes/knot.py"}
+    assert {f.detail for f in audit.audit(catalog, ["external-deps "]).collect()} == {"external: seaborn", "external: tides.almanac"}
+    assert paths(audit.audit(catalog, ["unowned"])) == ["/w/moor.ksh"]
+    assert [(f.logical_path, f.detail) for f in audit.audit(catalog, ["stale-checkouts"]).collect()] == [("/w/moor.ksh", "130 days")]
     for bad in (["nonsense"], ["outliers"]):
         with pytest.raises(ValidationError):
             audit.audit(catalog, bad)
@@ -224,13 +224,13 @@ def test_diffs(spark):
 
 
 def test_warnings(spark):
-    links = [("/loop", "/loop"), ("/foo", "/bar"), ("/f", "/foo_20240101"), ("/prepare_thing", "/prepare"), ("/prepare_thing2", "/pre")]
+    links = [("/ring", "/ring"), ("/oar", "/sail"), ("/net", "/net_20230506"), ("/winch_port", "/winch"), ("/winch_stern", "/win")]
     s = scripts(spark, [{"logical_path": a, "symlink_target": b} for a, b in links])
-    assert paths(warnings.self_referential(s)) == ["/loop"]
-    assert sorted(paths(warnings.name_mismatch(s))) == ["/foo", "/prepare_thing2"]
-    r = revs(spark, [("/foo", "DEVELOP", "u", "20240921_130000", 1.0), ("/f", "DEVELOP", "u", "20240101", 1.0), ("/f", "ARCHIVE", "u", "20240101", 1.0)])
-    assert paths(warnings.missing_archive(r)) == ["/foo"]
-    at = scripts(spark, [{"logical_path": "/foo", "mtime": 1726916430.0}])  # 11:00:30 UTC of that day
+    assert paths(warnings.self_referential(s)) == ["/ring"]
+    assert sorted(paths(warnings.name_mismatch(s))) == ["/oar", "/winch_stern"]
+    r = revs(spark, [("/oar", "DEVELOP", "kim", "20230506_091500", 1.0), ("/net", "DEVELOP", "kim", "20230506", 1.0), ("/net", "ARCHIVE", "kim", "20230506", 1.0)])
+    assert paths(warnings.missing_archive(r)) == ["/oar"]
+    at = scripts(spark, [{"logical_path": "/oar", "mtime": 1683360000.0}])  # 08:00 UTC of that day
     assert warnings.timestamp_drift(at, r, "UTC").count() == 0
     assert warnings.timestamp_drift(at, r, "+02:00").count() == 1
     none = spark.createDataFrame([("  ",)], "path string")

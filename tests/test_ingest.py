@@ -132,11 +132,11 @@ def test_publish_again_and_vectors(spark, catalog, tmp_path):
 
 
 def test_checkout_scan(spark):
-    rows = [("/w/aix/src", f"{p}", 90.0) for p in ("jobs/DEVELOP/go.sh_20240101_1200_amy", "jobs/DEVELOP/deploy_20260910_120000_RB_abcd", "ARCHIVE/sub/x_20240101", "DEVELOP/.hid_20240101_a", "DEVELOP/y_20240101_b.org")]
+    rows = [("/w/aix/src", f"{p}", 90.0) for p in ("pier/DEVELOP/moor.ksh_20230506_0915_kim", "pier/DEVELOP/winch_20230607_081500_RB_lee", "ARCHIVE/hull/keel_20230506", "DEVELOP/.knot_20230506_kim", "DEVELOP/rope_20230506_lee.org")]
     got = {r.logical_path: r for r in scan.checkouts(spark.createDataFrame(rows, "root string, rel string, mtime double"), 100.0).collect()}
-    assert sorted(got) == ["/jobs/deploy", "/jobs/go.sh", "/sub/x"]
-    assert got["/jobs/deploy"].revision_type == "ROLLBACK" and got["/jobs/deploy"].user == "abcd" and got["/sub/x"].user == ""
-    assert got["/jobs/go.sh"].os_flavor == "aix" and got["/jobs/go.sh"].age_seconds == 10.0
+    assert sorted(got) == ["/hull/keel", "/pier/moor.ksh", "/pier/winch"]
+    assert got["/pier/winch"].revision_type == "ROLLBACK" and got["/pier/winch"].user == "lee" and got["/hull/keel"].user == ""
+    assert got["/pier/moor.ksh"].os_flavor == "aix" and got["/pier/moor.ksh"].age_seconds == 10.0
 
 
 def test_stream_is_the_batch(spark, tmp_path):
