@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +37,38 @@ def checkout_label() -> Column:
     return F.when(F.coalesce("checkout_user", F.lit("")) != "", F.concat(F.lit("checked out by "), "checkout_user", since)).otherwise("clean")
 
 
+def _parts(catalog: dict[str, DataFrame], shown: str) -> dict[str, Callable[[], DataFrame]]:
+    """What belongs to a script besides its own fields, by field; read only when called."""
+    scripts = catalog["scripts"]
+    return {
+        "uses": lambda: graph.uses(scripts, catalog["dependencies"], shown),
+        "used_by": lambda: graph.used_by(scripts, catalog["dependencies"], shown),
+        "siblings": lambda: graph.siblings(scripts, shown).select("logical_path"),
+        "linked_by": lambda: graph.links_to(scripts, shown),
+        "functions": lambda: graph.functions_in(scripts, catalog["function_definitions"], shown),
+        "call_sites": lambda: graph.callers(scripts, catalog["function_definitions"], catalog["function_calls"], shown),
+        "subdirs": lambda: graph.subdirs(scripts, shown.rpartition("/")[0] or "/"),
+        "revisions": lambda: revisions_of(catalog["revisions"], shown).select("revision_type", "timestamp", "user", "os_flavor", "physical_path"),
+    }
+
+
+def related_rows(catalog: dict[str, DataFrame], path: str, fields: tuple[str, ...]) -> DataFrame:
+    """field, value: a row, as a JSON object, for each script, function, call or revision of the named fields.
+
+    The form for scripts with any number of users: nothing is gathered in one row.
+    """
+    shown = target_of(catalog["scripts"], path)
+    parts = _parts(catalog, shown)
+    rows = [parts[f]() for f in dict.fromkeys(fields) if f in parts]
+    names = [f for f in dict.fromkeys(fields) if f in parts]
+    if not rows:
+        return catalog["scripts"].sparkSession.createDataFrame([], "field string, value string")
+    out = [r.select(F.lit(f).alias("field"), F.to_json(F.struct(*r.columns), {"ignoreNullFields": "false"}).alias("value")) for f, r in zip(names, rows, strict=True)]
+    return reduce(DataFrame.unionByName, out)
+
+
 def _collected(rows: DataFrame, name: str) -> DataFrame:
-    """All rows of one script's small table as one sorted array of structs."""
+    """All rows of one script's table as one sorted array of structs."""
     return rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(name))
 
 
@@ -43,20 +76,11 @@ def show(catalog: dict[str, DataFrame], path: str, fields: tuple[str, ...] = DEF
     """path and the named fields in one row; lists of other scripts are sorted arrays of structs.
 
     Unknown fields are left out.  Relations are read only for the fields that need them.
+    A record is one row, lists included; ``related_rows`` has the lists as rows.
     """
     scripts = catalog["scripts"]
     shown = target_of(scripts, path)
-    me = search.lookup(scripts, shown)
-    parts = {
-        "uses": lambda: graph.uses(scripts, catalog["dependencies"], shown),
-        "used_by": lambda: graph.used_by(scripts, catalog["dependencies"], shown),
-        "siblings": lambda: graph.siblings(scripts, shown).select("logical_path"),
-        "linked_by": lambda: graph.links_to(scripts, shown),
-        "functions": lambda: graph.functions_in(scripts, catalog["function_definitions"], shown),
-        "call_sites": lambda: graph.callers(scripts, catalog["function_definitions"], catalog["function_calls"], shown),
-        "subdirs": lambda: graph.subdirs(scripts, shown.rpartition("/")[0] or "/"),
-        "revisions": lambda: revisions_of(catalog["revisions"], shown).select("revision_type", "timestamp", "user", "os_flavor", "physical_path"),
-    }
+    me, parts = search.lookup(scripts, shown), _parts(catalog, shown)
     wanted = list(dict.fromkeys(fields))
     own = {"folder": parent_dir(F.col("logical_path")), "checkout": checkout_label()} | {f: F.col(c) for f, c in OWN.items()}
     own |= {f: json_list(F.col(f)) for f in LISTS} | {f: json_field(F.col("metadata_json"), f) for f in ("usage", "description")}
@@ -65,7 +89,7 @@ def show(catalog: dict[str, DataFrame], path: str, fields: tuple[str, ...] = DEF
     out = me.select(F.col("logical_path").alias("path"), *[own[f].alias(f) for f in wanted if f in own])
     for f in wanted:
         if f in parts:
-            out = out.crossJoin(F.broadcast(_collected(parts[f](), f)))  # one row each
+            out = out.join(_collected(parts[f](), f).withColumn("path", F.lit(shown)), "path")  # one row each
     return out.select("path", *[f for f in wanted if f in own or f in parts])
 
 

@@ -394,6 +394,28 @@ def _g11(s, d, fd):
 
 
 # -- revisions -------------------------------------------------------------------------
+def _json(*pairs: str) -> str:
+    return "cast(json_object(" + ", ".join(f"'{p.split('.')[-1].split(' ')[-1]}', {p.split(' AS ')[0]}" for p in pairs) + ") AS varchar) AS value"
+
+
+_LIKE = "c.callee = fd.name OR lower(c.callee) LIKE '%.' || lower(fd.name)"
+
+
+@query(
+    "g12_related_rows", [S, D, FD, FC],
+    f", me AS (SELECT * FROM scripts WHERE logical_path = '{P32}'), cs AS (SELECT fd.name, s.logical_path, c.caller, c.line FROM me JOIN function_definitions fd ON fd.script_id = me.id JOIN function_calls c ON c.resolved_target_script_id = me.id AND ({_LIKE}) JOIN scripts s ON s.id = c.script_id GROUP BY ALL) "
+    f"SELECT 'uses' AS field, {_json('d.kind', 'coalesce(s.logical_path, d.depends_on_path) AS path', '(s.id IS NOT NULL) AS indexed')} FROM dependencies d JOIN me ON d.script_id = me.id LEFT JOIN scripts s ON s.id = d.resolved_script_id "
+    f"UNION ALL SELECT 'used_by', value FROM (SELECT DISTINCT {_json('s.logical_path', 'd.kind')} FROM dependencies d JOIN me ON d.resolved_script_id = me.id JOIN scripts s ON s.id = d.script_id) "
+    f"UNION ALL SELECT 'siblings', {_json('logical_path')} FROM scripts WHERE starts_with(logical_path, '/catalog/dir12/sub4/') AND logical_path <> '{P32}' "
+    f"UNION ALL SELECT 'linked_by', {_json('logical_path')} FROM scripts WHERE symlink_target = '{P32}' "
+    f"UNION ALL SELECT 'functions', {_json('fd.name', 'fd.kind', 'fd.line')} FROM function_definitions fd JOIN me ON fd.script_id = me.id "
+    f"UNION ALL SELECT 'call_sites', {_json('name', 'logical_path', 'caller', 'line')} FROM cs",
+)
+def _g12r(s, d, fd, fc):
+    """Everything that belongs to a script, named by a symlink to it, each item a row."""
+    return show.related_rows({"scripts": s, "dependencies": d, "function_definitions": fd, "function_calls": fc}, P29, ("uses", "used_by", "siblings", "linked_by", "functions", "call_sites"))
+
+
 @query("r1_checkout_status", [S, R], f", f AS {_SUMMARY} SELECT s.logical_path, language, owner, purpose, vc_warnings, checkout_user, checkout_timestamp, checkout_os, checkout_age_seconds FROM scripts s LEFT JOIN f USING (logical_path) WHERE checkout_timestamp IS NOT NULL OR vc_warnings NOT IN ('', '[]') UNION ALL SELECT f.logical_path, NULL, NULL, NULL, '{status.ORPHAN_WARNING}', checkout_user, checkout_timestamp, checkout_os, checkout_age_seconds FROM f WHERE logical_path NOT IN (SELECT logical_path FROM scripts)")
 def _r1(s, r):
     return status.checkout_status(s, r)
