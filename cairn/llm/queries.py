@@ -147,6 +147,44 @@ SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+#: Components of links(u, v), both ways, by the smallest name that reaches each.
+_REACHED = """
+reached AS (
+  SELECT id, id AS low FROM ids
+  UNION
+  SELECT l.v, r.low FROM reached r JOIN links l ON l.u = r.id WHERE r.low < l.v
+), lows AS (SELECT id, min(low) AS low FROM reached GROUP BY id)
+"""
+
+#: MinHash near-duplicates in SQL: every two documents that share a shingle, by the sizes of their sets.
+OP6_SQL = rf"""
+WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents
+), texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM texts)
+  UNION ALL SELECT doc_id, w[1] FROM texts WHERE len(w) = 1
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), sized AS (SELECT doc_id, s, n FROM shingles JOIN sizes USING (doc_id)
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), {_REACHED}
+SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, low AS component_id, id = low AS kept FROM lows LEFT JOIN sizes ON sizes.doc_id = id
+"""
+
+#: Embedding near-duplicates in SQL: every two vectors.
+OP9_SQL = f"""
+WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings
+), usable AS (
+  SELECT vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), {_REACHED}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE u = id)::BIGINT AS n_links, low AS component_id, id = low AS kept FROM lows
+"""
+
 #: Periodic runs in SQL.  Pairs of equal words give, for each distance, the stretches in which words that far apart are
 #: identical; of equal runs the smallest period stays.  The checksum goes bit by bit over the digits of doc_id.
 OP11_SQL = r"""
@@ -231,4 +269,4 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_embedding_dedup": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op12_source_divergence": OP12_SQL}
