@@ -13,7 +13,8 @@ Scale: equal sets collapse first; a bucket never gives all its pairs.  Each memb
 compared with one bucket leader, the one that most of its buckets have, and components
 join what was linked.  Buckets that still span several components are cut into cells of
 bounded size, in which members outside the bucket's largest component meet the members
-of other components on full sets; of these only links leave a task.
+of other components on full sets; of these only links leave a task.  A few outsiders cost a
+copy of each other member, however large the bucket.
 
 Defined results: null and empty texts, or texts without words, have an empty set, link
 with nothing and stay; rows that repeat a doc_id count as one document that holds all
@@ -138,23 +139,32 @@ def _links(store: Store, docs: DataFrame, first: DataFrame, k: int, threshold: i
     # Buckets that still span several components: members outside the largest one meet all others.
     comp = store.put(components(store, found), "comp")
     tagged = active.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-    sizes = tagged.groupBy("bucket", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
-    spans = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "c")).alias("x"), F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("total").alias("total")).where("parts > 1")
-    cut = F.greatest(F.ceil(F.col("total") / CELL), F.ceil(F.col("rows") / MEMBERS)).alias("cut")
-    open_ = tagged.join(spans.select("bucket", F.col("x.c").alias("main"), cut), "bucket").withColumn("p", F.pmod(F.xxhash64("node"), F.col("cut")))
-    outside, others = F.col("c") != F.col("main"), F.filter(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1), lambda x: x != F.col("p"))
-    place = lambda i, j, asks, told: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), told.alias("told"))
-    told = F.transform(others, lambda x: place(x, F.col("p"), F.lit(False), F.lit(True)))
-    asks = F.when(outside, F.transform(others, lambda x: place(F.col("p"), x, F.lit(True), F.lit(False)))).otherwise(F.array().cast(f"array<{_PLACE}>"))
-    cells = open_.select("bucket", "node", "c", F.explode(F.concat(F.array(place(F.col("p"), F.col("p"), outside, F.lit(True))), told, asks)).alias("x"))
-    cells = cells.select(F.xxhash64("bucket", "x.i", "x.j").alias("cell"), "node", "c", "x.asks", "x.told").join(sets, "node")
+    cells = _placed(tagged).select(F.xxhash64("bucket", "x.i", "x.j").alias("cell"), "node", "c", "x.asks", "x.told").join(sets, "node")
     met = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(threshold), "u long, v long")
     links = store.put(found.unionByName(met.distinct()), "links")
     store.drop(sets, active, comp, found)
     return links
 
 
-_PLACE = "struct<i:bigint,j:bigint,asks:boolean,told:boolean>"
+def _placed(tagged: DataFrame) -> DataFrame:
+    """bucket, node, c, x(i, j, asks, told): the cells of tagged(bucket, node, n, c) in which members of buckets of several components meet.
+
+    Members outside a bucket's largest component ask, all are told.  Askers are cut into
+    groups and told members into parts of bounded size, by size and apart: cell (i, j) holds
+    group i and part j.  So a told member is copied once for each group of askers.
+    """
+    sizes = tagged.groupBy("bucket", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    spans = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "c", "total")).alias("x"), F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("total").alias("total")).where("parts > 1")
+    pieces = lambda rows, total: F.greatest(F.ceil(total / CELL), F.ceil(rows / MEMBERS))
+    groups = pieces(F.col("rows") - F.col("x.rows"), F.col("total") - F.col("x.total")).alias("groups")
+    spans = spans.select("bucket", F.col("x.c").alias("main"), pieces(F.col("rows"), F.col("total")).alias("cut"), groups)
+    open_ = tagged.join(spans, "bucket").withColumn("p", F.pmod(F.xxhash64("node"), F.col("cut"))).withColumn("g", F.pmod(F.xxhash64("node", F.lit(2)), F.col("groups")))
+    outside, upto = F.col("c") != F.col("main"), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda i, j, asks, told: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), told.alias("told"))
+    told = F.transform(upto(F.col("groups")), lambda x: place(x, F.col("p"), outside & (x == F.col("g")), F.lit(True)))
+    asks = F.transform(F.filter(upto(F.col("cut")), lambda x: x != F.col("p")), lambda x: place(F.col("g"), x, F.lit(True), F.lit(False)))
+    asks = F.when(outside, asks).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,asks:boolean,told:boolean>>"))
+    return open_.select("bucket", "node", "c", F.explode(F.concat(told, asks)).alias("x"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
