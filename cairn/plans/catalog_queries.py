@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cairn.functions import exprs as X
 from cairn.functions import fts
 from cairn.functions.grams import Grams
-from cairn.functions.querytext import phrases
 from cairn.operators import audit, diffing, graph, search, show, similarity, stats, status, warnings
 from cairn.plans.adapters import path_of, views, with_clause
 from cairn.sources.scratch import Scratch
@@ -728,7 +727,15 @@ def _d1b(s, r):
     return found.select("logical_path", "old_label", "new_label", "new_kind", (F.when(F.col("old_count") > 0, F.col("old_start") + F.col("old_count") - 1).otherwise(0)).alias("at"))
 
 
-@query("d1_text_diff", [S], None)
+# Lines of a text: other line breaks are folded into \\n.  The last piece after a \\n, of k lines, becomes one line behind p others.
+_D1_SQL = f""", t AS (SELECT logical_path, regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '{_BREAKS}', chr(10), 'g') AS text, content FROM scripts WHERE contains(content, chr(10))),
+c AS (SELECT logical_path, text, regexp_extract(content, '[^\\n]*$') AS piece FROM t),
+k AS (SELECT *, regexp_replace(piece, '{_BREAKS}', chr(10), 'g') AS folded FROM c),
+n AS (SELECT logical_path, piece, len(string_split(text[:len(text) - len(folded) - 1], chr(10))) AS p, len(string_split(folded, chr(10))) - CASE WHEN folded = '' OR ends_with(folded, chr(10)) THEN 1 ELSE 0 END AS k FROM k)
+SELECT logical_path, 0 AS hunk, cast(p - least(p, 3) + 1 AS int) AS old_start, cast(least(p, 3) + k AS int) AS old_count, cast(p - least(p, 3) + 1 AS int) AS new_start, cast(least(p, 3) + 1 AS int) AS new_count FROM n WHERE piece <> 'changed'"""
+
+
+@query("d1_text_diff", [S], _D1_SQL)
 def _d1(s):
     pairs = s.select("logical_path", F.col("content").alias("old"), F.regexp_replace("content", r"\n[^\n]*$", "\nchanged").alias("new"))
     return diffing.text_diff(pairs).select("logical_path", "hunk", "old_start", "old_count", "new_start", "new_count")
