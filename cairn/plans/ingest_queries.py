@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.plans import build, resolve
 from cairn.plans.adapters import path_of, views, with_clause
-from cairn.plans.catalog_queries import ORACLE, QUERIES, D, E, R, S, query
+from cairn.plans.catalog_queries import FC, FD, ORACLE, QUERIES, D, E, R, S, query
 from cairn.sources import extract, mapping, scan, store
 from cairn.sources.scratch import Scratch
 from cairn.streaming.activity import run_to_end
@@ -79,6 +79,17 @@ def _t17(s, d):
     return resolve.resolve_references(edges, s)
 
 
+_BOUND = "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN concat('doc_', cast(id % 300 AS varchar(20)), '.run_', cast(id % 7 AS varchar(20))) ELSE concat('dir', cast(id % 20 AS varchar(20)), '.doc_', cast(id % 90 AS varchar(20)), '.a.b') END"
+
+
+@query("t19_call_resolution", [S, FD, FC], f", c AS (SELECT id, script_id, callee, {_BOUND} AS bound FROM function_calls), own AS (SELECT DISTINCT script_id, name FROM function_definitions), n AS (SELECT id, string_split(bound, '.') AS p FROM c WHERE bound IS NOT NULL), b AS (SELECT id, array_to_string(p[1:k], '.') AS name, k FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS k FROM n)), t AS (SELECT b.id, arg_max(m.target, b.k) AS target FROM b JOIN {_MAP} m USING (name) GROUP BY b.id) SELECT c.id, coalesce(c.bound, CASE WHEN own.name IS NOT NULL THEN c.callee END, '-') AS name, coalesce(CASE WHEN c.bound IS NULL AND own.name IS NOT NULL THEN c.script_id END, t.target, -1) AS script FROM c LEFT JOIN own ON own.script_id = c.script_id AND own.name = split_part(c.callee, '.', 1) LEFT JOIN t ON t.id = c.id")
+def _t19(s, fd, fc):
+    """Calls to scripts: by the longest known beginning of a bound name, else by a definition of the own script."""
+    calls = fc.drop("resolved_target_script_id").withColumn("resolved_target_name", F.expr(_BOUND))
+    found = resolve.resolve_calls(calls, fd, s)
+    return found.select("id", F.coalesce("resolved_target_name", F.lit("-")).alias("name"), F.coalesce("resolved_target_script_id", F.lit(-1)).cast("long").alias("script"))
+
+
 @query("t21_change_detection", [S], ", o AS (SELECT logical_path, size, mtime, content AS h FROM scripts WHERE id % 10 <> 0), n AS (SELECT logical_path, size, mtime + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS mtime, CASE WHEN id % 14 = 0 THEN 'new' ELSE content END AS h FROM scripts WHERE id % 9 <> 0) SELECT coalesce(o.logical_path, n.logical_path) AS logical_path, CASE WHEN o.mtime IS NULL THEN 'added' WHEN n.mtime IS NULL THEN 'removed' WHEN (o.size IS NOT DISTINCT FROM n.size AND o.mtime = n.mtime) OR o.h = n.h THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.logical_path = n.logical_path")
 def _t21(s):
     old = s.where("id % 10 <> 0").withColumn("content_hash", F.col("content"))
