@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.querytext import ValidationError
 from cairn.schema import KEYS, TABLES, VERSION
 
 
@@ -133,6 +134,19 @@ def previous_pair(spark: SparkSession, root: str) -> tuple[str, str]:
     return known[-2].removeprefix("build="), known[-1].removeprefix("build=")
 
 
+def snapshots(spark: SparkSession, root: str, old: str | None = None, new: str | None = None, against: str | None = None) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The tables of two builds to compare: both named, or the last two.
+
+    One name alone, and names beside a comparison *against* something else, are refused.
+    """
+    if (old is None) != (new is None):
+        raise ValidationError("an old and a new build come together")
+    if old is not None and against is not None:
+        raise ValidationError("two builds are not compared against anything else")
+    old, new = (old, new) if old is not None else previous_pair(spark, root)
+    return open_catalog(spark, root, old), open_catalog(spark, root, new)
+
+
 # -- vectors beside the catalog ----------------------------------------------------------
 #: The layout of published vectors that this engine reads.
 VECTORS_VERSION = 1

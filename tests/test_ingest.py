@@ -5,6 +5,7 @@ from datetime import datetime, timezone
 
 import pytest
 
+from cairn.functions.querytext import ValidationError
 from cairn.operators import similarity
 from cairn.plans import build
 from cairn.schema import TABLES
@@ -92,6 +93,17 @@ def test_build(spark, catalog):
     assert store.builds(spark, out) == ["build=20240101T000000", "build=20240102T000000"] and store.previous_pair(spark, out)[1] == "20240102T000000"
 
 
+def test_snapshot_pairs(spark, catalog, tmp_path):
+    out = catalog[1]
+    names = [tuple(t["index_metadata"].first().build_timestamp for t in pair) for pair in (store.snapshots(spark, out), store.snapshots(spark, out, "20240102T000000", "20240101T000000"))]
+    assert names == [("20240101T000000", "20240102T000000"), ("20240102T000000", "20240101T000000")]
+    for wrong in ({"old": "20240101T000000"}, {"new": "20240101T000000"}, {"old": "20240101T000000", "new": "20240102T000000", "against": "/x"}):
+        with pytest.raises(ValidationError):
+            store.snapshots(spark, out, **wrong)
+    with pytest.raises(store.NotFound):
+        store.snapshots(spark, out, "20240101T000000", "20200101T000000")
+
+
 def test_catalog_errors(spark, catalog, tmp_path):
     with pytest.raises(store.NotFound):
         store.open_catalog(spark, str(tmp_path / "none"))
