@@ -50,12 +50,18 @@ def up_to_date(newest_mtime: float | None, indexed_at: float, old: str, new: str
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """Ids by path order: counted within range partitions, then shifted by the partitions before."""
-    part = files.repartitionByRange("logical_path").sortWithinPartitions("logical_path").withColumn("_p", F.spark_partition_id())
-    part = part.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("logical_path")))
+    """Ids by path order: counted within range partitions, then shifted by the partitions before.
+
+    The paths are stored with their place first: which partition holds a path depends on
+    the plan, so two plans over the ranges need not agree.
+    """
+    place = F.monotonically_increasing_id()  # a partition's number in the high bits, the row's below
+    ranged = files.select("logical_path").repartitionByRange("logical_path").sortWithinPartitions("logical_path")
+    part = Scratch(files.sparkSession, "numbered").put(ranged.select("logical_path", F.shiftright(place, 33).alias("_p"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_n")), "paths")
     sizes = part.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.select("_p", (F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_b"))  # a row a partition
-    return part.join(before, "_p").withColumn("id", (F.col("_b") + F.col("_n")).cast("long")).drop("_p", "_n", "_b")
+    ids = part.join(F.broadcast(before), "_p").select("logical_path", (F.col("_b") + F.col("_n") + 1).cast("long").alias("id"))
+    return files.join(ids, "logical_path")
 
 
 def facts_of(scripts: DataFrame) -> DataFrame:

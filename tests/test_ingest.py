@@ -35,6 +35,17 @@ def test_python_facts():
     assert X.python_facts("import x\nprint 'old'\n")["imports"] == ["x"]
 
 
+def test_python_facts_of_text_too_deep_for_the_parser(monkeypatch):
+    assert X.python_facts("import x\nx = " + "-" * 20_000 + "1\n")["imports"] == ["x"]
+
+    def full(text):
+        raise MemoryError
+
+    monkeypatch.setattr(X.ast, "parse", full)
+    with pytest.raises(MemoryError):
+        X.python_facts("import x\n")
+
+
 def test_references():
     assert X.path_references("x/a.sh/b.py.bak ..\\lib\\c.py c.py /t/d.yml~ run /t/e.yaml") == ["../lib/c.py", "/t/e.yaml"]
     assert X.yaml_references("- import_playbook: a/b.yml\n- roles: [plain, ns/x]\n- ansible.builtin.include_tasks: {file: t.yml, other: no.yml}\n") and "no.yml" not in X.yaml_references("- include_tasks: {file: t.yml, other: no.yml}\n")
@@ -314,3 +325,17 @@ def test_unreadable_and_large_files(spark, tmp_path, monkeypatch):
     rows = [(f"/r/{n}", str(tmp_path / n), z) for n, z in (("a.py", 1), ("big.py", 11), ("none.py", 1))]
     got = {r.logical_path: (r.content, r.error) for r in scan.read_files(spark.createDataFrame(rows, "logical_path string, physical_path string, size long")).collect()}
     assert got == {"/r/a.py": ("1", None), "/r/big.py": (None, "larger than 10 bytes"), "/r/none.py": (None, "No such file or directory")}
+
+
+def test_numbers_lose_no_row_where_plans_cut_ranges_differently(spark):
+    sizes = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        files = spark.range(3000, numPartitions=3).selectExpr("format_string('/c/%05d', 2999 - id) AS logical_path", "repeat(sha2(cast(id AS string), 256), 20) AS content")
+        got = sorted((r.logical_path, r.id) for r in build.numbered(files).select("logical_path", "id", "content").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(f"/c/{i:05d}", i + 1) for i in range(3000)]
