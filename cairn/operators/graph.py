@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import ascii_lower, in_folder, json_list
@@ -199,50 +199,55 @@ def reachable(scripts: DataFrame, dependencies: DataFrame, path: str, depth: int
     return reduce(DataFrame.unionByName, levels)
 
 
-def tree(spark: SparkSession, scripts: DataFrame, dependencies: DataFrame, path: str, depth: int = 5, reverse: bool = False, most: int = 1_000_000) -> DataFrame:
+def tree(spark: SparkSession, scripts: DataFrame, dependencies: DataFrame, path: str, depth: int = 5, reverse: bool = False) -> DataFrame:
     """The dependency tree in preorder, with cycle, repeated and truncated marks.
 
-    Those marks follow the order of a depth-first walk, so the walk is the driver's, over
-    the edges of the reachable scripts alone; more than *most* of them are refused.
+    Those marks follow the order of a depth-first walk: of the places of a script above the
+    last level, the first in preorder is opened.  A place is written as the ranks of the
+    edges that lead to it, so preorder is the order of those arrays, and whether a place is
+    opened depends on places before it alone.  So the opened places are the only ones that
+    a round of "open the first place of each script below the opened ones" leaves as they
+    are, and rounds are run until none changes; each is a join with the edges of scripts
+    that can be opened.
     """
-    inside = reachable(scripts, dependencies, path, depth, reverse).select(F.col("id").alias("a"))
-    edges = _edges(scripts, dependencies, reverse).join(inside, "a", "left_semi").limit(most + 1).collect()
-    if len(edges) > most:
-        raise ValueError(f"the tree has more than {most} edges; ask for less depth")
-    children: dict[int, list] = {}
-    for e in sorted(edges, key=lambda e: (e.kind, e.path)):
-        children.setdefault(e.a, []).append(e)
-    root = scripts.where(F.col("logical_path") == path).select("id").first()
-    if root is None:
-        return spark.createDataFrame([], TREE)
-    rows: list[list] = [[0, None, 0, path, None, None, True, False, False, False]]
-    expanded: set[int] = set()
-    # (node id, script, depth left, ancestors, children still to come)
-    stack = [(0, root.id, depth, frozenset([root.id]), iter(children.get(root.id, [])))]
-    expanded.update([root.id] if children.get(root.id) else [])
-    while stack:
-        node, script, left, above, rest = stack[-1]
-        e = next(rest, None)
-        if e is None:
-            stack.pop()
-            continue
-        me = len(rows)
-        row = [me, node, depth - left + 1, e.path, e.kind, e.kind, e.b is not None, False, False, False]
-        rows.append(row)
-        below = children.get(e.b) if e.b is not None else None
-        if e.b is None:
-            continue
-        if e.b in above:
-            row[7] = True
-        elif e.b in expanded:
-            row[8] = True
-        elif left - 1 <= 0:
-            row[9] = bool(below)
-        else:
-            if below:
-                expanded.add(e.b)
-            stack.append((me, e.b, left - 1, above | {e.b}, iter(below or [])))
-    return spark.createDataFrame([tuple(r) for r in rows], TREE)
+    keep = Scratch(spark, "tree")
+    least = max(depth, 1)
+    near = reachable(scripts, dependencies, path, least - 1, reverse)
+    start = "resolved_script_id" if reverse else "script_id"
+    level = near.select(F.col("id").alias("a"), F.col("depth").alias("level"))
+    own = _edges(scripts, dependencies.join(near.select(F.col("id").alias(start)), start, "left_semi"), reverse).join(level, "a")
+    own = keep.put(own.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("kind", "path", "b"))), "own")
+    # Without a depth, further children are known of the script itself alone.
+    asked = own.where("b is not null").select(F.col("b").alias(start)).distinct() if depth > 0 else _ids(scripts, path).withColumnRenamed("id", start)
+    more = dependencies.join(asked, start, "left_semi").select(F.col(start).alias("b"), F.lit(True).alias("below")).distinct()
+    edges = keep.put(own.join(more, "b", "left").withColumn("below", F.coalesce("below", F.lit(False))), "edges")
+    # Only these lead to places above the last level.
+    inner = keep.put(edges.where(F.col("below") & (F.col("level") < least - 1)).select("a", "b", "rank"), "inner")
+    root = _ids(scripts, path).limit(1).select(F.col("id").alias("a"), F.array().cast("array<int>").alias("at"), F.array("id").alias("above"))
+    root = keep.put(root, "root")
+    opened = root
+    while True:
+        steps = inner.join(opened.where(F.size("at") < least - 1), "a").where(~F.array_contains("above", F.col("b")))
+        first = steps.groupBy("b").agg(F.min(F.struct(F.array_append("at", F.col("rank")).alias("at"), "above")).alias("x"))
+        found = keep.put(root.unionByName(first.select(F.col("b").alias("a"), "x.at", F.array_append("x.above", F.col("b")).alias("above"))), "opened")
+        same = found.join(opened.select("a", "at"), ["a", "at"], "left_semi").count()
+        last, opened = opened, found
+        if same == found.count() == last.count():
+            break
+    places = edges.join(opened, "a").withColumn("parent", F.col("a")).withColumn("at", F.array_append("at", F.col("rank")))
+    places = places.join(opened.select(F.col("a").alias("b"), F.col("at").alias("first")), "b", "left")
+    cycle = F.coalesce(F.array_contains("above", F.col("b")), F.lit(False))
+    repeated = ~cycle & F.col("below") & F.coalesce(F.col("first") < F.col("at"), F.lit(False))
+    shown = places.select("at", "parent", F.when(F.col("first") == F.col("at"), F.col("b")).alias("opens"), F.size("at").alias("depth"), F.col("path").alias("logical_path"), "kind", F.col("b").isNotNull().alias("indexed"), cycle.alias("cycle"), repeated.alias("repeated"), (~cycle & ~repeated & F.col("below") & (F.size("at") == least)).alias("truncated"))
+    top = root.select("at", F.lit(None).cast("long").alias("parent"), F.col("a").alias("opens"), F.lit(0).alias("depth"), F.lit(path).alias("logical_path"), F.lit(None).cast("string").alias("kind"), F.lit(True).alias("indexed"), *[F.lit(False).alias(m) for m in ("cycle", "repeated", "truncated")])
+    # Stored with their place in the range partitions, which are in preorder, so the numbers are of one plan.
+    n = F.monotonically_increasing_id()
+    rows = keep.put(keep.put(top.unionByName(shown), "places").repartitionByRange("at").sortWithinPartitions("at").select("*", F.shiftright(n, 33).alias("_p"), n.bitwiseAND(F.lit((1 << 33) - 1)).alias("_n")), "rows")
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a partition
+    rows = rows.join(F.broadcast(before), "_p").withColumn("node_id", (F.col("_b") + F.col("_n")).cast("long"))
+    parents = rows.where("opens is not null").select(F.col("opens").alias("parent"), F.col("node_id").alias("parent_id"))
+    return rows.join(parents, "parent", "left").withColumn("via", F.col("kind")).select(*[x.split()[0] for x in TREE.split(", ")]).orderBy("node_id")
 
 
 def render_tree(rows: list) -> list[str]:

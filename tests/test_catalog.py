@@ -122,6 +122,56 @@ def test_tree_marks(spark, diamond):
     assert back == ["/w/rope", "/w/pier"]
 
 
+def walked(edges, root, depth):
+    """(path, depth, parent, cycle, repeated, truncated) in preorder, by a depth-first walk."""
+    children = {}
+    for a, kind, path, b in sorted(edges, key=lambda e: (e[1], e[2])):
+        children.setdefault(a, []).append((path, b))
+    rows, opened = [(f"/s{root:02d}", 0, None, False, False, False)], {root}
+
+    def walk(node, a, left, above):
+        for path, b in children.get(a, []):
+            below = b is not None and bool(children.get(b))
+            cycle = b in above
+            repeated = not cycle and b in opened
+            last = left <= 1
+            rows.append((path, depth - left + 1, node, cycle, repeated, not cycle and not repeated and last and below))
+            if b is not None and not cycle and not repeated and not last:
+                opened.update([b] if below else [])
+                walk(len(rows) - 1, b, left - 1, above | {b})
+
+    walk(0, root, depth, {root})
+    return rows
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 6])
+def test_tree_equals_the_walk_of_any_graph(spark, depth):
+    import random
+
+    s = scripts(spark, [{"logical_path": f"/s{i:02d}"} for i in range(1, 26)])
+    r = random.Random(depth)
+    chain = {(i, "import", f"/s{i + 1:02d}", i + 1) for i in range(1, 25)} | {(1, "import", f"/s{i:02d}", i) for i in range(3, 26)}
+    mixed = {(a, r.choice(["import", "referenced"]), f"/s{b:02d}", b) for a, b in ((r.randrange(1, 26), r.randrange(1, 26)) for _ in range(70))} | {(3, "import", "lost.mod", None)}
+    for edges in (chain, mixed):
+        d = deps(spark, [(a, path, b, kind) for a, kind, path, b in edges])
+        got = graph.tree(spark, s, d, "/s01", depth).collect()
+        assert [r.node_id for r in got] == list(range(len(got)))
+        assert [(r.logical_path, r.depth, r.parent_id, r.cycle, r.repeated, r.truncated) for r in got] == walked(edges, 1, depth)
+
+
+def test_tree_takes_its_walk_to_no_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    s = scripts(spark, [{"logical_path": f"/s{i:02d}"} for i in range(1, 26)])
+    d = deps(spark, [(a, f"/s{b:02d}", b, "import") for a in range(1, 26) for b in range(1, 26)])
+    taken, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: taken.append(rows := collect(self)) or rows)
+    found = graph.tree(spark, s, d, "/s01", 2)
+    assert max((len(t) for t in taken), default=0) <= 1
+    monkeypatch.undo()
+    assert found.count() == 1 + 25 + 24 * 25
+
+
 def test_show_and_fallback(spark, diamond):
     s, d = diamond
     linked = scripts(spark, [r.asDict() for r in s.collect()] + [{"id": 6, "logical_path": "/w/alias", "symlink_target": "/w/pier"}, {"id": 7, "logical_path": "/w/lost", "symlink_target": "/gone"}])
