@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,19 +60,33 @@ def hunks(old: str | None, new: str | None) -> list[dict]:
     return out
 
 
-def text_diff(pairs: DataFrame) -> DataFrame:
-    """Hunks of pairs(logical_path, old, new), a row each, with whether a side lacks its last newline."""
-    schema = "logical_path string, hunk int, old_start int, old_count int, new_start int, new_count int, lines array<string>, no_newline boolean"
+#: Characters of both texts that are compared at once; a longer pair is compared alone.
+CHARS = 4 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, old, new in zip(pdf.logical_path, pdf.old, pdf.new, strict=True):
-                bare = any(t and not t.endswith("\n") for t in (old, new))
-                rows += [(path, i, h["old_start"], h["old_count"], h["new_start"], h["new_count"], h["lines"], bare) for i, h in enumerate(hunks(old, new))]
-            yield pd.DataFrame(rows, columns=["logical_path", "hunk", "old_start", "old_count", "new_start", "new_count", "lines", "no_newline"])
 
-    return pairs.select("logical_path", "old", "new").mapInPandas(run, schema)
+_HUNK = {"logical_path": "string", "hunk": "int", "old_start": "int", "old_count": "int", "new_start": "int", "new_count": "int", "lines": "array<string>", "no_newline": "boolean"}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "boolean": pa.bool_()}
+
+
+def diffed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hunks of batches of (logical_path, old, new, more strings ...); they leave as soon as CHARS of text are compared, however many pairs come at once."""
+    for batch in batches:
+        types = _HUNK | dict.fromkeys(batch.schema.names[3:], "string")
+        rows, chars = [], 0
+        for k in range(batch.num_rows):
+            path, old, new, *more = (c[k].as_py() for c in batch.columns)
+            bare = any(t and not t.endswith("\n") for t in (old, new))
+            rows += [(path, i, h["old_start"], h["old_count"], h["new_start"], h["new_count"], h["lines"], bare, *more) for i, h in enumerate(hunks(old, new))]
+            chars += len(old or "") + len(new or "")
+            if rows and (chars >= CHARS or k + 1 == batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], list(types))
+                rows, chars = [], 0
+
+
+def text_diff(pairs: DataFrame, *more: str) -> DataFrame:
+    """Hunks of pairs(logical_path, old, new), a row each, with whether a side lacks its last newline, and *more* columns (strings) of the pair."""
+    types = _HUNK | dict.fromkeys(more, "string")
+    return pairs.select("logical_path", "old", "new", *more).mapInArrow(diffed, ", ".join(f"{c} {t}" for c, t in types.items()))
 
 
 def catalog_against(scripts: DataFrame, files: DataFrame, kind: str = "explicit") -> DataFrame:
@@ -83,9 +97,8 @@ def catalog_against(scripts: DataFrame, files: DataFrame, kind: str = "explicit"
     """
     known = scripts.where("content is not null and content <> '' and (language is null or language not in ('csv', 'text', 'lst'))")
     both = known.select("logical_path", F.col("content").alias("old")).join(files.select("logical_path", "physical_path", F.col("content").alias("new")), "logical_path")
-    names = both.select("logical_path", "physical_path").distinct()
     labels = [F.concat(F.lit("catalog:"), "logical_path").alias("old_label"), F.col("physical_path").alias("new_label"), F.lit(kind).alias("new_kind")]
-    return text_diff(both).join(names, "logical_path").select("*", *labels).drop("physical_path")
+    return text_diff(both, "physical_path").select("*", *labels).drop("physical_path")
 
 
 def against_newest_checkouts(scripts: DataFrame, revisions: DataFrame, contents: DataFrame) -> DataFrame:

@@ -285,3 +285,23 @@ def test_warnings(spark):
     assert warnings.timestamp_drift(at, r, "+02:00").count() == 1
     none = spark.createDataFrame([("  ",)], "path string")
     assert warnings.registration(s, none).count() == 0
+
+
+def test_hunks_leave_as_soon_as_enough_text_is_compared(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(diffing, "CHARS", 100)
+    texts = [("\n".join("abcdefgh"[: 2 + i % 6]) * 3, "x") for i in range(40)]
+    pairs = pa.RecordBatch.from_pydict({"logical_path": [f"/{i}" for i in range(40)], "old": [a for a, _ in texts], "new": [b for _, b in texts], "of": ["o"] * 40})
+    out = list(diffing.diffed(iter([pairs])))
+    assert len(out) > 5 and sum(b.num_rows for b in out) == 40
+    got = [r for b in out for r in b.to_pylist()]
+    assert [(r["logical_path"], r["lines"], r["of"]) for r in got] == [(f"/{i}", diffing.hunks(*t)[0]["lines"], "o") for i, t in enumerate(texts)]
+
+
+def test_comparing_with_checkouts_joins_texts_once(spark):
+    s = scripts(spark, [{"logical_path": "/w/a", "content": "x\ny\n", "language": "python"}])
+    files = spark.createDataFrame([("/w/a", "/vc/a", "x\nz\n")], "logical_path string, physical_path string, content string")
+    found = diffing.catalog_against(s, files, "checkout")
+    assert [(r.lines, r.old_label, r.new_label) for r in found.collect()] == [([" x", "-y", "+z"], "catalog:/w/a", "/vc/a")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
