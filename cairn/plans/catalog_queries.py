@@ -722,7 +722,9 @@ _BREAKS = "[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 @query("d1_against_checkouts", [S, R], f", f AS (SELECT logical_path, arg_max(physical_path, concat(timestamp, physical_path)) AS p FROM revisions WHERE revision_type = 'DEVELOP' GROUP BY logical_path), t AS (SELECT logical_path, regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '{_BREAKS}', chr(10), 'g') AS text FROM scripts WHERE content <> '' AND (language IS NULL OR language NOT IN ('csv', 'text', 'lst'))) SELECT t.logical_path, concat('catalog:', t.logical_path) AS old_label, p AS new_label, 'checkout' AS new_kind, cast(length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END AS int) AS at FROM t JOIN f USING (logical_path)")
 def _d1b(s, r):
     """Every script against a newest checkout that adds a line at its end: one hunk, after the last line."""
-    texts = r.select("logical_path", "physical_path").join(s.select("logical_path", F.concat("content", F.lit("\nmore")).alias("content")), "logical_path")
+    # Only newest checkouts are read, so only they get a text.
+    read = status.newest_checkouts(r).select("logical_path", "physical_path")
+    texts = read.join(s.select("logical_path", F.concat("content", F.lit("\nmore")).alias("content")), "logical_path")
     found = diffing.against_newest_checkouts(s, r, texts)
     return found.select("logical_path", "old_label", "new_label", "new_kind", (F.when(F.col("old_count") > 0, F.col("old_start") + F.col("old_count") - 1).otherwise(0)).alias("at"))
 
