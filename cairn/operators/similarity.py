@@ -3,7 +3,8 @@
 Vectors are normalised once.  Pairs are found in blocks: each task holds two blocks and
 multiplies them, and only pairs or maxima leave it.  For near-duplicates and outliers the
 blocks are rings around pivots, and the triangle inequality leaves out those that are too
-far from a vector.
+far from a vector.  There a task holds two groups of blocks, so that a vector is copied
+once a group and not once a block.
 """
 
 from __future__ import annotations
@@ -135,6 +136,8 @@ def _scores(a: pa.Table, b: pa.Table) -> np.ndarray:
 # -- pairs, where blocks that cannot match are left out ------------------------------------
 #: Directions that vectors are gathered around at most, and rings around one of them.
 PIVOTS, RINGS = 1024, 64
+#: Groups that blocks are dealt out by, and blocks of a group at most: a task holds two groups.
+GROUPS, MOST_BLOCKS = 32, 16
 #: Angles are compared with this much to spare, as they are rounded.
 SLACK = 1e-6
 
@@ -234,11 +237,18 @@ def gathered(vectors: DataFrame, keep: Scratch) -> tuple[DataFrame, Rings]:
     return near.join(number, ["pivot", "ring"]).select("script_id", "logical_path", "vec", "h", "cell"), rings
 
 
+def _grouping(rings: Rings) -> int:
+    """Blocks of a group: vectors are copied once a group, so that at most GROUPS copies of one are made while a group has room."""
+    return int(min(MOST_BLOCKS, max(1, -(-int(rings.parts.sum()) // GROUPS))))
+
+
 def _asking(units: DataFrame, rings: Rings, asked: Callable[[np.ndarray, pa.RecordBatch], np.ndarray], upper: bool) -> DataFrame:
-    """i, j, script_id, logical_path, vec: each vector, of block i, once for every block j that it has to be compared with.
+    """i, j, script_id, logical_path, vec, own, blocks: each vector, of block own in group i, once for every group j that holds blocks it has to be compared with.
 
     asked(least angles by cell, batch) says which cells; *upper* leaves out blocks before the vector's own.
     """
+    size = _grouping(rings)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell_of = np.repeat(np.arange(len(rings.parts)), rings.parts)
         for batch in batches:
@@ -251,11 +261,16 @@ def _asking(units: DataFrame, rings: Rings, asked: Callable[[np.ndarray, pa.Reco
                 row, block = np.nonzero(asked(bound, b)[:, cell_of])
                 kept = block >= own[row] if upper else np.ones(len(row), bool)
                 row, block = row[kept], block[kept]
-                for c in range(0, len(row), 4096):
-                    at = pa.array(row[c : c + 4096])
-                    yield pa.RecordBatch.from_arrays([pa.array(own[row[c : c + 4096]]), pa.array(block[c : c + 4096]), *[b.column(x).take(at) for x in ("script_id", "logical_path", "vec")]], ["i", "j", "script_id", "logical_path", "vec"])
+                # Runs of the same row and group: rows come in order, and blocks in order within them.
+                first = np.flatnonzero(np.diff(row, prepend=-1).astype(bool) | np.diff(block // size, prepend=-1).astype(bool))
+                ends = np.append(first[1:], len(row))
+                for c in range(0, len(first), 4096):
+                    f, e = first[c : c + 4096], ends[c : c + 4096]
+                    at = pa.array(row[f])
+                    blocks = pa.ListArray.from_arrays(pa.array(np.append(f, e[-1]) - f[0], pa.int32()), pa.array(block[f[0] : e[-1]], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row[f]] // size), pa.array(block[f] // size), *[b.column(x).take(at) for x in ("script_id", "logical_path", "vec")], pa.array(own[row[f]]), blocks], ["i", "j", "script_id", "logical_path", "vec", "own", "blocks"])
 
-    return units.mapInArrow(run, "i long, j long, script_id long, logical_path string, vec array<double>")
+    return units.mapInArrow(run, "i long, j long, script_id long, logical_path string, vec array<double>, own long, blocks array<long>")
 
 
 def _own_blocks(b: pa.RecordBatch, rings: Rings) -> np.ndarray:
@@ -264,12 +279,26 @@ def _own_blocks(b: pa.RecordBatch, rings: Rings) -> np.ndarray:
 
 
 def _compared(asks: DataFrame, units: DataFrame, rings: Rings, run, schema: str) -> DataFrame:
-    """run(askers, members) for each pair of blocks of which one has to be compared with the other."""
+    """run(askers, members of one block) for each block, with all that ask for it, at most BLOCK at once; pairs of groups are dealt out."""
+    size, most = _grouping(rings), BLOCK
     table = units.sparkSession.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(rings.first, rings.parts))], "cell int, first long, parts long")
-    members = units.join(table, "cell").withColumn("j", F.col("first") + F.col("h") % F.col("parts"))
-    members = members.join(asks.select("i", "j").distinct(), "j").select("i", "j", "script_id", "logical_path", "vec")
+    members = units.join(table, "cell").withColumn("block", F.col("first") + F.col("h") % F.col("parts")).withColumn("j", F.floor(F.col("block") / size))
+    members = members.join(asks.select("i", "j").distinct(), "j").select("i", "j", "script_id", "logical_path", "vec", "block")
     members = members.toDF(*members.columns)  # columns of its own, apart from those of asks
-    return asks.groupBy("i", "j").cogroup(members.groupBy("i", "j")).applyInArrow(run, schema)
+
+    def tiles(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if a.num_rows and b.num_rows:
+            lists = a.column("blocks").combine_chunks()
+            asker, wanted = np.repeat(np.arange(a.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+            block = b.column("block").to_numpy()
+            for k in np.unique(block):
+                rows, mine = asker[wanted == k], b.take(pa.array(np.flatnonzero(block == k)))
+                for c in range(0, len(rows), most):
+                    out.append(run(a.take(pa.array(rows[c : c + most])), mine))
+        return pa.concat_tables(out) if out else run(a.slice(0, 0), b.slice(0, 0))
+
+    return asks.groupBy("i", "j").cogroup(members.groupBy("i", "j")).applyInArrow(tiles, schema)
 
 
 def _angle(threshold: float) -> float:
@@ -291,8 +320,8 @@ def near_duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
         if a.num_rows and b.num_rows:
             near = _scores(a, b)
             ia, ib = a.column("script_id").to_numpy(), b.column("script_id").to_numpy()
-            same = a.column("i")[0].as_py() == a.column("j")[0].as_py()
-            i, j = np.nonzero((near >= threshold) & ((ia[:, None] < ib[None]) if same else (ia[:, None] != ib[None])))
+            same = a.column("own").to_numpy()[:, None] == b.column("block").to_numpy()[None]
+            i, j = np.nonzero((near >= threshold) & np.where(same, ia[:, None] < ib[None], ia[:, None] != ib[None]))
             names_a, names_b = a.column("logical_path").to_pylist(), b.column("logical_path").to_pylist()
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 p, q = sorted((names_a[x], names_b[y]))
@@ -306,8 +335,11 @@ def left_out(vectors: DataFrame, threshold: float) -> float:
     """The share of comparisons of a vector with a block that near_duplicates leaves out."""
     units, rings = gathered(vectors, Scratch(vectors.sparkSession, "pairs"))
     within = _angle(threshold)
-    every = _asking(units, rings, lambda bound, _: bound <= np.pi, True).count()
-    return 1 - _asking(units, rings, lambda bound, _: bound <= within, True).count() / max(every, 1)
+
+    def comparisons(angle: float) -> int:
+        return _asking(units, rings, lambda bound, _: bound <= angle, True).agg(F.sum(F.size("blocks"))).first()[0] or 0
+
+    return 1 - comparisons(within) / max(comparisons(np.pi), 1)
 
 
 def outliers(vectors: DataFrame, threshold: float) -> DataFrame:

@@ -56,6 +56,21 @@ def test_outliers_over_blocks(spark, rows):
     assert similarity.outliers(vectors.limit(0), 0.9).count() == 0 and similarity.near_duplicates(vectors.limit(0), 0.9).count() == 0
 
 
+def test_copies_of_a_vector_do_not_grow_with_the_blocks(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    data = [v for v in r.normal(size=(300, 6))] + [np.zeros(6)]
+    monkeypatch.setattr(similarity, "GROUPS", 3)
+    vectors, units = made(spark, data), [unit(v) for v in data]
+    want = {(f"/c/{i:04d}", f"/c/{j:04d}") for i in range(301) for j in range(i + 1, 301) if score(units[i], units[j]) >= 0.5}
+    for block in (40, 10):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        units_, rings = similarity.gathered(vectors, similarity.Scratch(spark, "t"))
+        asks = similarity._asking(units_, rings, lambda bound, _: bound <= np.pi, True)
+        assert asks.count() <= 301 * 3
+        got = [(x.path_a, x.path_b) for x in similarity.near_duplicates(vectors, 0.5).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_similar_says_what_is_missing(spark):
     from tests.test_catalog import scripts
 
