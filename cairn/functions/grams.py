@@ -20,6 +20,8 @@ SIZE = 3
 #: Ids of a block; trigrams of a needle that are looked up; candidates that go into a scan's filter.
 BLOCK_IDS, RAREST, MOST_IDS = 4096, 3, 1000
 ROW_GROUP = 1 << 20
+#: Trigrams that a task makes or sorts, about.
+TASK_GRAMS = 1 << 21
 
 
 def store_grams(path: str, texts: dict[str, DataFrame]) -> None:
@@ -28,11 +30,17 @@ def store_grams(path: str, texts: dict[str, DataFrame]) -> None:
     An id counts once for a trigram, whatever its number of texts; ASCII letters are lower-cased.
     """
     rows = reduce(DataFrame.unionByName, [t.select(F.lit(kind).alias("kind"), "id", ascii_lower(F.col("text")).alias("text")) for kind, t in texts.items()])
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("text") - SIZE + 1), lambda i: F.substring("text", i, F.lit(SIZE))))
-    rows = rows.where(F.char_length("text") >= SIZE).select("kind", "id", F.explode(grams).alias("gram")).distinct()
-    blocks = rows.groupBy("kind", "gram", F.floor(F.col("id") / BLOCK_IDS).alias("block")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
+    keep = Scratch(rows.sparkSession, "grams")
+    rows = keep.put(rows.where(F.char_length("text") >= SIZE), "texts")
+    # A text is some dozens of trigrams, so tasks are dealt out by those and not by bytes of texts.
+    tasks = max(1, -(-(rows.agg(F.sum(F.char_length("text") - SIZE + 1)).first()[0] or 0) // TASK_GRAMS))
+    # Texts of an id come together, so no trigram of it is told twice.
+    own = rows.repartition(tasks, "kind", "id").groupBy("kind", "id").agg(F.collect_set("text").alias("texts"))
+    grams = F.flatten(F.transform("texts", lambda t: F.transform(F.sequence(F.lit(1), F.char_length(t) - SIZE + 1), lambda i: F.substring(t, i, F.lit(SIZE)))))
+    own = own.select("kind", "id", F.floor(F.col("id") / BLOCK_IDS).alias("block"), F.explode(F.array_distinct(grams)).alias("gram"))
+    blocks = own.repartition(tasks, "kind", "gram", "block").groupBy("kind", "gram", "block").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
     # Stored first, as finding the ranges reads them once more.
-    blocks = Scratch(rows.sparkSession, "grams").put(blocks, "blocks").repartitionByRange("kind", "gram", "block")
+    blocks = keep.put(blocks, "blocks").repartitionByRange("kind", "gram", "block")
     blocks.sortWithinPartitions("kind", "gram", "block").write.option("parquet.block.size", ROW_GROUP).parquet(path)
 
 

@@ -61,3 +61,20 @@ def test_no_texts(spark):
     grams.store_grams(path, {"path": none})
     index = grams.Grams.open(spark, path)
     assert index.candidates("path", "abc").count() == 0 and index.candidates("other", "abc").count() == 0
+
+
+def test_tasks_are_dealt_out_by_trigrams(spark, monkeypatch):
+    monkeypatch.setattr(grams, "TASK_GRAMS", 2000)
+    texts = spark.range(300).selectExpr("id div 2 AS id", "concat('/C/', sha2(cast(id AS string), 256)) AS text")
+    seen = []
+    put = Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name="table": put(self, seen.append((name, df)) or df, name))
+    path = Scratch(spark, "t").path("grams")
+    grams.store_grams(path, {"path": texts})
+    blocks = dict(seen)["blocks"]
+    assert blocks.rdd.getNumPartitions() == -(-300 * 65 // 2000)
+    want = {}
+    for r in texts.collect():
+        for k in range(len(r.text) - 2):
+            want.setdefault(r.text.lower()[k : k + 3], set()).add(r.id)
+    assert {r.gram: (r.n, r.ids) for r in spark.read.parquet(path).collect()} == {g: (len(i), sorted(i)) for g, i in want.items()}
