@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ def matches(scripts: DataFrame, query: list[Phrase]) -> DataFrame:
     return scripts.select("id", d.alias("d"), *f)
 
 
-def _gain(f: Column, d: Column, avgdl: Column) -> Column:
+def _gain(f: Column | np.ndarray, d: Column | np.ndarray, avgdl: Column | float) -> Column | np.ndarray:
     """What f hits in a row of d tokens are worth, times the rarity of what was hit."""
     return f * (K1 + 1) / (f + K1 * (1 - B + B * d / avgdl))
 
@@ -70,22 +73,118 @@ def store_index(scripts: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> No
     ``corpus(n, avgdl)``: rows, and their mean number of tokens.
     ``postings(term, block, n, top, entries)``, sorted by term and block: the rows of a
     block of ids that hold a term, how many they are, the most that the term is worth in
-    any of them, and of each its id, d (tokens), f (hits) and places (column, position).
+    any of them, and of each its id, d (tokens), f (hits) and places (see ``_parts``).
+
+    Tokens never move one by one: a task turns its texts into the parts of postings, which
+    are stored and dealt once, by ranges of terms.
     """
-    columns = F.array(*[F.struct(F.lit(i).alias("col"), tokens(F.col(c)).alias("t")) for i, c in enumerate(COLUMNS)])
-    rows = scripts.select("id", columns.alias("xs"))
-    d = F.aggregate("xs", F.lit(0).cast("long"), lambda s, x: s + F.size(x["t"]))
-    corpus = rows.select(d.alias("d")).agg(F.count("*").alias("n"), F.avg("d").alias("avgdl"))
-    corpus.coalesce(1).write.parquet(f"{path}/corpus")
-    avgdl = scripts.sparkSession.read.parquet(f"{path}/corpus").first().avgdl or 1.0
-    words = rows.select("id", d.alias("d"), F.explode("xs").alias("x")).select("id", "d", "x.col", F.posexplode("x.t").alias("pos", "term"))
-    own = words.groupBy("term", "id", "d").agg(F.count("*").alias("f"), F.sort_array(F.collect_list(F.struct("col", "pos"))).alias("places"))
-    own = own.withColumn("block", F.floor(F.col("id") / block_ids)).withColumn("gain", _gain(F.col("f"), F.col("d"), F.lit(avgdl)))
-    entries = F.sort_array(F.collect_list(F.struct("id", "d", "f", "places"))).alias("entries")
-    blocks = own.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("gain").alias("top"), entries)
+    spark = scripts.sparkSession
+    # The empty term, which no text has, stands first in every row; a null ends a column, so that no phrase goes on in the next.
+    words = F.concat(F.array(F.lit("")), *[x for c in COLUMNS for x in (tokens(F.col(c)), F.array(F.lit(None).cast("string")))])
+    group_ids = block_ids * -(-BLOCK_IDS // block_ids)
     # Stored first, as finding the ranges reads them once more.
-    blocks = Scratch(scripts.sparkSession, "fts").put(blocks, "blocks").repartitionByRange("term", "block")
-    blocks.sortWithinPartitions("term", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
+    parts = Scratch(spark, "fts").put(scripts.select("id", words.alias("words")).mapInArrow(_parts(group_ids), PARTS), "parts")
+    corpus = parts.where("term = ''").select(F.explode("ds").alias("d")).agg(F.count("*").alias("n"), F.avg("d").alias("avgdl"))
+    corpus.coalesce(1).write.parquet(f"{path}/corpus")
+    avgdl = spark.read.parquet(f"{path}/corpus").first().avgdl or 1.0
+    dealt = parts.where("term <> ''").repartitionByRange("term", "ids_from").sortWithinPartitions("term", "ids_from", F.element_at("ids", 1))
+    dealt.mapInArrow(_postings(block_ids, avgdl), POSTINGS).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
+
+
+PARTS = "term string, ids_from long, ids array<long>, ds array<int>, fs array<int>, places array<int>"
+POSTINGS = "term string, block long, n long, top double, entries array<struct<id:long,d:long,f:long,places:array<int>>>"
+#: Bytes of words that a task turns into parts at a time, about.
+PART_BYTES = 32 << 20
+Batches = Iterator[pa.RecordBatch]
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    n = len(keys[0])
+    return np.flatnonzero(np.append(np.ones(min(n, 1), bool), reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])))
+
+
+def _list(starts: np.ndarray, values: np.ndarray | pa.Array) -> pa.Array:
+    """Lists that begin at *starts* and hold all values."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _parts(group_ids: int) -> Callable[[Batches], Batches]:
+    """(id, words) to the rows of some ids that hold a term: ids ascending, and of each d, f and the f places, one after another.
+
+    A place counts the words of the row; columns are told apart by a null between them.
+    """
+
+    def part(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.sort_by("id").combine_chunks()
+        ids, lists = rows["id"].to_numpy(), rows["words"].combine_chunks()
+        size = lists.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(ids)), size)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        coded = lists.flatten().dictionary_encode()
+        held = coded.is_valid().to_numpy(zero_copy_only=False)
+        row, place = row[held], place[held].astype(np.int32)
+        d = (np.bincount(row, minlength=len(ids)) - 1).astype(np.int32)
+        key = coded.indices.drop_null().to_numpy().astype(np.int64) * len(ids) + row
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+        entry = _starts(key)
+        term, row = np.divmod(key[entry], len(ids))
+        f = np.diff(np.append(entry, len(key))).astype(np.int32)
+        group = ids[row] // group_ids
+        first = _starts(term, group)
+        columns = [coded.dictionary.take(pa.array(term[first])), pa.array(group[first] * group_ids), _list(first, ids[row]), _list(first, d[row]), _list(first, f), _list(entry[first], place)]
+        return pa.RecordBatch.from_arrays(columns, ["term", "ids_from", "ids", "ds", "fs", "places"])
+
+    def run(batches: Batches) -> Batches:
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= PART_BYTES:
+                yield part(pa.Table.from_batches(waiting))
+                waiting, size = [], 0
+        if sum(map(len, waiting)):
+            yield part(pa.Table.from_batches(waiting))
+
+    return run
+
+
+def _postings(block_ids: int, avgdl: float) -> Callable[[Batches], Batches]:
+    """Parts, sorted by term and ids, to postings; only the parts of one term and group of ids wait for a next batch."""
+
+    def whole(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, d, f, places = (rows[c].combine_chunks() for c in ("ids", "ds", "fs", "places"))
+        own = np.repeat(np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows)))), ids.value_lengths().to_numpy())
+        ids, d, f, places = (x.flatten().to_numpy() for x in (ids, d, f, places))
+        # Parts of other tasks may have ids in between.
+        order = np.lexsort((ids, own))
+        at = (np.cumsum(f) - f)[order]
+        own, ids, d, f = own[order], ids[order], d[order].astype(np.int64), f[order].astype(np.int64)
+        to = np.cumsum(f) - f
+        places = places[np.repeat(at - to, f) + np.arange(len(places))]
+        block = ids // block_ids
+        first = _starts(own, block)
+        entries = pa.StructArray.from_arrays([pa.array(ids), pa.array(d), pa.array(f), _list(to, places)], ["id", "d", "f", "places"])
+        term = rows["term"].combine_chunks().take(pa.array(starts[own[first]]))
+        top = np.maximum.reduceat(_gain(f, d, avgdl), first)
+        return pa.RecordBatch.from_arrays([term, pa.array(block[first]), pa.array(np.diff(np.append(first, len(ids)))), pa.array(top), _list(first, entries)], ["term", "block", "n", "top", "entries"])
+
+    def run(batches: Batches) -> Batches:
+        waiting = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            if not len(rows):
+                continue
+            starts = _starts(rows["term"].combine_chunks().dictionary_encode().indices.to_numpy(), rows["ids_from"].to_numpy())
+            if len(starts) > 1:
+                yield whole(rows.slice(0, starts[-1]), starts[:-1])
+            waiting = rows.slice(starts[-1])
+        if waiting is not None:
+            yield whole(waiting, np.zeros(1, np.int64))
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -112,9 +211,9 @@ def _phrase_hits(index: Index, p: Phrase) -> DataFrame:
     hits = None
     for j, t in enumerate(p.tokens):
         own = index.of(t, p.prefix and j == len(p.tokens) - 1)
-        own = own.select("block", F.explode("entries").alias("e")).select("block", "e.id", "e.d", F.explode("e.places").alias("p"))
-        own = own.select("block", "id", "d", "p.col", (F.col("p.pos") - j).alias("start"))
-        hits = own if hits is None else hits.join(own, ["block", "id", "d", "col", "start"], "left_semi")
+        own = own.select("block", F.explode("entries").alias("e")).select("block", "e.id", "e.d", F.explode("e.places").alias("place"))
+        own = own.select("block", "id", "d", (F.col("place") - j).alias("start"))
+        hits = own if hits is None else hits.join(own, ["block", "id", "d", "start"], "left_semi")
     return hits.groupBy("block", "id", "d").agg(F.count("*").alias("f"))
 
 

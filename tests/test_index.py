@@ -75,3 +75,40 @@ def test_empty_catalog(spark):
     none = scripts(spark, [{"logical_path": "/c/x.py"}]).where("false")
     fts.store_index(none, path)
     assert search.full_text(none, "x y*", 5, index=fts.Index.open(spark, path)).count() == 0
+
+
+def test_tokens_do_not_move_one_by_one(spark, stored):
+    s, _, _ = stored
+    status, doubles = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: status.stageList(None, False, False, doubles, None)
+    before = {stages().apply(i).stageId() for i in range(stages().length())}
+    path = Scratch(spark, "fts").path("index")
+    fts.store_index(s, path, block_ids=16)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    moved = sum(x.shuffleWriteRecords() for x in map(stages().apply, range(stages().length())) if x.stageId() not in before)
+    # A task's rows of a term move together, however many they are; each of the 400 rows has a word of its own.
+    assert moved < 400 + s.rdd.getNumPartitions() * 60, moved
+
+
+def test_parts_of_a_block_from_many_tasks(spark, monkeypatch):
+    """Ids of a block that lie in several tasks and batches, rows without words, and a phrase over the end of a column."""
+    r = random.Random(5)
+    rows = [{"logical_path": f"/c/s{i}.py", "content": " ".join(r.choice(COMMON + RARE[:3]) for _ in range(i % 9)) or None, "owner": "load" if i % 3 else None, "purpose": "the job the job"} for i in range(120)]
+    rows.append({"logical_path": "", "content": None})
+    s = scripts(spark, rows).repartition(7).cache()
+    monkeypatch.setattr(fts, "PART_BYTES", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        path = Scratch(spark, "fts").path("index")
+        fts.store_index(s, path, block_ids=16)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index = fts.Index.open(spark, path)
+    assert index.n == 121
+    assert index.postings.groupBy("term", "block").count().where("count > 1").count() == 0
+    for row in index.postings.collect():
+        ids = [e.id for e in row.entries]
+        assert ids == sorted(set(ids)) and len(ids) == row.n and {i // 16 for i in ids} == {row.block}
+        assert all(e.f == len(e.places) for e in row.entries)
+    for query in ["load", '"the job the"', '"job load"', '"save load" ra*', '"load load"']:
+        assert scored(search.full_text(s, query, 500, index=index)) == scored(search.full_text(s, query, 500)), query
