@@ -75,7 +75,8 @@ def _t16(s, d):
 @query("t17_reference_resolution", [S, D], ", r AS (SELECT DISTINCT d.script_id, concat('../..', substr(t.logical_path, 9)) AS ref, CASE WHEN d.script_id % 5 = 0 THEN '' ELSE '/catalog' END AS up FROM dependencies d JOIN scripts s ON s.id = d.script_id JOIN scripts t ON t.id = d.resolved_script_id) SELECT r.script_id, r.ref AS depends_on_path, t.id AS target FROM r JOIN scripts t ON t.logical_path = concat(r.up, substr(r.ref, 6)) WHERE t.id <> r.script_id")
 def _t17(s, d):
     names = s.select(F.col("id").alias("resolved_script_id"), F.concat(F.lit("../.."), F.substring("logical_path", 9, 1000)).alias("depends_on_path"))
-    edges = d.where("resolved_script_id is not null").select("script_id", "resolved_script_id").join(names, "resolved_script_id").select("script_id", "depends_on_path").distinct()
+    # Pairs of ids are made distinct, and not names; what is found is distinct again.
+    edges = d.where("resolved_script_id is not null").select("script_id", "resolved_script_id").distinct().join(names, "resolved_script_id")
     return resolve.resolve_references(edges, s)
 
 

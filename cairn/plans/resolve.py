@@ -66,13 +66,18 @@ def normal_path(base: Column, reference: Column) -> Column:
 
 
 def resolve_references(edges: DataFrame, scripts: DataFrame) -> DataFrame:
-    """script_id, depends_on_path, target of references that name a script: as they stand, else seen from the script's folder."""
-    at = scripts.select(F.col("id").alias("script_id"), F.col("logical_path").alias("own"))
+    """script_id, depends_on_path, target of references that name a script: as they stand, else seen from the script's folder.
+
+    Each reference goes one way: it first learns whether a script has it as its path, then its
+    script's folder, and then meets the script that it names.
+    """
+    as_is = scripts.select(F.col("logical_path").alias("depends_on_path"), F.lit(True).alias("as_is"))
+    at = scripts.select(F.col("id").alias("script_id"), F.coalesce(parent_dir(F.col("logical_path")), F.lit("")).alias("folder"))
     known = scripts.select(F.col("id").alias("target"), F.col("logical_path").alias("path"))
-    rows = edges.join(at, "script_id").withColumn("relative", normal_path(F.coalesce(parent_dir(F.col("own")), F.lit("")), F.col("depends_on_path")))
-    exact = rows.join(known, rows.depends_on_path == known.path).select("script_id", "depends_on_path", "target", F.lit(0).alias("rank"))
-    near = rows.where(~F.col("depends_on_path").startswith("/")).join(known, rows.relative == known.path).where("target <> script_id").select("script_id", "depends_on_path", "target", F.lit(1).alias("rank"))
-    return exact.unionByName(near).groupBy("script_id", "depends_on_path").agg(F.min_by("target", "rank").alias("target"))
+    told = edges.select("script_id", "depends_on_path").join(as_is, "depends_on_path", "left").where(F.col("as_is") | ~F.col("depends_on_path").startswith("/"))
+    path = F.when(F.col("as_is"), F.col("depends_on_path")).otherwise(normal_path(F.col("folder"), F.col("depends_on_path")))
+    found = told.join(at, "script_id").select("script_id", "depends_on_path", "as_is", path.alias("path")).join(known, "path").where(F.col("as_is") | (F.col("target") != F.col("script_id")))
+    return found.groupBy("script_id", "depends_on_path").agg(F.min("target").alias("target"))
 
 
 def declared_path(value: Column, own: Column) -> Column:

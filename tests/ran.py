@@ -18,3 +18,17 @@ def _below(plan, metric):
         children = plan.children()
         for i in range(children.length()):
             yield from _below(children.apply(i), metric)
+
+
+def moved(spark, run):
+    """Rows that shuffles moved while *run* ran."""
+    status, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = status.stageList(None, False, False, none, None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(found.apply, range(found.length()))}
+
+    before = stages()
+    run()
+    return sum(n for stage, n in stages().items() if stage not in before)

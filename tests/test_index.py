@@ -8,7 +8,7 @@ from cairn.functions import fts
 from cairn.functions.querytext import phrases
 from cairn.operators import search
 from cairn.sources.scratch import Scratch
-from tests.ran import nodes
+from tests.ran import moved, nodes
 from tests.test_catalog import scripts
 
 RARE, COMMON = [f"rare{i}" for i in range(40)], ["load", "save", "the", "job"]
@@ -79,15 +79,9 @@ def test_empty_catalog(spark):
 
 def test_tokens_do_not_move_one_by_one(spark, stored):
     s, _, _ = stored
-    status, doubles = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
-    stages = lambda: status.stageList(None, False, False, doubles, None)
-    before = {stages().apply(i).stageId() for i in range(stages().length())}
-    path = Scratch(spark, "fts").path("index")
-    fts.store_index(s, path, block_ids=16)
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    moved = sum(x.shuffleWriteRecords() for x in map(stages().apply, range(stages().length())) if x.stageId() not in before)
+    n = moved(spark, lambda: fts.store_index(s, Scratch(spark, "fts").path("index"), block_ids=16))
     # A task's rows of a term move together, however many they are; each of the 400 rows has a word of its own.
-    assert moved < 400 + s.rdd.getNumPartitions() * 60, moved
+    assert n < 400 + s.rdd.getNumPartitions() * 60, n
 
 
 def test_parts_of_a_block_from_many_tasks(spark, monkeypatch):
